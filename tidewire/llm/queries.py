@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, licenses, mixing, packing, quality, sharding, toxicity
+from tidewire.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, toxicity
 from tidewire.llm._base import read
 
 
@@ -17,6 +17,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), path=path)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on two-word shingles."""
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), shingle=2)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all documents for the target shares of clean, junk and toxic text."""
     return mixing.mix(read(spark, sf_dir, "documents"), mixing.label_domains(read(spark, sf_dir, "labels")))
@@ -49,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_near_dedup": op2_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
