@@ -69,10 +69,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         if b - a >= k:
             sets.append(np.unique(acc[a : b - k + 1]))
         elif b > a:
-            v = _u(0x5851F42D4C957F2D + int(b - a))  # a short sequence is one shingle, unlike any of k words
-            for x in h[a:b]:
-                v = mix64(np.array([v * _u(0x9E3779B97F4A7C15) + x], dtype=np.uint64))[0]
-            sets.append(np.array([v], dtype=np.uint64))
+            v = np.array([0x5851F42D4C957F2D + int(b - a)], dtype=np.uint64)  # a short sequence is one shingle, unlike any of k words
+            for j in range(a, b):
+                v = mix64(v * _u(0x9E3779B97F4A7C15) + h[j : j + 1])
+            sets.append(v)
         else:
             sets.append(np.zeros(0, dtype=np.uint64))
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -133,8 +133,8 @@ def _plant(trees: int, levels: int, branch: float):
         for batch in batches:
             sig, ids = _sig_rows(batch.column("sig")), np.array(batch.column("id").to_pylist(), dtype=np.int64)
             for t in range(trees):
-                root = mix64(np.array([t + 1], dtype=np.uint64) * _u(0xD1B54A32D192ED03))[0]
-                rows, node = _walk(np.arange(len(ids)), np.full(len(ids), root, dtype=np.uint64), sig, levels, branch)
+                root = mix64(np.array([t + 1], dtype=np.uint64) * _u(0xD1B54A32D192ED03))
+                rows, node = _walk(np.arange(len(ids)), np.repeat(root, len(ids)), sig, levels, branch)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[rows])], ["node", "id"])
 
     return run
