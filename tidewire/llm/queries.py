@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, sharding, toxicity
+from tidewire.llm import embeddings, exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, sharding, toxicity
 from tidewire.llm._base import read
 
 
@@ -52,6 +52,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate groups of all embeddings."""
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
