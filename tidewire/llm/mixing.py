@@ -50,7 +50,8 @@ def n_tokens(text: Column) -> Column:
 def lexicon(docs: DataFrame, labelled: DataFrame, domain: str, rows: int = LEXICON_ROWS, words: int = LEXICON_WORDS) -> list[str]:
     """Words that mark ``domain``: by log-odds of document frequency in a bounded sample of labelled rows."""
     sample = labelled.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.join(sample, "id").select((F.col("domain") == domain).cast("int").alias("is"), F.array_distinct(F.split(F.lower("body"), r"[^\p{L}]+")).alias("ws"))
+    # At most `rows` ids and domains are broadcast.
+    texts = docs.join(F.broadcast(sample), "id").select((F.col("domain") == domain).cast("int").alias("is"), F.array_distinct(F.split(F.lower("body"), r"[^\p{L}]+")).alias("ws"))
     sizes = texts.agg(F.coalesce(F.sum("is"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("n")).first()
     a, b = sizes["a"], sizes["n"] - sizes["a"]
     if not a or not b:
@@ -61,11 +62,17 @@ def lexicon(docs: DataFrame, labelled: DataFrame, domain: str, rows: int = LEXIC
     return [r["w"] for r in marked.orderBy(odds.desc(), "w").limit(words).collect()]
 
 
+def _count_of(text: Column, sign: str) -> Column:
+    """Occurrences of a fixed ASCII string, from the bytes that replacing it saves."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))) / float(len(sign))
+
+
 def features(text: Column, words: Sequence[str]) -> list[Column]:
     """Binary features of a text."""
-    per_word = lambda pattern, least: F.regexp_count(text, F.lit(pattern)) >= F.greatest(F.lit(2.0), F.col("tokens") * least)
+    often = lambda count, least: count >= F.greatest(F.lit(2.0), F.col("tokens") * least)
     # Kinds of noise exclude one another, so they are one feature: naive Bayes would take them as independent.
-    noise = per_word(r"[%&$#*]{3}", 0.02) | per_word(r"!!", 0.02) | per_word(r" \|", 0.02) | per_word(r"\p{Lu}{3,}", 0.05) | per_word(r"(?<= )([^ \n]+) \1(?= )", 0.06)
+    signs = sum((_count_of(text, s) for s in ("&&&", "$$$", "###", "***")), _count_of(text, "%%%"))
+    noise = often(signs, 0.02) | often(_count_of(text, "!!"), 0.02) | often(_count_of(text, " |"), 0.02) | often(F.regexp_count(text, F.lit(r"\p{Lu}{3,}")), 0.05) | often(F.regexp_count(text, F.lit(r"(?<= )([^ \n]+) \1(?= )")), 0.06)
     out = [noise, F.col("tokens") < 8]
     if words:
         out.append(F.lower(text).rlike(r"(?<!\p{L})(" + "|".join(re.escape(w) for w in words) + r")(?!\p{L})"))
