@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,31 +80,53 @@ def features(text: Column, words: Sequence[str]) -> list[Column]:
     return out
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domains: Sequence[str] = DOMAINS, *, lexicon_of: str | None = "toxic", lexicon_rows: int = LEXICON_ROWS) -> DataFrame:
-    """(id, tokens, p0..pk): naive Bayes posteriors. docs: id, body; labels: id, domain."""
+@dataclass
+class Classifier:
+    """Naive Bayes tables: for each domain the log of its prior, and of each feature being set or not."""
+
+    domains: list[str]
+    words: list[str]
+    prior: list[float]
+    on: list[list[float]]
+    off: list[list[float]]
+
+    def flags(self, body: Column) -> list[Column]:
+        return features(body, self.words)
+
+    def posterior(self, flags: Sequence[Column]) -> list[Column]:
+        """Columns of the posteriors, given boolean feature columns."""
+        logs = []
+        for prior, on, off in zip(self.prior, self.on, self.off, strict=True):
+            x = F.lit(prior)
+            for flag, yes, no in zip(flags, on, off, strict=True):
+                x = x + F.when(flag, yes).otherwise(no)
+            logs.append(x)
+        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
+        odds = [F.exp(x - top) for x in logs]
+        norm = sum(odds[1:], odds[0])
+        return [o / norm for o in odds]
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: Sequence[str], *, lexicon_of: str | None = "toxic", lexicon_rows: int = LEXICON_ROWS) -> tuple[Classifier, DataFrame]:
+    """The classifier, and (id, tokens, f0..fk) of all documents. docs: id, body; labels: id, domain."""
     labelled = table(labels.where(F.col("domain").isin(list(domains)) & F.col("id").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain")), "mix-labels")
     words = lexicon(docs, labelled, lexicon_of, lexicon_rows) if lexicon_of else []
     body = F.coalesce(F.col("body"), F.lit(""))
     sized = docs.select("id", body.alias("body"), n_tokens(body).alias("tokens"))
     flags = features(F.col("body"), words)
-    seen = table(sized.select("id", "tokens", *[f.cast("int").alias(f"f{j}") for j, f in enumerate(flags)]), "mix-features")
+    seen = table(sized.select("id", "tokens", *[f.alias(f"f{j}") for j, f in enumerate(flags)]), "mix-features")
     k = len(flags)
-    counted = seen.join(labelled, "id").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"f{j}").alias(f"f{j}") for j in range(k)]).collect()
+    counted = seen.join(labelled, "id").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"f{j}").cast("int")).alias(f"f{j}") for j in range(k)]).collect()
     rows = {r["domain"]: r for r in counted}
     total = sum(r["n"] for r in rows.values())
-    logs = []
+    prior, on, off = [], [], []
     for d in domains:
         n = rows[d]["n"] if d in rows else 0
-        terms = [F.lit(math.log((n + 1) / (total + len(domains))))]
-        for j in range(k):
-            p = ((rows[d][f"f{j}"] if d in rows else 0) + 0.5) / (n + 1)
-            terms.append(F.when(F.col(f"f{j}") == 1, math.log(p)).otherwise(math.log(1 - p)))
-        logs.append(sum(terms[1:], terms[0]))
-    scored = seen.select("id", "tokens", *[x.alias(f"l{i}") for i, x in enumerate(logs)])
-    top = F.greatest(*[F.col(f"l{i}") for i in range(len(domains))])
-    scored = scored.select("id", "tokens", *[F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in range(len(domains))])
-    norm = sum((F.col(f"e{i}") for i in range(1, len(domains))), F.col("e0"))
-    return scored.select("id", "tokens", *[(F.col(f"e{i}") / norm).alias(f"p{i}") for i in range(len(domains))])
+        prior.append(math.log((n + 1) / (total + len(domains))))
+        share = [((rows[d][f"f{j}"] if d in rows else 0) + 0.5) / (n + 1) for j in range(k)]
+        on.append([math.log(p) for p in share])
+        off.append([math.log(1 - p) for p in share])
+    return Classifier(list(domains), words, prior, on, off), seen
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -169,26 +192,57 @@ def fit_rates(soft: DataFrame, k: int, targets: Sequence[float], *, total: float
     return m, fitted, want
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", *, total: float | None = None, lexicon_rows: int = LEXICON_ROWS, lexicon_of: str | None = "toxic") -> DataFrame:
-    """One row per document: doc_id, tokens, p_<domain>..., rate, copies (whole repeats, by a hash of the id)."""
+def _rate(posterior: Sequence[Column], m: Sequence[float]) -> Column:
+    dot = sum((p * F.lit(x) for p, x in zip(posterior[1:], m[1:], strict=True)), posterior[0] * F.lit(m[0]))
+    return F.round(F.greatest(F.lit(0.0), F.lit(1.0) - dot), 6)
+
+
+def _copies(rate: Column, id_: Column) -> Column:
+    """Whole repeats: the rate's floor, and one more with the rate's fraction as probability, by a hash of the id."""
+    draw = F.pmod(F.xxhash64(id_, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
+
+
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, total: float | None = None, lexicon_rows: int = LEXICON_ROWS, lexicon_of: str | None = "toxic") -> tuple[Classifier, list[float], DataFrame]:
+    """docs: id, body; labels: id, domain -> the classifier, the multipliers, and (id, tokens, p0..pk) of all documents."""
     targets = targets or TARGETS
     domains = sorted(targets)
-    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
-    named = labels.select(F.col("id").cast("bigint").alias("id"), "domain")
-    soft = table(posteriors(plain, named, domains, lexicon_of=lexicon_of, lexicon_rows=lexicon_rows), "mix-posteriors")
+    classifier, seen = fit_classifier(docs, labels, domains, lexicon_of=lexicon_of, lexicon_rows=lexicon_rows)
+    flags = [F.col(f"f{j}") for j in range(len(classifier.on[0]))]
+    soft = table(seen.select("id", "tokens", *[p.alias(f"p{i}") for i, p in enumerate(classifier.posterior(flags))]), "mix-posteriors")
     m, _, _ = fit_rates(soft, len(domains), [targets[d] for d in domains], total=total)
-    dot = sum((F.col(f"p{i}") * F.lit(m[i]) for i in range(1, len(domains))), F.col("p0") * F.lit(m[0]))
-    rate = F.round(F.greatest(F.lit(0.0), F.lit(1.0) - dot), 6)
-    draw = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    return classifier, m, soft
+
+
+def _plain(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    named = labels.select(F.col("id").cast("bigint").alias("id"), F.col("domain"))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("body")), named
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, tokens, p_<domain>..., rate, copies."""
+    classifier, m, soft = fit(*_plain(docs, labels, id_col, text_col), targets, **options)
+    rate = _rate([F.col(f"p{i}") for i in range(len(m))], m)
     return soft.withColumn("rate", rate).select(
         F.col("id").alias("doc_id"),
         "tokens",
-        *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)],
+        *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(classifier.domains)],
         "rate",
-        (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"),
+        _copies(F.col("rate"), F.col("id")).alias("copies"),
     )
 
 
+def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mixture itself: each row of ``docs`` as often as its rate says. No join: rates are expressions over the row's text."""
+    classifier, m, _ = fit(*_plain(docs, labels, id_col, text_col), targets, **options)
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), body.alias("body"), n_tokens(body).alias("tokens"))
+    flagged = rows.select("row", "id", *[f.alias(f"f{j}") for j, f in enumerate(classifier.flags(F.col("body")))])
+    rate = _rate(classifier.posterior([F.col(f"f{j}") for j in range(len(classifier.on[0]))]), m)
+    counted = flagged.select("row", _copies(rate, F.col("id")).alias("copies")).where("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
 def label_domains(labels: DataFrame) -> DataFrame:
     """The domain of a row of ``labels``: toxic, else junk where quality is 0, else clean."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")

@@ -235,6 +235,20 @@ def score(docs: DataFrame, model: Crf, *, cut: float = CUT) -> DataFrame:
     return docs.select("id", "body").mapInArrow(run, "id bigint, n_lines bigint, n_bad_lines bigint, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Crf, text_col: str = "text", *, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``cut``. One pass without a shuffle."""
+    hidden = "_quality_text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.drop_columns([hidden])
+            for at, end, data, offsets in text_chunks(batch, hidden):
+                x, weight, first = line_features(data, offsets)
+                yield rows.slice(at, end - at).filter(pa.array(model.score(x, weight, first) >= cut))
+
+    return docs.withColumn(hidden, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, train_rows: int = TRAIN_ROWS, folds: int = 5) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_lines, n_bad_lines.
 
