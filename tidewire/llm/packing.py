@@ -37,15 +37,44 @@ CACHE_WORDS = 1_000_000
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+class _Memo(dict):
+    """A bounded memo in two generations: what is asked for again survives when the older one is dropped."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self._make, self._limit, self._old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self._old.get(key)
+        if found is None:
+            found = self._make(key)
+        if len(self) >= self._limit:
+            self._old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable characters that byte-level vocabularies use for bytes: themselves, or the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(spare)) for b in range(256)}
+
+
 class WordEncoder:
-    """Token ids of texts, as little-endian 32-bit bytes, with a cache of what a stretch without blanks becomes.
+    """Token ids of texts, as little-endian 32-bit bytes, with memos of what a stretch without blanks and a word become.
 
     The tokenizer lower-cases, collapses white space and never joins what white space parts, so the ids of a text
-    are those of its stretches. Texts with characters on which the definitions of white space, case or
-    normal form could differ, and texts that could hold a special token's string, go to the tokenizer whole.
+    are those of its stretches; and a stretch is parted into words and signs, each of which its vocabulary model
+    turns into ids. Texts with characters on which the definitions of white space, case or normal form could
+    differ, and texts that could hold a special token's string, go to the tokenizer whole.
     """
 
     _other = re.compile(r"[^\t\n\v\f\r -~¡-į]")
+    _simple = re.compile(r"[!-~ßà-öø-į]+")
+    # The tokenizer's own alternatives, for the characters of _simple.
+    _parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
     def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -55,17 +84,16 @@ class WordEncoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         tokenizer = Tokenizer.from_file(path)
-        self._ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        ids = self._ids
+        model, letters = tokenizer.model, _byte_letters()
+        self._ids = ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-        class Cache(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= cache_words:
-                    self.clear()
-                self[word] = found = ids(word)
-                return found
+        def of_part(part: str) -> bytes:
+            spelt = part if part.isascii() else "".join(letters[b] for b in part.encode())
+            return b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(spelt))
 
-        self._cache = Cache()
+        parts = _Memo(of_part, cache_words // 4)
+        simple, split = self._simple.fullmatch, self._parts.findall
+        self._cache = _Memo(lambda word: b"".join(map(parts.__getitem__, split(word))) if simple(word) else ids(word), cache_words // 2)
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not (text.isascii() or not self._other.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
