@@ -109,8 +109,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         "id",
         "path",
         F.size(F.filter(F.split("body", r"\s+"), lambda w: w != "")).alias("n_words"),
-        F.explode(F.filter(F.split("body", r"\n|(?<=[.!?])\s+"), _marked)).alias("piece"),
-    )
+        F.explode_outer(F.filter(F.split("body", r"\n|(?<=[.!?])\s+"), _marked)).alias("piece"),  # see mixing.lexicon
+    ).where(F.col("piece").isNotNull())
     found = table(pieces.select("id", "path", "n_words", sentence.alias("sentence"), F.size(F.split(F.trim("piece"), r"\s+")).alias("words")), "licence-sentences")
     distinct = table(found.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")), "licence-distinct")
     scores = table(score_sentences(spark, distinct).where(F.col("score") >= threshold), "licence-scores")

@@ -57,7 +57,9 @@ def lexicon(docs: DataFrame, labelled: DataFrame, domain: str, rows: int = LEXIC
     a, b = sizes["a"], sizes["n"] - sizes["a"]
     if not a or not b:
         return []
-    counts = texts.select("is", F.explode("ws").alias("w")).where(F.length("w") >= 3).groupBy("w").agg(F.sum("is").alias("inside"), F.count(F.lit(1)).alias("seen"))
+    # Not `explode`: the filter on the array's size that Catalyst infers for it would be pushed below the join,
+    # and split the text of every document.
+    counts = texts.select("is", F.explode_outer("ws").alias("w")).where(F.length("w") >= 3).groupBy("w").agg(F.sum("is").alias("inside"), F.count(F.lit(1)).alias("seen"))
     odds = F.log((F.col("inside") + 0.5) / (a + 1.0)) - F.log((F.col("seen") - F.col("inside") + 0.5) / (b + 1.0))
     marked = counts.where((F.col("inside") >= max(5, a // 100)) & (odds >= math.log(8.0)))
     return [r["w"] for r in marked.orderBy(odds.desc(), "w").limit(words).collect()]
@@ -76,7 +78,12 @@ def features(text: Column, words: Sequence[str]) -> list[Column]:
     noise = often(signs, 0.02) | often(_count_of(text, "!!"), 0.02) | often(_count_of(text, " |"), 0.02) | often(F.regexp_count(text, F.lit(r"\p{Lu}{3,}")), 0.05) | often(F.regexp_count(text, F.lit(r"(?<= )([^ \n]+) \1(?= )")), 0.06)
     out = [noise, F.col("tokens") < 8]
     if words:
-        out.append(F.lower(text).rlike(r"(?<!\p{L})(" + "|".join(re.escape(w) for w in words) + r")(?!\p{L})"))
+        # Plain substrings first: the expression with word borders then runs on the few texts that hold one.
+        low = F.lower(text)
+        held = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            held = held | F.contains(low, F.lit(w))
+        out.append(held & low.rlike(r"(?<!\p{L})(" + "|".join(re.escape(w) for w in words) + r")(?!\p{L})"))
     return out
 
 
