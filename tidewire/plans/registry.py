@@ -1,4 +1,726 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the relational test tables, and the SQL that DuckDB can hold against them.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Flows are a view of line items and events of the events table (``sources.adapters``). Aggregates are integers and
+every cut-off list has a total order, so results compare exactly.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewire.functions import netaddr
+from tidewire.functions.labels import SERVICES
+from tidewire.operators import alerts as A
+from tidewire.operators import detect as D
+from tidewire.operators import enrich as E
+from tidewire.operators import rollups as R
+from tidewire.operators import search as S
+from tidewire.operators.filters import EVENTS, RecordFilter
+from tidewire.sources.adapters import EVENTS_SQL, FLOWS_SQL, events, flows
+from tidewire.sources.storage import retention_plan, segment_manifest, verify_manifest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: 1995-01-01 .. 1996-12-31 for flows and the first half of January 2024 for events, in microseconds.
+LO, HI = 788_918_400_000_000, 852_076_799_999_999
+EV_LO, EV_HI = 1_704_067_200_000_000, 1_705_276_800_000_000
+HOUR, DAY, MINUTE = 3_600_000_000, 86_400_000_000, 60_000_000
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            head = [view for view, view_name in ((FLOWS_SQL, "flows"), (EVENTS_SQL, "evs")) if re.search(rf"\b{view_name}\b", sql)]
+            body = sql.strip()
+            ORACLE_SQL[name] = ("WITH " + ",".join(head) + (", " + body[5:] if body.startswith("WITH ") else " " + body)) if head else body
+        return f
+
+    return add
+
+
+FLOW_PAGE = ["flow_id", "start_time", "end_time", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "direction", "octets", "packets", "dst_country"]
+_PAGE = "flow_id, start_time, end_time, src_ip, dst_ip, src_port, dst_port, protocol, direction, octets, packets, dst_country"
+
+# Pages ---------------------------------------------------------------------------------------------------
+
+RANGE = f"origin = 0 AND start_time >= {LO} AND start_time <= {HI}"
+
+
+@query("flows_page", f"SELECT {_PAGE} FROM flows WHERE {RANGE} ORDER BY start_time DESC, flow_id DESC LIMIT 500")
+def _(spark, d):
+    return S.page(flows(spark, d), RecordFilter(start=LO, end=HI)).select(*FLOW_PAGE)
+
+
+@query(
+    "flows_page_next",
+    f"""WITH first AS (SELECT start_time AS v, flow_id AS i FROM flows WHERE {RANGE} ORDER BY start_time DESC, flow_id DESC LIMIT 500),
+cur AS (SELECT v, i FROM first ORDER BY v, i LIMIT 1)
+SELECT {_PAGE} FROM flows, cur WHERE {RANGE} AND (start_time < v OR (start_time = v AND flow_id < i)) ORDER BY start_time DESC, flow_id DESC LIMIT 500""",
+)
+def _(spark, d):
+    rows, f = flows(spark, d), RecordFilter(start=LO, end=HI)
+    cursor = S.next_cursor(S.page(rows, f).select("start_time", "flow_id").collect(), 500)  # one page
+    return S.page(rows, f, after=cursor).select(*FLOW_PAGE)
+
+
+@query("flows_page_by_octets_asc", f"SELECT {_PAGE} FROM flows WHERE {RANGE} AND direction IN (1) ORDER BY octets ASC NULLS LAST, flow_id ASC LIMIT 100")
+def _(spark, d):
+    return S.page(flows(spark, d), RecordFilter(start=LO, end=HI, directions=(1,)), sort="octets", descending=False, limit=100).select(*FLOW_PAGE)
+
+
+@query("flows_page_by_duration", f"SELECT {_PAGE} FROM flows WHERE {RANGE} ORDER BY end_time - start_time DESC NULLS LAST, flow_id DESC LIMIT 200")
+def _(spark, d):
+    return S.page(flows(spark, d), RecordFilter(start=LO, end=HI), sort="duration", limit=200).select(*FLOW_PAGE)
+
+
+@query(
+    "flows_filter_all",
+    f"""SELECT {_PAGE} FROM flows WHERE {RANGE} AND (src_vlan IN (10, 11, 12) OR dst_vlan IN (10, 11, 12)) AND protocol IN (6, 17) AND direction IN (1, 2)
+AND dst_country IN ('GERMANY', 'FRANCE', 'CHINA') AND exporter_addr = '10.255.0.1' AND octets >= 20000 AND packets >= 5 AND dst_port IN ({", ".join(str(p) for p in range(0, 1024, 3))})
+ORDER BY start_time DESC, flow_id DESC LIMIT 10000""",
+)
+def _(spark, d):
+    f = RecordFilter(start=LO, end=HI, vlans=(10, 11, 12), protocols=(6, 17), directions=(1, 2), countries=("GERMANY", "FRANCE", "CHINA"), exporter="10.255.0.1", min_octets=20000, min_packets=5, ports=tuple(range(0, 1024, 3)))
+    return S.page(flows(spark, d), f, limit=10_000).select(*FLOW_PAGE)
+
+
+@query("flows_any_ip", f"SELECT {_PAGE} FROM flows WHERE {RANGE} AND (src_ip = '10.0.0.7' OR dst_ip = '10.0.0.7') ORDER BY start_time DESC, flow_id DESC LIMIT 500")
+def _(spark, d):
+    return S.page(flows(spark, d), RecordFilter(start=LO, end=HI, any_ip="10.0.0.7")).select(*FLOW_PAGE)
+
+
+@query("flows_client", f"SELECT {_PAGE} FROM flows WHERE {RANGE} AND (src_client_id = 5 OR dst_client_id = 5) ORDER BY start_time DESC, flow_id DESC LIMIT 500")
+def _(spark, d):
+    return S.page(flows(spark, d), RecordFilter(start=LO, end=HI, client_id=5)).select(*FLOW_PAGE)
+
+
+_P_LO, _P_HI = netaddr.v4_range("203.0.1.0/24")
+
+
+@query("prefix_filter", f"SELECT count(*) AS flows, sum(octets)::BIGINT AS bytes FROM flows WHERE {RANGE} AND (src_v4 BETWEEN {_P_LO} AND {_P_HI} OR dst_v4 BETWEEN {_P_LO} AND {_P_HI})")
+def _(spark, d):
+    from tidewire.operators.filters import compile_filter
+
+    return flows(spark, d).where(compile_filter(RecordFilter(start=LO, end=HI, prefix="203.0.1.0/24"))).agg(F.count(F.lit(1)).alias("flows"), F.sum("octets").alias("bytes"))
+
+
+@query("prefix_filter_v6", "SELECT count(*) AS n FROM evs WHERE false")
+def _(spark, d):
+    """IPv6 prefixes are honoured: no event has an address in this one."""
+    from tidewire.operators.filters import compile_filter
+
+    return events(spark, d).where(compile_filter(RecordFilter(prefix="2001:db8::/32"), EVENTS, numeric=False)).agg(F.count(F.lit(1)).alias("n"))
+
+
+EVENT_PAGE = ["event_id", "received_at", "event_time", "src_ip", "dst_port", "event_type", "action", "severity", "message", "rule_name"]
+_EPAGE = ", ".join(EVENT_PAGE)
+
+
+@query("events_page", f"SELECT {_EPAGE} FROM evs WHERE origin = 0 AND received_at >= {EV_LO} AND received_at <= {EV_HI} ORDER BY received_at DESC, event_id DESC LIMIT 500")
+def _(spark, d):
+    return S.page(events(spark, d), RecordFilter(start=EV_LO, end=EV_HI), EVENTS, numeric=False).select(*EVENT_PAGE)
+
+
+@query("events_text_search", f"SELECT {_EPAGE} FROM evs WHERE contains(lower(coalesce(message,'')), 'error') OR contains(lower(coalesce(rule_name,'')), 'error') OR contains(lower(coalesce(hostname,'')), 'error') ORDER BY received_at DESC, event_id DESC LIMIT 1000")
+def _(spark, d):
+    return S.page(events(spark, d), RecordFilter(text="ERROR"), EVENTS, limit=1000, numeric=False).select(*EVENT_PAGE)
+
+
+@query("events_injection_text", "SELECT count(*) AS n FROM evs WHERE contains(lower(message), ''') or 1=1 --')")
+def _(spark, d):
+    return S.page(events(spark, d), RecordFilter(text="') OR 1=1 --"), EVENTS, numeric=False).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ids_substring", f"SELECT {_EPAGE} FROM evs WHERE contains(lower(coalesce(ids_signature,'')), 'probe 1') AND event_type IN (2) ORDER BY received_at DESC, event_id DESC LIMIT 500")
+def _(spark, d):
+    return S.page(events(spark, d), RecordFilter(ids_signature="Probe 1", event_types=(2,)), EVENTS, numeric=False).select(*EVENT_PAGE)
+
+
+@query("events_by_severity", f"SELECT {_EPAGE} FROM evs WHERE severity IN (0, 1, 2, 3) AND action IN (2) ORDER BY severity DESC NULLS LAST, event_id DESC LIMIT 300")
+def _(spark, d):
+    return S.page(events(spark, d), RecordFilter(severities=(0, 1, 2, 3), actions=(2,)), EVENTS, sort="severity", limit=300, numeric=False).select(*EVENT_PAGE)
+
+
+@query("events_by_event_time", f"SELECT {_EPAGE} FROM evs ORDER BY effective_time ASC NULLS LAST, event_id ASC LIMIT 300")
+def _(spark, d):
+    return S.page(events(spark, d), RecordFilter(), EVENTS, sort="event_time", descending=False, limit=300, numeric=False).select(*EVENT_PAGE)
+
+
+@query("hot_query", f"SELECT {_EPAGE} FROM evs WHERE received_at BETWEEN {EV_LO} AND {EV_HI} AND contains(lower(message), 'click') ORDER BY received_at DESC, event_id DESC LIMIT 50")
+def _(spark, d):
+    return S.newest(events(spark, d), "received_at", "event_id", EV_LO, EV_HI, 50, text="click")[0].select(*EVENT_PAGE)
+
+
+@query("hot_buffer", f"SELECT event_id, received_at FROM evs WHERE received_at >= {EV_HI} - {DAY} ORDER BY received_at DESC, event_id DESC LIMIT 250")
+def _(spark, d):
+    return S.bounded_hot_set(events(spark, d), "received_at", "event_id", EV_HI, DAY, 250).select("event_id", "received_at")
+
+
+# Aggregates ----------------------------------------------------------------------------------------------
+
+
+def _top(dimension: str, sql_dimension: str | None = None) -> None:
+    column = sql_dimension or dimension
+
+    @query(
+        f"topn_{dimension}",
+        f"""SELECT CAST({column} AS VARCHAR) AS k, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets
+FROM flows WHERE {RANGE} AND direction IN (1) AND {column} IS NOT NULL GROUP BY 1 ORDER BY bytes DESC, k LIMIT 20""",
+    )
+    def _(spark, d):
+        return S.top_n(flows(spark, d), RecordFilter(start=LO, end=HI, directions=(1,)), dimension)
+
+
+for _dimension in ("src_ip", "dst_ip", "dst_port", "protocol", "dst_country", "dst_asn", "direction", "src_client_id", "exporter_addr"):
+    _top(_dimension)
+
+_SERVICE_VALUES = ", ".join(f"({p}, {pr}, '{n}')" for (p, pr), n in SERVICES.items())
+_SERVICE_JOINS = """
+LEFT JOIN svc d1 ON d1.p = dst_port AND d1.pr = protocol LEFT JOIN svc d2 ON d2.p = dst_port AND d2.pr = 23 - protocol
+LEFT JOIN svc s1 ON s1.p = src_port AND s1.pr = protocol LEFT JOIN svc s2 ON s2.p = src_port AND s2.pr = 23 - protocol"""
+
+
+@query(
+    "topn_service",
+    f"""WITH svc AS (SELECT * FROM (VALUES {_SERVICE_VALUES}) t(p, pr, name)), named AS (SELECT f.*, coalesce(d1.name, d2.name, s1.name, s2.name) AS service FROM flows f {_SERVICE_JOINS})
+SELECT service AS k, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets FROM named WHERE service IS NOT NULL AND origin = 0 GROUP BY 1 ORDER BY bytes DESC, k LIMIT 20""",
+)
+def _(spark, d):
+    return S.top_n(flows(spark, d), RecordFilter(), "service")
+
+
+@query("topn_dst_client_id", "SELECT CAST(dst_client_id AS VARCHAR) AS k, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets FROM flows WHERE dst_client_id IS NOT NULL GROUP BY 1 ORDER BY bytes DESC, k LIMIT 20")
+def _(spark, d):
+    return S.top_n(flows(spark, d), RecordFilter(), "dst_client_id")
+
+
+@query("service_lookup", f"""WITH svc AS (SELECT * FROM (VALUES {_SERVICE_VALUES}) t(p, pr, name)), named AS (SELECT coalesce(d1.name, d2.name, s1.name, s2.name) AS service FROM flows {_SERVICE_JOINS}) SELECT service, count(*) AS n FROM named GROUP BY 1""")
+def _(spark, d):
+    return flows(spark, d).groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SERIES = "CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(CASE WHEN direction = 2 THEN octets ELSE 0 END) AS BIGINT) AS inbound, CAST(sum(CASE WHEN direction = 1 THEN octets ELSE 0 END) AS BIGINT) AS outbound"
+
+
+@query("timeseries_scan", f"SELECT start_time // {HOUR} * {HOUR} AS bucket, {_SERIES} FROM flows WHERE {RANGE} GROUP BY 1")
+def _(spark, d):
+    return S.time_series(flows(spark, d), RecordFilter(start=LO, end=HI), HOUR)
+
+
+@query("timeseries_filtered", f"SELECT start_time // {DAY} * {DAY} AS bucket, {_SERIES} FROM flows WHERE {RANGE} AND dst_country IN ('CHINA') AND octets >= 1000 GROUP BY 1")
+def _(spark, d):
+    return S.series(flows(spark, d), None, RecordFilter(start=LO, end=HI, countries=("CHINA",), min_octets=1000), DAY)
+
+
+@query("timeseries_rollup", f"SELECT start_time // {DAY} * {DAY} AS bucket, {_SERIES} FROM flows WHERE {RANGE} GROUP BY 1")
+def _(spark, d):
+    return S.series(flows(spark, d), R.minute_rollup(flows(spark, d)), RecordFilter(start=LO, end=HI), DAY)
+
+
+@query("totals", f"SELECT CAST(coalesce(sum(flow_count),0) AS BIGINT) AS flows, CAST(coalesce(sum(octets),0) AS BIGINT) AS bytes, CAST(coalesce(sum(packets),0) AS BIGINT) AS packets FROM flows WHERE {RANGE}")
+def _(spark, d):
+    return S.totals(R.minute_rollup(flows(spark, d)), RecordFilter(start=LO, end=HI))
+
+
+@query("totals_empty", "SELECT 0::BIGINT AS flows, 0::BIGINT AS bytes, 0::BIGINT AS packets")
+def _(spark, d):
+    return S.totals(R.minute_rollup(flows(spark, d)), RecordFilter(start=1_000_000, end=2_000_000))
+
+
+def _count(by: str) -> None:
+    @query(f"event_counts_{by}", f"SELECT coalesce(CAST({by} AS VARCHAR), '') AS k, count(*) AS n FROM evs WHERE received_at BETWEEN {EV_LO} AND {EV_HI} GROUP BY 1 ORDER BY n DESC, k LIMIT 200")
+    def _(spark, d):
+        return S.event_counts(events(spark, d), RecordFilter(start=EV_LO, end=EV_HI), by)
+
+
+for _by in ("event_type", "action", "severity", "rule_name", "hostname", "src_ip", "dst_ip", "dst_port", "ids_signature"):
+    _count(_by)
+
+_GAPS = "SELECT o_orderkey AS gap_id, epoch_us(o_orderdate) AS start_ts, CASE WHEN o_orderkey % 10 <> 0 THEN epoch_us(o_orderdate) + (o_custkey % 72) * 3600000000 END AS end_ts FROM orders"
+
+
+def gap_table(spark: SparkSession, d: str) -> DataFrame:
+    start = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("gap_id"), start.alias("start_ts"), F.when(F.col("o_orderkey") % 10 != 0, start + F.pmod("o_custkey", F.lit(72)) * HOUR).alias("end_ts"))
+
+
+@query("gap_overlap", f"WITH g AS ({_GAPS}) SELECT * FROM g WHERE start_ts <= {LO + 30 * DAY} AND (end_ts IS NULL OR end_ts >= {LO}) ORDER BY start_ts DESC, gap_id DESC LIMIT 1000")
+def _(spark, d):
+    return S.gaps(gap_table(spark, d), LO, LO + 30 * DAY)
+
+
+@query("clients_traffic", f"""WITH top AS (SELECT src_ip AS k, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets FROM flows WHERE {RANGE} GROUP BY 1 ORDER BY bytes DESC, k LIMIT 1000),
+c AS (SELECT s_suppkey AS client_id, s_name AS label, '10.0.' || (s_suppkey // 256) || '.' || (s_suppkey % 256) AS address FROM supplier)
+SELECT address, client_id, label, coalesce(flows, 0) AS flows, coalesce(bytes, 0) AS bytes, coalesce(packets, 0) AS packets FROM c LEFT JOIN top ON k = address""")
+def _(spark, d):
+    clients = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("client_id"), F.col("s_name").alias("label"), F.concat_ws(".", F.lit("10.0"), F.expr("s_suppkey div 256").cast("string"), F.expr("s_suppkey % 256").cast("string")).alias("address"))
+    return S.clients_with_traffic(clients, flows(spark, d), RecordFilter(start=LO, end=HI))
+
+
+# Rollups -------------------------------------------------------------------------------------------------
+
+_MINUTE_CORE = """
+c AS (SELECT start_time // 60000000 * 60000000 AS bucket, origin, coalesce(CASE WHEN direction = 2 THEN dst_client_id ELSE src_client_id END, 0) AS client, direction, flow_count, packets, octets FROM flows),
+m AS (SELECT bucket, origin, 0::BIGINT AS client_id, direction, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(octets) AS BIGINT) AS bytes, 0::BIGINT AS denied, 0::BIGINT AS allowed FROM c GROUP BY ALL
+      UNION ALL SELECT bucket, origin, client, direction, CAST(sum(flow_count) AS BIGINT), CAST(sum(packets) AS BIGINT), CAST(sum(octets) AS BIGINT), 0, 0 FROM c WHERE client <> 0 GROUP BY ALL)"""
+
+
+@query("rollup_minute", f"WITH {_MINUTE_CORE.strip()} SELECT * FROM m")
+def _(spark, d):
+    return R.minute_rollup(flows(spark, d))
+
+
+@query("rollup_minute_denials", "SELECT received_at // 60000000 * 60000000 AS bucket, origin, 0::BIGINT AS client_id, 0 AS direction, 0::BIGINT AS flows, 0::BIGINT AS packets, 0::BIGINT AS bytes, count(*) FILTER (action IN (2, 3)) AS denied, count(*) FILTER (action = 1) AS allowed FROM evs WHERE event_type = 1 GROUP BY 1, 2")
+def _(spark, d):
+    return R.minute_rollup(flows(spark, d), events(spark, d)).where("direction = 0")
+
+
+@query("rollup_merge", f"WITH {_MINUTE_CORE.strip()} SELECT bucket, origin, client_id, direction, 2 * flows AS flows, 2 * packets AS packets, 2 * bytes AS bytes, denied, allowed FROM m")
+def _(spark, d):
+    m = R.minute_rollup(flows(spark, d))
+    return R.merge_minutes(m, m)
+
+
+_HOUR = f"""h AS (SELECT start_time // {HOUR} * {HOUR} AS bucket, origin, 0::BIGINT AS client_id, dst_ip, dst_port, protocol, direction, max(dst_country) AS dst_country, max(dst_asn) AS dst_asn, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(octets) AS BIGINT) AS bytes, 0::BIGINT AS denied
+FROM flows WHERE direction IN (1, 2) GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+
+
+def merged_hours(spark: SparkSession, d: str) -> DataFrame:
+    return R.merge_hours(R.hour_rollup(flows(spark, d)))
+
+
+@query("rollup_hour", f"WITH {_HOUR} SELECT * FROM h")
+def _(spark, d):
+    return merged_hours(spark, d).drop("seq")
+
+
+@query("rollup_day", f"WITH {_HOUR} SELECT bucket // {DAY} * {DAY} AS day, origin, client_id, dst_ip, dst_port, protocol, direction, coalesce(dst_country, '') AS dst_country, coalesce(dst_asn, 0)::BIGINT AS dst_asn, CAST(sum(flows) AS BIGINT) AS flows, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(denied) AS BIGINT) AS denied FROM h GROUP BY ALL")
+def _(spark, d):
+    return R.day_rollup(merged_hours(spark, d))
+
+
+@query(
+    "daily_top_countries",
+    f"""WITH s AS (SELECT start_time // {DAY} * {DAY} AS day, origin, dst_country AS k, CAST(sum(octets) AS BIGINT) AS value FROM flows WHERE direction IN (1, 2) AND dst_country IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY day, origin ORDER BY value DESC, k) AS rank FROM s) SELECT day, origin, rank, k, value FROM r WHERE rank <= 3""",
+)
+def _(spark, d):
+    return R.top_of_day(R.day_rollup(merged_hours(spark, d)), "dst_country", "bytes", 3)
+
+
+@query("daily_summary")
+def _(spark, d):
+    f = flows(spark, d)
+    return R.daily_summary(R.minute_rollup(f), R.day_rollup(merged_hours(spark, d)))
+
+
+@query("days_without_summary", f"SELECT DISTINCT start_time // {DAY} * {DAY} AS day, origin FROM flows WHERE direction IN (1, 2) AND (start_time // {DAY}) % 2 = 1 ORDER BY 1, 2 LIMIT 31")
+def _(spark, d):
+    days = R.day_rollup(merged_hours(spark, d))
+    return R.days_without_summary(days, days.where((F.col("day") / DAY).cast("bigint") % 2 == 0))
+
+
+@query(
+    "aggregate_5min",
+    """SELECT start_time // 300000000 * 300000000 AS start_time, src_ip, dst_ip, dst_port, protocol, direction, min(flow_id) AS flow_id, max(end_time) AS end_time, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(octets) AS BIGINT) AS octets, CAST(sum(flow_count) AS BIGINT) AS flow_count, bit_or(tcp_flags) AS tcp_flags, 0 AS src_port
+FROM flows GROUP BY start_time // 300000000 * 300000000, origin, exporter_addr, src_ip, dst_ip, src_v4, dst_v4, dst_port, protocol, src_vlan, dst_vlan, direction, src_client_id, dst_client_id, dst_country, dst_asn, sampling_interval""",
+)
+def _(spark, d):
+    # The service follows from ports and protocol, of which the source port is given up.
+    return R.aggregate_flows(flows(spark, d).drop("service")).select("start_time", "src_ip", "dst_ip", "dst_port", "protocol", "direction", "flow_id", "end_time", "packets", "octets", "flow_count", "tcp_flags", "src_port")
+
+
+# Enrichment ----------------------------------------------------------------------------------------------
+
+
+@query("direction_classify", "SELECT flow_id, true AS src_internal, (dst_v4 BETWEEN 3405774848 AND 3405840383) AS dst_internal, CASE WHEN dst_v4 BETWEEN 3405774848 AND 3405840383 THEN 3 ELSE 1 END AS direction FROM flows")
+def _(spark, d):
+    lo, hi = netaddr.v4_range("203.0.0.0/16")
+    assert (lo, hi) == (3405774848, 3405840383)
+    return E.classify_direction(flows(spark, d), ["203.0.0.0/16"]).select("flow_id", "src_internal", "dst_internal", "direction")
+
+
+@query("address_kinds", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN v BETWEEN 167772160 AND 184549375 OR v BETWEEN 3232235520 AND 3232301055 THEN 'private' ELSE 'global' END AS kind FROM (SELECT src_v4 AS v FROM flows UNION ALL SELECT dst_v4 FROM flows)) GROUP BY 1""")
+def _(spark, d):
+    f = flows(spark, d)
+    both = f.select(netaddr.v4_to_long(F.col("src_ip")).alias("v")).unionByName(f.select(netaddr.v4_to_long(F.col("dst_ip")).alias("v")))
+    return both.groupBy(netaddr.v4_kind(F.col("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+PREFIXES = [("203.0.0.0/8", "ZZ", 1, "All"), ("203.0.0.0/16", "DE", 3320, "North"), ("203.0.1.0/24", "US", 13335, "West"), ("203.0.1.128/25", "NL", 1103, "Low"), ("10.0.0.0/8", "IN", 64512, "Own"), ("203.0.2.5/32", "FR", 5511, "One")]
+_LPM = ", ".join(f"({netaddr.v4_range(p)[0]}, {netaddr.v4_range(p)[1]}, {int(p.split('/')[1])}, '{c}', {a}, '{o}')" for p, c, a, o in PREFIXES)
+
+
+@query(
+    "lpm_geo",
+    f"""WITH g AS (SELECT * FROM (VALUES {_LPM}) t(lo, hi, bits, country, asn, org)), a AS (SELECT DISTINCT dst_v4 FROM flows),
+b AS (SELECT dst_v4, country, asn, org, row_number() OVER (PARTITION BY dst_v4 ORDER BY bits DESC) AS r FROM a LEFT JOIN g ON dst_v4 BETWEEN lo AND hi) SELECT dst_v4, country, asn::BIGINT AS asn, org FROM b WHERE r = 1""",
+)
+def _(spark, d):
+    return E.longest_prefix(flows(spark, d).select("dst_v4").distinct(), "dst_v4", E.prefix_table(spark, PREFIXES))
+
+
+_HISTORY = f"SELECT s_suppkey AS src_client_id, {LO} + v * {90 * DAY} + (s_suppkey % 7) * {DAY} AS valid_from, CASE WHEN v < 5 THEN {LO} + (v + 1) * {90 * DAY} + (s_suppkey % 5) * {DAY} END AS valid_to, s_suppkey * 10 + v AS owner FROM supplier, (SELECT unnest(range(6)) AS v)"
+
+
+def history_table(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("v"))
+    return s.select(
+        F.col("s_suppkey").alias("src_client_id"), (F.lit(LO) + F.col("v") * (90 * DAY) + F.pmod("s_suppkey", F.lit(7)) * DAY).cast("bigint").alias("valid_from"),
+        F.when(F.col("v") < 5, F.lit(LO) + (F.col("v") + 1) * (90 * DAY) + F.pmod("s_suppkey", F.lit(5)) * DAY).cast("bigint").alias("valid_to"), (F.col("s_suppkey") * 10 + F.col("v")).cast("bigint").alias("owner"),
+    )
+
+
+_ASOF = f"""WITH h AS ({_HISTORY}), b AS (SELECT flow_id, start_time, valid_to, owner, row_number() OVER (PARTITION BY flow_id ORDER BY valid_from DESC) AS r FROM flows LEFT JOIN h ON h.src_client_id = flows.src_client_id AND valid_from <= start_time)
+SELECT flow_id, CASE WHEN valid_to IS NULL OR valid_to > start_time THEN owner END AS owner FROM b WHERE r = 1"""
+
+
+@query("asof_identity", _ASOF)
+def _(spark, d):
+    return E.as_of(flows(spark, d).select("flow_id", "src_client_id", "start_time"), history_table(spark, d), "src_client_id", "start_time", value="owner").select("flow_id", "owner")
+
+
+@query("asof_identity_bucketed", f"""WITH h AS ({_HISTORY}), b AS (SELECT flow_id, owner, row_number() OVER (PARTITION BY flow_id ORDER BY valid_from DESC) AS r FROM flows LEFT JOIN h ON h.src_client_id = flows.src_client_id AND valid_from <= start_time AND (valid_to IS NULL OR valid_to > start_time))
+SELECT flow_id, owner FROM b WHERE r = 1""")
+def _(spark, d):
+    return E.as_of_bucketed(flows(spark, d).select("flow_id", "src_client_id", "start_time"), history_table(spark, d), "src_client_id", "start_time", 30 * DAY, value="owner").select("flow_id", "owner")
+
+
+@query("exporter_dimension", "SELECT exporter_addr AS address, protocol AS domain, 'flow' AS kind, count(*) AS messages, min(start_time) AS first_seen, max(start_time) AS last_seen, ('0x' || substr(md5(concat_ws('|', exporter_addr, protocol, 'flow')), 1, 15))::BIGINT AS exporter_id FROM flows GROUP BY exporter_addr, protocol")
+def _(spark, d):
+    return E.exporters(flows(spark, d).select(F.col("exporter_addr").alias("address"), F.col("protocol").alias("domain"), F.lit("flow").alias("kind"), F.col("start_time").alias("received_at")))
+
+
+@query("clients_view", """WITH a AS (SELECT l_suppkey AS client_id, string_agg(DISTINCT 'a' || (l_partkey % 4), ',' ORDER BY 'a' || (l_partkey % 4)) AS addresses FROM lineitem WHERE l_partkey % 4 < 3 GROUP BY 1),
+t AS (SELECT s_suppkey AS client_id, n_name AS tags FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT s_suppkey AS client_id, s_name AS label, CAST(floor(s_acctbal) AS BIGINT) AS last_seen, addresses, tags FROM supplier LEFT JOIN a ON a.client_id = s_suppkey LEFT JOIN t ON t.client_id = s_suppkey""")
+def _(spark, d):
+    sup = spark.read.parquet(f"{d}/supplier.parquet")
+    clients = sup.select(F.col("s_suppkey").alias("client_id"), F.col("s_name").alias("label"), F.floor("s_acctbal").cast("bigint").alias("last_seen"))
+    addresses = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("client_id"), F.concat(F.lit("a"), F.pmod("l_partkey", F.lit(4)).cast("string")).alias("address"), F.when(F.col("l_partkey") % 4 == 3, F.lit(1)).alias("valid_to"))
+    tags = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("tag_id"), F.col("n_name").alias("name"))
+    return E.clients_view(clients, addresses, sup.select(F.col("s_suppkey").alias("client_id"), F.col("s_nationkey").alias("tag_id")), tags)
+
+
+@query("identity_hysteresis")
+def _(spark, d):
+    e = events(spark, d)
+    seen = e.select(F.col("src_ip").alias("ip"), F.concat(F.lit("02:00:00:00:00:0"), F.pmod("dst_port", F.lit(3)).cast("string")).alias("mac"), F.col("hostname"), F.col("received_at").alias("at"), F.when(F.col("event_type") == 3, "dhcp").otherwise("arp").alias("source"))
+    return E.resolve_identities(seen)
+
+
+# Detection -----------------------------------------------------------------------------------------------
+
+_FINDING = ["dedupe_key", "at", "severity", "client_id", "subject"]
+
+
+def _novelty(rule: str, column: str, kind: str) -> None:
+    least, severity = D.NOVELTIES[rule][1:]
+    key = column if column != "service_key" else "CASE protocol WHEN 6 THEN 'tcp' ELSE 'udp' END || '/' || dst_port"
+
+    @query(
+        f"first_seen_{kind}",
+        f"""WITH n AS (SELECT src_client_id AS c, CAST({key} AS VARCHAR) AS k, end_time, flow_id, octets, start_time FROM flows WHERE direction = 1 AND {key} IS NOT NULL),
+s AS (SELECT src_client_id AS c, min(start_time) AS s FROM flows WHERE direction = 1 GROUP BY 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY c, k ORDER BY end_time, flow_id) AS r FROM n)
+SELECT '{rule}|' || f.c || '|' || k AS dedupe_key, end_time AS at, {severity} AS severity, f.c AS client_id, k AS subject FROM f JOIN s ON s.c = f.c WHERE r = 1 AND end_time - s.s >= {3 * DAY} AND octets >= {least}""",
+    )
+    def _(spark, d):
+        return D.first_seen(flows(spark, d), rule).select(*_FINDING)
+
+
+for _rule, _column, _kind in (("first-seen-destination", "dst_ip", "destination"), ("first-seen-country", "dst_country", "country"), ("first-seen-asn", "dst_asn", "asn"), ("first-seen-service", "service_key", "service")):
+    _novelty(_rule, _column, _kind)
+
+
+@query(
+    "resolver_running_count",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY src_client_id, src_ip, dst_ip ORDER BY start_time, flow_id) AS nth FROM flows WHERE dst_port IN (53, 853) AND direction <> 2 AND dst_ip NOT IN ('203.0.0.53'))
+SELECT 'dns-unauthorized-resolver|' || src_ip || '|' || dst_ip AS dedupe_key, end_time AS at, 2 AS severity, src_client_id AS client_id, dst_ip AS subject FROM r WHERE nth >= 2""",
+)
+def _(spark, d):
+    return D.unauthorized_resolver(flows(spark, d), ["203.0.0.53"], min_flows=2).select(*_FINDING)
+
+
+_WIDE = 200 * DAY
+
+
+@query(
+    "distinct_sliding",
+    f"""WITH k AS (SELECT src_ip, protocol || '/' || dst_port AS service_key, end_time, flow_id, dst_ip FROM flows WHERE packets <= 4),
+c AS (SELECT a.src_ip, a.service_key, a.end_time, count(DISTINCT b.dst_ip) AS n FROM k a JOIN k b ON a.src_ip = b.src_ip AND a.service_key = b.service_key AND b.end_time BETWEEN a.end_time - {_WIDE} AND a.end_time GROUP BY a.src_ip, a.service_key, a.end_time)
+SELECT 'port-scan-horizontal|' || src_ip || '|' || service_key AS dedupe_key, min(end_time) AS at FROM c WHERE n >= 2 GROUP BY 1""",
+)
+def _(spark, d):
+    """First alert of each key: alerts after it depend on the cool-down, which SQL cannot fold."""
+    hits = D.port_scan(flows(spark, d), window=_WIDE, threshold=2)
+    return hits.groupBy("dedupe_key").agg(F.min("at").alias("at"))
+
+
+@query("port_scan_vertical")
+def _(spark, d):
+    return D.port_scan(flows(spark, d), horizontal=False, window=_WIDE, threshold=2).select(*_FINDING)
+
+
+@query(
+    "denials_sliding",
+    f"""WITH k AS (SELECT src_ip, dst_ip, dst_port, effective_time AS t, event_id FROM evs WHERE event_type = 1 AND action IN (1)),
+c AS (SELECT src_ip, t, count(*) OVER (PARTITION BY src_ip ORDER BY t RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW) AS n FROM k) SELECT src_ip, min(t) AS at FROM c WHERE n >= 4 GROUP BY 1""",
+)
+def _(spark, d):
+    rows = events(spark, d).where("event_type = 1 and action = 1").withColumn("t", F.col("effective_time"))
+    return D.sliding_distinct(rows, ["src_ip"], "t", "event_id", "event_id", window=2 * DAY, threshold=4).groupBy("src_ip").agg(F.min("at").alias("at"))
+
+
+@query("large_transfer")
+def _(spark, d):
+    return D.large_transfer(flows(spark, d), window=30 * DAY, threshold=500_000).select(*_FINDING)
+
+
+@query(
+    "volume_baseline",
+    f"""WITH h AS (SELECT src_client_id AS client_id, start_time // {HOUR} * {HOUR} AS hour, sum(octets) AS b FROM flows WHERE direction = 1 AND src_client_id <> 0 GROUP BY 1, 2), l AS (SELECT client_id, list_sort(list(b::BIGINT)) AS v FROM h GROUP BY 1)
+SELECT client_id, len(v) AS n, v[len(v) // 2 + 1] AS median, v[least(len(v) - 1, CAST(floor(len(v) * 0.95) AS BIGINT)) + 1] AS p95 FROM l""",
+)
+def _(spark, d):
+    hist = D.hourly_history(R.minute_rollup(flows(spark, d)))
+    median, p95 = D.order_statistics(F.col("v"))
+    # Hours of one client: bounded by the time that is kept.
+    return hist.groupBy("client_id").agg(F.collect_list("bytes").alias("v")).select("client_id", F.size("v").cast("bigint").alias("n"), median.alias("median"), p95.alias("p95"))
+
+
+@query("unusual_volume")
+def _(spark, d):
+    f = flows(spark, d)
+    return D.unusual_volume(f, D.hourly_history(R.minute_rollup(f)), days=400, min_bytes=100_000, factor=2, min_hours=3).select(*_FINDING)
+
+
+@query("hour_histogram", "WITH c AS (SELECT DISTINCT src_client_id AS client_id FROM flows WHERE direction = 1 AND src_client_id <> 0), s AS (SELECT src_client_id AS client_id, (start_time // 3600000000) % 24 AS h, sum(flow_count) AS n FROM flows WHERE direction = 1 GROUP BY 1, 2) SELECT c.client_id, g.h AS hour_of_day, CAST(coalesce(n, 0) AS BIGINT) AS flows FROM c CROSS JOIN (SELECT unnest(range(24)) AS h) g LEFT JOIN s ON s.client_id = c.client_id AND s.h = g.h")
+def _(spark, d):
+    return D.hour_histogram(D.hourly_history(R.minute_rollup(flows(spark, d))))
+
+
+@query("unusual_time")
+def _(spark, d):
+    f = flows(spark, d)
+    return D.unusual_time(f, D.hourly_history(R.minute_rollup(f)), days=1000, min_flows=2, min_history=10, share=0.05).select(*_FINDING)
+
+
+@query(
+    "beacon_gaps",
+    """WITH g AS (SELECT src_client_id, dst_port, start_time - lag(start_time) OVER (PARTITION BY src_client_id, dst_port ORDER BY start_time, flow_id) AS gap FROM flows WHERE direction = 1)
+SELECT src_client_id, dst_port, count(gap) AS n, CAST(sum(gap) AS BIGINT) AS total, CAST(max(gap) AS BIGINT) AS longest FROM g GROUP BY 1, 2 HAVING count(gap) >= 3""",
+)
+def _(spark, d):
+    gap = F.col("start_time") - F.lag("start_time").over(Window.partitionBy("src_client_id", "dst_port").orderBy("start_time", "flow_id"))
+    rows = flows(spark, d).where("direction = 1").select("src_client_id", "dst_port", gap.alias("gap"))
+    return rows.groupBy("src_client_id", "dst_port").agg(F.count("gap").alias("n"), F.sum("gap").alias("total"), F.max("gap").alias("longest")).where("n >= 3")
+
+
+@query("beaconing")
+def _(spark, d):
+    return D.beaconing(flows(spark, d), window=3650 * DAY, min_count=3, max_cv=0.5, max_octets=10**9).select(*_FINDING)
+
+
+@query(
+    "vlan_pairs",
+    """WITH r AS (SELECT *, 'vlan' || src_vlan || '>vlan' || dst_vlan AS pair FROM flows WHERE direction = 3 AND octets >= 1000 AND src_vlan <> dst_vlan),
+e AS (SELECT * FROM r WHERE pair <> 'vlan10>vlan11'), f AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY end_time, flow_id) AS n FROM e)
+SELECT 'unexpected-vlan-communication|' || src_ip || '|' || dst_ip || '|' || dst_port AS dedupe_key, end_time AS at, 2 AS severity, src_client_id AS client_id, pair AS subject FROM f WHERE n = 1""",
+)
+def _(spark, d):
+    expected = spark.createDataFrame([("*", "network-pair", "vlan10>vlan11")], "scope_value string, kind string, value string")
+    return D.vlan_crossing(flows(spark, d), expectations=expected).select(*_FINDING)
+
+
+_IDS_FLOWS = f"SELECT event_id AS flow_id, dst_ip AS src_ip, src_ip AS dst_ip, received_at AS end_time FROM evs WHERE event_type = 6"
+
+
+@query("interval_join", f"WITH f AS ({_IDS_FLOWS}) SELECT e.event_id, f.flow_id FROM evs e JOIN f ON e.src_ip = f.dst_ip AND e.dst_ip = f.src_ip AND abs(f.end_time - e.effective_time) <= {DAY} WHERE e.event_type = 2")
+def _(spark, d):
+    e = events(spark, d)
+    f = e.where("event_type = 6").select(F.col("event_id").alias("flow_id"), F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"), F.col("received_at").alias("end_time"))
+    return D.interval_join(e.where("event_type = 2"), f, DAY).select("event_id", "flow_id")
+
+
+@query("ids_events", f"""WITH h AS (SELECT * FROM evs WHERE event_type = 2 AND ids_severity <= 3) SELECT 'ids-event|' || ids_signature || '|' || src_ip || '|' || dst_ip || '|' || CAST(floor(effective_time / 600000000) AS BIGINT) AS dedupe_key, effective_time AS at, CASE WHEN ids_severity <= 1 THEN 4 WHEN ids_severity = 2 THEN 3 ELSE 2 END AS severity, src_client_id AS client_id, ids_signature AS subject FROM h""")
+def _(spark, d):
+    return D.ids_events(events(spark, d), flows(spark, d)).select(*_FINDING)
+
+
+@query("collection_failure", """WITH h AS (SELECT 'host-' || (user_id % 5) AS source, event_id % 50 AS fresh FROM events) SELECT 'collection-failure|' || source || '|drops' AS dedupe_key, count(*) AS n, CAST(sum(fresh) AS BIGINT) AS drops FROM h WHERE fresh >= 45 GROUP BY 1""")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("host-"), F.pmod("user_id", F.lit(5)).cast("string")).alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    # Distinct times: the event id breaks ties below a microsecond.
+    health = e.select("source", (F.col("at") * 1000 + F.pmod("event_id", F.lit(1000))).alias("at"), F.sum(F.pmod("event_id", F.lit(50))).over(Window.partitionBy("source").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("drops"), "event_id")
+    health = health.select("source", F.struct("at", "event_id").alias("at"), "drops").select("source", F.col("at.at").alias("at"), "drops").withColumns({"listener_failed": F.lit(False), "paused": F.lit(False), "silent": F.lit(False)})
+    hits = D.collection_failure(health, min_drops=45)
+    return hits.groupBy("dedupe_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("evidence.drops").cast("bigint")).alias("drops"))
+
+
+@query("anti_join_suppress", f"""WITH h AS (SELECT *, (effective_time // {HOUR}) % 24 AS hr FROM evs WHERE event_type = 2 AND ids_severity <= 3) SELECT event_id, effective_time AS at, src_client_id AS client_id FROM h WHERE NOT (src_client_id = 3) AND NOT (hr >= 22 OR hr < 6) AND NOT (ids_signature = 'ET SCAN probe 7' AND effective_time < {EV_HI})""")
+def _(spark, d):
+    rules = spark.createDataFrame([("ids-event", 3, None, None, None, None), (None, None, None, 22, 6, None), (None, None, "ET SCAN probe 7", None, None, EV_HI), ("other", None, None, None, None, None)], "rule string, client_id bigint, subject string, hour_from int, hour_to int, expires_at bigint")
+    return A.suppress(D.ids_events(events(spark, d), flows(spark, d)), rules).select(F.col("event_ids")[0].alias("event_id"), "at", "client_id")
+
+
+@query("expectation_anti", """SELECT src_client_id, dst_ip, count(*) AS n FROM flows WHERE direction = 1 AND NOT (dst_ip = '203.0.0.9') AND NOT (src_client_id = 4 AND dst_ip = '203.0.0.10') GROUP BY 1, 2""")
+def _(spark, d):
+    known = spark.createDataFrame([("*", "destination", "203.0.0.9"), ("4", "destination", "203.0.0.10"), ("*", "resolver", "203.0.0.11")], "scope_value string, kind string, value string")
+    return D.unexpected(flows(spark, d).where("direction = 1"), known, "destination", F.col("dst_ip")).groupBy("src_client_id", "dst_ip").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("alert_dedupe", """WITH h AS (SELECT 'ids-event|' || ids_signature || '|' || src_ip || '|' || dst_ip || '|' || CAST(floor(effective_time / 600000000) AS BIGINT) AS dedupe_key, effective_time AS tm FROM evs WHERE event_type = 2 AND ids_severity <= 3)
+SELECT dedupe_key, count(*) AS occurrences, min(tm) AS first_occurrence, max(tm) AS last_occurrence, 'open' AS state FROM h GROUP BY 1""")
+def _(spark, d):
+    return A.deduplicate(D.ids_events(events(spark, d), flows(spark, d))).select("dedupe_key", "occurrences", "first_occurrence", "last_occurrence", "state")
+
+
+@query("alert_counts", """SELECT CASE WHEN ids_severity = 1 THEN 'resolved' ELSE 'open' END AS state, count(DISTINCT ids_signature || src_ip || dst_ip || CAST(floor(effective_time / 600000000) AS BIGINT)) AS count FROM evs WHERE event_type = 2 AND ids_severity <= 3 GROUP BY 1""")
+def _(spark, d):
+    alerts = A.deduplicate(D.ids_events(events(spark, d), flows(spark, d)))
+    return A.counts_by_state(alerts.withColumn("state", F.when(F.col("severity") == 4, "resolved").otherwise(F.col("state"))))
+
+
+@query("sequence_gaps", """WITH s AS (SELECT exporter_addr, start_time, flow_id, packets, lag(start_time // 1000000 + packets) OVER (PARTITION BY exporter_addr ORDER BY start_time, flow_id) AS expected FROM flows)
+SELECT exporter_addr, count(*) FILTER (start_time // 1000000 > expected) AS gaps, CAST(sum(CASE WHEN start_time // 1000000 > expected THEN start_time // 1000000 - expected ELSE 0 END) AS BIGINT) AS missing FROM s GROUP BY 1""")
+def _(spark, d):
+    from tidewire.operators.ipfix import sequence_gaps
+
+    f = flows(spark, d).select("exporter_addr", "start_time", "flow_id", F.expr("start_time div 1000000").alias("seq"), F.col("packets").alias("records"))
+    return sequence_gaps(f, ["exporter_addr"], ["start_time", "flow_id"]).groupBy("exporter_addr").agg(F.count_if(F.col("missing") > 0).alias("gaps"), F.sum(F.greatest("missing", F.lit(0))).alias("missing"))
+
+
+# Correlation, export, storage ----------------------------------------------------------------------------
+
+
+@query("timeline_union", f"""WITH f AS (SELECT start_time AS time, 'flow' AS kind, CAST(flow_id AS VARCHAR) AS id FROM flows WHERE start_time BETWEEN {LO} AND {HI} AND (src_client_id = 7 OR dst_client_id = 7) ORDER BY start_time, flow_id LIMIT 2000),
+e AS (SELECT effective_time AS time, CASE event_type WHEN 1 THEN 'firewall' WHEN 2 THEN 'ids' WHEN 3 THEN 'auth' ELSE 'system' END AS kind, CAST(event_id AS VARCHAR) AS id FROM evs WHERE received_at BETWEEN {LO} AND {HI} AND src_client_id = 7 ORDER BY received_at, event_id LIMIT 2000)
+SELECT * FROM f UNION ALL SELECT * FROM e""")
+def _(spark, d):
+    from tidewire.operators.correlate import Anchor, timeline
+
+    return timeline(Anchor(LO, HI, client_id=7), flows(spark, d), events(spark, d))[0].select("time", "kind", "id")
+
+
+@query("timeline_events", f"""SELECT effective_time AS time, CASE event_type WHEN 1 THEN 'firewall' WHEN 2 THEN 'ids' WHEN 3 THEN 'auth' ELSE 'system' END AS kind, CAST(event_id AS VARCHAR) AS id, (CASE action WHEN 1 THEN 'allow' ELSE 'deny' END) || ' · ' || rule_name AS title FROM evs WHERE src_client_id = 7 AND received_at BETWEEN {EV_LO} AND {EV_HI} ORDER BY received_at, event_id LIMIT 2000""")
+def _(spark, d):
+    from tidewire.operators.correlate import Anchor, timeline
+
+    return timeline(Anchor(EV_LO, EV_HI, client_id=7), flows(spark, d), events(spark, d))[0].where("kind <> 'flow'").select("time", "kind", "id", "title")
+
+
+@query("redact_tokens", "SELECT flow_id AS id, 'ip-' || substr(sha256('s3|' || src_ip), 1, 12) AS source, dst_ip AS destination FROM flows")
+def _(spark, d):
+    from tidewire.operators.export import flatten_flows, sharing
+
+    return flatten_flows(flows(spark, d), sharing("s3")).select("id", "source", "destination")
+
+
+@query("redact_text", r"""SELECT doc_id, len(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\b'))::INTEGER AS hidden FROM documents WHERE regexp_matches(text, '(^|[^0-9A-Fa-f.:])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})($|[^0-9A-Fa-f.:])') AND NOT regexp_matches(text, '[0-9]\.[^ 0-9]|[0-9]\.$|[0-9]\. ')""")
+def _(spark, d):
+    from tidewire.operators.export import redact_text, sharing
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").where(~F.col("text").rlike(r"[0-9]\.[^ 0-9]|[0-9]\.$|[0-9]\. "))
+    hidden = F.regexp_count(redact_text(F.col("text"), sharing("s3")), F.lit(r"ip-[0-9a-f]{12}"))
+    return docs.select("doc_id", hidden.alias("hidden")).where("hidden > 0")
+
+
+@query("export_csv_lines", """SELECT doc_id || ',' || CASE WHEN regexp_matches(text, '[,"\n\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || ',' || lang AS line FROM documents""")
+def _(spark, d):
+    from tidewire.operators.export import csv_line
+
+    return csv_line(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
+
+
+@query("segment_manifest", f"SELECT start_time // {30 * DAY} AS segment, count(*) AS n_rows, min(start_time) AS start_ts, max(end_time) AS end_ts, min(dst_port) AS min_dst_port, max(dst_port) AS max_dst_port, min(src_v4) AS min_src_v4, max(src_v4) AS max_src_v4 FROM flows GROUP BY 1")
+def _(spark, d):
+    f = flows(spark, d).withColumn("segment", F.expr(f"start_time div {30 * DAY}"))
+    return segment_manifest(f, "segment", "start_time", "end_time", ["dst_port", "src_v4"])
+
+
+@query("segment_prune", f"WITH m AS (SELECT start_time // {30 * DAY} AS segment, min(start_time) AS a, max(end_time) AS b, min(dst_port) AS p, max(dst_port) AS q FROM flows GROUP BY 1) SELECT segment FROM m WHERE b >= {LO} AND a <= {HI} AND p <= 443 AND q >= 443")
+def _(spark, d):
+    from tidewire.sources.storage import candidate_segments
+
+    f = flows(spark, d).withColumn("segment", F.expr(f"start_time div {30 * DAY}"))
+    return candidate_segments(segment_manifest(f, "segment", "start_time", "end_time", ["dst_port", "src_v4"]), RecordFilter(start=LO, end=HI, ports=(443,))).select("segment")
+
+
+@query("retention_plan_rows", f"""WITH m AS (SELECT start_time // {30 * DAY} AS segment, min(start_time) AS a, CAST(sum(octets) AS BIGINT) AS bytes FROM flows GROUP BY 1),
+c AS (SELECT *, CAST(sum(bytes) OVER () AS BIGINT) AS total, CAST(sum(bytes) OVER (ORDER BY a, segment ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM m)
+SELECT segment, bytes FROM c WHERE total > 1000000000 AND total - (upto - bytes) > 970000000""")
+def _(spark, d):
+    m = flows(spark, d).groupBy(F.expr(f"start_time div {30 * DAY}").alias("segment")).agg(F.min("start_time").alias("start_ts"), F.sum("octets").alias("bytes")).withColumn("kind", F.lit("flows"))
+    return retention_plan(m, {"flows": 1_000_000_000}).select("segment", "bytes")
+
+
+@query("manifest_verify", """WITH m AS (SELECT o_orderkey AS path, o_custkey AS n FROM orders WHERE o_orderkey % 7 <> 0), f AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_custkey END AS n FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'orphan' WHEN m.n <> f.n THEN 'corrupt' ELSE 'ok' END AS status, count(*) AS n FROM m FULL JOIN f ON m.path = f.path GROUP BY 1""")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    m = o.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("n_rows"))
+    f = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 11 == 0, -1).otherwise(F.col("o_custkey")).alias("n_rows"))
+    return verify_manifest(m, f).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("storage_usage", f"WITH m AS (SELECT CASE WHEN direction = 3 THEN 'lan' ELSE 'wan' END AS kind, start_time // {30 * DAY} AS segment, min(start_time) AS a, max(end_time) AS b, CAST(sum(octets) AS BIGINT) AS bytes FROM flows GROUP BY 1, 2) SELECT kind, count(*) AS segments, CAST(sum(bytes) AS BIGINT) AS bytes, min(a) AS oldest, max(b) AS newest FROM m GROUP BY 1")
+def _(spark, d):
+    from tidewire.sources.storage import usage
+
+    m = flows(spark, d).groupBy(F.when(F.col("direction") == 3, "lan").otherwise("wan").alias("kind"), F.expr(f"start_time div {30 * DAY}").alias("segment")).agg(F.min("start_time").alias("start_ts"), F.max("end_time").alias("end_ts"), F.sum("octets").alias("bytes"))
+    return usage(m)
+
+
+@query("exporter_stats", "SELECT src_ip AS source_ip, count(*) AS messages, min(received_at) AS first_seen, max(received_at) AS last_seen FROM evs GROUP BY 1")
+def _(spark, d):
+    from tidewire.operators.health import source_stats
+
+    return source_stats(events(spark, d).withColumn("source_ip", F.col("src_ip")))
+
+
+@query("exporter_silence", f"SELECT src_ip AS source_ip, max(received_at) AS last_seen FROM evs GROUP BY 1 HAVING {EV_HI + 15 * DAY} - max(received_at) > {10 * HOUR}")
+def _(spark, d):
+    from tidewire.operators.health import silent_sources
+
+    return silent_sources(events(spark, d).withColumn("source_ip", F.col("src_ip")), EV_HI + 15 * DAY, 10 * HOUR)
+
+
+@query("counter_rates", """WITH c AS (SELECT user_id % 5 AS source, epoch_us(ts) AS tm, event_id, sum(event_id % 9) OVER (PARTITION BY user_id % 5 ORDER BY epoch_us(ts), event_id ROWS UNBOUNDED PRECEDING) AS n FROM events),
+r AS (SELECT source, tm, event_id, n - lag(n, 10) OVER (PARTITION BY source ORDER BY tm, event_id) AS dn, tm - lag(tm, 10) OVER (PARTITION BY source ORDER BY tm, event_id) AS dt FROM c) SELECT source, event_id, CAST(dn AS BIGINT) AS dn, dt FROM r WHERE dn IS NOT NULL""")
+def _(spark, d):
+    from tidewire.operators.health import counter_deltas
+
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.pmod("user_id", F.lit(5)).alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    c = e.withColumn("n", F.sum(F.pmod("event_id", F.lit(9))).over(Window.partitionBy("source").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return counter_deltas(c, "source", ["at", "event_id"], "n", 10).select("source", "event_id", "dn", "dt")
+
+
+@query("syslog_decode")
+def _(spark, d):
+    """Events rendered as syslog lines and parsed back."""
+    from tidewire.operators.syslog import parse
+
+    e = events(spark, d)
+    stamp = F.date_format(F.timestamp_micros("received_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.concat(F.lit("<"), (F.lit(8) + F.col("severity")).cast("string"), F.lit(">1 "), stamp, F.lit(" "), F.col("hostname"), F.lit(" app "), F.col("event_id").cast("string"), F.lit(" - - "), F.col("message"))
+    return parse(e.select("event_id", "received_at", F.col("src_ip").alias("source_ip"), line.alias("raw"))).select("event_id", "facility", "severity", "hostname", "app_name", "proc_id", "event_time", "message", "parse_status")
+
+
+@query("ipfix_decode")
+def _(spark, d):
+    """Flows encoded as IPFIX datagrams and decoded again: totals by exporter."""
+    from tidewire.operators.ipfix import decode_batch, encode_flows
+
+    f = flows(spark, d).where("direction = 1")
+    return decode_batch(encode_flows(f)).where("kind = 'flow'").groupBy("exporter").agg(F.count(F.lit(1)).alias("flows"), F.sum("octets").alias("bytes"))
+
+
+ORACLE_SQL["syslog_decode"] = "WITH " + EVENTS_SQL + " SELECT event_id, 1::SMALLINT AS facility, severity, hostname, 'app' AS app_name, CAST(event_id AS VARCHAR) AS proc_id, received_at // 1000000 * 1000000 AS event_time, message, 1::SMALLINT AS parse_status FROM evs"
+ORACLE_SQL["ipfix_decode"] = "WITH " + FLOWS_SQL + " SELECT exporter_addr AS exporter, count(*) AS flows, CAST(sum(octets) AS BIGINT) AS bytes FROM flows WHERE direction = 1 GROUP BY 1"

@@ -1,0 +1 @@
+"""Structured Streaming: sources, rollups, stateful decoding and rules, sinks."""
