@@ -20,31 +20,17 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm._base import ascii_lower, fresh_dir, table
+from tidewire.llm._base import ascii_lower, fresh_dir, settings, table
 
 #: A key with at least one in HOT_SHARE of all rows is hot, and its rows are verified by salts.
 HOT_SHARE, SALTS = 1000, 64
 RUN_SCHEMA = "key binary, keep_id bigint, group_size bigint"
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 class DigestIndex:
     """Sorted runs of (key, keep_id, group_size) in levels under one folder of the shared store."""
 
@@ -123,7 +109,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = hits.select("key", F.explode(F.when(F.col("group_size") * HOT_SHARE >= total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     body = hashed.select("id", "body", "digest", (F.substring("digest", 1, key_bytes) if key_bytes < 32 else F.col("digest")).alias("key"))
     dealt = body.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
-    with _settings(spark, spark__sql__optimizer__runtime__bloomFilter__enabled="true", spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="1g"):
+    with settings(spark, spark__sql__optimizer__runtime__bloomFilter__enabled="true", spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="1g"):
         parts = dealt.join(salted, ["key", "salt"], "left_semi").groupBy("key", "salt").agg(F.min("body").alias("least"), F.max("body").alias("most"))
         spans = parts.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most"))
         mixed = table(spans.where(F.col("least") != F.col("most")).select("key"), "mixed-keys")

@@ -10,11 +10,12 @@ similarity s share s/threshold children of a common node on average, so that pai
 survive to any depth with a fair chance while others die out; independent trees lift the recall to the target.
 Paths need no other document, so whole levels are computed at once and only (node, id) rows are shuffled.
 
-Nodes of at most ``small`` documents are compared exhaustively. A larger node compares everyone with one pivot,
-and if it then still holds documents of different components it branches on. A node whose documents are
-connected already has nothing left to find and is dropped: a group of near copies, however large, is settled by
-its pivots and not by its pairs. Mixed nodes that are left at ``max_depth`` are compared in blocks, minority
-components against all. Candidates pass a test on 64 bytes of the signature with a slack of over four standard
+Nodes of at most ``small`` documents are compared exhaustively. A larger node compares everyone with one pivot;
+if it then still holds documents of different components, it is compared exhaustively where the pairs that could
+join them are few (rows outside the largest component against all), and branches on where they are not. A node
+whose documents are connected already has nothing left to find and is dropped: a group of near copies, however
+large, is settled by its pivots and not by its pairs. Nodes left at ``max_depth`` are compared likewise whatever
+their size. No pair is tested twice. Candidates pass a test on 64 bytes of the signature with a slack of over four standard
 deviations, and are confirmed on the full sets of hashed shingles: first the pairs with each document's smallest
 candidate, then those that still join different components. Nothing is capped.
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm._base import table
+from tidewire.llm._base import settings, table
 from tidewire.llm._text import lower, mix64, span_hashes, text_chunks, words
 from tidewire.llm.graph import components
 
@@ -43,9 +44,14 @@ COORDINATES = 128
 SKETCH = 64
 SLACK = 0.24
 SMALL = 16
+#: A larger node is compared exhaustively too once so few of its pairs join different components.
+FEW_PAIRS = 4000
+BATCH_ROWS = 256
+#: Documents along a side of a verification cell, and pairs of one.
+GRID_DOCS, GRID_PAIRS = 1000, 20_000
 FIRST_DEPTH = 4
-STEP_DEPTH = 3
-MAX_DEPTH = 25
+STEP_DEPTH = 6
+MAX_DEPTH = 28
 
 _MULT = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -173,20 +179,36 @@ def _sets(k: int):
     return run
 
 
+def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, in whole numbers."""
+    if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+        return False
+    small, large = (u, v) if len(u) <= len(v) else (v, u)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
 def _confirm(threshold: float):
     percent = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("xa"), batch.column("xb"), strict=True)):
-                u, v = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
-                    continue
-                both = len(u) + len(v) - len(np.union1d(u, v))
-                keep[i] = 100 * both >= percent * (len(u) + len(v) - both)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+            pairs = zip(batch.column("xa"), batch.column("xb"), strict=True)
+            keep = pa.array([_linked(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), percent) for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return run
+
+
+def _confirm_cell(threshold: float):
+    percent = round(threshold * 100)
+
+    def run(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        items = {i.as_py(): np.frombuffer(x.as_buffer(), dtype=np.uint64) for i, x in zip(sets.column("id"), sets.column("items"), strict=True)}
+        keep = pa.array([_linked(items[a], items[b], percent) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)], pa.bool_())
+        return pairs.select(["a", "b"]).filter(keep)
 
     return run
 
@@ -197,7 +219,8 @@ class _Join:
     def __init__(self, docs: DataFrame, reps: DataFrame, k: int, threshold: float):
         self.docs, self.reps, self.k, self.threshold = docs, reps, k, threshold
         self.sketches = reps.select("id", "sk")
-        self.links: DataFrame | None = None
+        self.tested: DataFrame | None = None
+        self.sets: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def root_of(self, df: DataFrame, col: str, out: str) -> DataFrame:
@@ -214,33 +237,75 @@ class _Join:
         return self.root_of(half, "b", "rb").where(F.col("ra") != F.col("rb")).select("a", "b")
 
     def add(self, found: DataFrame) -> None:
+        """Join the components of confirmed links (a, b): components of the roots, not of all links so far."""
         links = table(found, "links")
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.roots = table(components(self.links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")
+        if links.isEmpty():
+            return
+        if self.roots is None:
+            self.roots = table(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")
+            return
+        half = table(self.root_of(links, "a", "src"), "link-roots")
+        joined = table(components(self.root_of(half, "b", "dst").select("src", "dst")), "root-components")
+        up = joined.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+        old = self.roots.join(up, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+        self.roots = table(old.unionByName(joined.join(self.roots.select("node"), "node", "left_anti")), "roots")
+
+    def fetch(self, who: DataFrame) -> DataFrame:
+        """Full sets of documents (and of others asked for before); only texts of new ones are read."""
+        missing = who if self.sets is None else table(who.join(self.sets.select("id"), "id", "left_anti"), "missing")
+        if not missing.isEmpty():
+            # Sets can be large: few of them travel in an Arrow batch.
+            with settings(who.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+                new = table(self.docs.join(missing, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(self.k), "id bigint, items binary"), "sets")
+            self.sets = new if self.sets is None else self.sets.unionByName(new)
+        return self.sets
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Confirmed pairs, on the full sets."""
+        """Confirmed pairs, on the full sets.
+
+        With few pairs for each document, sets are joined to the pairs. Where a document is in many, pairs are
+        dealt to the cells of a grid, and a set goes once to each cell of its row and column.
+        """
+        spark = pairs.sparkSession
         who = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-        sets = table(self.docs.join(who, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(self.k), "id bigint, items binary"), "sets")
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
-        return both.select("a", "b", "xa", "xb").mapInArrow(_confirm(self.threshold), "a bigint, b bigint")
+        sets = self.fetch(who)
+        n_docs, n_pairs = who.count(), pairs.count()
+        side = -(-n_docs // GRID_DOCS)
+        parts = max(1, n_pairs // (side * side * GRID_PAIRS))
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+            if side * parts * n_docs >= n_pairs:
+                left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a")
+                both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
+                return table(both.select("a", "b", "xa", "xb").mapInArrow(_confirm(self.threshold), "a bigint, b bigint"), "confirmed")
+            lane = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+            dealt = pairs.select("a", "b", lane("a").alias("i"), lane("b").alias("j"), F.pmod(F.xxhash64("a", "b"), F.lit(parts)).cast("int").alias("p"))
+            every = F.sequence(F.lit(0), F.lit(side - 1))
+            cells = F.array_distinct(F.concat(F.transform(every, lambda k: F.struct(F.col("l").alias("i"), k.alias("j"))), F.transform(every, lambda k: F.struct(k.alias("i"), F.col("l").alias("j")))))
+            own = sets.join(who, "id", "left_semi").withColumn("l", lane("id")).select("id", "items", F.explode(cells).alias("c")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            own = own.select("id", "items", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "p")
+            return table(dealt.groupBy("i", "j", "p").cogroup(own.groupBy("i", "j", "p")).applyInArrow(_confirm_cell(self.threshold), "a bigint, b bigint"), "confirmed")
 
     def consider(self, pairs: DataFrame) -> None:
-        """Sift candidate pairs (a < b), confirm what is needed, and update the components."""
+        """Sift candidate pairs (a < b), confirm what is needed, and update the components. No pair is tested twice."""
         pairs = table(self.apart(pairs.distinct()), "pairs")
+        if self.tested is not None:
+            pairs = table(pairs.join(self.tested, ["a", "b"], "left_anti"), "new-pairs")
+        if pairs.isEmpty():
+            return
         left = pairs.join(self.sketches.select(F.col("id").alias("a"), F.col("sk").alias("sa")), "a")
         both = left.join(self.sketches.select(F.col("id").alias("b"), F.col("sk").alias("sb")), "b")
         likely = table(both.select("a", "b", "sa", "sb").mapInArrow(_similar_sketch(self.threshold - SLACK), "a bigint, b bigint"), "likely")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         if likely.isEmpty():
             return
-        self.add(self.verify(table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")))
-        rest = table(self.apart(likely), "rest")
+        first = table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+        self.add(self.verify(first))
+        rest = table(self.apart(likely.join(first, ["a", "b"], "left_anti")), "rest")
         if not rest.isEmpty():
             self.add(self.verify(rest))
 
 
-def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL, max_depth: int = MAX_DEPTH) -> DataFrame:
+def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL, few_pairs: int = FEW_PAIRS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """docs: id, body -> id, n (size of the set), component (smallest id reachable by links)."""
     branch = 1 / threshold - 1
     signed = table(docs.mapInArrow(_sign(shingle), "id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signatures")
@@ -260,13 +325,19 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOL
         big = active.where(F.col("size") > small)
         pairs = pairs.unionByName(big.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         state.consider(pairs)
+        # What is left to find is in nodes that still hold more than one component.
         rooted = table(state.root_of(big.select("node", "id"), "id", "root"), "rooted")
-        mixed = table(rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi"), "mixed")
+        per = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"))
+        mixed = per.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", (-F.col("root")).alias("r"))).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        mixed = table(mixed.select("node", "size", (-F.col("m.r")).alias("main"), ((F.col("size") - F.col("m.k")) * F.col("size")).alias("undecided")), "mixed")
         if mixed.isEmpty():
             break
-        left = table(rooted.join(mixed.select("node", "size"), "node"), "left")
-        if depth >= max_depth:
-            _blocks(state, left)
+        left = table(rooted.join(mixed, "node"), "left")
+        last = depth >= max_depth
+        settled = left if last else left.where(F.col("undecided") <= few_pairs)
+        state.consider(_across(settled))
+        left = left.where(F.col("undecided") > few_pairs)
+        if last or left.isEmpty():
             break
         front = table(left.select("node", "id").join(reps.select("id", "sig"), "id").mapInArrow(_branch(STEP_DEPTH, branch), "node bigint, id bigint"), "front")
         depth += STEP_DEPTH
@@ -281,15 +352,12 @@ def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sig"), pa.array([r.tobytes() for r in low], pa.binary())], ["id", "sig", "sk"])
 
 
-def _blocks(state: _Join, left: DataFrame, minority: float = 0.5) -> None:
-    """The exact way for what branching did not part: rows of components other than a node's largest, against all of the node."""
-    per = table(left.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k")), "block-roots")
-    main = table(per.groupBy("node").agg(F.max_by("root", F.struct("k", -F.col("root"))).alias("main")), "block-main")
-    rows = table(left.select("node", "id", "root").join(main, "node"), "block-rows")
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs of a node's rows (node, id, root, main) in different components, one of them not the node's largest."""
+    rows = table(rows.select("node", "id", "root", "main"), "across")
     odd = rows.where("root != main").select("node", F.col("id").alias("x"), F.col("root").alias("rx"))
     against = rows.select("node", F.col("id").alias("y"), F.col("root").alias("ry"))
-    pairs = odd.join(against, "node").where("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    state.consider(pairs)
+    return odd.join(against, "node").where("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
