@@ -40,7 +40,8 @@ HIDDEN = 24
 TRAIN_SHARE, ROUNDS = 16, 2
 WINDOW, TRAIN_LANES, SCORE_LANES = 32, 32, 256
 MIN_UPDATES = 120
-SCORE_BYTES = 1 << 24
+#: Tokens that are scored together.
+SCORE_TOKENS = 1_500_000
 #: Rows of training documents from which word contexts are counted for the clusters: a bounded sample.
 CONTEXT_ROWS = 3000
 END = np.uint64(0xE7037ED1A0B428DB)
@@ -373,9 +374,9 @@ def class_scores(gru: Gru, cls: np.ndarray, first: np.ndarray, *, lanes: int = S
     by_load = np.argsort(-load, kind="stable")
     members, load = [members[i] for i in by_load], load[by_load]
     longest = int(load[0]) if lanes else 0
-    target = np.zeros((longest, lanes), dtype=np.int64)
+    target = np.zeros((longest, lanes), dtype=np.int16)
     fresh = np.zeros((longest, lanes), dtype=bool)
-    owner = np.full((longest, lanes), n_docs, dtype=np.int64)
+    owner = np.full((longest, lanes), n_docs, dtype=np.int32)
     for i, docs in enumerate(members):
         at = 0
         for d in docs:
@@ -402,39 +403,52 @@ _SCORED = "rid bigint, id bigint, held_out boolean, n_tokens bigint, model doubl
 
 
 def _scorer(head: Head, gru: Gru):
+    logs = np.log10(head.counts + 1.0)
+
+    def score_some(parts: list, rid: int) -> pa.RecordBatch:
+        """parts: (ids, held_out, token hashes, first token of each text) of consecutive texts."""
+        h = np.concatenate([p[2] for p in parts])
+        sizes = np.concatenate([np.diff(p[3]) for p in parts])
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        n_docs = len(sizes)
+        cls, where, there = _classes(head, h)
+        model = class_scores(gru, cls, first) / _LN10
+        doc = np.repeat(np.arange(n_docs), sizes)
+        known = np.zeros(n_docs)
+        if len(logs):
+            model += np.bincount(doc[there], weights=head.share[where[there]], minlength=n_docs)
+            known = np.bincount(doc[there], weights=logs[where[there]], minlength=n_docs)
+        tail, tail_doc = h[~there], doc[~there]
+        order = np.lexsort((tail, tail_doc))
+        tail, tail_doc = tail[order], tail_doc[order]
+        edge = np.ones(len(tail), dtype=bool)
+        edge[1:] = (tail[1:] != tail[:-1]) | (tail_doc[1:] != tail_doc[:-1])
+        spots = np.flatnonzero(edge)
+        times = np.diff(np.concatenate((spots, [len(tail)])))
+        splits = pa.array(np.searchsorted(tail_doc[spots], np.arange(n_docs + 1)).astype(np.int32))
+        columns = [
+            pa.array(np.arange(rid, rid + n_docs)), pa.concat_arrays([p[0] for p in parts]), pa.concat_arrays([p[1] for p in parts]), pa.array(sizes), pa.array(model), pa.array(known),
+            pa.array(np.bincount(doc[there], minlength=n_docs)), pa.array(np.bincount(doc[~there], minlength=n_docs)),
+            pa.ListArray.from_arrays(splits, pa.array(tail[spots].view(np.int64))), pa.ListArray.from_arrays(splits, pa.array(times.astype(np.int64))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["rid", "id", "held_out", "n_tokens", "model", "known_log", "n_head", "n_tail", "th", "tn"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         rid = (context.partitionId() if context else 0) << 33
-        logs = np.log10(head.counts + 1.0)
+        parts: list = []
+        held = 0
         for batch in batches:
-            for at, end, data, offsets in text_chunks(batch, "body", SCORE_BYTES):
+            for at, end, data, offsets in text_chunks(batch, "body"):
                 h, first = tokens(data, offsets)
-                cls, where, there = _classes(head, h)
-                model = class_scores(gru, cls, first) / _LN10
-                n_docs = end - at
-                doc = np.repeat(np.arange(n_docs), np.diff(first))
-                if len(logs):
-                    model += np.bincount(doc[there], weights=head.share[where[there]], minlength=n_docs)
-                    known = np.bincount(doc[there], weights=logs[where[there]], minlength=n_docs)
-                else:
-                    known = np.zeros(n_docs)
-                tail, tail_doc = h[~there], doc[~there]
-                order = np.lexsort((tail, tail_doc))
-                tail, tail_doc = tail[order], tail_doc[order]
-                edge = np.ones(len(tail), dtype=bool)
-                edge[1:] = (tail[1:] != tail[:-1]) | (tail_doc[1:] != tail_doc[:-1])
-                spots = np.flatnonzero(edge)
-                times = np.diff(np.concatenate((spots, [len(tail)])))
-                splits = pa.array(np.searchsorted(tail_doc[spots], np.arange(n_docs + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(rid, rid + n_docs)), batch.column("id").slice(at, n_docs), batch.column("held_out").slice(at, n_docs), pa.array(np.diff(first)), pa.array(model), pa.array(known),
-                        pa.array(np.bincount(doc[there], minlength=n_docs)), pa.array(np.bincount(doc[~there], minlength=n_docs)),
-                        pa.ListArray.from_arrays(splits, pa.array(tail[spots].view(np.int64))), pa.ListArray.from_arrays(splits, pa.array(times.astype(np.int64))),
-                    ],
-                    ["rid", "id", "held_out", "n_tokens", "model", "known_log", "n_head", "n_tail", "th", "tn"],
-                )
-                rid += n_docs
+                parts.append((batch.column("id").slice(at, end - at), batch.column("held_out").slice(at, end - at), h, first))
+                held += len(h)
+                if held >= SCORE_TOKENS:
+                    out = score_some(parts, rid)
+                    rid, parts, held = rid + out.num_rows, [], 0
+                    yield out
+        if parts:
+            yield score_some(parts, rid)
 
     return run
 
