@@ -1,14 +1,12 @@
 """Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards.
 
 Equal vectors are collapsed to the smallest id first. Centroids are fitted on a bounded sample
-(``sample_rows``); every row is placed in its own cell and in each neighbouring cell whose border is nearer than
-a margin, so that shards overlap. The margin is the reach of a link (the chord at the threshold) projected on a
-border's normal, with ``sigmas`` standard deviations of slack; it never exceeds the reach itself, at which no
-link at all could be missed. Within a shard a flat graph is built: each vector's nearest candidates and some
-random far ones are thinned by robust pruning, and edges are made mutual. Each vector is searched for from
-the shard's medoid and from its own node: a greedy beam first, then the range expands through every node within
-the threshold until none is new. The union of the shards' adjacency lists is the graph; links are found within
-shards, a link (x, y) being counted for x in the cell that is y's own, so once.
+(``sample_rows``); every row is placed in its ``overlap`` nearest cells, so that shards overlap and two vectors
+within the threshold nearly always share one. Within a shard a flat graph is built: each vector's nearest
+candidates and some random far ones are thinned by robust pruning, and edges are made mutual. Each vector is
+searched for from the shard's medoid and from its own node: a greedy beam first, then the range expands through
+every node within the threshold until none is new. The union of the shards' adjacency lists is the graph; a link
+that several shards find is counted in the first of the cells that both ends share, so once.
 
 Every shard audits itself: exact neighbours of some nodes are compared with what the search found, and the shard
 is built again with a pool twice as wide while its recall is short of ``recall``. Every link is verified by the
@@ -34,10 +32,10 @@ from tidewire.llm.graph import components
 
 THRESHOLD = 0.95
 SAMPLE_ROWS = 20_000
-CELL_ROWS = 1500
-BLOCK = 6000
-SIGMAS = 3.5
-NEAR, FAR, POOL, ALPHA = 16, 8, 48, 1.2
+CELL_ROWS = 1000
+BLOCK = 8000
+OVERLAP = 4
+NEAR, WITHIN, FAR, POOL, ALPHA = 16, 8, 8, 48, 1.2
 BEAM, HOPS = 12, 8
 RECALL = 0.98
 _SLACK = 1e-4
@@ -78,8 +76,8 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.n
     return c
 
 
-def _route(centroids: dict[int, np.ndarray], margin: dict[int, float]):
-    """Rows to their own cell and to the cells whose border is within the margin."""
+def _route(centroids: dict[int, np.ndarray], overlap: int):
+    """Rows to their nearest cells; each carries the list of its cells, in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,18 +86,16 @@ def _route(centroids: dict[int, np.ndarray], margin: dict[int, float]):
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 c = centroids[int(dim)]
+                some = min(overlap, len(c))
                 for part in np.array_split(rows, max(1, len(rows) * len(c) // 2_000_000)):
                     x = np.frombuffer(b"".join(blobs[i] for i in part), dtype=np.float64).reshape(len(part), dim)
                     d = (c * c).sum(axis=1) - 2 * x @ c.T
-                    home = np.argmin(d, axis=1)
-                    gap = np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * c @ c.T, 0))[home]
-                    far = (d - d[np.arange(len(part)), home][:, None]) / np.maximum(2 * gap, 1e-12)
-                    near = far <= margin[int(dim)]
-                    near[np.arange(len(part)), home] = True
-                    r, cell = np.nonzero(near)
+                    near = np.sort(np.argpartition(d, some - 1, axis=1)[:, :some], axis=1).astype(np.int64)
+                    r = np.repeat(np.arange(len(part)), some)
+                    lists = near.tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[part][r]), pa.array(copies[part][r]), pa.array(np.full(len(r), dim)), pa.array(cell.astype(np.int64)), pa.array(home[r] == cell), pa.array([blobs[part[i]] for i in r], pa.binary())],
-                        ["id", "copies", "dim", "cell", "own", "v"],
+                        [pa.array(ids[part][r]), pa.array(copies[part][r]), pa.array(np.full(len(r), dim)), pa.array(near.ravel()), pa.array([lists[k] for k in r], pa.list_(pa.int64())), pa.array([blobs[part[k]] for k in r], pa.binary())],
+                        ["id", "copies", "dim", "cell", "cells", "v"],
                     )
 
     return run
@@ -125,16 +121,21 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, pool: np.ndarray, keep: int,
     return out
 
 
-def build_graph(x: np.ndarray, pool: int = POOL, near: int = NEAR, far: int = FAR, seed: int = 11) -> tuple[np.ndarray, int]:
-    """Adjacency lists (padded with the node itself) and the medoid of unit vectors in single precision."""
+def build_graph(x: np.ndarray, least: float, pool: int = POOL, near: int = NEAR, within: int = WITHIN, far: int = FAR, seed: int = 11) -> tuple[np.ndarray, int]:
+    """Adjacency lists (padded with the node itself) and the medoid of unit vectors in single precision.
+
+    A node with more than ``near`` others within the threshold also gets random ones of those: its nearest may be a
+    tight knot, and the range must expand beyond it.
+    """
+    out_degree = near + within + far
     n = len(x)
     rng = np.random.Generator(np.random.PCG64(seed))
     width = min(pool, n - 1)
     medoid = int(np.argmax(x @ x.mean(axis=0)))
-    out = np.repeat(np.arange(n)[:, None], 2 * (near + far), axis=1)
+    out = np.repeat(np.arange(n)[:, None], 2 * out_degree, axis=1)
     if n < 2:
         return out, medoid
-    picked = np.full((n, near + far), -1, dtype=np.int64)
+    picked = np.full((n, out_degree), -1, dtype=np.int64)
     for a in range(0, n, 256):
         nodes = np.arange(a, min(n, a + 256))
         s = x[nodes] @ x.T
@@ -142,16 +143,21 @@ def build_graph(x: np.ndarray, pool: int = POOL, near: int = NEAR, far: int = FA
         best = np.argpartition(-s, width - 1, axis=1)[:, :width]
         picked[nodes, :near] = robust_prune(x, nodes, best, near)
         others = rng.integers(0, n, (len(nodes), 2 * far))
-        picked[nodes, near:] = robust_prune(x, nodes, others, far)
+        picked[nodes, near + within :] = robust_prune(x, nodes, others, far)
+        dense = np.flatnonzero((s >= least).sum(axis=1) > near)
+        if len(dense):
+            draw = np.where(s[dense] >= least, rng.random((len(dense), n), dtype=np.float32), -1)
+            chosen = np.argpartition(-draw, within - 1, axis=1)[:, :within]
+            picked[nodes[dense], near : near + within] = np.where(np.take_along_axis(draw, chosen, 1) >= 0, chosen, -1)
     src, slot = np.nonzero(picked >= 0)
     dst = picked[src, slot]
-    out[:, : near + far] = np.where(picked >= 0, picked, np.arange(n)[:, None])
+    out[:, :out_degree] = np.where(picked >= 0, picked, np.arange(n)[:, None])
     # Mutual edges, nearest first, as many as there is room for.
     order = np.lexsort((-np.einsum("ed,ed->e", x[src], x[dst]), dst))
     src, dst = src[order], dst[order]
     rank = np.arange(len(dst)) - np.searchsorted(dst, dst)
-    ok = rank < near + far
-    out[dst[ok], near + far + rank[ok]] = src[ok]
+    ok = rank < out_degree
+    out[dst[ok], out_degree + rank[ok]] = src[ok]
     return out, medoid
 
 
@@ -215,7 +221,7 @@ def shard_links(v: np.ndarray, threshold: float, recall: float = RECALL, audit:
     exact[np.arange(len(test)), test] = False
     pool = POOL
     while True:
-        graph, medoid = build_graph(x, pool)
+        graph, medoid = build_graph(x, threshold - _SLACK, pool)
         i, j = range_search(x, graph, medoid, np.arange(n), threshold - _SLACK)
         one = np.unique(np.concatenate([i * n + j, j * n + i]))
         keep = np.concatenate([np.einsum("ed,ed->e", v[part // n], v[part % n]) >= threshold for part in np.array_split(one, len(one) // 200_000 + 1)])
@@ -243,18 +249,29 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
+def _first_shared(cells: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first cell that both ends of each pair are in."""
+    out = np.empty(len(i), dtype=np.int64)
+    for a in range(0, len(i), 500_000):
+        x, y = cells[i[a : a + 500_000]], cells[j[a : a + 500_000]]
+        both = (x[:, :, None] == y[:, None, :]).any(axis=2)
+        out[a : a + 500_000] = np.where(both, x, np.iinfo(np.int64).max).min(axis=1)
+    return out
+
+
 def _search_group(threshold: float):
     def run(group: pa.Table) -> pa.Table:
-        ids, copies = group.column("id").to_numpy(), group.column("copies").to_numpy()
-        own, side = np.array(group.column("own").to_pylist()), group.column("side").to_numpy()
-        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-        dim = group.column("dim")[0].as_py()
+        ids, copies, side = group.column("id").to_numpy(), group.column("copies").to_numpy(), group.column("side").to_numpy()
+        cells = np.array(group.column("cells").to_pylist(), dtype=np.int64)
+        cell, a, b, dim = (group.column(c)[0].as_py() for c in ("cell", "a", "b", "dim"))
         v = np.frombuffer(b"".join(group.column("v").to_pylist()), dtype=np.float64).reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
-        ids, copies, own, side, v = ids[order], copies[order], own[order], side[order], v[order]
+        ids, copies, cells, side, v = ids[order], copies[order], cells[order], side[order], v[order]
         i, j = shard_links(v, threshold)
         root = _forest(len(ids), i, j)
-        counted = own[j] & ((side[i] != side[j]) if a != b else True)
+        counted = _first_shared(cells, i, j) == cell
+        if a != b:
+            counted &= side[i] != side[j]
         links = np.bincount(i[counted], weights=copies[j[counted]], minlength=len(ids)).astype(np.int64)
         some = (links > 0) | (root != np.arange(len(ids)))
         return pa.table({"id": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(ids[root[some]])})
@@ -262,7 +279,7 @@ def _search_group(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     plain = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     ready = table(plain.mapInArrow(_usable, "id bigint, dim bigint, h1 bigint, h2 bigint, v binary"), "vectors")
@@ -272,21 +289,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reps = table(first.join(groups.select(F.col("rep").alias("id"), "copies"), "id"), "vector-representatives")
 
     sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).collect()}
-    centroids, margin = {}, {}
+    centroids = {}
     for dim, n in sizes.items():
         rows = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow().column("v").to_pylist()
         x = np.frombuffer(b"".join(rows), dtype=np.float64).reshape(-1, dim)
         centroids[dim] = fit_centroids(x, min(n // cell_rows, len(x) // 8))
-        reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-        margin[dim] = min(reach, sigmas * reach / np.sqrt(dim)) if dim > 1 else reach
-    routed = table(reps.select("id", "copies", "v").mapInArrow(_route(centroids, margin), "id bigint, copies bigint, dim bigint, cell bigint, own boolean, v binary"), "routed")
+    routed = table(reps.select("id", "copies", "v").mapInArrow(_route(centroids, overlap), "id bigint, copies bigint, dim bigint, cell bigint, cells array<bigint>, v binary"), "routed")
     # As many rows as there are cells, which the sample bounds.
     blocks = routed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     blocks = table(blocks, "cell-blocks")
     dealt = routed.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A row of block k meets every block: pairs (a, b), a <= b, with k at either end.
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b")))
-    paired = dealt.withColumn("p", F.explode(every)).select("id", "copies", "dim", "cell", "own", "v", F.col("p.a").alias("a"), F.col("p.b").alias("b"), (F.col("block") == F.col("p.b")).cast("int").alias("side"))
+    paired = dealt.withColumn("p", F.explode(every)).select("id", "copies", "dim", "cell", "cells", "v", F.col("p.a").alias("a"), F.col("p.b").alias("b"), (F.col("block") == F.col("p.b")).cast("int").alias("side"))
     found = table(paired.groupBy("dim", "cell", "a", "b").applyInArrow(_search_group(threshold), "id bigint, links bigint, root bigint"), "vector-links")
     roots = table(components(found.select(F.col("id").alias("src"), F.col("root").alias("dst"))), "vector-roots")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
