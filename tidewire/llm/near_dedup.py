@@ -45,7 +45,7 @@ SKETCH = 64
 SLACK = 0.24
 SMALL = 16
 #: A larger node is compared exhaustively too once so few of its pairs join different components.
-FEW_PAIRS = 4000
+FEW_PAIRS = 50_000
 BATCH_ROWS = 256
 #: Documents along a side of a verification cell, and pairs of one.
 GRID_DOCS, GRID_PAIRS = 1000, 20_000
@@ -267,7 +267,7 @@ class _Join:
         dealt to the cells of a grid, and a set goes once to each cell of its row and column.
         """
         spark = pairs.sparkSession
-        who = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+        who = table(pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "candidates")
         sets = self.fetch(who)
         n_docs, n_pairs = who.count(), pairs.count()
         side = -(-n_docs // GRID_DOCS)
@@ -285,16 +285,18 @@ class _Join:
             own = own.select("id", "items", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "p")
             return table(dealt.groupBy("i", "j", "p").cogroup(own.groupBy("i", "j", "p")).applyInArrow(_confirm_cell(self.threshold), "a bigint, b bigint"), "confirmed")
 
-    def consider(self, pairs: DataFrame) -> None:
+    def consider(self, pairs: DataFrame, sifted: bool = False) -> None:
         """Sift candidate pairs (a < b), confirm what is needed, and update the components. No pair is tested twice."""
-        pairs = table(self.apart(pairs.distinct()), "pairs")
+        pairs = table(self.apart(pairs if sifted else pairs.distinct()), "pairs")
         if self.tested is not None:
             pairs = table(pairs.join(self.tested, ["a", "b"], "left_anti"), "new-pairs")
         if pairs.isEmpty():
             return
-        left = pairs.join(self.sketches.select(F.col("id").alias("a"), F.col("sk").alias("sa")), "a")
-        both = left.join(self.sketches.select(F.col("id").alias("b"), F.col("sk").alias("sb")), "b")
-        likely = table(both.select("a", "b", "sa", "sb").mapInArrow(_similar_sketch(self.threshold - SLACK), "a bigint, b bigint"), "likely")
+        likely = pairs
+        if not sifted:
+            left = pairs.join(self.sketches.select(F.col("id").alias("a"), F.col("sk").alias("sa")), "a")
+            both = left.join(self.sketches.select(F.col("id").alias("b"), F.col("sk").alias("sb")), "b")
+            likely = table(both.select("a", "b", "sa", "sb").mapInArrow(_similar_sketch(self.threshold - SLACK), "a bigint, b bigint"), "likely")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         if likely.isEmpty():
             return
@@ -334,9 +336,13 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOL
             break
         left = table(rooted.join(mixed, "node"), "left")
         last = depth >= max_depth
-        settled = left if last else left.where(F.col("undecided") <= few_pairs)
-        state.consider(_across(settled))
+        settled = table(left.where(F.col("undecided") <= few_pairs).select("node", "id", "root", "main").join(state.sketches, "id"), "settled")
+        nodes = settled.groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # a document's nodes: some per tree
+        across = settled.join(nodes, "id").groupBy("node").applyInArrow(_across_node(threshold - SLACK), "a bigint, b bigint")
+        state.consider(across, sifted=True)
         left = left.where(F.col("undecided") > few_pairs)
+        if last and not left.isEmpty():
+            state.consider(_across(left))
         if last or left.isEmpty():
             break
         front = table(left.select("node", "id").join(reps.select("id", "sig"), "id").mapInArrow(_branch(STEP_DEPTH, branch), "node bigint, id bigint"), "front")
@@ -352,6 +358,30 @@ def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sig"), pa.array([r.tobytes() for r in low], pa.binary())], ["id", "sig", "sk"])
 
 
+def _across_node(least: float):
+    """Of one settled node, the pairs of different components, one of them not the largest, whose sketches agree enough.
+
+    A pair that several nodes hold is given by the first of them alone."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, root = group.column("id").to_numpy(), group.column("root").to_numpy()
+        main, node = group.column("main")[0].as_py(), group.column("node")[0].as_py()
+        sk = np.frombuffer(b"".join(group.column("sk").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+        nodes = [set(x) for x in group.column("nodes").to_pylist()]
+        a, b = [], []
+        for x in np.flatnonzero(root != main):
+            near = np.flatnonzero((root != root[x]) & ((sk == sk[x]).mean(axis=1) >= least))
+            for y in near:
+                if root[y] != main and ids[y] < ids[x]:
+                    continue  # both are odd: the other one gives the pair
+                if min(nodes[x] & nodes[y]) == node:
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs of a node's rows (node, id, root, main) in different components, one of them not the node's largest."""
     rows = table(rows.select("node", "id", "root", "main"), "across")
