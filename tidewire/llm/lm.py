@@ -41,7 +41,7 @@ TRAIN_SHARE, ROUNDS = 16, 2
 WINDOW, TRAIN_LANES, SCORE_LANES = 32, 32, 256
 MIN_UPDATES = 120
 #: Tokens that are scored together.
-SCORE_TOKENS = 1_500_000
+SCORE_TOKENS = 600_000
 #: Rows of training documents from which word contexts are counted for the clusters: a bounded sample.
 CONTEXT_ROWS = 3000
 END = np.uint64(0xE7037ED1A0B428DB)
