@@ -100,18 +100,23 @@ class Classifier:
     def flags(self, body: Column) -> list[Column]:
         return features(body, self.words)
 
-    def posterior(self, flags: Sequence[Column]) -> list[Column]:
-        """Columns of the posteriors, given boolean feature columns."""
-        logs = []
+    def logs(self, flags: Sequence[Column]) -> list[Column]:
+        """Unnormalised log posteriors, given boolean feature columns."""
+        out = []
         for prior, on, off in zip(self.prior, self.on, self.off, strict=True):
             x = F.lit(prior)
             for flag, yes, no in zip(flags, on, off, strict=True):
                 x = x + F.when(flag, yes).otherwise(no)
-            logs.append(x)
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        odds = [F.exp(x - top) for x in logs]
-        norm = sum(odds[1:], odds[0])
-        return [o / norm for o in odds]
+            out.append(x)
+        return out
+
+
+def _normalised(logs: Sequence[Column]) -> list[Column]:
+    """Posteriors out of log columns."""
+    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
+    odds = [F.exp(x - top) for x in logs]
+    norm = sum(odds[1:], odds[0])
+    return [o / norm for o in odds]
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: Sequence[str], *, lexicon_of: str | None = "toxic", lexicon_rows: int = LEXICON_ROWS) -> tuple[Classifier, DataFrame]:
@@ -216,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     domains = sorted(targets)
     classifier, seen = fit_classifier(docs, labels, domains, lexicon_of=lexicon_of, lexicon_rows=lexicon_rows)
     flags = [F.col(f"f{j}") for j in range(len(classifier.on[0]))]
-    soft = table(seen.select("id", "tokens", *[p.alias(f"p{i}") for i, p in enumerate(classifier.posterior(flags))]), "mix-posteriors")
+    logs = seen.select("id", "tokens", F.inline(F.array(F.struct(*[x.alias(f"l{i}") for i, x in enumerate(classifier.logs(flags))]))))
+    soft = table(logs.select("id", "tokens", *[p.alias(f"p{i}") for i, p in enumerate(_normalised([F.col(f"l{i}") for i in range(len(domains))]))]), "mix-posteriors")
     m, _, _ = fit_rates(soft, len(domains), [targets[d] for d in domains], total=total)
     return classifier, m, soft
 
@@ -244,9 +250,13 @@ def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     classifier, m, _ = fit(*_plain(docs, labels, id_col, text_col), targets, **options)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), body.alias("body"), n_tokens(body).alias("tokens"))
-    flagged = rows.select("row", "id", *[f.alias(f"f{j}") for j, f in enumerate(classifier.flags(F.col("body")))])
-    rate = _rate(classifier.posterior([F.col(f"f{j}") for j in range(len(classifier.on[0]))]), m)
-    counted = flagged.select("row", _copies(rate, F.col("id")).alias("copies")).where("copies > 0")
+    # `inline` keeps the optimizer from writing each step into every place where the next one uses it.
+    step = lambda df, **named: df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(k) for k, c in named.items()]))))
+    flagged = step(rows, **{f"f{j}": f for j, f in enumerate(classifier.flags(F.col("body")))}).drop("body")
+    scored = step(flagged, **{f"l{i}": x for i, x in enumerate(classifier.logs([F.col(f"f{j}") for j in range(len(classifier.on[0]))]))})
+    soft = step(scored, **{f"p{i}": p for i, p in enumerate(_normalised([F.col(f"l{i}") for i in range(len(m))]))})
+    rated = step(soft, rate=_rate([F.col(f"p{i}") for i in range(len(m))], m))
+    counted = rated.select("row", _copies(F.col("rate"), F.col("id")).alias("copies")).where("copies > 0")
     return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
