@@ -67,8 +67,8 @@ def key_values(text: Column) -> Column:
 
 
 def _netfilter(m: Column, app: Column) -> tuple[Column, dict[str, Column]]:
-    kv = key_values(m)
-    rule = _rx(m, r"^\[?([A-Za-z0-9_.\-]+)\]?(?:\s|:|$)", 1)
+    kv = key_values(F.regexp_replace(m, r"^\[[^\]]*\]", ""))
+    rule = F.coalesce(_rx(m, r"^\[([^\]]+)\]", 1), _rx(m, r"^([A-Za-z0-9_.\-]+)(?:\s|:)", 1))
     act = F.upper(F.concat_ws(" ", rule, _rx(m, r"DESCR=\"([^\"]*)\"", 1)))
     action = F.when(act.rlike(r"-D-|-D\b|DROP|DENY|BLOCK"), 2).when(act.rlike(r"-R-|-R\b|REJECT"), 3).when(act.rlike(r"-A-|-A\b|-RET-|ACCEPT|ALLOW"), 1)
     proto = F.try_element_at(kv, F.lit("PROTO"))
