@@ -31,14 +31,23 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def table(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
+#: Rows that a file of a narrow table holds at least, where a bound of its rows is known.
+FILE_ROWS = 100_000
+
+
+def table(df: DataFrame, name: str, *, partition_by: str | None = None, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
+    ``rows`` is a bound of its rows, if one is known: a small table then goes to few files, whatever the number of
+    shuffle partitions; with many rows the bound asks for more files than there are partitions and changes nothing.
+
     Cuts the lineage so that a lost executor costs a re-read and not a re-computation, and makes the
     read side of a later join a plain scan, whose exchange adaptive execution can split when a key is hot.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // file_rows)))
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -49,6 +49,8 @@ FEW_PAIRS = 50_000
 BATCH_ROWS = 256
 #: Documents along a side of a verification cell, and pairs of one.
 GRID_DOCS, GRID_PAIRS = 1000, 20_000
+#: Rows of a file of signatures, and of full sets.
+FILE_DOCS, SET_ROWS = 10_000, 2_000
 FIRST_DEPTH = 4
 STEP_DEPTH = 6
 MAX_DEPTH = 28
@@ -222,6 +224,7 @@ class _Join:
         self.tested: DataFrame | None = None
         self.sets: DataFrame | None = None
         self.roots: DataFrame | None = None
+        self.n_links = 0
 
     def root_of(self, df: DataFrame, col: str, out: str) -> DataFrame:
         if self.roots is None:
@@ -229,123 +232,132 @@ class _Join:
         roots = self.roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         return df.join(roots, F.col(col) == F.col("_n"), "left").withColumn(out, F.coalesce("_r", col)).drop("_n", "_r")
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
+    def apart(self, pairs: DataFrame, rows: int | None) -> DataFrame:
         """The pairs whose ends are not connected yet."""
         if self.roots is None:
             return pairs
-        half = table(self.root_of(pairs, "a", "ra"), "pair-roots")
+        half = table(self.root_of(pairs, "a", "ra"), "pair-roots", rows=rows)
         return self.root_of(half, "b", "rb").where(F.col("ra") != F.col("rb")).select("a", "b")
 
     def add(self, found: DataFrame) -> None:
         """Join the components of confirmed links (a, b): components of the roots, not of all links so far."""
-        links = table(found, "links")
-        if links.isEmpty():
+        n = found.count()
+        if not n:
             return
+        self.n_links += n
         if self.roots is None:
-            self.roots = table(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")
+            self.roots = table(components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")), n), "roots", rows=2 * n)
             return
-        half = table(self.root_of(links, "a", "src"), "link-roots")
-        joined = table(components(self.root_of(half, "b", "dst").select("src", "dst")), "root-components")
+        half = table(self.root_of(found, "a", "src"), "link-roots", rows=n)
+        joined = table(components(self.root_of(half, "b", "dst").select("src", "dst"), n), "root-components", rows=2 * n)
         up = joined.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
         old = self.roots.join(up, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
-        self.roots = table(old.unionByName(joined.join(self.roots.select("node"), "node", "left_anti")), "roots")
+        self.roots = table(old.unionByName(joined.join(self.roots.select("node"), "node", "left_anti")), "roots", rows=2 * self.n_links)
 
-    def fetch(self, who: DataFrame) -> DataFrame:
+    def fetch(self, who: DataFrame, n_docs: int) -> DataFrame:
         """Full sets of documents (and of others asked for before); only texts of new ones are read."""
-        missing = who if self.sets is None else table(who.join(self.sets.select("id"), "id", "left_anti"), "missing")
-        if not missing.isEmpty():
+        missing = who if self.sets is None else table(who.join(self.sets.select("id"), "id", "left_anti"), "missing", rows=n_docs)
+        n = missing.count()
+        if n:
             # Sets can be large: few of them travel in an Arrow batch.
             with settings(who.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
-                new = table(self.docs.join(missing, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(self.k), "id bigint, items binary"), "sets")
+                new = table(self.docs.join(missing, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(self.k), "id bigint, items binary"), "sets", rows=n, file_rows=SET_ROWS)
             self.sets = new if self.sets is None else self.sets.unionByName(new)
-        return self.sets
+        return self.sets.join(who, "id", "left_semi")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame, n_pairs: int) -> DataFrame:
         """Confirmed pairs, on the full sets.
 
         With few pairs for each document, sets are joined to the pairs. Where a document is in many, pairs are
         dealt to the cells of a grid, and a set goes once to each cell of its row and column.
         """
         spark = pairs.sparkSession
-        who = table(pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "candidates")
-        sets = self.fetch(who)
-        n_docs, n_pairs = who.count(), pairs.count()
+        who = table(pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "candidates", rows=2 * n_pairs)
+        n_docs = who.count()
+        sets = self.fetch(who, n_docs)
         side = -(-n_docs // GRID_DOCS)
         parts = max(1, n_pairs // (side * side * GRID_PAIRS))
         with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
             if side * parts * n_docs >= n_pairs:
                 left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a")
                 both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
-                return table(both.select("a", "b", "xa", "xb").mapInArrow(_confirm(self.threshold), "a bigint, b bigint"), "confirmed")
+                return table(both.select("a", "b", "xa", "xb").mapInArrow(_confirm(self.threshold), "a bigint, b bigint"), "confirmed", rows=n_pairs, file_rows=GRID_PAIRS)
             lane = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
             dealt = pairs.select("a", "b", lane("a").alias("i"), lane("b").alias("j"), F.pmod(F.xxhash64("a", "b"), F.lit(parts)).cast("int").alias("p"))
             every = F.sequence(F.lit(0), F.lit(side - 1))
             cells = F.array_distinct(F.concat(F.transform(every, lambda k: F.struct(F.col("l").alias("i"), k.alias("j"))), F.transform(every, lambda k: F.struct(k.alias("i"), F.col("l").alias("j")))))
-            own = sets.join(who, "id", "left_semi").withColumn("l", lane("id")).select("id", "items", F.explode(cells).alias("c")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            own = sets.withColumn("l", lane("id")).select("id", "items", F.explode(cells).alias("c")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
             own = own.select("id", "items", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "p")
-            return table(dealt.groupBy("i", "j", "p").cogroup(own.groupBy("i", "j", "p")).applyInArrow(_confirm_cell(self.threshold), "a bigint, b bigint"), "confirmed")
+            return table(dealt.groupBy("i", "j", "p").cogroup(own.groupBy("i", "j", "p")).applyInArrow(_confirm_cell(self.threshold), "a bigint, b bigint"), "confirmed", rows=n_pairs, file_rows=GRID_PAIRS)
 
-    def consider(self, pairs: DataFrame, sifted: bool = False) -> None:
+    def consider(self, pairs: DataFrame, rows: int, sifted: bool = False) -> None:
         """Sift candidate pairs (a < b), confirm what is needed, and update the components. No pair is tested twice."""
-        pairs = table(self.apart(pairs if sifted else pairs.distinct()), "pairs")
+        pairs = table(self.apart(pairs if sifted else pairs.distinct(), rows), "pairs", rows=rows)
+        n = pairs.count()
         if self.tested is not None:
-            pairs = table(pairs.join(self.tested, ["a", "b"], "left_anti"), "new-pairs")
-        if pairs.isEmpty():
+            pairs = table(pairs.join(self.tested, ["a", "b"], "left_anti"), "new-pairs", rows=n)
+            n = pairs.count()
+        if not n:
             return
         likely = pairs
         if not sifted:
             left = pairs.join(self.sketches.select(F.col("id").alias("a"), F.col("sk").alias("sa")), "a")
             both = left.join(self.sketches.select(F.col("id").alias("b"), F.col("sk").alias("sb")), "b")
-            likely = table(both.select("a", "b", "sa", "sb").mapInArrow(_similar_sketch(self.threshold - SLACK), "a bigint, b bigint"), "likely")
+            likely = table(both.select("a", "b", "sa", "sb").mapInArrow(_similar_sketch(self.threshold - SLACK), "a bigint, b bigint"), "likely", rows=n)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        if likely.isEmpty():
+        n = likely.count()
+        if not n:
             return
-        first = table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-        self.add(self.verify(first))
-        rest = table(self.apart(likely.join(first, ["a", "b"], "left_anti")), "rest")
-        if not rest.isEmpty():
-            self.add(self.verify(rest))
+        first = table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first", rows=n)
+        self.add(self.verify(first, first.count()))
+        rest = table(self.apart(likely.join(first, ["a", "b"], "left_anti"), n), "rest", rows=n)
+        n = rest.count()
+        if n:
+            self.add(self.verify(rest, n))
 
 
 def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL, few_pairs: int = FEW_PAIRS, max_depth: int = MAX_DEPTH) -> DataFrame:
     """docs: id, body -> id, n (size of the set), component (smallest id reachable by links)."""
     branch = 1 / threshold - 1
     signed = table(docs.mapInArrow(_sign(shingle), "id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signatures")
-    groups = table(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "equal-sets")
-    members = table(signed.select("id", "n", "h1", "h2").join(groups, ["h1", "h2", "n"], "left").select("id", "n", "rep"), "members")
+    n_docs = signed.count()
+    groups = table(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "equal-sets", rows=n_docs)
+    members = table(signed.select("id", "n", "h1", "h2").join(groups, ["h1", "h2", "n"], "left").select("id", "n", "rep"), "members", rows=n_docs)
     chosen = signed.where(F.col("sig").isNotNull()).join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = table(chosen.select("id", "sig", F.substring("sig", 1, 4 * SKETCH).alias("sk4")).mapInArrow(_shorten, "id bigint, sig binary, sk binary"), "representatives")
+    reps = table(chosen.select("id", "sig", F.substring("sig", 1, 4 * SKETCH).alias("sk4")).mapInArrow(_shorten, "id bigint, sig binary, sk binary"), "representatives", rows=n_docs, file_rows=FILE_DOCS)
     state = _Join(docs, reps, shingle, threshold)
 
     front = reps.select("id", "sig").mapInArrow(_plant(trees, FIRST_DEPTH, branch), "node bigint, id bigint")
-    depth = FIRST_DEPTH
+    depth, n_front = FIRST_DEPTH, int(n_docs * trees * (1 / threshold) ** FIRST_DEPTH)
     while True:
-        sizes = table(front.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"), "nodes")
-        active = table(front.join(sizes, "node"), "active")
+        sizes = table(front.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"), "nodes", rows=n_front)
+        active = table(front.join(sizes, "node"), "active", rows=n_front)
+        n_active = active.count()
         few = active.where(F.col("size") <= small).select("node", "id")
         pairs = few.select("node", F.col("id").alias("a")).join(few.select("node", F.col("id").alias("b")), "node").where("a < b").select("a", "b")
         big = active.where(F.col("size") > small)
         pairs = pairs.unionByName(big.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        state.consider(pairs)
+        state.consider(pairs, n_active * small)
         # What is left to find is in nodes that still hold more than one component.
-        rooted = table(state.root_of(big.select("node", "id"), "id", "root"), "rooted")
+        rooted = table(state.root_of(big.select("node", "id"), "id", "root"), "rooted", rows=n_active)
         per = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"))
         mixed = per.groupBy("node").agg(F.sum("k").alias("size"), F.max(F.struct("k", (-F.col("root")).alias("r"))).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        mixed = table(mixed.select("node", "size", (-F.col("m.r")).alias("main"), ((F.col("size") - F.col("m.k")) * F.col("size")).alias("undecided")), "mixed")
+        mixed = table(mixed.select("node", "size", (-F.col("m.r")).alias("main"), ((F.col("size") - F.col("m.k")) * F.col("size")).alias("undecided")), "mixed", rows=n_active)
         if mixed.isEmpty():
             break
-        left = table(rooted.join(mixed, "node"), "left")
+        left = table(rooted.join(mixed, "node"), "left", rows=n_active)
         last = depth >= max_depth
-        settled = table(left.where(F.col("undecided") <= few_pairs).select("node", "id", "root", "main").join(state.sketches, "id"), "settled")
+        settled = table(left.where(F.col("undecided") <= few_pairs).select("node", "id", "root", "main").join(state.sketches, "id"), "settled", rows=n_active)
         nodes = settled.groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # a document's nodes: some per tree
         across = settled.join(nodes, "id").groupBy("node").applyInArrow(_across_node(threshold - SLACK), "a bigint, b bigint")
-        state.consider(across, sifted=True)
+        state.consider(across, n_active * small, sifted=True)
         left = left.where(F.col("undecided") > few_pairs)
         if last and not left.isEmpty():
-            state.consider(_across(left))
+            state.consider(_across(left), n_active * n_active)
         if last or left.isEmpty():
             break
-        front = table(left.select("node", "id").join(reps.select("id", "sig"), "id").mapInArrow(_branch(STEP_DEPTH, branch), "node bigint, id bigint"), "front")
+        front = table(left.select("node", "id").join(reps.select("id", "sig"), "id").mapInArrow(_branch(STEP_DEPTH, branch), "node bigint, id bigint"), "front", rows=int(n_active * 1.25**STEP_DEPTH))
+        n_front = front.count()
         depth += STEP_DEPTH
     out = state.root_of(members, "rep", "component") if state.roots is not None else members.withColumn("component", F.col("rep"))
     return out.select("id", "n", F.coalesce("component", "id").alias("component"))
