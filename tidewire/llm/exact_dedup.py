@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidewire.llm._base import ascii_lower, fresh_dir, settings, table
 
-#: A key with at least one in HOT_SHARE of all rows is hot, and its rows are verified by salts.
-HOT_SHARE, SALTS = 1000, 64
+#: A key with at least one in HOT_SHARE of all rows is hot.
+HOT_SHARE = 1000
 RUN_SCHEMA = "key binary, keep_id bigint, group_size bigint"
 
 
@@ -102,16 +102,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = index.entries()
 
     # Verification on bytes of what was hit more than once. Keys with a thousandth of all rows or more (so, a
-    # thousand at most) are known everywhere and dealt by key and salt; a task's rows of a key become one row.
+    # thousand at most) are known everywhere: their rows become one per task before anything is shuffled. The rows of
+    # the other keys are shuffled, once a Bloom filter of these keys has dropped the rest of the corpus.
     hits = entries.where(F.col("group_size") > 1)
     total = log.count()
-    hot = F.broadcast(hits.where(F.col("group_size") * HOT_SHARE >= total).select("key", F.lit(True).alias("hot")))
-    salted = hits.select("key", F.explode(F.when(F.col("group_size") * HOT_SHARE >= total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    hot, light = hits.where(F.col("group_size") * HOT_SHARE >= total).select("key"), hits.where(F.col("group_size") * HOT_SHARE < total).select("key")
     body = hashed.select("id", "body", "digest", (F.substring("digest", 1, key_bytes) if key_bytes < 32 else F.col("digest")).alias("key"))
-    dealt = body.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    span = lambda rows: rows.groupBy("key").agg(F.min("body").alias("least"), F.max("body").alias("most"))
     with settings(spark, spark__sql__optimizer__runtime__bloomFilter__enabled="true", spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="1g"):
-        parts = dealt.join(salted, ["key", "salt"], "left_semi").groupBy("key", "salt").agg(F.min("body").alias("least"), F.max("body").alias("most"))
-        spans = parts.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        spans = span(body.join(light, "key", "left_semi")).unionByName(span(body.join(F.broadcast(hot), "key", "left_semi")))
         mixed = table(spans.where(F.col("least") != F.col("most")).select("key"), "mixed-keys")
     joined = rows.select("id", "digest", "key").join(entries, "key")
     if not mixed.isEmpty():
