@@ -40,8 +40,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
     rows = _rows(docs, id=F.col("doc_id"), sha=digest)
     gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    left = rows.join(table(gone, "exact-gone"), ["id", "sha"], "left_anti")
-    again = table(decided.where("kept and doc_id is not null and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")), "exact-again")
+    n = decided.count()
+    left = rows.join(table(gone, "exact-gone", rows=n), ["id", "sha"], "left_anti")
+    again = table(decided.where("kept and doc_id is not null and group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")), "exact-again", rows=n)
     if not again.isEmpty():
         once = left.join(again, ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"])
         left = left.join(again, ["id", "sha"], "left_anti").unionByName(once)
@@ -51,7 +52,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, on five-word shingles."""
     decided = near_dedup.near_dedup(docs)
-    gone = table(decided.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "near-gone")
+    gone = table(decided.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "near-gone", rows=docs.count())
     return _rows(docs, id=F.col("doc_id")).join(gone, "id", "left_anti").select("row.*")
 
 

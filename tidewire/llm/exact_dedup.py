@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm._base import ascii_lower, fresh_dir, settings, table
+from tidewire.llm._base import FILE_ROWS, ascii_lower, fresh_dir, settings, table
 
 #: A key with at least one in HOT_SHARE of all rows is hot.
 HOT_SHARE = 1000
@@ -40,18 +40,28 @@ class DigestIndex:
         self.spark, self.path, self.fanout = spark, path or fresh_dir(spark, "digests"), fanout
         self._best: Callable[[str], Column] = F.max if keep == "largest" else F.min
         self.levels: dict[int, list[str]] = {}
+        self.rows: dict[str, int | None] = {}
         self._written = 0
 
-    def _write(self, run: DataFrame, level: int) -> None:
+    def _write(self, run: DataFrame, level: int, rows: int | None) -> None:
         path = f"{self.path}/level-{level}/run-{self._written:05d}"
         self._written += 1
         merged = run.groupBy("key").agg(self._best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        if rows is not None:
+            merged = merged.coalesce(max(1, -(-rows // FILE_ROWS)))
         merged.sortWithinPartitions("key").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000").parquet(path)
         self.levels.setdefault(level, []).append(path)
+        self.rows[path] = rows
 
-    def flush(self, memtable: DataFrame) -> None:
-        """Flush a memtable of (key, keep_id) rows, then compact whatever level has become full."""
-        self._write(memtable.select("key", "keep_id", F.lit(1).cast("bigint").alias("group_size")), 0)
+    def _bound(self, runs: list[str]) -> int | None:
+        sizes = [self.rows[p] for p in runs]
+        return None if None in sizes else sum(sizes)
+
+    def flush(self, memtable: DataFrame, rows: int | None = None) -> None:
+        """Flush a memtable of (key, keep_id) rows, then compact whatever level has become full.
+
+        ``rows`` is a bound of the memtable's rows, if known: small runs are then few files."""
+        self._write(memtable.select("key", "keep_id", F.lit(1).cast("bigint").alias("group_size")), 0, rows)
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             self.compact(level)
@@ -59,7 +69,7 @@ class DigestIndex:
 
     def compact(self, level: int) -> None:
         runs = self.levels.pop(level)
-        self._write(self.spark.read.schema(RUN_SCHEMA).parquet(*runs), level + 1)
+        self._write(self.spark.read.schema(RUN_SCHEMA).parquet(*runs), level + 1, self._bound(runs))
 
     def compact_all(self) -> None:
         """Merge every run into one."""
@@ -67,7 +77,7 @@ class DigestIndex:
         if len(runs) > 1:
             top = max(self.levels) + 1
             self.levels = {}
-            self._write(self.spark.read.schema(RUN_SCHEMA).parquet(*runs), top)
+            self._write(self.spark.read.schema(RUN_SCHEMA).parquet(*runs), top, self._bound(runs))
 
     def entries(self) -> DataFrame:
         """One row per key (after a full merge, a plain scan)."""
@@ -97,21 +107,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     log = table(hashed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int").alias("memtable")), "digest-log", partition_by="memtable")
     rows = log.withColumn("key", F.substring("digest", 1, key_bytes) if key_bytes < 32 else F.col("digest"))
     index = DigestIndex(spark, fanout=fanout, keep=keep)
+    total = log.count()
     for i in range(memtables):
-        index.flush(rows.where(F.col("memtable") == i).select("key", F.col("id").alias("keep_id")))
+        index.flush(rows.where(F.col("memtable") == i).select("key", F.col("id").alias("keep_id")), total)
     entries = index.entries()
 
     # Verification on bytes of what was hit more than once. Keys with a thousandth of all rows or more (so, a
     # thousand at most) are known everywhere: their rows become one per task before anything is shuffled. The rows of
     # the other keys are shuffled, once a Bloom filter of these keys has dropped the rest of the corpus.
     hits = entries.where(F.col("group_size") > 1)
-    total = log.count()
     hot, light = hits.where(F.col("group_size") * HOT_SHARE >= total).select("key"), hits.where(F.col("group_size") * HOT_SHARE < total).select("key")
     body = hashed.select("id", "body", "digest", (F.substring("digest", 1, key_bytes) if key_bytes < 32 else F.col("digest")).alias("key"))
     span = lambda rows: rows.groupBy("key").agg(F.min("body").alias("least"), F.max("body").alias("most"))
     with settings(spark, spark__sql__optimizer__runtime__bloomFilter__enabled="true", spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="1g"):
         spans = span(body.join(light, "key", "left_semi")).unionByName(span(body.join(F.broadcast(hot), "key", "left_semi")))
-        mixed = table(spans.where(F.col("least") != F.col("most")).select("key"), "mixed-keys")
+        mixed = table(spans.where(F.col("least") != F.col("most")).select("key"), "mixed-keys", rows=total)
     joined = rows.select("id", "digest", "key").join(entries, "key")
     if not mixed.isEmpty():
         best = F.max if keep == "largest" else F.min
