@@ -15,7 +15,7 @@ if it then still holds documents of different components, it is compared exhaust
 join them are few (rows outside the largest component against all), and branches on where they are not. A node
 whose documents are connected already has nothing left to find and is dropped: a group of near copies, however
 large, is settled by its pivots and not by its pairs. Nodes left at ``max_depth`` are compared likewise whatever
-their size. No pair is tested twice. Candidates pass a test on 64 bytes of the signature with a slack of over four standard
+their size. No pair is tested twice. Candidates pass a test on one byte of each coordinate with a slack of four standard
 deviations, and are confirmed on the full sets of hashed shingles: first the pairs with each document's smallest
 candidate, then those that still join different components. Nothing is capped.
 
@@ -41,8 +41,8 @@ THRESHOLD = 0.8
 SHINGLE = 5
 TREES = 12
 COORDINATES = 128
-SKETCH = 64
-SLACK = 0.24
+SKETCH = COORDINATES
+SLACK = 0.145
 SMALL = 16
 #: A larger node is compared exhaustively too once so few of its pairs join different components.
 FEW_PAIRS = 50_000
