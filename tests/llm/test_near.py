@@ -119,6 +119,50 @@ def test_vector_links_equal_brute_force(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+def hot_vectors():
+    """A third of the rows within one group of near copies, the rest in loose groups far from each other."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    hot = unit(unit(rng.normal(size=(1, 64))) + 0.12 * unit(rng.normal(size=(700, 64))))
+    centres = unit(rng.normal(size=(20, 64)))
+    loose = unit(centres[rng.integers(0, 20, 1400)] + 0.3 * unit(rng.normal(size=(1400, 64))))
+    return np.concatenate([hot, loose])
+
+
+def test_hot_group_that_is_cut_into_cells_loses_no_link(spark):
+    v = hot_vectors()
+    links = v @ v.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert links[:700, :700].sum() == 700 * 699
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<double>")
+    for block in (300, embeddings.BLOCK):
+        got = {r.vec_id: r for r in embeddings.near_vectors(df, cell_rows=20, block=block).collect()}
+        found = np.array([got[i].n_links for i in range(len(v))])
+        assert (found <= links.sum(axis=1)).all() and found.sum() >= embeddings.RECALL * links.sum()
+        assert {got[i].component_id for i in range(700)} == {0}
+
+
+def test_every_link_meets_in_the_first_own_cell():
+    v = hot_vectors()
+    c = embeddings.fit_centroids(v, 100)
+    home, near = embeddings._cells_of(v, c, embeddings._reach(0.95))
+    i, j = np.nonzero(v @ v.T >= 0.95)
+    first = np.minimum(home[i], home[j])
+    assert len(set(home[:700])) > 4 and near[i, first].all() and near[j, first].all()
+    assert 1 < len(embeddings.choose_cells(v, c, 10**6, embeddings._reach(0.95), embeddings.BLOCK)) < 100
+
+
+def test_exhaustive_shard_equals_brute_force():
+    v = hot_vectors()[600:]
+    s = v @ v.T >= 0.95
+    np.fill_diagonal(s, False)
+    copies = np.arange(len(v)) % 3 + 1
+    links, root = embeddings.exact_links(v, 0.95, lambda i, j: (i + j) % 2 == 0, copies, rows=64)
+    even = (np.arange(len(v))[:, None] + np.arange(len(v))) % 2 == 0
+    assert links.tolist() == ((s & even) @ copies).tolist()
+    assert root.tolist() == brute_components(len(v), lambda i, j: s[i, j])
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet")

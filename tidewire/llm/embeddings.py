@@ -1,16 +1,20 @@
 """Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards.
 
 Equal vectors are collapsed to the smallest id first. Centroids are fitted on a bounded sample
-(``sample_rows``); every row is placed in its ``overlap`` nearest cells, so that shards overlap and two vectors
-within the threshold nearly always share one. Within a shard a flat graph is built: each vector's nearest
+(``sample_rows``). A row is placed in its own cell and in every cell before it whose border is within the chord of
+the threshold: a link that crosses a border has both ends that near to it, so the two ends of any link meet in the
+first of their own cells. Centroids nearer than a spacing are thinned to one, so that a group of near copies is not
+cut up, and of some spacings the one is taken at which the sample has the fewest rows to exchange; where vectors are
+spread so that every border is near, that is a single cell, dealt in blocks. Within a shard a flat graph is built: each vector's nearest
 candidates and some random far ones are thinned by robust pruning, and edges are made mutual. Each vector is
 searched for from the shard's medoid and from its own node: a greedy beam first, then the range expands through
 every node within the threshold until none is new. The union of the shards' adjacency lists is the graph; a link
-that several shards find is counted in the first of the cells that both ends share, so once.
+that several shards find is counted in the first of its ends' own cells, so once.
 
 Every shard audits itself: exact neighbours of some nodes are compared with what the search found, and the shard
 is built again with a pool twice as wide while its recall is short of ``recall``. Every link is verified by the
-cosine in double precision. Cells with more than ``block`` rows are dealt as pairs of blocks, so that a group that
+cosine in double precision. A shard whose audit promises more than ``DENSE_PAIRS`` links is compared exhaustively,
+row by row, and its pairs are never held at once. Cells with more than ``block`` rows are dealt as pairs of blocks, so that a group that
 holds a third of all rows never meets in one task.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components link with nothing;
@@ -34,7 +38,9 @@ THRESHOLD = 0.95
 SAMPLE_ROWS = 20_000
 CELL_ROWS = 1000
 BLOCK = 8000
-OVERLAP = 4
+#: Centroids are thinned to spacings of these multiples of the reach of a link.
+SPACINGS = (1.0, 1.5, 2.0, 3.0)
+DENSE_PAIRS = 2_000_000
 NEAR, WITHIN, FAR, POOL, ALPHA = 16, 8, 8, 48, 1.2
 BEAM, HOPS = 12, 8
 RECALL = 0.98
@@ -76,8 +82,47 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.n
     return c
 
 
-def _route(centroids: dict[int, np.ndarray], overlap: int):
-    """Rows to their nearest cells; each carries the list of its cells, in ascending order."""
+def _reach(threshold: float) -> float:
+    """The chord between unit vectors at the threshold, and a little for rounding."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+
+
+def _cells_of(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The own cell of each row, and (rows x cells) its own cell and those before it whose border is within reach."""
+    norms = (c * c).sum(axis=1)
+    d = norms - 2 * x @ c.T
+    home = np.argmin(d, axis=1)
+    gap = np.sqrt(np.maximum(norms[:, None] + norms[None] - 2 * c @ c.T, 0))
+    excess = d - d[np.arange(len(x)), home][:, None]
+    near = (excess <= 2 * reach * gap[home] + 1e-9) & (np.arange(len(c)) <= home[:, None])
+    near[np.arange(len(x)), home] = True
+    return home, near
+
+
+def _thin(c: np.ndarray, weight: np.ndarray, spacing: float) -> np.ndarray:
+    """Centroids further apart than the spacing, heaviest first."""
+    kept: list[int] = []
+    for k in np.argsort(-weight, kind="stable"):
+        if not kept or (((c[kept] - c[k]) ** 2).sum(axis=1) > spacing * spacing).all():
+            kept.append(int(k))
+    return c[kept]
+
+
+def choose_cells(x: np.ndarray, c: np.ndarray, n: int, reach: float, block: int) -> np.ndarray:
+    """Of the centroids thinned to some spacings, and of one alone, those by which the n rows that ``x`` is a sample of are exchanged least."""
+    weight = np.bincount(_cells_of(x, c, 0.0)[0], minlength=len(c))
+    options = [_thin(c, weight, k * reach) for k in SPACINGS] + [x.mean(axis=0)[None]]
+    probe = x[:4000]
+
+    def exchanged(cells: np.ndarray) -> float:
+        placed = _cells_of(probe, cells, reach)[1].sum(axis=0) * (n / len(probe))
+        return float((placed * np.ceil(placed / block)).sum())
+
+    return min(options, key=exchanged)
+
+
+def _route(centroids: dict[int, np.ndarray], reach: float):
+    """Rows to their own cell and to the cells before it whose border is within reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,17 +131,16 @@ def _route(centroids: dict[int, np.ndarray], overlap: int):
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 c = centroids[int(dim)]
-                some = min(overlap, len(c))
                 for part in np.array_split(rows, max(1, len(rows) * len(c) // 2_000_000)):
                     x = np.frombuffer(b"".join(blobs[i] for i in part), dtype=np.float64).reshape(len(part), dim)
-                    d = (c * c).sum(axis=1) - 2 * x @ c.T
-                    near = np.sort(np.argpartition(d, some - 1, axis=1)[:, :some], axis=1).astype(np.int64)
-                    r = np.repeat(np.arange(len(part)), some)
-                    lists = near.tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[part][r]), pa.array(copies[part][r]), pa.array(np.full(len(r), dim)), pa.array(near.ravel()), pa.array([lists[k] for k in r], pa.list_(pa.int64())), pa.array([blobs[part[k]] for k in r], pa.binary())],
-                        ["id", "copies", "dim", "cell", "cells", "v"],
-                    )
+                    home, near = _cells_of(x, c, reach)
+                    every, cells = np.nonzero(near)
+                    for a in range(0, len(every), 20_000):
+                        r, cell = every[a : a + 20_000], cells[a : a + 20_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[part][r]), pa.array(copies[part][r]), pa.array(np.full(len(r), dim)), pa.array(cell), pa.array(home[r]), pa.array([blobs[part[k]] for k in r], pa.binary())],
+                            ["id", "copies", "dim", "cell", "home", "v"],
+                        )
 
     return run
 
@@ -249,37 +293,60 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _first_shared(cells: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The first cell that both ends of each pair are in."""
-    out = np.empty(len(i), dtype=np.int64)
-    for a in range(0, len(i), 500_000):
-        x, y = cells[i[a : a + 500_000]], cells[j[a : a + 500_000]]
-        both = (x[:, :, None] == y[:, None, :]).any(axis=2)
-        out[a : a + 500_000] = np.where(both, x, np.iinfo(np.int64).max).min(axis=1)
-    return out
+def _dense(v: np.ndarray, threshold: float, audit: int = 64) -> bool:
+    """Whether the rows have so many links that comparing all is cheaper than expanding ranges."""
+    n = len(v)
+    test = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(np.int64))
+    return n * ((v[test] @ v.T >= threshold).sum() / len(test) - 1) > DENSE_PAIRS
+
+
+def exact_links(v: np.ndarray, threshold: float, counted, copies: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The copies that each row links with in counted pairs, and the smallest position reachable from it, by comparing all."""
+    n = len(v)
+    links, root = np.zeros(n), np.arange(n)
+    weight = copies.astype(np.float64)
+    for a in range(0, n, rows):
+        i = np.arange(a, min(n, a + rows))
+        s = v[i] @ v.T >= threshold
+        s[np.arange(len(i)), i] = False
+        links[i] = (s & counted(i[:, None], np.arange(n)[None])) @ weight
+        while True:
+            apart = s & (root[i][:, None] != root[None])
+            some = np.flatnonzero(apart.any(axis=1))
+            if not len(some):
+                break
+            p, q = root[i[some]], root[apart[some].argmax(axis=1)]
+            root = _forest(n, np.concatenate([p, q]), np.concatenate([q, p]))[root]
+    return links, root
 
 
 def _search_group(threshold: float):
     def run(group: pa.Table) -> pa.Table:
-        ids, copies, side = group.column("id").to_numpy(), group.column("copies").to_numpy(), group.column("side").to_numpy()
-        cells = np.array(group.column("cells").to_pylist(), dtype=np.int64)
+        ids, copies, side, home = (group.column(c).to_numpy() for c in ("id", "copies", "side", "home"))
         cell, a, b, dim = (group.column(c)[0].as_py() for c in ("cell", "a", "b", "dim"))
         v = np.frombuffer(b"".join(group.column("v").to_pylist()), dtype=np.float64).reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
-        ids, copies, cells, side, v = ids[order], copies[order], cells[order], side[order], v[order]
-        i, j = shard_links(v, threshold)
-        root = _forest(len(ids), i, j)
-        counted = _first_shared(cells, i, j) == cell
-        if a != b:
-            counted &= side[i] != side[j]
-        links = np.bincount(i[counted], weights=copies[j[counted]], minlength=len(ids)).astype(np.int64)
+        ids, copies, home, side, v = ids[order], copies[order], home[order], side[order], v[order]
+
+        def counted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            here = np.minimum(home[i], home[j]) == cell
+            return here & (side[i] != side[j]) if a != b else here
+
+        if _dense(v, threshold):
+            links, root = exact_links(v, threshold, counted, copies)
+        else:
+            i, j = shard_links(v, threshold)
+            root = _forest(len(ids), i, j)
+            here = counted(i, j)
+            links = np.bincount(i[here], weights=copies[j[here]], minlength=len(ids))
+        links = links.astype(np.int64)
         some = (links > 0) | (root != np.arange(len(ids)))
         return pa.table({"id": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(ids[root[some]])})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     plain = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     ready = table(plain.mapInArrow(_usable, "id bigint, dim bigint, h1 bigint, h2 bigint, v binary"), "vectors")
@@ -293,15 +360,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     for dim, n in sizes.items():
         rows = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow().column("v").to_pylist()
         x = np.frombuffer(b"".join(rows), dtype=np.float64).reshape(-1, dim)
-        centroids[dim] = fit_centroids(x, min(n // cell_rows, len(x) // 8))
-    routed = table(reps.select("id", "copies", "v").mapInArrow(_route(centroids, overlap), "id bigint, copies bigint, dim bigint, cell bigint, cells array<bigint>, v binary"), "routed")
+        centroids[dim] = choose_cells(x, fit_centroids(x, min(n // cell_rows, len(x) // 8)), n, _reach(threshold), block)
+    routed = table(reps.select("id", "copies", "v").mapInArrow(_route(centroids, _reach(threshold)), "id bigint, copies bigint, dim bigint, cell bigint, home bigint, v binary"), "routed")
     # As many rows as there are cells, which the sample bounds.
     blocks = routed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     blocks = table(blocks, "cell-blocks")
     dealt = routed.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A row of block k meets every block: pairs (a, b), a <= b, with k at either end.
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b")))
-    paired = dealt.withColumn("p", F.explode(every)).select("id", "copies", "dim", "cell", "cells", "v", F.col("p.a").alias("a"), F.col("p.b").alias("b"), (F.col("block") == F.col("p.b")).cast("int").alias("side"))
+    paired = dealt.withColumn("p", F.explode(every)).select("id", "copies", "dim", "cell", "home", "v", F.col("p.a").alias("a"), F.col("p.b").alias("b"), (F.col("block") == F.col("p.b")).cast("int").alias("side"))
     found = table(paired.groupBy("dim", "cell", "a", "b").applyInArrow(_search_group(threshold), "id bigint, links bigint, root bigint"), "vector-links")
     roots = table(components(found.select(F.col("id").alias("src"), F.col("root").alias("dst"))), "vector-roots")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
