@@ -139,6 +139,25 @@ def test_base_scores_equal_plain_counting(spark):
     assert lm.score_documents(docs(spark, texts).where("false")).count() == 0
 
 
+def test_contexts_are_counted_over_all_documents(spark):
+    texts = [*AWKWARD, *[(100 + i, f"the cat{i} sat on the mat{i % 7} the end") for i in range(60)], (900, "a rare" + " the long tail" * 3000)]
+    df = docs(spark, texts).selectExpr("doc_id id", "text body")
+    toks = lambda t: [*(t or "").encode().lower().split(), None]
+    code = lambda w: int(lm.END if w is None else np.uint64(hash_bytes(w)))
+    counts, pairs = Counter(), Counter()
+    for _, t in texts:
+        h = [code(w) for w in toks(t)]
+        counts.update(h)
+        pairs.update((h[i], h[j]) for i in range(len(h)) for j in range(max(0, i - 5), min(len(h), i + 6)) if i != j)
+    top = [{"h": int(np.uint64(h).view(np.int64)), "c": c} for h, c in counts.items()]
+    got = lm.count_contexts(df.repartition(3), top)
+    head = lm._frequent(top)
+    slot = lm._common(head)
+    common = {int(s): int(h) for h, s in zip(head.hashes, slot, strict=False) if s >= 0}
+    want = [[pairs[int(h), common[s]] if s in common else 0 for s in range(lm.COMMON)] for h in head.hashes]
+    assert got.tolist() == want and (got.sum(axis=1) > 0).sum() == sum(any(r) for r in want) > 60
+
+
 def test_model_beats_the_base(spark):
     got = queries.QUERIES["op8_lm_scoring"](spark, SF).collect()
     held = [r for r in got if r.held_out]

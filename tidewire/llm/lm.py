@@ -3,7 +3,9 @@
     P(word | before) = P(class of word | state) * P(word | class)
 
 Word counts are taken over all training documents by a distributed aggregation. The ``head`` most frequent words
-and the end token fall into classes: clusters of words that share contexts, cut into bands of frequency.
+and the end token fall into classes: clusters of words that share contexts, cut into bands of frequency. Contexts are
+counted over all training documents too: every task counts (head word, common word) pairs up to ``REACH`` words apart,
+and the counts are summed in buckets of head words; the result is bounded by ``head`` x ``COMMON``.
 All other words form the tail class, whose words are weighed by their exact counts, plus one, with one
 share left for all unseen words. A gated recurrent network over class sequences predicts the next class.
 
@@ -42,8 +44,8 @@ WINDOW, TRAIN_LANES, SCORE_LANES = 32, 32, 256
 MIN_UPDATES = 120
 #: Tokens that are scored together.
 SCORE_TOKENS = 600_000
-#: Rows of training documents from which word contexts are counted for the clusters: a bounded sample.
-CONTEXT_ROWS = 3000
+#: The most frequent words that make up a context, how far away they may be, and head words of a bucket.
+COMMON, REACH, BUCKET = 160, 5, 128
 END = np.uint64(0xE7037ED1A0B428DB)
 _LN10 = np.log(10.0)
 
@@ -245,27 +247,79 @@ def _clusters(contexts: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12
     return own
 
 
-def make_head(top: list, sample: list[np.ndarray], tail_total: int, *, clusters: int = CLUSTERS, bands: int = BANDS) -> Head:
-    """Classes of the frequent words. Class 0 is the end token, class 1 the tail."""
+def _frequent(top: list) -> Head:
+    """The head words, not yet in classes."""
     hashes = np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64)
     counts = np.array([r["c"] for r in top], dtype=np.int64)
     order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
+    return Head(hashes[order], counts[order], np.full(len(top), 2, dtype=np.int64), np.zeros(len(top)), 3)
+
+
+def _common(head: Head) -> np.ndarray:
+    """Of each head word, which of the common ones it is; -1 if none. One more -1 stands for no word."""
+    slot = np.full(len(head.hashes) + 1, -1, dtype=np.int64)
+    common = np.argsort(-head.counts, kind="stable")[:COMMON]
+    slot[common] = np.arange(len(common))
+    return slot
+
+
+def _contexts(head: Head):
+    """Of a task's documents, the pairs (head word, common word) and their counts, packed by buckets of head words."""
+    n = len(head.hashes)
+    slot = _common(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * COMMON, dtype=np.int32)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch, "body"):
+                h, first = tokens(data, offsets)
+                at, there = head.look_up(h)
+                # Gaps between documents, so that no pair crosses from one to the next.
+                spread = np.full(len(h) + REACH * len(first), n, dtype=np.int64)
+                spread[np.arange(len(h)) + REACH * np.repeat(np.arange(len(first) - 1), np.diff(first))] = np.where(there, at, n)
+                which = slot[spread]
+                for gap in range(1, REACH + 1):
+                    for a, b in ((spread[:-gap], which[gap:]), (spread[gap:], which[:-gap])):
+                        ok = (a < n) & (b >= 0)
+                        np.add.at(total, a[ok] * COMMON + b[ok], np.int32(1))
+        code = np.flatnonzero(total)
+        edges = np.searchsorted(code, np.arange(0, n + BUCKET, BUCKET) * COMMON)
+        for k in range(len(edges) - 1):
+            if edges[k + 1] > edges[k]:
+                part = code[edges[k] : edges[k + 1]]
+                packed = ((part - k * BUCKET * COMMON) << 32) | total[part]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed.astype("<i8").tobytes()], pa.binary())], ["bucket", "packed"])
+
+    return run
+
+
+def _sum_bucket(group: pa.Table) -> pa.Table:
+    total = np.zeros(BUCKET * COMMON, dtype=np.int64)
+    for blob in group.column("packed"):
+        packed = np.frombuffer(blob.as_buffer(), dtype="<i8")
+        total[packed >> 32] += packed & 0xFFFFFFFF  # a code occurs once in a blob
+    return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def count_contexts(docs: DataFrame, top: list) -> np.ndarray:
+    """How often each head word (by hash) stands near each common word, over all documents."""
+    head = _frequent(top)
+    out = np.zeros((-(-len(top) // BUCKET) * BUCKET, COMMON), dtype=np.float32)
+    if not len(top):
+        return out
+    summed = docs.select("body").mapInArrow(_contexts(head), "bucket bigint, packed binary").groupBy("bucket").applyInArrow(_sum_bucket, "bucket bigint, counts binary")
+    for batch in summed.toArrow().to_batches():  # as many as there are buckets of head words
+        for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("counts"), strict=True):
+            out[k * BUCKET : (k + 1) * BUCKET] = np.frombuffer(blob.as_buffer(), dtype=np.int64).reshape(BUCKET, COMMON)
+    return out[: len(top)]
+
+
+def make_head(top: list, contexts: np.ndarray, *, clusters: int = CLUSTERS, bands: int = BANDS) -> Head:
+    """Classes of the frequent words, given their contexts. Class 0 is the end token, class 1 the tail."""
+    words_ = _frequent(top)
+    hashes, counts, cls = words_.hashes, words_.counts, words_.cls
     n_classes = 2 + clusters * bands
-    cls = np.full(len(hashes), 2, dtype=np.int64)
     if len(hashes):
-        common = np.argsort(-counts, kind="stable")[:160]
-        slot = np.full(len(hashes) + 1, -1)
-        slot[common] = np.arange(len(common))
-        contexts = np.zeros((len(hashes), len(common)), dtype=np.float32)
-        probe = Head(hashes, counts, cls, np.zeros(len(hashes)), n_classes)
-        for h in sample:
-            at, there = probe.look_up(h)
-            at = np.where(there, at, len(hashes))
-            for gap in range(1, 6):
-                for a, b in ((at[:-gap], at[gap:]), (at[gap:], at[:-gap])):
-                    ok = (a < len(hashes)) & (slot[b] >= 0)
-                    np.add.at(contexts, (a[ok], slot[b[ok]]), 1)
         own = _clusters(contexts, counts.astype(np.float64), clusters)
         for j in range(clusters):
             inside = np.flatnonzero(own == j)
@@ -329,12 +383,8 @@ def train(docs: DataFrame, *, head_words: int = HEAD_WORDS, share: int = TRAIN_S
     sizes = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(sizes["n"]), int(sizes["v"])
     top = counts.orderBy(F.desc("c"), "h").limit(head_words).collect()  # bounded by head_words
-    sample: list[np.ndarray] = []
-    chosen = docs.select("id", "body").where(F.length("body") < 20_000).orderBy(F.xxhash64("id"), "id").limit(CONTEXT_ROWS)
-    for batch in docs.join(F.broadcast(chosen.select(F.col("id").alias("_s"))), F.col("id") == F.col("_s")).mapInArrow(_hashes, "h binary").toArrow().to_batches():
-        sample += [np.frombuffer(x, dtype=np.uint64) for x in batch.column("h").to_pylist()]
     tail_total = n - sum(r["c"] for r in top)
-    head = make_head(top, sample, tail_total)
+    head = make_head(top, count_contexts(docs, top))
     mass = np.bincount(head.cls, weights=head.counts, minlength=head.n_classes).astype(np.float64) if len(head.cls) else np.zeros(head.n_classes)
     mass[1] = tail_total
     gru = Gru.fresh(head.n_classes, np.log((mass + 0.5) / (mass.sum() + 0.5 * head.n_classes)))
@@ -348,13 +398,6 @@ def train(docs: DataFrame, *, head_words: int = HEAD_WORDS, share: int = TRAIN_S
     return Model(head, gru, counts, n, v, tail_total, v - len(top))
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, end, data, offsets in text_chunks(batch, "body"):
-            h, first = tokens(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array([h[first[i] : first[i + 1]].tobytes() for i in range(end - at)], pa.binary())], ["h"])
-
-
 def class_scores(gru: Gru, cls: np.ndarray, first: np.ndarray, *, lanes: int = SCORE_LANES, window: int = WINDOW) -> np.ndarray:
     """Natural-log likelihood of each document's class sequence; the state is carried through the whole document."""
     sizes = np.diff(first)
