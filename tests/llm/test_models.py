@@ -158,6 +158,25 @@ def test_contexts_are_counted_over_all_documents(spark):
     assert got.tolist() == want and (got.sum(axis=1) > 0).sum() == sum(any(r) for r in want) > 60
 
 
+def test_network_learns_from_every_training_document(spark):
+    texts = [*AWKWARD, *[(100 + i, f"the cat{i} sat on the mat " * (i % 5)) for i in range(200)]]
+    model = lm.train(docs(spark, texts).selectExpr("doc_id id", "text body"), head_words=50)
+    assert model.trained == model.n == sum(len((t or "").encode().lower().split()) + 1 for _, t in texts)
+
+
+@pytest.mark.parametrize("n", [1, 31, 70, 2050])
+def test_no_token_of_a_stream_is_left_out(monkeypatch, n):
+    seen = []
+
+    def spy(model, inputs, fresh, target, h0):
+        seen.append(target.ravel())
+        return [np.zeros_like(p) for p in model.params()], h0, 0.0
+
+    monkeypatch.setattr(lm, "gradients", spy)
+    lm.train_on(lm.Gru.fresh(5, np.zeros(5), hidden=4), np.arange(n), np.arange(n) == 0, updates=1)
+    assert set(np.concatenate(seen).tolist()) == set(range(n))
+
+
 def test_model_beats_the_base(spark):
     got = queries.QUERIES["op8_lm_scoring"](spark, SF).collect()
     held = [r for r in got if r.held_out]

@@ -9,9 +9,10 @@ and the counts are summed in buckets of head words; the result is bounded by ``h
 All other words form the tail class, whose words are weighed by their exact counts, plus one, with one
 share left for all unseen words. A gated recurrent network over class sequences predicts the next class.
 
-Training is truncated back-propagation through time in numpy: every task trains on its own share of a fixed
-fraction of the training documents (it grows with the input), the parameters are averaged by the tokens
-trained on, and the next round starts from the average with another share. Scoring reads every text once, whole:
+Training is truncated back-propagation through time in numpy: the training documents are parted by a hash of the id
+into as many shares as there are rounds, so that the network learns from every one. In a round every task trains on
+its own part of the round's share, the parameters are averaged by the tokens trained on, and the next round starts from
+the average with the next share. Scoring reads every text once, whole:
 documents run in lanes, windows of steps at a time, with the state carried from window to window and reset
 between documents. The terms of tail words do not depend on order, so their counts are joined afterwards,
 as (document, word, times) rows; no vocabulary is broadcast but the bounded head.
@@ -38,9 +39,10 @@ from tidewire.llm._text import hash_bytes, lower, span_hashes, text_chunks, word
 HEAD_WORDS = 1 << 16
 CLUSTERS, BANDS = 8, 6
 HIDDEN = 24
-#: One in TRAIN_SHARE of the training documents trains the network in each of ROUNDS rounds.
-TRAIN_SHARE, ROUNDS = 16, 2
-WINDOW, TRAIN_LANES, SCORE_LANES = 32, 32, 256
+#: The training documents are dealt to this many rounds of training.
+ROUNDS = 2
+#: Streams that are long enough for MIN_UPDATES updates with more lanes train up to MOST_LANES at once.
+WINDOW, TRAIN_LANES, MOST_LANES, SCORE_LANES = 32, 32, 256, 256
 MIN_UPDATES = 120
 #: Tokens that are scored together.
 SCORE_TOKENS = 600_000
@@ -166,12 +168,13 @@ def train_on(model: Gru, stream: np.ndarray, opens: np.ndarray, *, lanes: int =
     """Truncated back-propagation over a stream of classes; ``opens`` marks the first token of each document."""
     end = 0
     n = len(stream)
-    lanes = max(1, min(lanes, n // window))
-    per = n // lanes
-    if per < 2:
+    if not n:
         return model
-    target = stream[: per * lanes].reshape(lanes, per).T
-    fresh = opens[: per * lanes].reshape(lanes, per).T.copy()
+    lanes = max(1, min(lanes, n // window), min(MOST_LANES, n // (window * updates)))
+    per = -(-n // lanes)
+    # The last lane is filled up from the beginning, so that no token is left out.
+    target = np.resize(stream, per * lanes).reshape(lanes, per).T
+    fresh = np.resize(opens, per * lanes).reshape(lanes, per).T.copy()
     inputs = np.empty_like(target)
     inputs[1:] = target[:-1]
     inputs[0] = end
@@ -375,9 +378,10 @@ class Model:
     v: int
     tail_total: int
     tail_types: int
+    trained: int  # tokens that the network learned from
 
 
-def train(docs: DataFrame, *, head_words: int = HEAD_WORDS, share: int = TRAIN_SHARE, rounds: int = ROUNDS) -> Model:
+def train(docs: DataFrame, *, head_words: int = HEAD_WORDS, rounds: int = ROUNDS) -> Model:
     """docs: id, body, the training documents."""
     counts = table(docs.select("body").mapInArrow(_count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
     sizes = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -388,14 +392,16 @@ def train(docs: DataFrame, *, head_words: int = HEAD_WORDS, share: int = TRAIN_S
     mass = np.bincount(head.cls, weights=head.counts, minlength=head.n_classes).astype(np.float64) if len(head.cls) else np.zeros(head.n_classes)
     mass[1] = tail_total
     gru = Gru.fresh(head.n_classes, np.log((mass + 0.5) / (mass.sum() + 0.5 * head.n_classes)))
+    trained = 0
     for i in range(rounds):
-        slice_ = docs.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(share)) == i % share).select("body")
+        slice_ = docs.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(rounds)) == i).select("body")
         learnt = slice_.mapInArrow(_trainer(head, gru), "n bigint, w array<double>")
-        parts = learnt.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
+        parts = learnt.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").alias("n"))
         rows = parts.orderBy("i").collect()  # as many as the network has parameters
         if rows:
             gru = gru.unpack(np.array([r["x"] for r in rows]))
-    return Model(head, gru, counts, n, v, tail_total, v - len(top))
+            trained += int(rows[0]["n"])
+    return Model(head, gru, counts, n, v, tail_total, v - len(top), trained)
 
 
 def class_scores(gru: Gru, cls: np.ndarray, first: np.ndarray, *, lanes: int = SCORE_LANES, window: int = WINDOW) -> np.ndarray:
