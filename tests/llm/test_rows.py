@@ -133,6 +133,16 @@ def test_rates_meet_the_targets(spark):
     assert applied == Counter({r.doc_id: r.copies for r in out if r.copies})
 
 
+def test_rates_meet_the_targets_of_the_queries(spark):
+    df, labels = mixture(spark)
+    df = df.crossJoin(spark.range(6).withColumnRenamed("id", "again")).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("again")).drop("again")
+    labels = labels.crossJoin(spark.range(6).withColumnRenamed("id", "again")).select((F.col("id") + 1000 * F.col("again")).alias("id"), "domain")
+    out = mixing.mix(df, labels).collect()
+    total = sum(r.tokens * r.rate for r in out)
+    for d, share in mixing.TARGETS.items():
+        assert abs(sum(r.tokens * r.rate * r[f"p_{d}"] for r in out) / total - share) < 0.01 * share
+
+
 def test_projected_solution_is_optimal():
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
