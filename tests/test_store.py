@@ -72,6 +72,30 @@ def test_redaction(spark):
     assert body["count"] == 3 and body["records"][0]["flow_id"] == 0 and "internal addresses" in body["redaction"]
 
 
+def test_redact_text_query_covers_all_texts(spark, tmp_path):
+    import ipaddress
+    import re
+
+    from tidewire.plans import registry
+
+    def addresses(text):
+        n = 0
+        for run in re.findall(r"[0-9A-Fa-f.:]+", text or ""):
+            try:
+                n += ipaddress.ip_address(run).version > 0 if "." in run or run.count(":") >= 2 else 0
+            except ValueError:
+                pass
+        return n
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    odd = ["Version 2.0. Host 10.1.2.3 is up", "see 10.0.0.1. Then 192.168.7.9 (9.x)", "10.2.3.4 in 1999.", "no address in 3.", "from 2001:db8::1 at 5. of May", "", None]
+    rows += [(10**9 + i, t) for i, t in enumerate(odd)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: addresses(t) for i, t in rows if addresses(t)}
+    assert {10**9 + i: want.get(10**9 + i, 0) for i in range(7)} == dict(zip(range(10**9, 10**9 + 7), [1, 1, 1, 0, 1, 0, 0], strict=True))
+    assert {r.doc_id: r.hidden for r in registry.QUERIES["redact_text"](spark, str(tmp_path)).collect()} == want
+
+
 def test_segments(spark, tmp_path):
     from tidewire.operators.rollups import aggregate_flows
 
