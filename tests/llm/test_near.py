@@ -89,6 +89,26 @@ def test_large_group_of_near_copies_goes_through_the_branches(spark):
         assert [got[i] for i in range(len(rows))] == want
 
 
+def test_trees_reach_the_recall_at_every_depth():
+    """Pairs with the threshold's share of equal minwise tokens, walked down all trees that are planted by that depth."""
+    rng = np.random.default_rng(3)
+    n = 150
+    a = rng.integers(0, 2**32, (n, near_dedup.COORDINATES), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+    sig = np.concatenate([a, b])
+    for depth in (4, 16, 22):
+        trees = max(near_dedup.TREES, near_dedup.trees_for(depth, 0.8, near_dedup.RECALL))
+        met = np.zeros(n, dtype=bool)
+        for t in range(trees):
+            root = near_dedup.mix64(np.array([t + 1], dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+            rows, node = near_dedup._walk(np.arange(2 * n), np.repeat(root, 2 * n), sig, depth, 0.25)
+            nodes = [set() for _ in range(2 * n)]
+            for r, x in zip(rows.tolist(), node.tolist(), strict=True):
+                nodes[r].add(x)
+            met |= np.array([bool(nodes[i] & nodes[n + i]) for i in range(n)])
+        assert met.mean() >= 0.96, (depth, trees)
+
+
 def test_near_awkward(spark):
     assert near_dedup.near_dedup(docs(spark, AWKWARD).where("false")).count() == 0
     got = near_dedup.near_dedup(docs(spark, [(None, "a b"), (None, None), (3, "a b"), (3, "a b")]), shingle=2).collect()

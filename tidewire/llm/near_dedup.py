@@ -7,7 +7,9 @@ Each remaining set gets a signature of minwise tokens. In each of ``trees`` inde
 starts at the root; a node selects, by a hash of its path, one coordinate of the signature and with probability
 1/threshold - 1 a second one, and the document moves to the child named by its token there. Two documents of
 similarity s share s/threshold children of a common node on average, so that pairs at or above the threshold
-survive to any depth with a fair chance while others die out; independent trees lift the recall to the target.
+survive to any depth with a fair chance while others die out; independent trees lift the recall to ``recall``. The
+deeper a node, the fewer such pairs are left in one tree: documents of nodes that branch on are planted in as many
+more trees as a pair at the threshold needs at the next depth (``trees_for``).
 Paths need no other document, so whole levels are computed at once and only (node, id) rows are shuffled.
 
 Nodes of at most ``small`` documents are compared exhaustively. A larger node compares everyone with one pivot;
@@ -39,7 +41,8 @@ from tidewire.llm.graph import components
 
 THRESHOLD = 0.8
 SHINGLE = 5
-TREES = 12
+#: Trees that all documents are in, and the share of pairs at the threshold that must share a node at any depth.
+TREES, RECALL = 12, 0.99
 COORDINATES = 128
 SKETCH = COORDINATES
 SLACK = 0.145
@@ -132,15 +135,33 @@ def _walk(rows: np.ndarray, node: np.ndarray, sig: np.ndarray, levels: int, bran
     return rows, node
 
 
+def trees_for(depth: int, threshold: float, recall: float) -> int:
+    """Trees in which a pair at the threshold shares a node of this depth with probability ``recall``.
+
+    The pair agrees in a binomial number of coordinates; given that, its shared nodes are a branching process.
+    """
+    k = np.arange(COORDINATES + 1)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, COORDINATES + 1)))))
+    weight = np.exp(logs[-1] - logs[k] - logs[COORDINATES - k] + k * np.log(threshold) + (COORDINATES - k) * np.log(max(1e-12, 1 - threshold)))
+    s, branch = k / COORDINATES, 1 / threshold - 1
+    gone = np.zeros(len(k))
+    for _ in range(depth):
+        gone = (1 - s + s * gone) * (1 - branch * s + branch * s * gone)
+    trees = 1
+    while (weight * gone**trees).sum() > 1 - recall:
+        trees += 1
+    return trees
+
+
 def _sig_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
 
-def _plant(trees: int, levels: int, branch: float):
+def _plant(trees: int, levels: int, branch: float, first: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig, ids = _sig_rows(batch.column("sig")), np.array(batch.column("id").to_pylist(), dtype=np.int64)
-            for t in range(trees):
+            for t in range(first, trees):
                 root = mix64(np.array([t + 1], dtype=np.uint64) * _u(0xD1B54A32D192ED03))
                 rows, node = _walk(np.arange(len(ids)), np.repeat(root, len(ids)), sig, levels, branch)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[rows])], ["node", "id"])
@@ -316,7 +337,7 @@ class _Join:
             self.add(self.verify(rest, n))
 
 
-def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL, few_pairs: int = FEW_PAIRS, max_depth: int = MAX_DEPTH) -> DataFrame:
+def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL, few_pairs: int = FEW_PAIRS, max_depth: int = MAX_DEPTH, recall: float = RECALL) -> DataFrame:
     """docs: id, body -> id, n (size of the set), component (smallest id reachable by links)."""
     branch = 1 / threshold - 1
     signed = table(docs.mapInArrow(_sign(shingle), "id bigint, n bigint, h1 bigint, h2 bigint, sig binary"), "signatures")
@@ -327,6 +348,7 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOL
     reps = table(chosen.select("id", "sig", F.substring("sig", 1, 4 * SKETCH).alias("sk4")).mapInArrow(_shorten, "id bigint, sig binary, sk binary"), "representatives", rows=n_docs, file_rows=FILE_DOCS)
     state = _Join(docs, reps, shingle, threshold)
 
+    trees = max(trees, trees_for(FIRST_DEPTH, threshold, recall))
     front = reps.select("id", "sig").mapInArrow(_plant(trees, FIRST_DEPTH, branch), "node bigint, id bigint")
     depth, n_front = FIRST_DEPTH, int(n_docs * trees * (1 / threshold) ** FIRST_DEPTH)
     while True:
@@ -356,9 +378,15 @@ def link(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOL
             state.consider(_across(left), n_active * n_active)
         if last or left.isEmpty():
             break
-        front = table(left.select("node", "id").join(reps.select("id", "sig"), "id").mapInArrow(_branch(STEP_DEPTH, branch), "node bigint, id bigint"), "front", rows=int(n_active * 1.25**STEP_DEPTH))
-        n_front = front.count()
+        branched = left.select("node", "id").join(reps.select("id", "sig"), "id").mapInArrow(_branch(STEP_DEPTH, branch), "node bigint, id bigint")
         depth += STEP_DEPTH
+        wanted = max(trees, trees_for(depth, threshold, recall))
+        if wanted > trees:
+            again = reps.select("id", "sig").join(left.select("id").distinct(), "id", "left_semi")
+            branched = branched.unionByName(again.mapInArrow(_plant(wanted, depth, branch, trees), "node bigint, id bigint"))
+        front = table(branched, "front", rows=int(n_active * 1.25**STEP_DEPTH + n_docs * (wanted - trees) * 1.25**depth))
+        trees = wanted
+        n_front = front.count()
     out = state.root_of(members, "rep", "component") if state.roots is not None else members.withColumn("component", F.col("rep"))
     return out.select("id", "n", F.coalesce("component", "id").alias("component"))
 
