@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tests.llm.test_rows import AWKWARD, docs
@@ -84,8 +85,8 @@ def test_large_group_of_near_copies_goes_through_the_branches(spark):
     sets = [shingles(t, 2) for _, t in rows]
     want = brute_components(len(rows), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
     plain = docs(spark, rows).selectExpr("doc_id id", "text body")
-    for few in (near_dedup.FEW_PAIRS, 10):
-        got = {r.id: r.component for r in near_dedup.link(plain, shingle=2, few_pairs=few, max_depth=16).collect()}
+    for few in (near_dedup.SETTLE_PAIRS, 10):
+        got = {r.id: r.component for r in near_dedup.link(plain, shingle=2, settle_pairs=few, max_depth=16).collect()}
         assert [got[i] for i in range(len(rows))] == want
 
 
@@ -115,6 +116,47 @@ def test_near_awkward(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got) == [(-1, 0, -1), (-1, 1, 3), (3, 1, 3), (3, 1, 3)]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    words = lambda c: [f"{c}{i}" for i in range(60)]
+    rows = [(1, " ".join(words("a"))), (1, " ".join(words("b"))), (2, " ".join([*words("a")[:-1], "x"])), (3, " ".join([*words("b")[:-1], "y"])), (4, " ".join(words("c"))), (4, " ".join(words("c")))]
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_dedup(docs(spark, rows), shingle=2).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+
+
+def test_spread_group_is_settled_in_cells_of_any_size(spark, monkeypatch):
+    """Copies whose similarities lie around the threshold, in cells of few documents and few bytes, equal brute force."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        w = base[:]
+        for k in rng.sample(range(120), rng.choice([2, 3, 4, 6, 9])):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t, 2) for _, t in rows]
+    want = brute_components(len(rows), lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert 1 < len(set(want)) < len(want) - 10
+    plain = docs(spark, rows).selectExpr("doc_id id", "text body")
+    for block, bits in ((near_dedup.BLOCK_DOCS, near_dedup.BIT_BYTES), (25, 0)):
+        monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
+        monkeypatch.setattr(near_dedup, "BIT_BYTES", bits)
+        got = {r.id: r.component for r in near_dedup.link(plain, shingle=2).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
+def test_overlaps_equal_counting():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120)).astype(np.uint64)) for _ in range(40)]
+    column = pa.chunked_array([pa.array([s.tobytes() for s in sets], pa.binary())])
+    for others in (np.arange(3), np.arange(40)):
+        want = [len(np.intersect1d(sets[7], sets[y])) for y in others]
+        o = near_dedup._Overlap(column)
+        assert o(7, others).tolist() == want
+        if len(others) > 4:
+            o.bits = None
+            assert o(7, others).tolist() == want
+
+
 def test_vector_links_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(300, 16))
