@@ -63,8 +63,11 @@ SMALL = 16
 SETTLE_PAIRS = 200_000_000
 #: Rows of an Arrow batch that holds full sets.
 BATCH_ROWS = 64
-#: Documents, and bytes of their sets, of one of the two blocks of a cell.
-BLOCK_DOCS, BLOCK_BYTES = 1500, 8_000_000
+#: Documents, and bytes of their sets, of one of the two blocks of a cell. A document goes to as many cells as its node has
+#: blocks, so a block is as large as a task's memory and time allow: 16 MB of sets, some seconds of comparisons.
+BLOCK_DOCS, BLOCK_BYTES = 6000, 8_000_000
+#: Rows of a file, and so of a task, that cells are compared in.
+CELL_ROWS = 5_000
 #: Bytes of a cell's table of which document holds which shared shingle, beyond which shingles are counted one by one.
 BIT_BYTES = 32_000_000
 #: Ids that are broadcast at most to pick the texts whose sets are wanted.
@@ -460,6 +463,7 @@ class _Join:
         least = self.threshold - SLACK
         rows = table(rows.select("node", "id", "root", "main").join(self.sketches, "id"), "settled", rows=n_rows)
         hopeful = self._cells(rows, n_rows).groupBy("node", "a", "b").applyInArrow(_hopeful(least, self.percent), "node bigint, id bigint")
+        hopeful = table(hopeful, "hopeful-cells", rows=n_rows, file_rows=CELL_ROWS)
         hopeful = table(hopeful.distinct(), "hopeful", rows=n_rows)
         n = hopeful.count()
         if not n:
@@ -469,7 +473,7 @@ class _Join:
         with settings(rows.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
             some = table(rows.join(hopeful, ["node", "id"], "left_semi"), "hopeful-rows", rows=n)
             dealt = self._cells(some, n).join(sets, "id")
-            found = table(dealt.groupBy("node", "a", "b").applyInArrow(_bridge(least, self.percent), "a bigint, b bigint"), "bridges", rows=n)
+            found = table(dealt.groupBy("node", "a", "b").applyInArrow(_bridge(least, self.percent), "a bigint, b bigint"), "bridges", rows=n, file_rows=CELL_ROWS)
         self.add(found.distinct())
 
 
