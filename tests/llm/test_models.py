@@ -31,7 +31,7 @@ def test_crf_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     x, first = rng.normal(size=(7, 3)).astype(np.float32), np.array([0, 3, 4, 7])
     m = quality.Crf(rng.normal(size=3).astype(np.float32), rng.normal(size=(2, 2)), rng.normal(size=2))
-    p, pairs, log_z = m.marginals(x, first)
+    p, pairs, log_z = m.marginals((x @ m.weights).astype(np.float64), first)
     total, all_pairs = 0.0, np.zeros((2, 2))
     for a, b in itertools.pairwise(first):
         scores, z = {}, 0.0
@@ -55,7 +55,72 @@ def test_line_features_split_like_python():
     x, weight, first = quality.line_features(data, offsets)
     assert np.diff(first).tolist() == [len(t.split("\n")) for t in texts]
     assert (weight - 1).tolist() == [float(len(line)) for t in texts for line in t.split("\n")]
-    assert x.shape[1] == quality.FEATURES
+    assert quality.own_features(x).shape[1] == quality.OWN
+
+
+def _lines(texts):
+    raw = [t.encode() for t in texts]
+    return quality.line_features(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def test_lines_are_weighed_with_their_neighbours(monkeypatch):
+    numbers, _, first = _lines(["one two\nTHREE!!\n", "", "a b c\n\nd $$$ e", "x"])
+    rng = np.random.default_rng(4)
+    m = quality.Crf(rng.normal(size=quality.FEATURES).astype(np.float32), np.zeros((2, 2)), np.zeros(2))
+    own, zero = quality.own_features(numbers), np.zeros(quality.OWN, dtype=np.float32)
+    want = []
+    for a, b in itertools.pairwise(first):
+        for i in range(a, b):
+            row = np.concatenate([own[i], own[i - 1] if i > a else zero, own[i + 1] if i + 1 < b else zero, [1]])
+            want.append(float(row @ m.weights))
+    for lines in (quality.LINES, 2):
+        monkeypatch.setattr(quality, "LINES", lines)
+        assert np.allclose(m.emissions(numbers, first), want, atol=1e-4)
+
+
+def test_chain_labels_the_lines_of_mixed_documents():
+    """Documents are labelled; bad ones are half made of good lines, in runs. The field tells the lines apart and learns switches."""
+    rng = np.random.default_rng(6)
+    vocab = [f"{c}{v}{d}" for c in "bdklmnrst" for v in "aeiou" for d in "nrst"]
+    good = lambda: " ".join(rng.choice(vocab, rng.integers(8, 16))) + "."
+    bad = lambda: " ".join(["BUY!!!", "$$$", "###", "NOW!!"][int(k)] for k in rng.integers(0, 4, rng.integers(12, 20)))
+    texts, labels, truth = [], [], []
+    for k in range(300):
+        runs = [1] * 8 if k % 2 else [0] * 4 + [1] * 3 + [0] * 4
+        texts.append("\n".join(good() if r else bad() for r in runs))
+        labels.append(k % 2)
+        truth += runs
+    numbers, weight, first = _lines(texts)
+    model = quality.fit(numbers, weight, first, np.array(labels))
+    marginals, pairs, _ = model.marginals(model.emissions(numbers, first), first)
+    p = marginals[:, 1]
+    assert ((p >= 0.5) == np.array(truth, dtype=bool)).mean() > 0.95
+    assert 120 < pairs[0, 1] < 180 and 120 < pairs[1, 0] < 180  # each of 150 bad documents switches twice
+    assert (((quality._weighted(p, weight, first)) >= quality.CUT) == np.array(labels)).mean() > 0.95
+
+
+def test_quality_keeps_columns_whatever_their_names(spark):
+    df = spark.createDataFrame([(1, "a fine line of text", "x"), (2, None, None)], "doc_id bigint, text string, _QUALITY_TEXT string")
+    model = quality.Crf(np.zeros(quality.FEATURES, dtype=np.float32), np.zeros((2, 2)), np.zeros(2))
+    assert sorted(map(tuple, quality.keep_good(df, model).collect())) == [(1, "a fine line of text", "x"), (2, None, None)]
+
+
+def test_a_text_of_many_lines_takes_little_memory():
+    import tracemalloc
+
+    data, offsets = np.frombuffer(b"\n" * 400_000, dtype=np.uint8), np.array([0, 400_000])
+    model = quality.Crf(np.zeros(quality.FEATURES, dtype=np.float32), np.zeros((2, 2)), np.zeros(2))
+    tracemalloc.start()
+    assert model.read(data, offsets)[2].tolist() == [0.5]
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_labels_that_differ_are_not_learned_from(spark, module):
+    df = spark.createDataFrame([(i, f"plain words {i}") for i in range(20)], "doc_id bigint, text string")
+    both = spark.createDataFrame([(i, y, y) for i in range(20) for y in (0, 1)], "doc_id bigint, quality int, toxic int")
+    assert all(abs(r.score - 0.5) < 0.01 for r in module.classify(df, both).collect())
 
 
 def _held_out(spark, name, label):

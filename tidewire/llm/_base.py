@@ -75,5 +75,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def agreed_labels(labels: DataFrame) -> DataFrame:
+    """(id, label) of ids that have one label, 0 or 1; null ids and ids with labels that differ are left out."""
+    known = labels.where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    return known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm._base import agreed_labels
 from tidewire.llm._text import hash_bytes, lower, span_hashes, text_chunks, words
 
 TRAIN_ROWS = 20_000
@@ -329,7 +330,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1
 
 def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Model:
     """docs: id, body. labels: id, label, rows to learn from only."""
-    sample = labels.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(train_rows)
+    sample = agreed_labels(labels).orderBy(F.xxhash64("id"), "id").limit(train_rows)
     sizes = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("a")).first()
     n, a = int(sizes["n"]), int(sizes["a"])
     chars = count_chars(docs)
