@@ -1,9 +1,10 @@
 """Licence scan: TF-IDF cosine of header sentences and licence files to templates, inherited down directories.
 
-Every sentence or line of every text that holds a licence word becomes a sparse TF-IDF vector over all such
-sentences of the corpus and the templates, and is compared with the templates by cosine. A document whose
-licence sentences make up most of its words, or whose file name is that of a licence file, is a licence
-file and speaks for its directory. A document without a licence of its own inherits that of the nearest
+Every sentence or line of every text that holds a licence word, and every run of two to ``WRAP`` lines that begins
+at such a line or the one before it (headers are wrapped), becomes a sparse TF-IDF vector and is compared with the
+templates by cosine; the statistics are over all such sentences and lines of the corpus and the templates. A document whose
+licence sentences, or one of whose runs, make up most of its words, or whose file name is that of a licence file, is a
+licence file and speaks for its directory. A document without a licence of its own inherits that of the nearest
 ancestor directory that has one.
 
 Shape of the plan: equal sentences are collapsed before anything is weighed, so a header that a third of
@@ -12,8 +13,9 @@ are resolved once for each distinct directory; all joins back to rows read both
 
 Defined results: null or empty texts have no licence of their own and inherit; a null path has no directory
 and inherits nothing; of equal scores the licence first in the alphabet wins, of several licences in one
-document the best score; of several licence files in a directory the best score; an empty table gives an
-empty result.
+document the best score; of several licence files in a directory the best score; rows that repeat an id and a path
+are one document, which has the best licence of its rows and is a licence file if one of them is; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,12 +56,14 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "Copyright, all rights reserved"),
 ]
-# What a sentence must hold to be looked at; names of licence files without extension.
-MARKS = ["licen", "copyright", "spdx", "permission is hereby", "redistribution and use", "all rights reserved", "public domain", "source code form", "cc0"]
+# Words of which a line must hold one to be looked at; names of licence files without extension.
+MARKS = ["licen", "copyright", "spdx", "hereby", "redistribution", "reserved", "unencumbered", "public domain", "source code form", "cc0"]
 FILE_NAMES = ["license", "licence", "copying", "unlicense", "notice"]
 
 THRESHOLD = 0.75
 FILE_SHARE = 0.5
+#: Lines that a wrapped header takes at most.
+WRAP = 6
 
 
 def _marked(text: Column) -> Column:
@@ -75,7 +79,7 @@ def _terms(text: Column) -> Column:
 
 
 def score_sentences(spark, sentences: DataFrame) -> DataFrame:
-    """Best template of each distinct sentence: (sentence, license, score). Input: sentence, n (its number of occurrences)."""
+    """Best template of each distinct sentence: (sentence, license, score). Input: sentence, n (its number of occurrences as one)."""
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, body string")
     tmpl = templates.select("template", "license", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     words = table(sentences.select("sentence", "n", F.explode(_terms(F.col("sentence"))).alias("term")).groupBy("sentence", "n", "term").agg(F.count(F.lit(1)).alias("tf")), "licence-terms")
@@ -105,18 +109,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     base = docs.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), F.col(text_col).alias("body"))
     rows = base.select("id", "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"))
     sentence = F.lower(F.trim(F.regexp_replace("piece", r"\s+", " ")))
-    pieces = base.where(_marked(F.col("body"))).select(
+    marked = base.where(_marked(F.col("body"))).select(
         "id",
         "path",
+        F.monotonically_increasing_id().alias("row"),
         F.size(F.filter(F.split("body", r"\s+"), lambda w: w != "")).alias("n_words"),
-        F.explode_outer(F.filter(F.split("body", r"\n|(?<=[.!?])\s+"), _marked)).alias("piece"),  # see mixing.lexicon
-    ).where(F.col("piece").isNotNull())
-    found = table(pieces.select("id", "path", "n_words", sentence.alias("sentence"), F.size(F.split(F.trim("piece"), r"\s+")).alias("words")), "licence-sentences")
-    distinct = table(found.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")), "licence-distinct")
+        F.filter(F.split("body", r"\n|(?<=[.!?])\s+"), _marked).alias("sentences"),
+        F.split("body", r"\n").alias("lines"),
+    )
+    # `inline` keeps the arrays from being computed anew for each of their elements.
+    step = lambda df, **named: df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(k) for k, c in named.items()]))))
+    lined = step(marked.select("id", "path", "row", "n_words", F.inline(F.array(F.struct("sentences", "lines")))), flags=F.transform("lines", _marked))
+    starts = step(lined, starts=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("flags", k) | F.coalesce(F.get("flags", k + 1), F.lit(False))))
+    run = lambda k: F.transform(F.sequence(F.lit(2), F.lit(WRAP)), lambda n: F.struct(F.array_join(F.slice("lines", k + 1, n), " ").alias("piece"), F.lit(0).alias("alone"), ((k + n) <= F.size("lines")).alias("whole")))
+    runs = F.filter(F.flatten(F.transform("starts", run)), lambda p: p["whole"])
+    alone = F.transform("sentences", lambda p: F.struct(p.alias("piece"), F.lit(1).alias("alone"), F.lit(True).alias("whole")))
+    pieces = starts.select("id", "path", "row", "n_words", F.inline_outer(F.concat(alone, runs))).where(F.col("piece").isNotNull())
+    found = table(pieces.select("id", "path", "row", "n_words", "alone", sentence.alias("sentence"), F.size(F.split(F.trim("piece"), r"\s+")).alias("words")), "licence-sentences")
+    distinct = table(found.groupBy("sentence").agg(F.sum("alone").alias("n")), "licence-distinct")
     scores = table(score_sentences(spark, distinct).where(F.col("score") >= threshold), "licence-scores")
-    own = found.join(scores, "sentence").groupBy("id", "path").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), (F.sum("words") / F.max("n_words")).alias("share")
+    each = found.join(scores, "sentence").groupBy("id", "path", "row").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"),
+        (F.greatest(F.sum(F.col("words") * F.col("alone")), F.max(F.col("words") * (1 - F.col("alone")))) / F.max("n_words")).alias("share"),
     )
+    own = each.groupBy("id", "path").agg(F.min("b").alias("b"), F.max("share").alias("share"))
     name = F.lower(F.regexp_extract("path", r"([^/.]*)[^/]*$", 1))
     is_file = (F.col("share") >= file_share) | F.coalesce(name.isin(FILE_NAMES), F.lit(False))
     own = table(own.select("id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), is_file.alias("is_file")), "licence-own")

@@ -1,14 +1,14 @@
 """Packing of token sequences into windows by nonnegative least squares over length combinations.
 
 A document is its token ids and an end id. Whole windows are cut off long documents; what remains has a length
-below the window. For a group of documents, shallow combinations of lengths that fill a window exactly (pairs,
-and triples that hold a frequent length) are enumerated from the histogram of remainders; repeat counts
-x >= 0 with A x close to the histogram are solved by a scaled projected gradient, rounded, and laid out as far
-as the histogram has the lengths. Residuals are packed greedily, longest first, and cut where a window is full;
+below the window. For a group of documents, shallow combinations of lengths that fill a window exactly (all pairs,
+and all triples that hold one of the ``FREQUENT`` most frequent lengths) are enumerated from the histogram of
+remainders; repeat counts x >= 0 with A x close to the histogram are solved by a scaled projected gradient until no
+count moves any more, rounded, and laid out as far as the histogram has the lengths. Residuals are packed greedily, longest first, and cut where a window is full;
 the last, open window of a group is cut at powers of two. So no window is padded.
 
 A group is a run of documents of one input partition, closed at ``group_tokens`` tokens: its ids are all that
-a task holds. Nothing is shuffled, and a partition's result depends on its rows alone, so a lost task can be
+a task holds, beside a memo of words that it gives up when it ends. Nothing is shuffled, and a partition's result depends on its rows alone, so a lost task can be
 run again. Sequence ids are the partition's number times 2^32 plus a running number.
 
 Defined results: null and empty texts are the end id alone; a null doc_id stays null; repeated rows are packed
@@ -31,8 +31,12 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 GROUP_TOKENS = 4_000_000
-MAX_PATTERNS = 20_000
-CACHE_WORDS = 1_000_000
+#: Lengths, most frequent first, of whose triples all are enumerated.
+FREQUENT = 12
+#: A sweep of the solver that moves no count by more ends it.
+STILL = 0.01
+#: Stretches that the memo holds in each of its two generations, some 250 bytes each; a quarter as many words.
+CACHE_WORDS = 120_000
 
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -54,6 +58,10 @@ class _Memo(dict):
         self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self._old = {}
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable characters that byte-level vocabularies use for bytes: themselves, or the next from 256 on."""
@@ -91,9 +99,13 @@ class WordEncoder:
             spelt = part if part.isascii() else "".join(letters[b] for b in part.encode())
             return b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(spelt))
 
-        parts = _Memo(of_part, cache_words // 4)
+        self._words = parts = _Memo(of_part, cache_words // 4)
         simple, split = self._simple.fullmatch, self._parts.findall
-        self._cache = _Memo(lambda word: b"".join(map(parts.__getitem__, split(word))) if simple(word) else ids(word), cache_words // 2)
+        self._cache = _Memo(lambda word: b"".join(map(parts.__getitem__, split(word))) if simple(word) else ids(word), cache_words)
+
+    def forget(self) -> None:
+        self._words.forget()
+        self._cache.forget()
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not (text.isascii() or not self._other.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -110,32 +122,27 @@ def encoder(path: str | None = None) -> WordEncoder:
     return _encoders[path]
 
 
-def patterns(histogram: np.ndarray, window: int, most: int = MAX_PATTERNS) -> np.ndarray:
-    """Rows (a, b, c) of lengths, a >= b >= c, c = 0 in pairs, that the histogram holds and that fill the window."""
+def patterns(histogram: np.ndarray, window: int, frequent: int = FREQUENT) -> np.ndarray:
+    """Rows (a, b, c) of lengths, a >= b >= c, c = 0 in pairs, that the histogram holds and that fill the window: all
+    pairs, and all triples that hold one of the ``frequent`` most frequent lengths."""
     lengths = np.flatnonzero(histogram)
     lengths = lengths[lengths > 0]
     small = lengths[lengths * 2 <= window]
     large = window - small
     have = histogram[large] > 0
     found = [np.stack([large[have], small[have], np.zeros(int(have.sum()), dtype=lengths.dtype)], axis=1)]
-    left = most - len(found[0])
-    frequent = lengths[np.argsort(-histogram[lengths], kind="stable")]
-    for c in frequent:
-        if left <= 0:
-            break
+    for c in lengths[np.argsort(-histogram[lengths], kind="stable")][:frequent]:
         b = lengths
         a = window - c - b
-        ok = (a >= b) & (b >= 1) & (a < window)
+        ok = (a >= b) & (a < window)
         b, a = b[ok], a[ok]
         ok = histogram[a] > 0
-        rows = -np.sort(-np.stack([a[ok], b[ok], np.full(int(ok.sum()), c)], axis=1), axis=1)[:left]
-        found.append(rows)
-        left -= len(rows)
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), dtype=np.int64)
+        found.append(-np.sort(-np.stack([a[ok], b[ok], np.full(int(ok.sum()), c)], axis=1), axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
-def solve_counts(rows: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Nonnegative repeat counts x that bring A x near the histogram in the least-squares sense."""
+def solve_counts(rows: np.ndarray, histogram: np.ndarray, rounds: int = 1000, still: float = STILL) -> np.ndarray:
+    """Nonnegative repeat counts x that bring A x near the histogram in the least-squares sense; solved once a sweep moves no count by more than ``still``."""
     if not len(rows):
         return np.zeros(0)
     h = histogram.astype(np.float64).copy()
@@ -150,7 +157,9 @@ def solve_counts(rows: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> n
         got = np.bincount(rows.ravel(), weights=(x[:, None] * live).ravel(), minlength=size)
         got[0] = 0
         step = ((h - got) * row_scale)[rows] * live
-        x = np.maximum(0, x + 1.8 * step.sum(axis=1) * col_scale)
+        before, x = x, np.maximum(0, x + 1.8 * step.sum(axis=1) * col_scale)
+        if np.abs(x - before).max() <= still:
+            break
     return x
 
 
@@ -253,18 +262,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
         ids: list = []
         blobs: list[bytes] = []
         held = 0
-        for batch in batches:
-            names, texts = batch.column("id"), batch.column("body")
-            for i in range(len(names)):
-                blob = encode(texts[i].as_py() or "") + end
-                ids.append(names[i].as_py())
-                blobs.append(blob)
-                held += len(blob) // 4
-                if held >= group_tokens:
-                    out, base = _emit(ids, blobs, base, window)
-                    yield out
-                    ids, blobs, held = [], [], 0
-        if blobs:
-            yield _emit(ids, blobs, base, window)[0]
+        try:
+            for batch in batches:
+                names, texts = batch.column("id"), batch.column("body")
+                for i in range(len(names)):
+                    blob = encode(texts[i].as_py() or "") + end
+                    ids.append(names[i].as_py())
+                    blobs.append(blob)
+                    held += len(blob) // 4
+                    if held >= group_tokens:
+                        out, base = _emit(ids, blobs, base, window)
+                        yield out
+                        ids, blobs, held = [], [], 0
+            if blobs:
+                yield _emit(ids, blobs, base, window)[0]
+        finally:
+            encode.forget()  # a worker may serve other stages next
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, PIECE_SCHEMA)

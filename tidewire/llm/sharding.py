@@ -9,7 +9,8 @@ The table's size is a parameter, not a function of the data, so it travels insid
 literal of two bytes a slot (128 KiB for the default): nothing is shuffled and no join is planned.
 
 Defined results: a null key hashes like the empty string; repeated rows get the same shard; an empty
-table gives an empty result; other columns of the input are left as they are.
+table gives an empty result; other columns of the input are left as they are, and a result column whose name the
+input has already (in any case) gets as many underscores behind it as make it new.
 """
 
 from __future__ import annotations
@@ -62,6 +63,15 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, *, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """``df`` with the slot and the shard index of each row."""
     packed = b"".join(owner.to_bytes(2, "big") for owner in fill(shards, slots))
-    slot = slot_of(F.col(key), slots)
+    slot = slot_of(F.col(f"`{key}`"), slots)
     cell = F.substr(F.lit(bytearray(packed)), F.lit(2) * slot + 1, F.lit(2))
-    return df.withColumns({slot_col: slot, shard_col: F.conv(F.hex(cell), 16, 10).cast("int")})
+    taken = {c.lower() for c in df.columns}
+
+    def fresh(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        return name
+
+    shard = F.conv(F.hex(cell), 16, 10).cast("int")
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], slot.alias(fresh(slot_col)), shard.alias(fresh(shard_col)))
