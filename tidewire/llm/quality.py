@@ -8,7 +8,8 @@ Training: labels are of documents, so those of lines are hidden. At first every
 and is learned by its own features alone (with neighbours or transitions, a document's lines would never differ). Then, in
 turns, the lines of bad documents get the field's own marginals as labels, tilted towards bad as little as makes good lines
 at most ``BAD_SHARE`` of the document's length, and the expected log-likelihood of the whole field is maximised by Adam in
-numpy: good lines inside bad documents are learned as good, and so are the transitions between good and bad. Training reads a bounded sample of labelled
+numpy: good lines inside bad documents are learned as good, and so are the transitions between good and bad. In the end the
+log-loss of the documents' own scores is lowered, through forward-backward, until bad documents are below ``ENOUGH``. Training reads a bounded sample of labelled
 rows (``train_rows``, by a hash of the id), of which only the lines' own features reach the driver. Scoring is one pass over
 all texts without a shuffle: a batch's lines are featurised from the Arrow buffer, each line's features are weighed
 for itself and for its two neighbours at once, some lines at a time, and forward-backward runs over all
@@ -36,7 +37,9 @@ from tidewire.llm._text import span_hashes, text_chunks, words
 TRAIN_ROWS = 6000
 CUT = 0.3
 #: Most of a bad document's length that its good lines take while it is learned from.
-BAD_SHARE = 0.25
+BAD_SHARE = 0.1
+#: A bad document whose score is below is bad enough to be left as it is.
+ENOUGH = 0.1
 #: A tilt of a line's score that decides its label.
 SURE = 30.0
 #: Bytes of text, and lines, whose features are held at once.
@@ -213,7 +216,7 @@ def _hidden(model: Crf, good: np.ndarray, weight: np.ndarray, first: np.ndarray,
     return p[:, 1], pairs, p[first[:-1]].sum(axis=0)
 
 
-def fit(numbers: np.ndarray, weight: np.ndarray, first: np.ndarray, labels: np.ndarray, *, steps: int = 150, rounds: int = 3, again: int = 60, rate: float = 0.05, decay: float = 1e-4) -> Crf:
+def fit(numbers: np.ndarray, weight: np.ndarray, first: np.ndarray, labels: np.ndarray, *, steps: int = 100, rounds: int = 2, again: int = 40, last: int = 120, rate: float = 0.05, decay: float = 1e-4) -> Crf:
     """Maximum likelihood: of lines by themselves that bear the document's label, then of the label sequences expected under it."""
     share = float(labels.mean()) if len(labels) else 0.5
     model = Crf(np.zeros(FEATURES, dtype=np.float32), np.zeros((2, 2)), np.zeros(2), share)
@@ -232,23 +235,45 @@ def fit(numbers: np.ndarray, weight: np.ndarray, first: np.ndarray, labels: np.n
         return (own[:, 0] + _from_before(own[:, 1], first) + _from_after(own[:, 2], first) + model.weights[-1]).astype(np.float64)
 
     theta = np.zeros(FEATURES + 6)
-    for turn in range(rounds + 1):
-        if turn:
-            y, pairs_y, opening = _hidden(model, emissions(), weight, first, labels)
+    each = np.repeat(np.arange(docs), inner + 1)
+    share_of = weight / np.add.reduceat(weight, first[:-1])[each]  # of a line in its document's length
+
+    def climb(steps: int, rate: float, gradient) -> None:
+        """Adam along what ``gradient`` gives for line scores, label pairs and first labels."""
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        for step in range(1, (again if turn else steps) + 1):
-            p, pairs, _ = model.marginals(emissions(), first)
-            r = (y - p[:, 1]).astype(np.float32)
+        for step in range(1, steps + 1):
+            by_line, by_pair, by_start, scale = gradient(emissions())
+            r = by_line.astype(np.float32)
             # A line's residual goes to its own features, and to its neighbours'.
-            g_w = np.concatenate([x.T @ r, x.T @ _from_after(r, first), x.T @ _from_before(r, first), [r.sum()]]) / n - decay * theta[:FEATURES]
-            g_t = (pairs_y - pairs).ravel() / n - decay * theta[-6:-2]
-            g_s = (opening - p[first[:-1]].sum(axis=0)) / docs - decay * theta[-2:]
-            g = np.concatenate([g_w, g_t, g_s])
-            if not turn:
+            g_w = np.concatenate([x.T @ r, x.T @ _from_after(r, first), x.T @ _from_before(r, first), [r.sum()]]) / scale - decay * theta[:FEATURES]
+            g = np.concatenate([g_w, by_pair.ravel() / scale - decay * theta[-6:-2], by_start / docs - decay * theta[-2:]])
+            if alone:
                 g[OWN : 3 * OWN] = g[-6:] = 0  # each line by itself
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            theta += (rate if not turn else rate / 3) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            model.weights, model.trans, model.start = theta[:FEATURES].astype(np.float32), theta[-6:-2].reshape(2, 2), theta[-2:]
+            m[:], v[:] = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta[:] += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            model.weights, model.trans, model.start = theta[:FEATURES].astype(np.float32), theta[-6:-2].reshape(2, 2).copy(), theta[-2:].copy()
+
+    def likelihood(good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        p, pairs, _ = model.marginals(good, first)
+        return y - p[:, 1], pairs_y - pairs, opening - p[first[:-1]].sum(axis=0), n
+
+    def document(good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Of the log-loss of documents' scores. A score is linear in the marginals, whose derivatives are covariances of the
+        labels: along one direction, those are a difference of two runs of forward-backward."""
+        value = np.clip(_weighted(model.marginals(good, first)[0][:, 1], weight, first), 1e-3, 1 - 1e-3)
+        pull = np.where(labels == 1, 1 / value, np.where(value > ENOUGH, -1 / (1 - value), 0.0))
+        way = pull[each] * share_of
+        tiny = 1e-4 / max(1e-9, float(np.abs(way).max()))
+        (p, up, _), (q, down, _) = (model.marginals(good + t * way, first) for t in (tiny, -tiny))
+        return (p - q)[:, 1] / (2 * tiny), (up - down) / (2 * tiny), (p - q)[first[:-1]].sum(axis=0) / (2 * tiny), docs
+
+    alone = True
+    climb(steps, rate, likelihood)
+    alone = False
+    for _ in range(rounds):
+        y, pairs_y, opening = _hidden(model, emissions(), weight, first, labels)
+        climb(again, rate / 3, likelihood)
+    climb(last, rate / 5, document)
     return model
 
 
