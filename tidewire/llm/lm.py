@@ -405,11 +405,14 @@ def train(docs: DataFrame, *, head_words: int = HEAD_WORDS, rounds: int = ROUNDS
 
 
 def class_scores(gru: Gru, cls: np.ndarray, first: np.ndarray, *, lanes: int = SCORE_LANES, window: int = WINDOW) -> np.ndarray:
-    """Natural-log likelihood of each document's class sequence; the state is carried through the whole document."""
+    """Natural-log likelihood of each document's class sequence; the state is carried through the whole document.
+
+    Documents are dealt to lanes as long as the longest one; there are only as many lanes as keep what is laid out within
+    about four times the tokens, so a long document beside short ones takes no more memory than its own length asks for."""
     sizes = np.diff(first)
     n_docs = len(sizes)
     order = np.argsort(-sizes, kind="stable")
-    lanes = max(1, min(lanes, n_docs))
+    lanes = max(1, min(lanes, n_docs, 4 * int(sizes.sum()) // max(1, int(sizes.max(initial=0)))))
     load = np.zeros(lanes, dtype=np.int64)
     members: list[list[int]] = [[] for _ in range(lanes)]
     import heapq
