@@ -2,13 +2,16 @@
 
 Writers disguise words by look-alike signs (1d10t), by parting the letters (i d i o t, i.d.i.o.t) and by
 repeating them (idiooot). Every word or run of single letters that shows such signs becomes a lattice: each
-observed character offers the letters it may stand for, with a channel cost. Viterbi decoding under a character
-trigram model, counted over all words of all documents, picks the likeliest restored word. The restored text's
-words are looked up in a lexicon of words that mark label 1, learned from labelled rows, and a logistic model
-over the evidence gives the score.
-
-A word without such signs has a lattice of one path, so only the others are decoded, each distinct one once per
-chunk of text. All passes read whole texts from Arrow buffers without a shuffle of texts; what is shuffled are
+observed character offers the letters it may stand for, with a channel cost, and between single letters a word may
+end. Viterbi decoding under a character trigram model, counted over all words of all documents, picks the likeliest
+restored word or words; its states are pairs of letters, all of which are kept. The restored text's words are looked
+up in a lexicon of words that mark label 1, learned from labelled rows, and a logistic model over the evidence gives
+the score.
+
+Which words are decoded: those with a look-alike sign next to a letter, two parting signs, or a letter thrice; and, as
+doubled letters, u for v and single parting signs are common in plain words, those others that could be restored to
+a word of the lexicon at all: the channel may drop repeats and parting signs and swap u and v, so they share its
+skeleton, the word without any of these. Each distinct word is decoded once per task. All passes read whole texts from Arrow buffers without a shuffle of texts; what is shuffled are
 word counts of the labelled sample. The lexicon is bounded (``lexicon_words``), the character model is 29^3
 numbers, the labelled sample is ``train_rows`` rows by a hash of the id.
 
@@ -61,7 +64,7 @@ _OPENING[list(b"$@!(|+*")] = True
 _CLOSING[list(b"$@")] = True
 #: Decoded words that a task keeps before it starts afresh.
 DECODED_WORDS = 200_000
-COST_SIGN, COST_DROP_REPEAT, COST_DROP_SIGN, COST_KEEP_REPEAT = 0.7, 0.2, 1.0, 0.1
+COST_SIGN, COST_DROP_REPEAT, COST_DROP_SIGN, COST_KEEP_REPEAT, COST_WORD = 0.7, 0.2, 1.0, 0.1, 0.5
 
 
 def cores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,57 +111,78 @@ def char_counts(data: np.ndarray) -> np.ndarray:
     return counts.ravel()
 
 
-def decode(word: str, model: CharModel) -> str:
-    """The likeliest restored word for an observed one (lower-case)."""
-    edge = 0
-    beam: dict[tuple[int, int, str], tuple[float, str]] = {(edge, edge, ""): (0.0, "")}
-    for ch in word:
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
+def viterbi(observed: str, model: CharModel, parts: bool = False) -> tuple[float, str]:
+    """Value and text of the likeliest restored word for an observed one (lower-case); with ``parts``, words with blanks between.
+
+    A state is the last two classes; what else a step looks at is the observed character before, which all paths share.
+    """
+    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    last = ""
+    for ch in observed:
+        if parts:
+            ends = [(value + float(model.log[a, b, 0]) - COST_WORD, text + " ") for (a, b), (value, text) in states.items() if b]
+            if ends and max(ends)[0] > states.get((0, 0), (-math.inf, ""))[0]:
+                states = states | {(0, 0): max(ends)}
+        after: dict[tuple[int, int], tuple[float, str]] = {}
 
-        def offer(key: tuple[int, int, str], value: float, text: str, after=after) -> None:
-            if key not in after or after[key][0] < value:
+        def offer(key: tuple[int, int], value: float, text: str, after=after) -> None:
+            if key not in after or after[key] < (value, text):
                 after[key] = (value, text)
 
-        for (a, b, last), (value, text) in beam.items():
-            options = LOOKS.get(ch, "") if not ch.isalpha() else LOOKS.get(ch, ch)
+        letter_like = ch.isalpha()
+        options = LOOKS.get(ch, ch if letter_like else "")
+        for (a, b), (value, text) in states.items():
             for letter in options:
                 c = ord(letter) - 96 if "a" <= letter <= "z" else 27
-                cost = 0.0 if letter == ch else COST_SIGN
-                if last == ch:
-                    cost += COST_KEEP_REPEAT
-                offer((b, c, ch), value + float(model.log[a, b, c]) - cost, text + letter)
-            if ch.isalpha():
-                if last == ch or (text and text[-1] == ch):
-                    offer((a, b, ch), value - COST_DROP_REPEAT, text)
+                cost = (0.0 if letter == ch else COST_SIGN) + (COST_KEEP_REPEAT if last == ch else 0.0)
+                offer((b, c), value + float(model.log[a, b, c]) - cost, text + letter)
+            if letter_like:
+                if last == ch or (0 < b < 27 and LETTERS[b - 1] == ch):
+                    offer((a, b), value - COST_DROP_REPEAT, text)
             elif not ch.isdigit() or last == ch:
-                offer((a, b, ch), value - (COST_DROP_REPEAT if last == ch else COST_DROP_SIGN), text)
+                offer((a, b), value - (COST_DROP_REPEAT if last == ch else COST_DROP_SIGN), text)
         if not after:
-            return ""
-        beam = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:64]) if len(after) > 64 else after
-    best = max(beam.items(), key=lambda kv: kv[1][0] + float(model.log[kv[0][0], kv[0][1], edge]))
-    return best[1][1]
+            return -math.inf, ""
+        states, last = after, ch
+    value, text = max((value + float(model.log[a, b, 0]), text) for (a, b), (value, text) in states.items())
+    return value, text.strip()
+
+
+def decode(observed: str, model: CharModel, parts: bool = False) -> str:
+    return viterbi(observed, model, parts)[1]
 
 
-def _edge_runs(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int, of: np.ndarray, most: int) -> np.ndarray:
-    """Length of the run of signs ``of`` that begins at ``lo`` and goes by ``step`` to ``hi``; 0 where it is longer than ``most``."""
-    length = np.zeros(len(lo), dtype=np.int64)
-    alive = np.ones(len(lo), dtype=bool)
-    for k in range(most + 1):
-        at = lo + step * k
-        alive &= (at < hi) if step > 0 else (at >= hi)
-        alive[alive] = of[data[at[alive]]]
-        length += alive
-    return np.where(length > most, 0, length)
+def _run_before(of: np.ndarray) -> np.ndarray:
+    """At each place, and behind the last, the length of the run of ``of`` that ends right before it."""
+    spots = np.arange(len(of) + 1)
+    fresh = np.where(np.concatenate(([True], ~of)), spots, 0)
+    return spots - np.maximum.accumulate(fresh)
 
 
 def bodies(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words without punctuation around them, but with up to two edge signs that look like letters."""
+    """Words without punctuation around them, but with the edge signs that look like letters."""
     s, e = cores(data, starts, ends)
     some = e > s
-    before, after = np.zeros(len(s), dtype=np.int64), np.zeros(len(s), dtype=np.int64)
-    before[some] = _edge_runs(data, s[some] - 1, starts[some], -1, _OPENING, 2)
-    after[some] = _edge_runs(data, e[some], ends[some], 1, _CLOSING, 2)
-    return s - before, e + after
+    opening = np.minimum(_run_before(_OPENING[data])[s], s - starts)
+    closing = np.minimum(_run_before(_CLOSING[data][::-1])[::-1][e], ends - e)
+    return s - np.where(some, opening, 0), e + np.where(some, closing, 0)
+
+
+def skeletons(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words without parting signs and repeats, v as u."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    word = np.zeros(len(data) + 1, dtype=np.int32)
+    word[starts] = 1
+    word = np.cumsum(word)[:-1]  # which word a byte is in, counted from 1; what lies between words does not matter
+    keep = ~_PART[data]
+    plain, of = data[keep], word[keep]
+    again = np.zeros(len(plain), dtype=bool)
+    plain = np.where(plain == 118, np.uint8(117), plain)
+    again[1:] = (plain[1:] == plain[:-1]) & (of[1:] == of[:-1])
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    single = np.concatenate(([0], np.cumsum(~again)))
+    return span_hashes(plain[~again], single[kept[starts]], single[kept[ends]])
 
 
 def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -194,30 +218,41 @@ def single_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per_text
     return [(int(a), int(b)) for a, b in zip(first, last, strict=True) if b - a >= 3]
 
 
-def restored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per_text: np.ndarray, model: CharModel) -> tuple[np.ndarray, list[bytes], list[tuple[int, int, str]]]:
-    """Of each decoded spot: its text, its restored word; and (first word, end word, word) for rebuilding the text."""
+def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), dtype=bool)
+    return sorted_values[np.searchsorted(sorted_values, values).clip(max=len(sorted_values) - 1)] == values
+
+
+def restored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per_text: np.ndarray, model: CharModel, known: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes], list[tuple[int, int, str]]]:
+    """Of each restored word: its text, the word; and (first word, end word, words) for rebuilding the text. ``known``: sorted skeletons of the lexicon."""
     where: list[int] = []
     found: list[bytes] = []
     spans: list[tuple[int, int, str]] = []
     raw = data.tobytes()
     seen = model.decoded
 
-    def take(observed: bytes, first: int, end: int) -> None:
-        word = seen.get(observed)
-        if word is None:
+    def take(observed: bytes, first: int, end: int, parts: bool) -> None:
+        key = (observed, parts)
+        text = seen.get(key)
+        if text is None:
             if len(seen) > DECODED_WORDS:
                 seen.clear()
-            word = seen[observed] = decode(observed.decode("utf-8", "ignore"), model)
-        if word:
-            where.append(first)
-            found.append(word.encode())
-            spans.append((first, end, word))
+            text = seen[key] = decode(observed.decode("utf-8", "ignore"), model, parts)
+        if text:
+            for word in text.split(" "):
+                where.append(first)
+                found.append(word.encode())
+            spans.append((first, end, text))
 
     s, e = bodies(data, starts, ends)
-    for k in np.flatnonzero(disguised(data, s, e)):
-        take(raw[s[k] : e[k]], int(k), int(k) + 1)
+    shown = disguised(data, s, e)
+    if known is not None and len(known):
+        shown |= _within(known, skeletons(data, s, e)) & (e > s)
+    for k in np.flatnonzero(shown):
+        take(raw[s[k] : e[k]], int(k), int(k) + 1, False)
     for a, b in single_runs(data, starts, ends, per_text):
-        take(b"".join(raw[starts[k] : ends[k]] for k in range(a, b)), a, b)
+        take(b"".join(raw[starts[k] : ends[k]] for k in range(a, b)), a, b, True)
     doc = np.searchsorted(per_text, np.array(where, dtype=np.int64), side="right") - 1 if where else np.zeros(0, dtype=np.int64)
     return doc, found, spans
 
@@ -230,7 +265,7 @@ def _hash_words(found: list[bytes]) -> np.ndarray:
     return span_hashes(joined, ends - np.array([len(w) for w in found]), ends)
 
 
-def evidence(data: np.ndarray, offsets: np.ndarray, model: CharModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def evidence(data: np.ndarray, offsets: np.ndarray, model: CharModel, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word hash) of all distinct words of restored texts, and the number of words of each text."""
     data = lower(data)
     starts, ends, per_text = words(data, offsets)
@@ -238,7 +273,7 @@ def evidence(data: np.ndarray, offsets: np.ndarray, model: CharModel) -> tuple[n
     some = e > s
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(per_text))
     h = span_hashes(data, s[some], e[some])
-    more, found, _ = restored(data, starts, ends, per_text, model)
+    more, found, _ = restored(data, starts, ends, per_text, model, known)
     return np.concatenate([doc[some], more]), np.concatenate([h, _hash_words(found)]), np.diff(per_text)
 
 
@@ -249,10 +284,11 @@ class Model:
     weights: np.ndarray
     coef: np.ndarray
     prior: float
+    skeletons: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))  # of the lexicon's words, sorted
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        doc, h, _ = evidence(data, offsets, self.chars)
+        doc, h, _ = evidence(data, offsets, self.chars, self.skeletons)
         x = np.zeros((n, 4))
         x[:, 0] = 1
         if len(self.hashes) and len(h):
@@ -314,6 +350,30 @@ def learn_lexicon(sample: DataFrame, chars: CharModel, n: int, positive: int, mo
     return hashes[order], weights[order]
 
 
+def lexicon_skeletons(sample: DataFrame, chars: CharModel, hashes: np.ndarray) -> np.ndarray:
+    """The sorted skeletons of the lexicon's words, which the sample spells out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch, "body"):
+                data = lower(data)
+                starts, ends, per_text = words(data, offsets)
+                s, e = cores(data, starts, ends)
+                some = e > s
+                s, e = s[some], e[some]
+                hit = _within(hashes, span_hashes(data, s, e))
+                found = restored(data, starts, ends, per_text, chars)[1]
+                more = np.frombuffer(b"".join(found), dtype=np.uint8)
+                last = np.cumsum([len(w) for w in found], dtype=np.int64)
+                first = last - np.array([len(w) for w in found], dtype=np.int64)
+                held = _within(hashes, span_hashes(more, first, last))
+                out = np.unique(np.concatenate([skeletons(data, s[hit], e[hit]), skeletons(more, first[held], last[held])]))
+                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], ["h"])
+
+    got = sample.select("body").mapInArrow(run, "h bigint").distinct().collect()  # no more than the lexicon has words
+    return np.sort(np.array([r["h"] for r in got], dtype=np.int64).view(np.uint64))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> np.ndarray:
     """Ridge logistic regression by Newton's method."""
     coef = np.zeros(x.shape[1])
@@ -341,7 +401,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -
     # At most `train_rows` ids and labels are broadcast.
     chosen = docs.join(F.broadcast(sample), "id").select(F.col("label").cast("int").alias("label"), "body")
     hashes, weights = learn_lexicon(chosen, chars, n, a)
-    model = Model(chars, hashes, weights, np.zeros(4), share)
+    model = Model(chars, hashes, weights, np.zeros(4), share, lexicon_skeletons(chosen, chars, hashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +432,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select(F.col("id").alias("doc_id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def restore(texts: list[str], model: CharModel) -> list[str]:
+def restore(texts: list[str], model: CharModel, known: np.ndarray | None = None) -> list[str]:
     """Texts with disguised words restored, lower-cased: the operator's own output for a reader."""
     out = []
     for text in texts:
@@ -380,7 +440,7 @@ def restore(texts: list[str], model: CharModel) -> list[str]:
         data = lower(raw)
         offsets = np.array([0, len(data)])
         starts, ends, per_text = words(data, offsets)
-        spans = {a: (b, w) for a, b, w in restored(data, starts, ends, per_text, model)[2]}
+        spans = {a: (b, w) for a, b, w in restored(data, starts, ends, per_text, model, known)[2]}
         parts, k, body = [], 0, data.tobytes()
         while k < len(starts):
             if k in spans:
