@@ -1,25 +1,30 @@
 """Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards.
 
-Equal vectors are collapsed to the smallest id first. Centroids are fitted on a bounded sample
-(``sample_rows``). A row is placed in its own cell and in every cell before it whose border is within the chord of
-the threshold: a link that crosses a border has both ends that near to it, so the two ends of any link meet in the
-first of their own cells. Centroids nearer than a spacing are thinned to one, so that a group of near copies is not
-cut up, and of some spacings the one is taken at which the sample has the fewest rows to exchange; where vectors are
-spread so that every border is near, that is a single cell, dealt in blocks. Within a shard a flat graph is built: each vector's nearest
-candidates and some random far ones are thinned by robust pruning, and edges are made mutual. Each vector is
-searched for from the shard's medoid and from its own node: a greedy beam first, then the range expands through
-every node within the threshold until none is new. The union of the shards' adjacency lists is the graph; a link
-that several shards find is counted in the first of its ends' own cells, so once.
-
-Every shard audits itself: exact neighbours of some nodes are compared with what the search found, and the shard
-is built again with a pool twice as wide while its recall is short of ``recall``. Every link is verified by the
-cosine in double precision. A shard whose audit promises more than ``DENSE_PAIRS`` links is compared exhaustively,
-row by row, and its pairs are never held at once. Cells with more than ``block`` rows are dealt as pairs of blocks, so that a group that
-holds a third of all rows never meets in one task.
+Equal vectors are collapsed first. Centroids are fitted on a bounded sample (``sample_rows``), and vectors are dealt to
+regions: a row goes to its own and to every region before it whose border is nearer than a margin, so that the two
+ends of a link meet in the first of their own regions. Centroids nearer than a spacing are thinned to one, so that a
+group of near copies is not cut up, and of some spacings the one is taken at which the sample has the fewest rows to
+exchange. Regions with more than ``block`` rows are dealt as pairs of blocks, so that a group that holds a third of
+all rows never meets in one task.
+
+Within a region rows are shared out to shards, each to its ``OVERLAP`` nearest of them. A shard's graph starts at random
+and grows by search and prune: every node is searched for from medoids over the graph so far, what the search met
+is thinned by robust pruning to the node's new edges, and edges are made mutual. The adjacency lists of all shards are
+united to one flat graph, over which each vector is searched for from the medoids nearest to it and its own node: a
+greedy beam first, then the range expands through every node within the threshold until none is new. Each region audits itself: exact
+neighbours of some nodes are compared with what was found, and the graph is grown again by a longer search while
+its recall is short of ``RECALL``; every link is verified by the cosine in double precision. A region whose audit
+promises more than ``DENSE_PAIRS`` links is compared exhaustively, row by row, and its pairs are never held at once.
+
+The margin is a part of the chord of the threshold: the ends of a link part by that chord at most, and of it, in any
+one direction, by about its share 1/sqrt(dimension); the margin is ``SPREAD`` times that. The result is then audited as a
+whole: the exact links of ``audit_rows`` rows against all rows, in blocks, beside those found; while the recall is short
+of ``RECALL``, margins are doubled and the search is done again, at last with the whole chord, which no link can exceed.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components link with nothing;
-vectors of different length are never compared; rows of null id take part under no component; repeated rows
-count as copies of each other; an empty table gives an empty result; labels and other columns are not read.
+vectors of different length are never compared; rows that share an id but not a vector are vectors of their own; a
+component bears the smallest id that is not null of its rows; repeated rows count as copies of each other; an empty
+table gives an empty result; labels and other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +42,21 @@ from tidewire.llm.graph import components
 
 THRESHOLD = 0.95
 SAMPLE_ROWS = 20_000
-CELL_ROWS = 1000
+CELL_ROWS = 4000
 BLOCK = 8000
+SHARD_ROWS, OVERLAP = 1000, 2
 #: Centroids are thinned to spacings of these multiples of the reach of a link.
 SPACINGS = (1.0, 1.5, 2.0, 3.0)
 DENSE_PAIRS = 2_000_000
-NEAR, WITHIN, FAR, POOL, ALPHA = 16, 8, 8, 48, 1.2
+DEGREE, POOL, ALPHA, PASSES = 16, 32, 1.2, 2
 BEAM, HOPS = 12, 8
+#: Rows for each medoid, and the medoids that a search enters at.
+MEDOID_ROWS, ENTRIES = 48, 3
 RECALL = 0.98
+#: Standard deviations of a link's part along one direction that the margin covers at first.
+SPREAD = 3.0
+#: Rows whose exact links the whole result is audited by.
+AUDIT_ROWS = 1000
 _SLACK = 1e-4
 
 
@@ -52,21 +65,33 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from tidewire.llm._text import span_hashes
 
     for batch in batches:
-        blobs, dims = [], []
-        for x in batch.column("v").to_pylist():
-            v = np.array(x, dtype=np.float64) if x and None not in x else np.zeros(0)
-            blob = None
-            if len(v) and np.isfinite(v).all() and v.any():
-                v = v / np.abs(v).max()
-                blob = (v / np.linalg.norm(v) + 0.0).tobytes()
-            blobs.append(blob)
-            dims.append(len(v) if blob else 0)
-        joined = np.frombuffer(b"".join(b or b"" for b in blobs), dtype=np.uint8)
-        ends = np.cumsum([len(b or b"") for b in blobs], dtype=np.int64)
-        starts = ends - np.array([len(b or b"") for b in blobs], dtype=np.int64)
+        column = batch.column("v")
+        n = len(column)
+        flat = column.flatten()
+        holes = np.asarray(flat.is_null())
+        values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = pc.list_value_length(column).fill_null(0).to_numpy().astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        usable = np.zeros(n, dtype=bool)
+        blobs: list = [None] * n
+        some = np.flatnonzero(sizes > 0)
+        if len(some):
+            at = first[some]
+            with np.errstate(invalid="ignore", over="ignore"):
+                top = np.maximum.reduceat(np.abs(values), at)
+                whole = np.isfinite(top) & (top > 0) & (np.add.reduceat(holes.astype(np.int64), at) == 0)
+                scaled = values / np.repeat(np.where(whole, top, 1.0), sizes[some])
+                unit = scaled / np.repeat(np.sqrt(np.where(whole, np.add.reduceat(scaled * scaled, at), 1.0)), sizes[some]) + 0.0
+            usable[some[whole]] = True
+            for i in some[whole]:
+                blobs[i] = unit[first[i] : first[i + 1]].tobytes()
+        dims = np.where(usable, sizes, 0)
+        ends = np.cumsum(dims * 8)
+        starts = ends - dims * 8
+        joined = np.frombuffer(b"".join(b for b in blobs if b), dtype=np.uint8)
         h1 = span_hashes(joined, starts, ends)
         h2 = span_hashes(joined ^ np.uint8(0x5A), starts, ends) if len(joined) else h1
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(dims, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(blobs, pa.binary())], ["id", "dim", "h1", "h2", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(dims), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(blobs, pa.binary())], ["id", "dim", "h1", "h2", "v"])
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -121,7 +146,7 @@ def choose_cells(x: np.ndarray, c: np.ndarray, n: int, reach: float, block: int)
     return min(options, key=exchanged)
 
 
-def _route(centroids: dict[int, np.ndarray], reach: float):
+def _route(centroids: dict[int, np.ndarray], reach: dict[int, float]):
     """Rows to their own cell and to the cells before it whose border is within reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +158,7 @@ def _route(centroids: dict[int, np.ndarray], reach: float):
                 c = centroids[int(dim)]
                 for part in np.array_split(rows, max(1, len(rows) * len(c) // 2_000_000)):
                     x = np.frombuffer(b"".join(blobs[i] for i in part), dtype=np.float64).reshape(len(part), dim)
-                    home, near = _cells_of(x, c, reach)
+                    home, near = _cells_of(x, c, reach[int(dim)])
                     every, cells = np.nonzero(near)
                     for a in range(0, len(every), 20_000):
                         r, cell = every[a : a + 20_000], cells[a : a + 20_000]
@@ -148,8 +173,9 @@ def _route(centroids: dict[int, np.ndarray], reach: float):
 def robust_prune(x: np.ndarray, nodes: np.ndarray, pool: np.ndarray, keep: int, alpha: float = ALPHA) -> np.ndarray:
     """For each node, at most ``keep`` of its pool (nearest first): a candidate goes when a kept one is nearer to it by ``alpha``. -1 where none is left."""
     out = np.full((len(nodes), keep), -1, dtype=np.int64)
-    to = 1 - np.einsum("nd,npd->np", x[nodes], x[pool])
-    between = 1 - np.einsum("npd,nqd->npq", x[pool], x[pool])
+    near = x[pool]
+    to = 1 - np.matmul(near, x[nodes][:, :, None])[:, :, 0]
+    between = 1 - np.matmul(near, near.transpose(0, 2, 1))
     alive = pool != nodes[:, None]
     rows = np.arange(len(nodes))
     for j in range(keep):
@@ -160,53 +186,98 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, pool: np.ndarray, keep: int,
             break
         out[some, j] = pool[rows, pick][some]
         gone = alpha * between[rows, pick] <= to
-        alive &= ~(gone & some[:, None])
-        alive[rows, pick] = False
+        alive &= ~((gone | (pool == pool[rows, pick][:, None])) & some[:, None])
     return out
 
 
-def build_graph(x: np.ndarray, least: float, pool: int = POOL, near: int = NEAR, within: int = WITHIN, far: int = FAR, seed: int = 11) -> tuple[np.ndarray, int]:
-    """Adjacency lists (padded with the node itself) and the medoid of unit vectors in single precision.
+def _beam(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, hops: int, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Greedy search for nodes ``q`` from their entries (a row each): after every hop, the best nodes so far and their similarities."""
+    rows = np.arange(len(q))
+    ids = entry
+    sims = np.matmul(x[entry], x[q][:, :, None])[:, :, 0]
+    seen[rows[:, None], entry] = True
+    opened = np.zeros(ids.shape, dtype=bool)
+    yield ids, sims
+    for _ in range(hops):
+        pick = np.argmax(np.where(opened, -3, sims), axis=1)
+        opened[rows, pick] = True
+        cand = graph[ids[rows, pick]]
+        cand_sims = np.matmul(x[cand], x[q][:, :, None])[:, :, 0]
+        cand_sims[seen[rows[:, None], cand]] = -2
+        seen[rows[:, None], cand] = True
+        yield cand, cand_sims
+        ids, sims, opened = np.concatenate([ids, cand], axis=1), np.concatenate([sims, cand_sims], axis=1), np.concatenate([opened, cand_sims <= -2], axis=1)
+        if ids.shape[1] > beam:
+            top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+            ids, sims, opened = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1), np.take_along_axis(opened, top, 1)
+    yield ids, np.where(sims <= -2, -2, sims)
+
+
+def _medoids(x: np.ndarray, rows_of_each: int = MEDOID_ROWS) -> np.ndarray:
+    """Rows nearest to the centres of small clusters, where searches enter."""
+    c = fit_centroids(x, max(1, len(x) // rows_of_each), rounds=2)
+    return np.unique(np.argmax(x @ c.T - (c * c).sum(axis=1) / 2, axis=0))
+
 
-    A node with more than ``near`` others within the threshold also gets random ones of those: its nearest may be a
-    tight knot, and the range must expand beyond it.
-    """
-    out_degree = near + within + far
+def _entries(x: np.ndarray, q: np.ndarray, medoids: np.ndarray) -> np.ndarray:
+    """For each node of ``q`` the medoids nearest to it."""
+    s = x[q] @ x[medoids].T
+    return medoids[np.argpartition(-s, ENTRIES - 1, axis=1)[:, :ENTRIES]] if len(medoids) > ENTRIES else np.repeat(medoids[None], len(q), axis=0)
+
+
+def grow_graph(x: np.ndarray, hops: int = HOPS, pool: int = POOL, degree: int = DEGREE, passes: int = PASSES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency lists (padded with the node itself) and the medoids of unit vectors, by search and prune from a random graph."""
     n = len(x)
     rng = np.random.Generator(np.random.PCG64(seed))
-    width = min(pool, n - 1)
-    medoid = int(np.argmax(x @ x.mean(axis=0)))
-    out = np.repeat(np.arange(n)[:, None], 2 * out_degree, axis=1)
+    medoids = _medoids(x)
+    own = np.arange(n)[:, None]
+    out = np.repeat(own, 2 * degree, axis=1)
     if n < 2:
-        return out, medoid
-    picked = np.full((n, out_degree), -1, dtype=np.int64)
-    for a in range(0, n, 256):
-        nodes = np.arange(a, min(n, a + 256))
-        s = x[nodes] @ x.T
-        s[np.arange(len(nodes)), nodes] = -2
-        best = np.argpartition(-s, width - 1, axis=1)[:, :width]
-        picked[nodes, :near] = robust_prune(x, nodes, best, near)
-        others = rng.integers(0, n, (len(nodes), 2 * far))
-        picked[nodes, near + within :] = robust_prune(x, nodes, others, far)
-        dense = np.flatnonzero((s >= least).sum(axis=1) > near)
-        if len(dense):
-            draw = np.where(s[dense] >= least, rng.random((len(dense), n), dtype=np.float32), -1)
-            chosen = np.argpartition(-draw, within - 1, axis=1)[:, :within]
-            picked[nodes[dense], near : near + within] = np.where(np.take_along_axis(draw, chosen, 1) >= 0, chosen, -1)
-    src, slot = np.nonzero(picked >= 0)
-    dst = picked[src, slot]
-    out[:, :out_degree] = np.where(picked >= 0, picked, np.arange(n)[:, None])
-    # Mutual edges, nearest first, as many as there is room for.
-    order = np.lexsort((-np.einsum("ed,ed->e", x[src], x[dst]), dst))
-    src, dst = src[order], dst[order]
-    rank = np.arange(len(dst)) - np.searchsorted(dst, dst)
-    ok = rank < out_degree
-    out[dst[ok], out_degree + rank[ok]] = src[ok]
-    return out, medoid
-
-
-def range_search(x: np.ndarray, graph: np.ndarray, medoid: int, queries: np.ndarray, least: float, beam: int = BEAM, hops: int = HOPS) -> tuple[np.ndarray, np.ndarray]:
-    """(query position, node) within ``least``: greedy beam from the medoid and the query's own node, then expansion of the range."""
+        return out, medoids
+    out[:, :degree] = rng.integers(0, n, (n, degree))
+    for _ in range(passes):
+        picked = np.empty((n, degree), dtype=np.int64)
+        for a in range(0, n, 256):
+            nodes = np.arange(a, min(n, a + 256))
+            seen = np.zeros((len(nodes), n), dtype=bool)
+            seen[np.arange(len(nodes)), nodes] = True
+            for found, sims in _beam(x, out, nodes, _entries(x, nodes, medoids), pool, hops, seen):  # noqa: B007
+                pass
+            met = np.where(sims > -2, found, nodes[:, None])
+            picked[nodes] = robust_prune(x, nodes, np.concatenate([met, out[nodes, :degree]], axis=1), degree)
+        src, slot = np.nonzero(picked >= 0)
+        dst = picked[src, slot]
+        out = np.repeat(own, 2 * degree, axis=1)
+        out[:, :degree] = np.where(picked >= 0, picked, own)
+        # Mutual edges, nearest first, as many as there is room for.
+        order = np.lexsort((-np.einsum("ed,ed->e", x[src], x[dst]), dst))
+        src, dst = src[order], dst[order]
+        rank = np.arange(len(dst)) - np.searchsorted(dst, dst)
+        ok = rank < degree
+        out[dst[ok], degree + rank[ok]] = src[ok]
+    return out, medoids
+
+
+def build_graph(x: np.ndarray, hops: int = HOPS, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
+    """The united adjacency lists of overlapping shards, and the medoids of all."""
+    n = len(x)
+    k = -(-n // shard_rows)
+    overlap = min(overlap, k)
+    c = fit_centroids(x[:: max(1, n // (32 * k))], k, rounds=4) if k > 1 else x[:1]
+    near = np.argsort((c * c).sum(axis=1) - 2 * x @ c.T, axis=1, kind="stable")[:, :overlap]
+    graph = np.repeat(np.arange(n)[:, None], 2 * DEGREE * overlap, axis=1)
+    medoids = []
+    for shard in range(len(c)):
+        rows, place = np.nonzero(near == shard)
+        if len(rows):
+            lists, inner = grow_graph(np.ascontiguousarray(x[rows]), hops)
+            graph[rows[:, None], 2 * DEGREE * place[:, None] + np.arange(2 * DEGREE)] = rows[lists]
+            medoids.append(rows[inner])
+    return graph, np.unique(np.concatenate(medoids))
+
+
+def range_search(x: np.ndarray, graph: np.ndarray, medoids: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, hops: int = HOPS) -> tuple[np.ndarray, np.ndarray]:
+    """(query position, node) within ``least``: greedy beam from the medoids and the query's own node, then expansion of the range."""
     n = len(x)
     found_q, found_v = [], []
     for a in range(0, len(queries), 256):
@@ -215,25 +286,10 @@ def range_search(x: np.ndarray, graph: np.ndarray, medoid: int, queries: np.ndar
         rows = np.arange(m)
         seen = np.zeros((m, n), dtype=bool)
         inside = np.zeros((m, n), dtype=bool)
-        seen[:, medoid] = True
-        seen[rows, q] = True
-        ids = np.stack([np.full(m, medoid), q], axis=1)
-        sims = np.stack([x[q] @ x[medoid], np.ones(m, dtype=x.dtype)], axis=1)
-        inside[rows[sims[:, 0] >= least], medoid] = True
+        for ids, sims in _beam(x, graph, q, np.concatenate([_entries(x, q, medoids), q[:, None]], axis=1), beam, hops, seen):
+            r, k = np.nonzero(sims >= least)
+            inside[r, ids[r, k]] = True
         inside[rows, q] = True
-        opened = np.zeros((m, 2), dtype=bool)
-        for _ in range(hops):
-            pick = np.argmax(np.where(opened, -3, sims), axis=1)
-            opened[rows, pick] = True
-            cand = graph[ids[rows, pick]]
-            cand_sims = np.einsum("md,mkd->mk", x[q], x[cand])
-            cand_sims[seen[rows[:, None], cand]] = -2
-            seen[rows[:, None], cand] = True
-            r, k = np.nonzero(cand_sims >= least)
-            inside[r, cand[r, k]] = True
-            ids, sims, opened = np.concatenate([ids, cand], axis=1), np.concatenate([sims, cand_sims], axis=1), np.concatenate([opened, cand_sims <= -2], axis=1)
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
-            ids, sims, opened = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1), np.take_along_axis(opened, top, 1)
         done = np.zeros((m, n), dtype=bool)
         while True:
             r, v = np.nonzero(inside & ~done)
@@ -254,7 +310,7 @@ def range_search(x: np.ndarray, graph: np.ndarray, medoid: int, queries: np.ndar
     return (np.concatenate(found_q), np.concatenate(found_v)) if found_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def shard_links(v: np.ndarray, threshold: float, recall: float = RECALL, audit: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def region_links(v: np.ndarray, threshold: float, recall: float = RECALL, audit: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """All found pairs (i, j), both ways, with cosine in double precision at or above the threshold."""
     n = len(v)
     if n < 2:
@@ -263,10 +319,10 @@ def shard_links(v: np.ndarray, threshold: float, recall: float = RECALL, audit:
     test = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(np.int64))
     exact = v[test] @ v.T >= threshold
     exact[np.arange(len(test)), test] = False
-    pool = POOL
+    hops = HOPS
     while True:
-        graph, medoid = build_graph(x, threshold - _SLACK, pool)
-        i, j = range_search(x, graph, medoid, np.arange(n), threshold - _SLACK)
+        graph, medoids = build_graph(x, hops)
+        i, j = range_search(x, graph, medoids, np.arange(n), threshold - _SLACK, hops=hops)
         one = np.unique(np.concatenate([i * n + j, j * n + i]))
         keep = np.concatenate([np.einsum("ed,ed->e", v[part // n], v[part % n]) >= threshold for part in np.array_split(one, len(one) // 200_000 + 1)])
         one = one[keep]
@@ -276,9 +332,13 @@ def shard_links(v: np.ndarray, threshold: float, recall: float = RECALL, audit:
         place[test] = np.arange(len(test))
         hit = place[i] >= 0
         got[place[i[hit]], j[hit]] = True
-        if not exact.any() or (got & exact).sum() >= recall * exact.sum() or pool >= n:
+        if not exact.any() or (got & exact).sum() >= recall * exact.sum():
             return i, j
-        pool = min(n, pool * 2)
+        hops *= 2
+        if hops * DEGREE >= SHARD_ROWS:  # a search as wide as its shard: compare all
+            pairs = [np.nonzero(v[a : a + 256] @ v.T >= threshold) for a in range(0, n, 256)]
+            i, j = np.concatenate([p[0] + 256 * k for k, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs])
+            return i[i != j], j[i != j]
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -335,7 +395,7 @@ def _search_group(threshold: float):
         if _dense(v, threshold):
             links, root = exact_links(v, threshold, counted, copies)
         else:
-            i, j = shard_links(v, threshold)
+            i, j = region_links(v, threshold)
             root = _forest(len(ids), i, j)
             here = counted(i, j)
             links = np.bincount(i[here], weights=copies[j[here]], minlength=len(ids))
@@ -346,22 +406,15 @@ def _search_group(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
-    plain = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    ready = table(plain.mapInArrow(_usable, "id bigint, dim bigint, h1 bigint, h2 bigint, v binary"), "vectors")
-    groups = table(ready.where("v is not null").groupBy("dim", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("rep is not null"), "equal-vectors")
-    members = table(ready.select("id", "dim", "h1", "h2").join(groups, ["dim", "h1", "h2"], "left").select("id", "rep", "copies"), "vector-members")
-    first = ready.where("v is not null").select("id", "dim", "v").dropDuplicates(["id"])
-    reps = table(first.join(groups.select(F.col("rep").alias("id"), "copies"), "id"), "vector-representatives")
-
-    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).collect()}
-    centroids = {}
+def _find(reps: DataFrame, sizes: dict[int, int], sample_rows: int, cell_rows: int, block: int, threshold: float, spread: float) -> DataFrame:
+    """(id, links, root): for each row of a region, the copies it links with there, and the smallest row it reaches there."""
+    centroids, margins = {}, {}
     for dim, n in sizes.items():
         rows = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow().column("v").to_pylist()
         x = np.frombuffer(b"".join(rows), dtype=np.float64).reshape(-1, dim)
-        centroids[dim] = choose_cells(x, fit_centroids(x, min(n // cell_rows, len(x) // 8)), n, _reach(threshold), block)
-    routed = table(reps.select("id", "copies", "v").mapInArrow(_route(centroids, _reach(threshold)), "id bigint, copies bigint, dim bigint, cell bigint, home bigint, v binary"), "routed")
+        margins[dim] = _reach(threshold) * min(1.0, spread / dim**0.5)
+        centroids[dim] = choose_cells(x, fit_centroids(x, min(n // cell_rows, len(x) // 8)), n, margins[dim], block)
+    routed = table(reps.select("id", "copies", "v").mapInArrow(_route(centroids, margins), "id bigint, copies bigint, dim bigint, cell bigint, home bigint, v binary"), "routed")
     # As many rows as there are cells, which the sample bounds.
     blocks = routed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     blocks = table(blocks, "cell-blocks")
@@ -369,13 +422,59 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # A row of block k meets every block: pairs (a, b), a <= b, with k at either end.
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b")))
     paired = dealt.withColumn("p", F.explode(every)).select("id", "copies", "dim", "cell", "home", "v", F.col("p.a").alias("a"), F.col("p.b").alias("b"), (F.col("block") == F.col("p.b")).cast("int").alias("side"))
-    found = table(paired.groupBy("dim", "cell", "a", "b").applyInArrow(_search_group(threshold), "id bigint, links bigint, root bigint"), "vector-links")
+    return table(paired.groupBy("dim", "cell", "a", "b").applyInArrow(_search_group(threshold), "id bigint, links bigint, root bigint"), "vector-links")
+
+
+def _recall(reps: DataFrame, found: DataFrame, threshold: float, rows: int, blocks: int = 16) -> float:
+    """Of the exact links of ``rows`` rows with all rows, the share that was found."""
+    asked = reps.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(rows).select("id", "dim", "v", "copies")
+    asked = table(asked, "audit-rows", rows=rows)
+    data = asked.toArrow()  # at most `rows` vectors
+    ids, dims, blobs = data.column("id").to_numpy(), data.column("dim").to_numpy(), data.column("v").to_pylist()
+    by_dim = {int(d): (ids[dims == d], np.frombuffer(b"".join(b for b, e in zip(blobs, dims, strict=True) if e == d), dtype=np.float64).reshape(-1, int(d))) for d in np.unique(dims)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {d: np.zeros(len(i), dtype=np.int64) for d, (i, _) in by_dim.items()}
+        for batch in batches:
+            dim, who, copies, v = batch.column("dim").to_numpy(), batch.column("id").to_numpy(), batch.column("copies").to_numpy(), batch.column("v").to_pylist()
+            for d, (own, x) in by_dim.items():
+                at = np.flatnonzero(dim == d)
+                for part in np.array_split(at, len(at) // 4000 + 1):
+                    y = np.frombuffer(b"".join(v[k] for k in part), dtype=np.float64).reshape(-1, d)
+                    total[d] += ((x @ y.T >= threshold) & (own[:, None] != who[part][None])) @ copies[part]
+        for d, (own, _) in by_dim.items():
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[d])], ["id", "n"])
+
+    exact = reps.select("id", "dim", "copies", "v").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("exact"))
+    got = found.groupBy("id").agg(F.sum("links").alias("links"))
+    sums = exact.join(got, "id", "left").agg(F.sum("exact").alias("exact"), F.sum(F.least("exact", F.coalesce("links", F.lit(0)))).alias("found")).first()
+    return 1.0 if not sums["exact"] else sums["found"] / sums["exact"]
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, block: int = BLOCK, spread: float = SPREAD, audit_rows: int = AUDIT_ROWS) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. Inside, a vector is its row, not its id."""
+    plain = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    ready = plain.mapInArrow(_usable, "id bigint, dim bigint, h1 bigint, h2 bigint, v binary")
+    ready = table(ready.withColumn("key", F.monotonically_increasing_id()), "vectors")
+    groups = table(ready.where("v is not null").groupBy("dim", "h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "equal-vectors")
+    members = table(ready.select("id", "dim", "h1", "h2").join(groups, ["dim", "h1", "h2"], "left").select("id", "rep", "copies"), "vector-members")
+    first = ready.where("v is not null").select(F.col("key").alias("id"), "dim", "v")
+    reps = table(first.join(groups.select(F.col("rep").alias("id"), "copies"), "id"), "vector-representatives")
+
+    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).collect()}
+    while True:
+        found = _find(reps, sizes, sample_rows, cell_rows, block, threshold, spread)
+        # With the whole chord as margin no link is out of reach.
+        if not sizes or spread >= max(sizes) ** 0.5 or _recall(reps, found, threshold, audit_rows) >= RECALL:
+            break
+        spread *= 2
     roots = table(components(found.select(F.col("id").alias("src"), F.col("root").alias("dst"))), "vector-roots")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_rep = table(links.withColumnRenamed("id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "full"), "vector-results")
-    out = members.join(per_rep, "rep", "left")
-    component = F.coalesce("root", "rep", "id")
-    return out.select(
+    placed = table(members.join(per_rep, "rep", "left").withColumn("part", F.coalesce("root", "rep")), "vectors-placed")
+    smallest = table(placed.where("part is not null").groupBy("part").agg(F.min("id").alias("least")), "vector-components")
+    component = F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("least"))
+    return placed.join(smallest, "part", "left").select(
         F.col("id").alias("vec_id"),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"),
         component.alias("component_id"),
