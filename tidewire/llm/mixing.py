@@ -1,16 +1,21 @@
 """Mixing: fractional document rates whose expected domain token totals match target weights.
 
-A labelled table names the domain of some documents. A naive Bayes classifier over binary text features is
-counted from the labelled rows and gives every document posteriors over the domains (soft membership). Then
+A labelled table names the domain of some documents. A naive Bayes classifier is counted from the labelled rows and gives
+every document posteriors over the domains (soft membership). What it looks at is not made for any domain: the share
+of a text's words that are distinct, its shares of capital letters and of signs, each in bins, and whether it holds a
+word of a lexicon, the words whose document frequency marks a domain; what a bin or the lexicon says is learned. Then
 nonnegative rates r are fitted by least squares,
 
-    minimise  1/2 | sum_i r_i t_i p_i - T |^2  + a small pull of every rate towards 1,   r >= 0,
+    minimise  1/2 | sum_i r_i t_i p_i - T |^2  over  r >= 0,   from r = 1,
 
-where t_i are a document's tokens, p_i its posteriors and T the target totals. Every iterate of the projected
-gradient from r = 1 has the form r_i = max(0, 1 - p_i . m), so the state is one number per domain: each
-iteration is two aggregations over (tokens, posteriors), from which a few sums reach the driver. Gradient steps
-are scaled by the inverse second moment of the posteriors of the rows not at zero; the second aggregation picks
-the length of the step. Rates that would be negative are projected to zero at every iterate.
+where t_i are a document's tokens, p_i its posteriors and T the target totals. The gradient by r_i, per token, is p_i . g
+with g the miss of the domains' totals, so a step of the projected gradient is r_i <- max(0, r_i - p_i . s) with one
+number per domain: g, scaled by the inverse second moment of the posteriors of the rows not at zero. Every iterate is
+projected, and the rates are the fold of all steps so far over a row's posteriors; rows with equal posteriors have
+equal rates. An iteration is one aggregation over (tokens, posteriors) for the miss and the moments and one that tries
+some lengths of the step, plain gradient steps among them; both return a few sums to the driver. It ends when every
+domain's miss is within ``tolerance`` of its target or no length lowers the sum of squares any more; the totals reached
+are returned, and ``mix`` shows their shares.
 
 Only DataFrame expressions touch rows. No shuffle carries text. The labelled word counts that pick the lexicon
 features come from a bounded sample of labelled rows (``lexicon_rows``); every other count is over all rows.
@@ -37,16 +42,22 @@ DOMAINS = ("clean", "junk", "toxic")
 TARGETS = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
 LEXICON_ROWS = 20_000
 LEXICON_WORDS = 48
-ROUNDS = 12
-#: Negligible against the smallest target share: the miss it leaves in a domain is about the pull, as a share of all tokens.
-PULL = 1e-6
-#: Lengths of a scaled gradient step that are tried at once.
-LENGTHS = (0.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
+ROUNDS = 40
+#: Miss of a domain's total, as a share of its target, at which the fit ends.
+TOLERANCE = 1e-4
+#: Lengths of a scaled, and of a plain, gradient step that are tried at once.
+LENGTHS = (3.0, 1.0, 0.5, 0.2, 0.05)
+PLAIN = (1.0, 0.25)
 
 
-def n_tokens(text: Column) -> Column:
-    """Words between blanks and line breaks, counted without an array of them."""
-    return F.regexp_count(text, F.lit(r"[^ \t\r\n]+")).cast("bigint")
+#: Edges of the bins of shares of characters; shares of distinct words are in tenths.
+EDGES = (1e-9, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4)
+TENTHS = 10
+
+
+def word_list(text: Column) -> Column:
+    """Words between blanks and line breaks."""
+    return F.array_remove(F.split(text, r"[ \t\r\n]+"), "")
 
 
 def lexicon(docs: DataFrame, labelled: DataFrame, domain: str, rows: int = LEXICON_ROWS, words: int = LEXICON_WORDS) -> list[str]:
@@ -66,48 +77,52 @@ def lexicon(docs: DataFrame, labelled: DataFrame, domain: str, rows: int = LEXIC
     return [r["w"] for r in marked.orderBy(odds.desc(), "w").limit(words).collect()]
 
 
-def _count_of(text: Column, sign: str) -> Column:
-    """Occurrences of a fixed ASCII string, from the bytes that replacing it saves."""
-    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))) / float(len(sign))
+def sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (with body) and tokens, distinct: the number of words and of different ones."""
+    named = rows.select("*", F.inline(F.array(F.struct(word_list(F.col("body")).alias("words")))))
+    return named.select(*rows.columns, F.size("words").cast("bigint").alias("tokens"), F.size(F.array_distinct("words")).alias("distinct"))
 
 
-def features(text: Column, words: Sequence[str]) -> list[Column]:
-    """Binary features of a text."""
-    often = lambda count, least: count >= F.greatest(F.lit(2.0), F.col("tokens") * least)
-    # Kinds of noise exclude one another, so they are one feature: naive Bayes would take them as independent.
-    signs = sum((_count_of(text, s) for s in ("&&&", "$$$", "###", "***")), _count_of(text, "%%%"))
-    noise = often(signs, 0.02) | often(_count_of(text, "!!"), 0.02) | often(_count_of(text, " |"), 0.02) | often(F.regexp_count(text, F.lit(r"\p{Lu}{3,}")), 0.05) | often(F.regexp_count(text, F.lit(r"(?<= )([^ \n]+) \1(?= )")), 0.06)
-    out = [noise, F.col("tokens") < 8]
+def features(text: Column, words: Sequence[str]) -> list[tuple[Column, int]]:
+    """Features of a text and the number of their bins; the columns tokens and distinct stand beside it."""
+    binned = lambda share: sum(((share >= e).cast("int") for e in EDGES[1:]), (share >= EDGES[0]).cast("int"))
+    # One pass drops what is neither a capital letter nor a sign; the counts are of the little that is left.
+    rest = F.regexp_replace(text, r"[a-z0-9\s\u0080-\x{10FFFF}]+", "")
+    capitals, n = F.length(F.regexp_replace(rest, r"[^A-Z]+", "")), F.greatest(F.length(text), F.lit(1))
+    out = [
+        (F.least(F.lit(TENTHS - 1), F.floor(F.col("distinct") * (TENTHS - 0.01) / F.greatest("tokens", F.lit(1)))).cast("int"), TENTHS),
+        (binned(capitals / n), len(EDGES) + 1),
+        (binned((F.length(rest) - capitals) / n), len(EDGES) + 1),
+    ]
     if words:
         # Plain substrings first: the expression with word borders then runs on the few texts that hold one.
         low = F.lower(text)
         held = F.contains(low, F.lit(words[0]))
         for w in words[1:]:
             held = held | F.contains(low, F.lit(w))
-        out.append(held & low.rlike(r"(?<!\p{L})(" + "|".join(re.escape(w) for w in words) + r")(?!\p{L})"))
+        out.append(((held & low.rlike(r"(?<!\p{L})(" + "|".join(re.escape(w) for w in words) + r")(?!\p{L})")).cast("int"), 2))
     return out
 
 
 @dataclass
 class Classifier:
-    """Naive Bayes tables: for each domain the log of its prior, and of each feature being set or not."""
+    """Naive Bayes tables: for each domain the log of its prior, and of each bin of each feature."""
 
     domains: list[str]
     words: list[str]
     prior: list[float]
-    on: list[list[float]]
-    off: list[list[float]]
+    tables: list[list[list[float]]]
 
     def flags(self, body: Column) -> list[Column]:
-        return features(body, self.words)
+        return [c for c, _ in features(body, self.words)]
 
     def logs(self, flags: Sequence[Column]) -> list[Column]:
-        """Unnormalised log posteriors, given boolean feature columns."""
+        """Unnormalised log posteriors, given bins."""
         out = []
-        for prior, on, off in zip(self.prior, self.on, self.off, strict=True):
+        for prior, tables in zip(self.prior, self.tables, strict=True):
             x = F.lit(prior)
-            for flag, yes, no in zip(flags, on, off, strict=True):
-                x = x + F.when(flag, yes).otherwise(no)
+            for flag, table_ in zip(flags, tables, strict=True):
+                x = x + F.get(F.array(*[F.lit(v) for v in table_]), flag)
             out.append(x)
         return out
 
@@ -125,21 +140,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: Sequence[str], *
     labelled = table(labels.where(F.col("domain").isin(list(domains)) & F.col("id").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain")), "mix-labels")
     words = lexicon(docs, labelled, lexicon_of, lexicon_rows) if lexicon_of else []
     body = F.coalesce(F.col("body"), F.lit(""))
-    sized = docs.select("id", body.alias("body"), n_tokens(body).alias("tokens"))
     flags = features(F.col("body"), words)
-    seen = table(sized.select("id", "tokens", *[f.alias(f"f{j}") for j, f in enumerate(flags)]), "mix-features")
-    k = len(flags)
-    counted = seen.join(labelled, "id").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"f{j}").cast("int")).alias(f"f{j}") for j in range(k)]).collect()
+    seen = table(sized(docs.select("id", body.alias("body"))).select("id", "tokens", *[f.alias(f"f{j}") for j, (f, _) in enumerate(flags)]), "mix-features")
+    bins = [(j, k) for j, (_, n) in enumerate(flags) for k in range(n)]
+    counted = seen.join(labelled, "id").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"f{j}") == k).alias(f"n{j}_{k}") for j, k in bins]).collect()
     rows = {r["domain"]: r for r in counted}
     total = sum(r["n"] for r in rows.values())
-    prior, on, off = [], [], []
+    prior, tables = [], []
     for d in domains:
         n = rows[d]["n"] if d in rows else 0
         prior.append(math.log((n + 1) / (total + len(domains))))
-        share = [((rows[d][f"f{j}"] if d in rows else 0) + 0.5) / (n + 1) for j in range(k)]
-        on.append([math.log(p) for p in share])
-        off.append([math.log(1 - p) for p in share])
-    return Classifier(list(domains), words, prior, on, off), seen
+        tables.append([[math.log(((rows[d][f"n{j}_{k}"] if d in rows else 0) + 0.5) / (n + 0.5 * size)) for k in range(size)] for j, (_, size) in enumerate(flags)])
+    return Classifier(list(domains), words, prior, tables), seen
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -158,56 +170,70 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] if abs(m[i][i]) >= 1e-300 else 0.0 for i in range(n)]
 
 
-def fit_rates(soft: DataFrame, k: int, targets: Sequence[float], *, total: float | None = None, rounds: int = ROUNDS, pull: float = PULL, tolerance: float = 1e-10) -> tuple[list[float], list[float], list[float]]:
-    """The multipliers m with r_i = max(0, 1 - p_i . m); also the fitted and the wanted totals.
+def fold_rates(posterior: Sequence[Column], steps: Sequence[Sequence[float]]) -> Column:
+    """The rate after some projected steps, from 1."""
+    rate = F.lit(1.0)
+    for s in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((p * F.lit(float(x)) for p, x in zip(posterior[1:], s[1:], strict=True)), posterior[0] * F.lit(float(s[0]))))
+    return rate
+
+
+@dataclass
+class Fit:
+    """The steps that rates are folded from, and the totals they reach and were to reach."""
+
+    steps: list[list[float]]
+    reached: list[float]
+    wanted: list[float]
+    met: bool  # whether every domain is within the tolerance
+
+    def rate(self, posterior: Sequence[Column]) -> Column:
+        return F.round(fold_rates(posterior, self.steps), 6)
 
-    Without ``total``, the mixture is as large as it can be without a domain being repeated: the least,
-    over domains with a target, of the domain's expected tokens over its weight.
+
+def fit_rates(soft: DataFrame, k: int, targets: Sequence[float], *, total: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Fit:
+    """Rates for (tokens, p0..pk).
+
+    Without ``total``, the mixture is as large as the domain with the largest target share allows without being repeated.
     """
     weights = [w / sum(targets) for w in targets]
-    have = soft.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
-    have = [float(x) for x in have]
+    have = [float(x) for x in soft.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()]
     size = sum(have)
     if size <= 0:
-        return [0.0] * k, have, [0.0] * k
+        return Fit([], have, [0.0] * k, True)
     if total is None:
         total = min((h / w for h, w in zip(have, weights, strict=True) if w > 0 and h > 0), default=0.0)
         # A scarce domain must not shrink the rest: it is the most plentiful target that sets the size.
         total = max(total, have[max(range(k), key=lambda i: weights[i])] / max(weights))
     want = [w * total for w in weights]
-    m = [0.0] * k
-    fitted = have
+    posterior = [F.col(f"p{i}") for i in range(k)]
+    miss = lambda got: max(abs(g - w) / (w or size) for g, w in zip(got, want, strict=True))
+    off = lambda got: sum(((g - w) / size) ** 2 for g, w in zip(got, want, strict=True))
+    steps: list[list[float]] = []
+    reached, met = have, False
     for _ in range(rounds):
-        dot = sum((F.col(f"p{i}") * F.lit(m[i]) for i in range(1, k)), F.col("p0") * F.lit(m[0]))
-        rate = F.greatest(F.lit(0.0), F.lit(1.0) - dot)
-        aggs = [F.sum(F.col("tokens") * rate * F.col(f"p{i}")) for i in range(k)]
-        aggs += [F.sum(F.when(rate > 0, F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)) for i in range(k) for j in range(i, k)]
-        got = [float(x) for x in soft.agg(*[a.alias(f"a{n}") for n, a in enumerate(aggs)]).first()]
-        fitted, upper = got[:k], iter(got[k:])
+        if met := miss(reached) <= tolerance:
+            break
+        rated = soft.withColumn("r", fold_rates(posterior, steps))
+        moments = [F.sum(F.when(F.col("r") > 0, F.col("tokens") * posterior[i] * posterior[j]).otherwise(0.0)).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
+        upper = iter(float(x) for x in rated.agg(*moments).first())
         second = [[0.0] * k for _ in range(k)]
         for i in range(k):
             for j in range(i, k):
                 second[i][j] = second[j][i] = next(upper) / size
-            second[i][i] += pull
-        gradient = [(fitted[i] - want[i]) / size - pull * m[i] for i in range(k)]
-        if max(abs(g) for g in gradient) < tolerance:
+            second[i][i] += 1e-9
+        gradient = [(g - w) / size for g, w in zip(reached, want, strict=True)]
+        scaled = _solve(second, gradient)
+        trials = [[x * length for x in scaled] for length in LENGTHS] + [[x * length / max(second[i][i] for i in range(k)) for x in gradient] for length in PLAIN]
+        sums = [F.sum(F.col("tokens") * p * F.greatest(F.lit(0.0), F.col("r") - sum((q * F.lit(float(x)) for q, x in zip(posterior[1:], t[1:], strict=True)), posterior[0] * F.lit(float(t[0]))))) for t in trials for p in posterior]
+        got = [float(x) for x in rated.agg(*[c.alias(f"v{n}") for n, c in enumerate(sums)]).first()]
+        totals = [got[n * k : (n + 1) * k] for n in range(len(trials))]
+        best = min(range(len(trials)), key=lambda n: off(totals[n]))
+        if off(totals[best]) >= off(reached) * (1 - 1e-9):
             break
-        step = _solve(second, gradient)
-        # One pass tries all lengths of the step against the objective of the multipliers.
-        trials = [[x + length * s for x, s in zip(m, step, strict=True)] for length in LENGTHS]
-        past = [F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p{i}") * F.lit(t[i]) for i in range(1, k)), F.col("p0") * F.lit(t[0]))) for t in trials]
-        values = soft.agg(*[F.sum(F.col("tokens") * r * r).alias(f"v{n}") for n, r in enumerate(past)]).first()
-        cost = [float(v) / size / 2 + pull / 2 * sum(x * x for x in t) + sum(x * w for x, w in zip(t, want, strict=True)) / size for v, t in zip(values, trials, strict=True)]
-        best = min(range(len(LENGTHS)), key=lambda n: cost[n])
-        if LENGTHS[best] == 0.0:
-            break
-        m = trials[best]
-    return m, fitted, want
-
-
-def _rate(posterior: Sequence[Column], m: Sequence[float]) -> Column:
-    dot = sum((p * F.lit(x) for p, x in zip(posterior[1:], m[1:], strict=True)), posterior[0] * F.lit(m[0]))
-    return F.round(F.greatest(F.lit(0.0), F.lit(1.0) - dot), 6)
+        steps.append(trials[best])
+        reached = totals[best]
+    return Fit(steps, reached, want, met or miss(reached) <= tolerance)
 
 
 def _copies(rate: Column, id_: Column) -> Column:
@@ -216,16 +242,15 @@ def _copies(rate: Column, id_: Column) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, total: float | None = None, lexicon_rows: int = LEXICON_ROWS, lexicon_of: str | None = "toxic") -> tuple[Classifier, list[float], DataFrame]:
-    """docs: id, body; labels: id, domain -> the classifier, the multipliers, and (id, tokens, p0..pk) of all documents."""
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, total: float | None = None, lexicon_rows: int = LEXICON_ROWS, lexicon_of: str | None = "toxic") -> tuple[Classifier, Fit, DataFrame]:
+    """docs: id, body; labels: id, domain -> the classifier, the fit, and (id, tokens, p0..pk) of all documents."""
     targets = targets or TARGETS
     domains = sorted(targets)
     classifier, seen = fit_classifier(docs, labels, domains, lexicon_of=lexicon_of, lexicon_rows=lexicon_rows)
-    flags = [F.col(f"f{j}") for j in range(len(classifier.on[0]))]
+    flags = [F.col(f"f{j}") for j in range(len(classifier.tables[0]))]
     logs = seen.select("id", "tokens", F.inline(F.array(F.struct(*[x.alias(f"l{i}") for i, x in enumerate(classifier.logs(flags))]))))
     soft = table(logs.select("id", "tokens", *[p.alias(f"p{i}") for i, p in enumerate(_normalised([F.col(f"l{i}") for i in range(len(domains))]))]), "mix-posteriors")
-    m, _, _ = fit_rates(soft, len(domains), [targets[d] for d in domains], total=total)
-    return classifier, m, soft
+    return classifier, fit_rates(soft, len(domains), [targets[d] for d in domains], total=total), soft
 
 
 def _plain(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -234,29 +259,31 @@ def _plain(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: doc_id, tokens, p_<domain>..., rate, copies."""
-    classifier, m, soft = fit(*_plain(docs, labels, id_col, text_col), targets, **options)
-    rate = _rate([F.col(f"p{i}") for i in range(len(m))], m)
+    """One row per document: doc_id, tokens, p_<domain>..., rate, copies, and reached_<domain>..., the shares that all rates reach."""
+    classifier, fitted, soft = fit(*_plain(docs, labels, id_col, text_col), targets, **options)
+    rate = fitted.rate([F.col(f"p{i}") for i in range(len(classifier.domains))])
+    whole = sum(fitted.reached) or 1.0
     return soft.withColumn("rate", rate).select(
         F.col("id").alias("doc_id"),
         "tokens",
         *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(classifier.domains)],
         "rate",
         _copies(F.col("rate"), F.col("id")).alias("copies"),
+        *[F.lit(x / whole).alias(f"reached_{d}") for d, x in zip(classifier.domains, fitted.reached, strict=True)],
     )
 
 
 def apply(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as its rate says. No join: rates are expressions over the row's text."""
-    classifier, m, _ = fit(*_plain(docs, labels, id_col, text_col), targets, **options)
+    classifier, fitted, _ = fit(*_plain(docs, labels, id_col, text_col), targets, **options)
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), body.alias("body"), n_tokens(body).alias("tokens"))
+    rows = sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), body.alias("body")))
     # `inline` keeps the optimizer from writing each step into every place where the next one uses it.
     step = lambda df, **named: df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(k) for k, c in named.items()]))))
-    flagged = step(rows, **{f"f{j}": f for j, f in enumerate(classifier.flags(F.col("body")))}).drop("body")
-    scored = step(flagged, **{f"l{i}": x for i, x in enumerate(classifier.logs([F.col(f"f{j}") for j in range(len(classifier.on[0]))]))})
-    soft = step(scored, **{f"p{i}": p for i, p in enumerate(_normalised([F.col(f"l{i}") for i in range(len(m))]))})
-    rated = step(soft, rate=_rate([F.col(f"p{i}") for i in range(len(m))], m))
+    flagged = step(rows, **{f"f{j}": f for j, f in enumerate(classifier.flags(F.col("body")))}).drop("body", "distinct")
+    scored = step(flagged, **{f"l{i}": x for i, x in enumerate(classifier.logs([F.col(f"f{j}") for j in range(len(classifier.tables[0]))]))})
+    soft = step(scored, **{f"p{i}": p for i, p in enumerate(_normalised([F.col(f"l{i}") for i in range(len(classifier.domains))]))})
+    rated = step(soft, rate=fitted.rate([F.col(f"p{i}") for i in range(len(classifier.domains))]))
     counted = rated.select("row", _copies(F.col("rate"), F.col("id")).alias("copies")).where("copies > 0")
     return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
