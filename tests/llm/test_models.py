@@ -79,14 +79,14 @@ def test_lines_are_weighed_with_their_neighbours(monkeypatch):
 
 
 def test_chain_labels_the_lines_of_mixed_documents():
-    """Documents are labelled; bad ones are half made of good lines, in runs. The field tells the lines apart and learns switches."""
+    """Documents are labelled; bad ones hold a good line, somewhere in the middle. The field tells the lines apart and learns switches."""
     rng = np.random.default_rng(6)
     vocab = [f"{c}{v}{d}" for c in "bdklmnrst" for v in "aeiou" for d in "nrst"]
     good = lambda: " ".join(rng.choice(vocab, rng.integers(8, 16))) + "."
     bad = lambda: " ".join(["BUY!!!", "$$$", "###", "NOW!!"][int(k)] for k in rng.integers(0, 4, rng.integers(12, 20)))
     texts, labels, truth = [], [], []
     for k in range(300):
-        runs = [1] * 8 if k % 2 else [0] * 4 + [1] * 3 + [0] * 4
+        runs = [1] * 8 if k % 2 else [0] * 6 + [1] + [0] * 6
         texts.append("\n".join(good() if r else bad() for r in runs))
         labels.append(k % 2)
         truth += runs
@@ -95,7 +95,7 @@ def test_chain_labels_the_lines_of_mixed_documents():
     marginals, pairs, _ = model.marginals(model.emissions(numbers, first), first)
     p = marginals[:, 1]
     assert ((p >= 0.5) == np.array(truth, dtype=bool)).mean() > 0.95
-    assert 120 < pairs[0, 1] < 180 and 120 < pairs[1, 0] < 180  # each of 150 bad documents switches twice
+    assert 90 < pairs[0, 1] < 180 and 90 < pairs[1, 0] < 180  # each of 150 bad documents switches twice; without hidden labels, none does
     assert (((quality._weighted(p, weight, first)) >= quality.CUT) == np.array(labels)).mean() > 0.95
 
 
@@ -108,11 +108,11 @@ def test_quality_keeps_columns_whatever_their_names(spark):
 def test_a_text_of_many_lines_takes_little_memory():
     import tracemalloc
 
-    data, offsets = np.frombuffer(b"\n" * 400_000, dtype=np.uint8), np.array([0, 400_000])
+    data, offsets = np.frombuffer(b"\n" * 60_000, dtype=np.uint8), np.array([0, 60_000])
     model = quality.Crf(np.zeros(quality.FEATURES, dtype=np.float32), np.zeros((2, 2)), np.zeros(2))
     tracemalloc.start()
     assert model.read(data, offsets)[2].tolist() == [0.5]
-    assert tracemalloc.get_traced_memory()[1] < 200e6
+    assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
 
 
@@ -148,12 +148,73 @@ def test_classifiers_on_awkward_rows(spark, module):
     assert module.classify(df.where("false"), none).count() == 0
 
 
-def test_disguises_are_undone():
+def insults():
     plain = ("you are an idiot and a moron with a loser smile and scum worthless idiot moron loser stupid " * 50).encode()
-    model = toxicity.CharModel.of_counts(toxicity.char_counts(np.frombuffer(plain, dtype=np.uint8)))
-    got = toxicity.restore(["An 1d10t, a m0r0n! i d i o t idiooot l.o.s.e.r l*ser scum!!! word$$$ it's 2024 st-u-pid"], model)[0].split()
+    return toxicity.CharModel.of_counts(toxicity.char_counts(np.frombuffer(plain, dtype=np.uint8)))
+
+
+def known_words(*spelt):
+    data = np.frombuffer("".join(spelt).encode(), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in spelt])
+    return np.sort(toxicity.skeletons(data, ends - np.array([len(w) for w in spelt]), ends))
+
+
+def test_disguises_are_undone():
+    model = insults()
+    got = toxicity.restore(["An 1d10t, a m0r0n! i d i o t idiooot l.o.s.e.r l*ser scum!!! it's 2024 st-u-pid"], model)[0].split()
     assert got[:6] == ["an", "idiot", "a", "moron", "idiot", "idiot"] and got[6:9] == ["loser", "loser", "scum!!!"]
-    assert "word$$$" in got and "it's" in got and "2024" in got
+    assert got[9:] == ["it's", "2024", "stupid"]
+
+
+def test_weak_disguises_of_lexicon_words_are_undone():
+    model, known = insults(), known_words("idiot", "stupid", "scum", "moron", "loser")
+    text = "id-iot sc.um iddiott stvpid $cum lo$er$ well-known"
+    assert toxicity.restore([text], model, known)[0].split()[:4] == ["idiot", "scum", "idiot", "stupid"]
+    assert toxicity.restore(["well-known letter"], model, known)[0] == "well-known letter"
+    assert toxicity.restore(["a s t u p i d i d i o t"], model, known)[0] == "a stupid idiot"
+    assert toxicity.restore(["$$$$cum"], model)[0] == "scum"
+
+
+def brute_decode(observed, model, parts):
+    """The best value over all paths, one by one."""
+    best = -math.inf
+
+    def walk(k, a, b, value):
+        nonlocal best
+        if k == len(observed):
+            best = max(best, value + model.log[a, b, 0])
+            return
+        ch, last = observed[k], observed[k - 1] if k else ""
+        for x, y, v in [(a, b, value), *([(0, 0, value + model.log[a, b, 0] - toxicity.COST_WORD)] if parts and b else [])]:
+            for letter in toxicity.LOOKS.get(ch, ch if ch.isalpha() else ""):
+                c = ord(letter) - 96
+                walk(k + 1, y, c, v + model.log[x, y, c] - (toxicity.COST_SIGN if letter != ch else 0) - (toxicity.COST_KEEP_REPEAT if ch == last else 0))
+            if ch.isalpha():
+                if ch == last or (y and toxicity.LETTERS[y - 1] == ch):
+                    walk(k + 1, x, y, v - toxicity.COST_DROP_REPEAT)
+            elif not ch.isdigit() or ch == last:
+                walk(k + 1, x, y, v - (toxicity.COST_DROP_REPEAT if ch == last else toxicity.COST_DROP_SIGN))
+
+    walk(0, 0, 0, 0.0)
+    return best
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_decoding_equals_enumeration(parts):
+    rng = np.random.default_rng(9)
+    model = toxicity.CharModel.of_counts(rng.integers(0, 50, toxicity._N**3))
+    for _ in range(60):
+        word = "".join(rng.choice(list("aabuvo0016*!.$e"), rng.integers(1, 7)))
+        want, (value, text) = brute_decode(word, model, parts), toxicity.viterbi(word, model, parts)
+        assert (want == value == -math.inf) or abs(want - value) < 1e-9, (word, want, value, text)
+
+
+def test_skeletons_ignore_what_the_channel_may_change():
+    spelt = ["idiot", "iddiott", "id-iot", "i.d.i.oo.t", "voov", "uou", "idiots"]
+    data = np.frombuffer(" ".join(spelt).encode(), dtype=np.uint8)
+    starts = np.array([" ".join(spelt).index(w) if k == 0 else len(" ".join(spelt[:k])) + 1 for k, w in enumerate(spelt)])
+    h = toxicity.skeletons(data, starts, starts + np.array([len(w) for w in spelt]))
+    assert len(set(h[:4].tolist())) == 1 and h[4] == h[5] and h[6] not in h[:6]
 
 
 def test_gru_gradients_equal_differences():
@@ -191,6 +252,19 @@ def test_lane_scores_equal_one_by_one():
         assert abs(total - got[d]) < 1e-3
 
 
+def test_a_long_document_among_short_ones_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    m = lm.Gru.fresh(6, np.zeros(6), hidden=4)
+    sizes = [200_000, *[20] * 300]
+    first = np.cumsum([0, *sizes])
+    tracemalloc.start()
+    got = lm.class_scores(m, rng.integers(0, 6, first[-1]), first)
+    assert tracemalloc.get_traced_memory()[1] < 60e6 and (got < 0).all()
+    tracemalloc.stop()
+
+
 def test_base_scores_equal_plain_counting(spark):
     texts = [*AWKWARD, *[(100 + i, f"the cat {i % 9} sat on the mat {i}") for i in range(60)]]
     got = lm.score_documents(docs(spark, texts), head_words=8).collect()

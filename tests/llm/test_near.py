@@ -1,6 +1,7 @@
 """Near duplicates of texts and vectors against brute force, and the pipeline."""
 
 import math
+import os
 import random
 from collections import defaultdict
 
@@ -181,6 +182,38 @@ def test_vector_links_equal_brute_force(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_that_share_an_id_are_vectors_of_their_own(spark):
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.05, 0.0, 0.1]), (3, [0.05, 1.0, 0.1, 0.0]), (None, [0.0, 0.0, 0.0, 1.0]), (None, [0.0, 0.0, 0.02, 1.0])]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 1, 0), (0, 1, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_united_shard_graphs_find_the_links():
+    """A graph grown by search and prune over overlapping shards, without all pairs: recall against all pairs, and no false link."""
+    v = hot_vectors()[600:]
+    s = v @ v.T >= 0.95
+    np.fill_diagonal(s, False)
+    x = v.astype(np.float32)
+    graph, medoids = embeddings.build_graph(x, shard_rows=300)
+    assert graph.shape == (len(v), 2 * embeddings.DEGREE * embeddings.OVERLAP) and 10 < len(medoids) < len(v) / 4
+    i, j = embeddings.range_search(x, graph, medoids, np.arange(len(v)), 0.95 - 1e-4)
+    assert s[i, j].sum() >= 0.95 * s.sum()
+    i, j = embeddings.region_links(v, 0.95)
+    assert s[i, j].all() and len(i) >= embeddings.RECALL * s.sum() and len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+
+
+def test_margins_widen_until_the_audit_is_content(spark, monkeypatch):
+    v = hot_vectors()
+    links = (v @ v.T >= 0.95).sum() - len(v)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(embeddings, "choose_cells", lambda x, c, n, reach, block: c)  # cells as the centroids fall, across the hot group
+    spreads, real = [], embeddings._find
+    monkeypatch.setattr(embeddings, "_find", lambda *a: spreads.append(a[-1]) or real(*a))
+    found = embeddings.near_vectors(df, cell_rows=100, spread=0.01).agg({"n_links": "sum"}).first()[0]
+    assert len(spreads) > 1 and embeddings.RECALL * links <= found <= links
+
+
 def hot_vectors():
     """A third of the rows within one group of near copies, the rest in loose groups far from each other."""
     rng = np.random.default_rng(9)
@@ -198,7 +231,7 @@ def test_hot_group_that_is_cut_into_cells_loses_no_link(spark):
     assert links[:700, :700].sum() == 700 * 699
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<double>")
     for block in (300, embeddings.BLOCK):
-        got = {r.vec_id: r for r in embeddings.near_vectors(df, cell_rows=20, block=block).collect()}
+        got = {r.vec_id: r for r in embeddings.near_vectors(df, cell_rows=20, block=block).collect()}  # by default, a margin below the chord
         found = np.array([got[i].n_links for i in range(len(v))])
         assert (found <= links.sum(axis=1)).all() and found.sum() >= embeddings.RECALL * links.sum()
         assert {got[i].component_id for i in range(700)} == {0}
@@ -260,6 +293,16 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).columns[0] == "doc_id"
 
 
+def test_tables_on_the_way_are_released(spark):
+    from tidewire.llm import _base
+
+    kept = _base.table(spark.range(3).toDF("x"), "kept")
+    path = _base.run_dir(spark).removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path)
+    _base.release(spark)
+    assert not os.path.exists(path)
+
+
 def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     labels = spark.createDataFrame([(4, 1, 0), (10, 0, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))

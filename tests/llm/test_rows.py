@@ -239,23 +239,34 @@ def test_rates_meet_the_targets_of_the_queries(spark):
         assert abs(sum(r.tokens * r.rate * r[f"p_{d}"] for r in out) / total - share) < 0.01 * share
 
 
-def test_projected_solution_is_optimal():
+def brute_rates(t, p, want, rounds=200_000):
+    """Plain projected gradient on one rate for each document."""
+    size = t.sum()
+    r = np.ones(len(t))
+    for _ in range(rounds):
+        miss = (p.T @ (t * r) - want) / size
+        after = np.maximum(0, r - p @ miss)
+        if np.abs(after - r).max() < 1e-12:
+            break
+        r = after
+    return r
+
+
+@pytest.mark.parametrize("targets", [[0.9, 0.05, 0.05], [0.2, 0.2, 0.6], [0.0, 0.5, 0.5], [1.0, 0.0, 0.0]])
+def test_rates_are_as_near_as_brute_force(spark, targets):
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
-    t = rng.integers(1, 50, 200).astype(float)
-
-    def best(targets, pull=mixing.PULL):
-        size = t.sum()
-        want = np.array(targets) * size
-        r = np.ones(200)
-        for _ in range(20000):
-            resid = (p.T @ (t * r) - want) / size
-            r = np.maximum(0, r - 0.5 * (p @ resid + pull * (r - 1)))
-        return r
-
-    r = best([0.9, 0.05, 0.05])
-    m = np.linalg.lstsq(p[r > 0], 1 - r[r > 0], rcond=None)[0]
-    assert np.allclose(r, np.maximum(0, 1 - p @ m), atol=1e-3)  # the form that the distributed iteration relies on
+    p[:20] = [0.5, 0.3, 0.2]
+    t = rng.integers(1, 50, 200)
+    soft = spark.createDataFrame([(int(n), *map(float, q)) for n, q in zip(t, p, strict=True)], "tokens bigint, p0 double, p1 double, p2 double")
+    fitted = mixing.fit_rates(soft, 3, targets)
+    want = np.array(fitted.wanted)
+    r = np.array([x.r for x in soft.select(mixing.fold_rates([F.col(f"p{i}") for i in range(3)], fitted.steps).alias("r")).collect()])
+    assert (r >= 0).all() and np.allclose(p.T @ (t * r), fitted.reached, rtol=1e-9)
+    best = brute_rates(t.astype(float), p, want)
+    off = lambda r: np.linalg.norm(p.T @ (t * r) - want) / t.sum()
+    assert off(r) <= off(best) + 3e-3  # of all tokens, also where targets are out of reach
+    assert fitted.met == bool((np.abs(np.array(fitted.reached) - want) <= mixing.TOLERANCE * np.where(want > 0, want, t.sum())).all())
 
 
 def test_mixing_awkward_rows(spark):
