@@ -28,37 +28,28 @@ def classify_direction(df: DataFrame, prefixes: list[str] | None = None) -> Data
     return df.withColumns({"src_internal": src, "dst_internal": dst, "direction": direction(src, dst)})
 
 
-def as_of(facts: DataFrame, history: DataFrame, key: str, at: str, *, value: str = "client_id") -> DataFrame:
-    """The value valid at each fact's time; of several, the latest to begin. history: key, valid_from, valid_to, value.
+def as_of(facts: DataFrame, history: DataFrame, key: str, at: str, *, value: str = "client_id", width: int = 30 * 86_400_000_000) -> DataFrame:
+    """The value that holds at each fact's time: of the validities that hold then, the latest to begin, and of equal
+    ones the greatest value. history: key, valid_from, valid_to (null while it holds on), value.
 
-    One shuffle: facts and validity rows are laid out on one time line per key, and the last validity row before
-    each fact is carried forward. A key with most rows is as long a line; see ``as_of_bucketed`` for such.
+    The history is cut into time buckets of ``width`` and, within each, into stretches that have one value; facts
+    then meet the one stretch of their key and bucket by an equi-join. A hot key is spread over its buckets, and no fact
+    is matched with more than one row. Open validity ends at the last fact.
     """
-    line = Window.partitionBy(key).orderBy("_t", "_fact").rowsBetween(Window.unboundedPreceding, 0)
-    rows = facts.withColumns({"_t": F.col(at), "_fact": F.lit(1), "_v": F.lit(None).cast(f"struct<from:bigint,to:bigint,value:{dict(history.dtypes)[value]}>")})
-    marks = history.select(key, F.col("valid_from").alias("_t"), F.lit(0).alias("_fact"), F.struct(F.col("valid_from").alias("from"), F.col("valid_to").alias("to"), F.col(value).alias("value")).alias("_v"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    last = F.last("_v", ignorenulls=True).over(line)
-    out = both.withColumn("_last", last).where("_fact = 1")
-    holds = F.col("_last.to").isNull() | (F.col("_last.to") > F.col(at))
-    return out.withColumn(value, F.when(holds, F.col("_last.value"))).drop("_t", "_fact", "_v", "_last")
-
-
-def as_of_bucketed(facts: DataFrame, history: DataFrame, key: str, at: str, width: int, *, value: str = "client_id") -> DataFrame:
-    """The same as an equi-join on (key, time bucket): each validity row is laid into the buckets it covers, so that
-    a hot key is spread over its buckets. Open validity ends at the last fact."""
     last = facts.agg(F.max(at).alias("t")).first()["t"]
     if last is None:
         return facts.withColumn(value, F.lit(None).cast(dict(history.dtypes)[value]))
-    to = F.coalesce("valid_to", F.lit(last + 1))
-    covers = history.where(F.col("valid_from") <= last).select(
-        F.col(key).alias("_k"), "valid_from", "valid_to", F.col(value).alias("_value"), F.explode(F.sequence(F.floor(F.col("valid_from") / width), F.greatest(F.floor(F.col("valid_from") / width), F.floor((F.least(to, F.lit(last + 1)) - 1) / width)))).alias("_b")
-    )
-    rows = facts.withColumns({"_b2": F.floor(F.col(at) / width), "_row": F.monotonically_increasing_id()})
-    on = (rows[key] == covers["_k"]) & (rows["_b2"] == covers["_b"]) & (F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col(at)))
-    hit = rows.join(covers, on, "left")
-    best = hit.groupBy("_row", *facts.columns).agg(F.max_by("_value", "valid_from").alias(value))
-    return best.drop("_row")
+    to = F.least(F.coalesce("valid_to", F.lit(last + 1)), F.lit(last + 1))
+    valid = history.where((F.col("valid_from") <= last) & (to > F.col("valid_from")) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("valid_from").alias("_lo"), to.alias("_hi"), F.col(value).alias("_value"))
+    slot = lambda t: F.expr(f"floor({t} / {width})")
+    laid = valid.withColumn("_b", F.explode(F.sequence(slot("_lo"), slot("(_hi - 1)"))))
+    clipped = laid.withColumns({"_from": F.greatest("_lo", F.col("_b") * width), "_to": F.least("_hi", (F.col("_b") + 1) * width)})
+    edges = clipped.select("_k", "_b", F.explode(F.array("_from", "_to")).alias("_at")).distinct()
+    cuts = edges.withColumn("_end", F.lead("_at").over(Window.partitionBy("_k", "_b").orderBy("_at"))).where(F.col("_end").isNotNull())
+    held = cuts.join(clipped, ["_k", "_b"]).where((F.col("_from") <= F.col("_at")) & (F.col("_to") >= F.col("_end")))
+    stretches = held.groupBy("_k", "_b", "_at", "_end").agg(F.max(F.struct("_lo", "_value")).alias("_v")).select("_k", F.col("_b").alias("_bucket"), "_at", "_end", F.col("_v._value").alias("_value"))
+    on = (F.col(key) == F.col("_k")) & (slot(at) == F.col("_bucket")) & (F.col("_at") <= F.col(at)) & (F.col(at) < F.col("_end"))
+    return facts.join(stretches, on, "left").withColumn(value, F.col("_value")).drop("_k", "_bucket", "_at", "_end", "_value")
 
 
 def prefix_table(spark, prefixes: list[tuple]) -> DataFrame:
