@@ -24,6 +24,10 @@ def frame(spark, rows):
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], DDL)
 
 
+def expected(spark, *rows):
+    return spark.createDataFrame(rows, "scope_value string, kind string, value string")
+
+
 def test_horizontal_scan(spark):
     rows = [flow(i, dst_ip=f"198.51.100.{i}", dst_port=445, packets=1) for i in range(30)]
     hits = D.port_scan(frame(spark, rows)).collect()
@@ -42,6 +46,10 @@ def test_large_transfer(spark):
     hit = D.large_transfer(frame(spark, [flow(octets=3_000_000, sampling_interval=512)])).collect()
     assert len(hit) == 1 and hit[0].evidence["bytes"] == "1536000000"
     assert D.large_transfer(frame(spark, [flow(i, octets=1_000_000) for i in range(50)])).count() == 0
+    later = [flow(octets=3_000_000, sampling_interval=512), flow(1, t=T + 7200 * S, octets=3_000_000, sampling_interval=512)]
+    assert len({h.dedupe_key for h in D.large_transfer(frame(spark, later)).collect()}) == 2  # a window each
+    assert D.large_transfer(frame(spark, later), expectations=expected(spark, ("7", "destination", "203.0.113.9"))).count() == 0
+    assert D.large_transfer(frame(spark, later), expectations=expected(spark, ("*", "destination", "203.0.113.9"))).count() == 2
 
 
 def test_beacon(spark):
@@ -52,6 +60,12 @@ def test_beacon(spark):
     odd = [flow(i, start_time=T + (i * 60 + rng.randrange(55)) * S, octets=900) for i in range(15)]
     assert D.beaconing(frame(spark, odd)).count() == 0
     assert D.beaconing(frame(spark, [{**r, "octets": 5_000_000} for r in rows])).count() == 0
+    assert D.beaconing(frame(spark, rows), expectations=expected(spark, ("*", "beacon", "203.0.113.9"))).count() == 0
+    assert D.beaconing(frame(spark, rows), expectations=expected(spark, ("7", "destination", "203.0.113.9"))).count() == 0
+    assert D.beaconing(frame(spark, rows), expectations=expected(spark, ("*", "destination", "203.0.113.9"))).count() == 1
+    # It fires again at the end of the cool-down, not only after it.
+    long = [flow(i, start_time=T + i * 600 * S, octets=900) for i in range(24)]
+    assert sorted((h.at - T) // (600 * S) for h in D.beaconing(frame(spark, long)).collect()) == [11, 23]
 
 
 def test_first_seen(spark):
@@ -59,8 +73,8 @@ def test_first_seen(spark):
     rows = [flow(0, t=T), flow(1, t=T + 4 * day), flow(2, t=T + 4 * day + S, dst_ip="198.51.100.5", octets=50_000), flow(3, t=T + 4 * day + 2 * S, dst_ip="198.51.100.6", octets=10)]
     hits = D.first_seen(frame(spark, rows), "first-seen-destination").collect()
     assert [h.subject for h in hits] == ["198.51.100.5"]
-    expected = spark.createDataFrame([("7", "dst_ip", "198.51.100.5")], "scope_value string, kind string, value string")
-    assert D.first_seen(frame(spark, rows), "first-seen-destination", expectations=expected).count() == 0
+    known = expected(spark, ("7", "dst_ip", "198.51.100.5"))
+    assert D.first_seen(frame(spark, rows), "first-seen-destination", expectations=known).count() == 0
     known = D.first_seen_table(frame(spark, rows))
     assert D.first_seen(frame(spark, rows), "first-seen-destination", known=known).count() == 0
 
@@ -70,7 +84,12 @@ def test_resolver_and_vlan(spark):
     assert D.unauthorized_resolver(frame(spark, rows), ["1.1.1.1"]).count() == 2
     assert D.unauthorized_resolver(frame(spark, rows), []).count() == 0
     lan = [flow(0, direction=3, src_vlan=20, dst_vlan=99, dst_ip="192.168.99.5"), flow(1, direction=3, src_vlan=99, dst_vlan=99)]
-    assert [h.subject for h in D.vlan_crossing(frame(spark, lan)).collect()] == ["vlan20>vlan99"]
+    assert [(h.subject, h.dedupe_key) for h in D.vlan_crossing(frame(spark, lan)).collect()] == [("vlan20<->vlan99", "unexpected-vlan-communication|vlan20<->vlan99|192.168.99.31|192.168.99.5|443")]
+    back = [flow(2, direction=3, src_vlan=99, dst_vlan=20, src_ip="192.168.99.5", dst_ip="192.168.99.31")]
+    for known in (("*", "vlan-pair", "vlan20<->vlan99"), ("vlan20", "peer-vlan", "vlan99"), ("vlan99", "peer-vlan", "vlan20")):
+        assert D.vlan_crossing(frame(spark, lan + back), expectations=expected(spark, known)).count() == 0
+    bare = [flow(3, direction=3, src_ip="192.168.1.7", dst_ip="10.9.0.1"), flow(4, direction=3, src_ip="192.168.1.7", dst_ip="172.16.0.1"), flow(5, direction=3, src_ip="192.168.1.7", dst_ip="192.168.1.8")]
+    assert [h.subject for h in D.vlan_crossing(frame(spark, bare), prefixes=["192.168.0.0/16", "10.0.0.0/8"]).collect()] == ["10.0.0.0/8<->192.168.0.0/16"]
 
 
 def test_cool_down_fold_equals_plain_python(spark):
@@ -92,6 +111,40 @@ def test_cool_down_fold_equals_plain_python(spark):
     assert sorted((r.k, r.at, r.id, r.distinct) for r in got) == sorted(want)
 
 
+def test_a_key_that_never_pauses(spark, monkeypatch):
+    """One key, more rows than an Arrow batch, no pause as long as the window: spans and counts equal plain Python."""
+    rng = random.Random(8)
+    rows, t = [], 0
+    for i in range(5000):
+        t += rng.choice([0, 1, 2, 9])
+        rows.append(("k", t, i, str(rng.randrange(30))))
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint, v string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        for at_end in (False, True):
+            want, last = [], None
+            for _, t, i, _ in rows:
+                if last is None or t - last > 50 or (at_end and t - last >= 50):
+                    last = t
+                    want.append(i)
+            got = D.opened(df, ["k"], "t", "i", 50, at_end=at_end).collect()
+            assert sorted(r.i for r in got if r._opens) == want and len(got) == len(rows)
+        counts = {r.i: r.distinct for r in D.trailing_distinct(df, ["k"], "t", "v", "i", 50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for a, (_, t, i, _) in enumerate(rows):
+        assert counts[i] == len({v for _, s, _, v in rows[max(0, a - 60) : a + 1] if s >= t - 50}), i
+
+
+def test_a_rule_that_fails_while_it_runs_does_not_stop_the_others(spark):
+    from pyspark.sql import functions as F
+
+    f = frame(spark, [flow(i, dst_ip=f"198.51.100.{i}", dst_port=445, packets=1) for i in range(30)])
+    broken = f.withColumn("packets", F.raise_error(F.lit("bad row")).cast("bigint"))
+    stats = D.run_rules({"a": D.port_scan(broken), "b": D.port_scan(f)}, lambda rule, found: len(found.collect()))
+    assert "bad row" in stats["a"]["error"] and (stats["b"]["findings"], stats["b"]["error"]) == (1, None) and stats["b"]["seconds"] > 0
+
+
 def test_alert_life(spark):
     rows = [flow(i, dst_ip=f"198.51.100.{i}", dst_port=445, packets=1) for i in range(30)]
     found = D.port_scan(frame(spark, rows))

@@ -1,18 +1,28 @@
 """Detection rules over enriched records, in arrival order.
 
-Batch form. Novelty rules are minima per key. Rules with a memory of their own output (cool-downs, re-anchored
-windows) are left folds in the JVM over each key's ordered records; the array of a key is what the rule's
-window needs, see ``fold``. ``streaming.rules`` has the same rules over unbounded input.
+Batch form. Novelty rules are minima per key; what a trailing window holds is a running sum of what enters and leaves
+it (``trailing_distinct``). Rules with a memory of their own output (cool-downs, re-anchored windows, bursts) need the
+one thing that is sequential: a row opens a span unless it falls into the span that the last opening row began. That
+is one pass over each key's rows in order, batch by batch, of which only the last opening time is held (``opened``); no
+key's rows are ever gathered in an array. A busy key is still one task there, but one that streams.
 
 Findings have one shape: rule, dedupe_key, at, severity, client_id, subject, evidence (map), flow_ids, event_ids.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewire.functions.netaddr import in_prefix
 
 SECOND, HOUR, DAY = 1_000_000, 3_600_000_000, 86_400_000_000
 INFO, LOW, MEDIUM, HIGH, CRITICAL = 0, 1, 2, 3, 4
@@ -39,14 +49,19 @@ def finding(rule: str, *, key: Column, at: Column, severity, client: Column | No
     ]
 
 
-def unexpected(df: DataFrame, expectations: DataFrame | None, kind: str, value: Column, client: str = "src_client_id") -> DataFrame:
-    """Rows whose (kind, value) is expected neither of the client nor of everybody ('*')."""
+def unexpected(df: DataFrame, expectations: DataFrame | None, kind: str, value: Column, scope: Column | str | None = "src_client_id", *, everybody: bool = True) -> DataFrame:
+    """Rows whose (kind, value) is expected neither of their scope (by default the client) nor, unless told otherwise, of everybody ('*')."""
     if expectations is None:
         return df
     known = expectations.where(F.col("kind") == kind).select(F.col("scope_value").alias("_scope"), F.col("value").alias("_value")).distinct()
     rows = df.withColumn("_v", value.cast("string"))
-    own = rows.join(known, (F.col(client).cast("string") == F.col("_scope")) & (F.col("_v") == F.col("_value")), "left_anti")
-    return own.join(known.where("_scope = '*'").select("_value"), F.col("_v") == F.col("_value"), "left_anti").drop("_v")
+    if scope is not None:
+        own = F.col(scope) if isinstance(scope, str) else scope
+        rows = rows.withColumn("_own", own.cast("string"))
+        rows = rows.join(known, (F.col("_own") == F.col("_scope")) & (F.col("_v") == F.col("_value")), "left_anti").drop("_own")
+    if everybody:
+        rows = rows.join(known.where("_scope = '*'").select("_value"), F.col("_v") == F.col("_value"), "left_anti")
+    return rows.drop("_v")
 
 
 # What is new, by rule: key column, least octets, severity.
@@ -109,34 +124,67 @@ def unauthorized_resolver(flows: DataFrame, trusted: list[str], *, min_flows: in
     return hit.select(*finding("dns-unauthorized-resolver", key=F.concat_ws("|", "src_ip", "dst_ip"), at=F.col("end_time"), severity=MEDIUM, client=F.col("src_client_id"), subject=F.col("dst_ip"), evidence={"count": F.col("nth"), "port": F.col("dst_port")}, flows=F.array("flow_id")))
 
 
-def spans(rows: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
-    """``rows`` with _span: runs of a key's rows without a pause longer than ``gap``.
+def opened(rows: DataFrame, keys: list[str], time: str, id_col: str, length: int, *, at_end: bool) -> DataFrame:
+    """``rows`` with _since, the time of the row that opened the span they are in, and _opens, whether they opened it.
 
-    A trailing window of that length never reaches over such a pause, and neither does a cool-down of the same
-    length, so that a fold can run on each span by itself: a busy key is as many groups as it has pauses.
+    A key's first row opens a span; a later one does where it lies more than ``length`` after the last opening row,
+    or, with ``at_end``, at least that. Order is (time, id). Rows pass through in batches, sorted by key.
+    """
+    laid = rows.withColumn("_key", F.to_json(F.struct(*keys))).repartition("_key").sortWithinPartitions("_key", time, id_col)
+    side = "left" if at_end else "right"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key, t = batch.column(batch.schema.get_field_index("_key")), batch.column(batch.schema.get_field_index(time)).to_numpy()
+            edges = np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1
+            since, opens = np.empty(n, dtype=np.int64), np.zeros(n, dtype=bool)
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
+                if (here := key[a].as_py()) != name:
+                    name, last = here, None
+                while a < b:
+                    if last is not None:
+                        end = a + int(np.searchsorted(t[a:b], last + length, side=side))
+                        since[a:end], a = last, end
+                        if a == b:
+                            break
+                    last, opens[a] = int(t[a]), True
+                    since[a] = last
+                    a += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(since), pa.array(opens)], names=[*batch.schema.names, "_since", "_opens"])
+
+    schema = T.StructType([*laid.schema.fields, T.StructField("_since", T.LongType()), T.StructField("_opens", T.BooleanType())])
+    return laid.mapInArrow(run, schema).drop("_key")
+
+
+def trailing_distinct(rows: DataFrame, keys: list[str], time: str, value: str, id_col: str, window: int) -> DataFrame:
+    """(keys, time, id, distinct): how many values a key had in the ``window`` up to and including each row.
+
+    A value enters with a row unless it is there already, and leaves a window after its last row. The count is the
+    running sum of both: linear in the rows, whatever a window holds.
     """
-    order = Window.partitionBy(*keys).orderBy(time)
-    opens = (F.col(time) - F.lag(time).over(order) > gap).cast("bigint")
-    return rows.withColumn("_span", F.sum(F.coalesce(opens, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    same = Window.partitionBy(*keys, value).orderBy(time, id_col)
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, time, id_col, value)
+    seen = rows.withColumns({"_before": F.lag(time).over(same), "_after": F.lead(time).over(same)})
+    enters = F.coalesce(F.col(time) - F.col("_before") > window, F.lit(True)).cast("int")
+    leaves = F.coalesce(F.col("_after") - F.col(time) > window, F.lit(True))
+    first = F.lit(-(1 << 63)).cast("bigint")  # before all rows of its time
+    events = seen.select(*keys, F.col(time).alias("_t"), F.col(id_col).cast("bigint").alias("_i"), enters.alias("_d")).unionByName(
+        seen.where(leaves).select(*keys, (F.col(time) + window + 1).alias("_t"), first.alias("_i"), F.lit(-1).alias("_d"))
+    )
+    count = F.sum("_d").over(Window.partitionBy(*keys).orderBy("_t", "_i").rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("distinct", count.cast("int")).where(F.col("_i") != first).select(*keys, F.col("_t").alias(time), F.col("_i").alias(id_col), "distinct")
 
 
 def sliding_distinct(rows: DataFrame, keys: list[str], time: str, value: str, id_col: str, *, window: int, threshold: int) -> DataFrame:
     """Alerts (keys, at, id, distinct) where the distinct values of a trailing window (inclusive) reach a threshold,
-    with as long a cool-down after each alert. A fold per key and span, in the order (time, id)."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(id_col).alias("i"), F.col(value).cast("string").alias("v"))))
-    state = "struct<win:array<struct<t:bigint,v:string>>,last:bigint,out:array<struct<at:bigint,id:bigint,n:int>>>"
-    start = F.expr("named_struct('win', cast(array() as array<struct<t:bigint,v:string>>), 'last', cast(null as bigint), 'out', cast(array() as array<struct<at:bigint,id:bigint,n:int>>))").cast(state)
-
-    def step(s, x):
-        win = F.concat(F.filter(s["win"], lambda w: (w["t"] >= x["t"] - window) & (w["v"] != x["v"])), F.array(F.struct(x["t"].alias("t"), x["v"].alias("v"))))
-        # The window holds the latest row of each value: its size is the distinct count.
-        fire = (F.size(win) >= threshold) & (s["last"].isNull() | (x["t"] - s["last"] > window))
-        hit = F.array(F.struct(x["t"].alias("at"), x["i"].alias("id"), F.size(win).alias("n")))
-        return F.struct(win.alias("win"), F.when(fire, x["t"]).otherwise(s["last"]).alias("last"), F.when(fire, F.concat(s["out"], hit)).otherwise(s["out"]).alias("out")).cast(state)
-
-    split = spans(rows, keys, time, window)
-    folded = split.groupBy(*keys, "_span").agg(F.count_distinct(value).alias("_d"), ordered.alias("_a")).where(F.col("_d") >= threshold)
-    return folded.select(*keys, F.explode(F.aggregate("_a", start, step)["out"]).alias("o")).select(*keys, "o.at", "o.id", F.col("o.n").alias("distinct"))
+    with as long a cool-down after each alert."""
+    reached = trailing_distinct(rows, keys, time, value, id_col, window).where(F.col("distinct") >= threshold)
+    fired = opened(reached, keys, time, id_col, window, at_end=False).where("_opens")
+    return fired.select(*keys, F.col(time).alias("at"), F.col(id_col).alias("id"), "distinct")
 
 
 def port_scan(flows: DataFrame, *, horizontal: bool = True, window: int = 60 * SECOND, threshold: int | None = None, max_packets: int = 4) -> DataFrame:
@@ -159,25 +207,18 @@ def repeated_denials(events: DataFrame, *, window: int = 300 * SECOND, threshold
 
 def large_transfer(flows: DataFrame, *, window: int = 3600 * SECOND, threshold: int = 1_000_000_000, expectations: DataFrame | None = None) -> DataFrame:
     """Bytes from a client to one destination, times sampling, in windows anchored at the first flow after the last
-    window's end; once per window."""
-    rows = unexpected(flows.where((F.col("direction") == 1) & F.col("src_client_id").isNotNull()), expectations, "destination", F.col("dst_ip"))
-    rows = rows.withColumn("volume", F.col("octets") * F.greatest(F.coalesce("sampling_interval", F.lit(1)), F.lit(1)))
+    window's end; once per window, which is part of the key. Expected where the client's destination is."""
+    rows = unexpected(flows.where((F.col("direction") == 1) & F.col("src_client_id").isNotNull()), expectations, "destination", F.col("dst_ip"), everybody=False)
     keys = ["src_client_id", "dst_ip"]
-    state = "struct<since:bigint,sum:bigint,done:boolean,out:array<struct<at:bigint,id:bigint,n:bigint>>>"
-    start = F.expr("named_struct('since', cast(null as bigint), 'sum', cast(0 as bigint), 'done', false, 'out', cast(array() as array<struct<at:bigint,id:bigint,n:bigint>>))").cast(state)
-
-    def step(s, x):
-        anew = s["since"].isNull() | (x["t"] - s["since"] > window)
-        total = F.when(anew, F.lit(0)).otherwise(s["sum"]) + x["v"]
-        fire = (total >= threshold) & ~(F.when(anew, F.lit(False)).otherwise(s["done"]))
-        hit = F.array(F.struct(x["t"].alias("at"), x["i"].alias("id"), total.alias("n")))
-        return F.struct(F.when(anew, x["t"]).otherwise(s["since"]).alias("since"), total.alias("sum"), (F.when(anew, F.lit(False)).otherwise(s["done"]) | fire).alias("done"), F.when(fire, F.concat(s["out"], hit)).otherwise(s["out"]).alias("out")).cast(state)
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("end_time").alias("t"), F.col("flow_id").alias("i"), F.col("volume").alias("v"))))
-    split = spans(rows, keys, "end_time", window)
-    folded = split.groupBy(*keys, "_span").agg(F.sum("volume").alias("_s"), ordered.alias("_a")).where(F.col("_s") >= threshold)
-    hits = folded.select(*keys, F.explode(F.aggregate("_a", start, step)["out"]).alias("o")).select(*keys, "o.at", "o.id", F.col("o.n").alias("bytes"))
-    return hits.select(*finding("large-outbound-transfer", key=F.concat_ws("|", *keys), at=F.col("at"), severity=MEDIUM, client=F.col("src_client_id"), subject=F.col("dst_ip"), evidence={"bytes": F.col("bytes")}, flows=F.array("id")))
+    rows = rows.select(*keys, "end_time", "flow_id", (F.col("octets") * F.greatest(F.coalesce("sampling_interval", F.lit(1)), F.lit(1))).alias("volume"))
+    # Only keys that ever reach the threshold, in all their rows, are laid out in order.
+    heavy = rows.groupBy(*keys).agg(F.sum("volume").alias("_s")).where(F.col("_s") >= threshold).drop("_s")
+    spans = opened(rows.join(heavy, keys, "left_semi"), keys, "end_time", "flow_id", window, at_end=False)
+    total = F.sum("volume").over(Window.partitionBy(*keys, "_since").orderBy("end_time", "flow_id").rowsBetween(Window.unboundedPreceding, 0))
+    over = spans.withColumn("bytes", total).where(F.col("bytes") >= threshold)
+    hits = over.groupBy(*keys, "_since").agg(F.min(F.struct("end_time", "flow_id", "bytes")).alias("f"))
+    key = F.concat_ws("|", *keys, F.expr(f"_since div {HOUR}").cast("string"))
+    return hits.select(*finding("large-outbound-transfer", key=key, at=F.col("f.end_time"), severity=MEDIUM, client=F.col("src_client_id"), subject=F.col("dst_ip"), evidence={"bytes": F.col("f.bytes")}, flows=F.array("f.flow_id")))
 
 
 def order_statistics(values: Column) -> tuple[Column, Column]:
@@ -199,11 +240,13 @@ def unusual_volume(flows: DataFrame, history: DataFrame, *, days: int = 7, min_b
     rows = flows.where((F.col("direction") == 1) & F.col("src_client_id").isNotNull()).withColumn("hour", F.col("end_time") - F.col("end_time") % HOUR)
     running = F.sum(F.col("octets") * F.greatest(F.coalesce("sampling_interval", F.lit(1)), F.lit(1))).over(Window.partitionBy("src_client_id", "hour").orderBy("end_time", "flow_id").rowsBetween(Window.unboundedPreceding, 0))
     crossing = rows.withColumn("running", running).where(F.col("running") >= min_bytes)
-    hours = crossing.select("src_client_id", "hour").distinct()
-    # A week of hours per client and hour: 168 values at most.
-    before = hours.join(history, (history["client_id"] == hours["src_client_id"]) & (history["hour"] < hours["hour"]) & (history["hour"] >= hours["hour"] - days * DAY))
+    # A range over each client's hours, the ones asked for among them; it holds a week of hours, 168 values at most.
+    asked = crossing.select(F.col("src_client_id").alias("client_id"), "hour").distinct().withColumns({"bytes": F.lit(None).cast("bigint"), "asked": F.lit(True)})
+    line = history.select("client_id", "hour", F.col("bytes").cast("bigint").alias("bytes")).withColumn("asked", F.lit(False)).unionByName(asked)
+    values = F.collect_list("bytes").over(Window.partitionBy("client_id").orderBy("hour").rangeBetween(-days * DAY, -1))
     median, p95 = order_statistics(F.col("values"))
-    base = before.groupBy(hours["src_client_id"], hours["hour"]).agg(F.collect_list(history["bytes"]).alias("values")).where(F.size("values") >= min_hours).withColumns({"median": median, "p95": p95})
+    base = line.withColumn("values", values).where("asked").where(F.size("values") >= min_hours)
+    base = base.select(F.col("client_id").alias("src_client_id"), "hour", median.alias("median"), p95.alias("p95"))
     hit = crossing.join(base, ["src_client_id", "hour"]).where((F.col("running") >= factor * F.greatest("median", F.lit(1))) & (F.col("running") > F.col("p95")))
     first = hit.groupBy("src_client_id", "hour").agg(F.min(F.struct("end_time", "flow_id", "running", "median", "p95")).alias("f"))
     return first.select(*finding("unusual-outbound-volume", key=F.concat_ws("|", "src_client_id", "hour"), at=F.col("f.end_time"), severity=MEDIUM, client=F.col("src_client_id"), evidence={"bytes": F.col("f.running"), "median": F.col("f.median"), "p95": F.col("f.p95")}, flows=F.array("f.flow_id")))
@@ -225,48 +268,60 @@ def unusual_time(flows: DataFrame, history: DataFrame, *, zone: str = "UTC", day
     rows = flows.where((F.col("direction") == 1) & F.col("src_client_id").isNotNull()).withColumn("hour", F.col("end_time") - F.col("end_time") % HOUR)
     nth = F.row_number().over(Window.partitionBy("src_client_id", "hour").orderBy("end_time", "flow_id"))
     reached = rows.withColumn("nth", nth).where(F.col("nth") == min_flows).select("src_client_id", "hour", "end_time", "flow_id", "nth")
-    before = reached.join(history, (history["client_id"] == reached["src_client_id"]) & (history["hour"] < reached["hour"]) & (history["hour"] >= reached["hour"] - days * DAY))
-    same = local_hour(history["hour"], zone) == local_hour(reached["hour"], zone)
-    base = before.groupBy(reached["src_client_id"], reached["hour"], "end_time", "flow_id", "nth").agg(F.sum(history["flows"]).alias("total"), F.sum(F.when(same, history["flows"]).otherwise(0)).alias("then"))
+    asked = reached.select(F.col("src_client_id").alias("client_id"), "hour", F.lit(0).cast("bigint").alias("flows"), "end_time", "flow_id", "nth")
+    line = history.select("client_id", "hour", F.col("flows").cast("bigint").alias("flows")).unionByName(asked, allowMissingColumns=True).withColumn("then", local_hour(F.col("hour"), zone))
+    past = lambda *by: F.sum("flows").over(Window.partitionBy(*by).orderBy("hour").rangeBetween(-days * DAY, -1))
+    base = line.withColumns({"total": past("client_id"), "then": F.coalesce(past("client_id", "then"), F.lit(0))}).where(F.col("flow_id").isNotNull()).withColumnRenamed("client_id", "src_client_id")
     hit = base.where((F.col("total") >= min_history) & (F.col("then") / F.col("total") < share))
     return hit.select(*finding("unusual-activity-time", key=F.concat_ws("|", "src_client_id", "hour"), at=F.col("end_time"), severity=LOW, client=F.col("src_client_id"), evidence={"flows": F.col("nth"), "history": F.col("total"), "then": F.col("then")}, flows=F.array("flow_id")))
 
 
 def beaconing(flows: DataFrame, *, window: int = 7200 * SECOND, min_count: int = 12, min_gap: int = 5 * SECOND, max_cv: float = 0.15, max_octets: int = 20_000, apart: int = SECOND, expectations: DataFrame | None = None) -> DataFrame:
     """Small outbound flows at regular intervals: over the trailing window, count, mean gap and variation of gaps; the
-    window is the cool-down."""
-    rows = unexpected(flows.where((F.col("direction") == 1) & (F.col("octets") <= max_octets) & F.col("src_client_id").isNotNull()), expectations, "destination", F.col("dst_ip"))
+    window is the cool-down. Flows within ``apart`` of the last one that counted are the same burst. Expected where
+    the client's destination is, or the destination as anybody's beacon."""
+    rows = flows.where((F.col("direction") == 1) & (F.col("octets") <= max_octets) & F.col("src_client_id").isNotNull())
+    rows = unexpected(rows, expectations, "destination", F.col("dst_ip"), everybody=False)
+    rows = unexpected(rows, expectations, "beacon", F.col("dst_ip"), scope=None)
     keys = ["src_client_id", "dst_ip", "dst_port"]
-    state = "struct<win:array<bigint>,last:bigint,out:array<struct<at:bigint,id:bigint,n:int,mean:double,cv:double>>>"
-    start = F.expr("named_struct('win', cast(array() as array<bigint>), 'last', cast(null as bigint), 'out', cast(array() as array<struct<at:bigint,id:bigint,n:int,mean:double,cv:double>>))").cast(state)
-
-    def step(s, x):
-        close = (F.size(s["win"]) > 0) & (x["t"] - F.try_element_at(s["win"], F.lit(-1)) < apart)
-        win = F.concat(F.filter(s["win"], lambda w: w >= x["t"] - window), F.array(x["t"]))
-        n = F.size(win)
-        gaps = F.zip_with(F.slice(win, 2, F.greatest(n - 1, F.lit(0))), F.slice(win, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: (a - b).cast("double"))
-        mean = F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g) / (n - 1)
-        var = F.aggregate(gaps, F.lit(0.0), lambda a, g: a + (g - mean) * (g - mean)) / (n - 1)
-        cv = F.sqrt(var) / mean
-        fire = (n >= min_count) & (mean >= min_gap) & (cv <= max_cv) & (s["last"].isNull() | (x["t"] - s["last"] > window))
-        hit = F.array(F.struct(x["t"].alias("at"), x["i"].alias("id"), n.alias("n"), mean.alias("mean"), cv.alias("cv")))
-        after = F.struct(win.alias("win"), F.when(fire, x["t"]).otherwise(s["last"]).alias("last"), F.when(fire, F.concat(s["out"], hit)).otherwise(s["out"]).alias("out")).cast(state)
-        return F.when(close, s).otherwise(after)
-
-    split = spans(rows, keys, "start_time", window)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("start_time").alias("t"), F.col("flow_id").alias("i"))))
-    folded = split.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"), ordered.alias("_a")).where(F.col("_n") >= min_count)
-    hits = folded.select(*keys, F.explode(F.aggregate("_a", start, step)["out"]).alias("o")).select(*keys, "o.*")
-    return hits.select(*finding("beaconing", key=F.concat_ws("|", *keys), at=F.col("at"), severity=MEDIUM, client=F.col("src_client_id"), subject=F.col("dst_ip"), evidence={"count": F.col("n"), "mean_gap_us": F.col("mean"), "cv": F.col("cv")}, flows=F.array("id")))
-
-
-def vlan_crossing(flows: DataFrame, *, min_octets: int = 1000, expectations: DataFrame | None = None) -> DataFrame:
-    """Traffic between two internal networks that are not expected to talk; once per source, destination and port."""
-    rows = flows.where((F.col("direction") == 3) & (F.col("octets") >= min_octets) & F.col("src_vlan").isNotNull() & F.col("dst_vlan").isNotNull() & (F.col("src_vlan") != F.col("dst_vlan")))
-    pair = F.concat(F.lit("vlan"), F.col("src_vlan").cast("string"), F.lit(">vlan"), F.col("dst_vlan").cast("string"))
-    rows = unexpected(rows.withColumn("pair", pair), expectations, "network-pair", F.col("pair"))
+    rows = rows.select(*keys, "start_time", "flow_id")
+    many = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).drop("_n")
+    single = opened(rows.join(many, keys, "left_semi"), keys, "start_time", "flow_id", apart, at_end=True).where("_opens").drop("_since", "_opens")
+    order = Window.partitionBy(*keys).orderBy("start_time")
+    gap = (F.col("start_time") - F.lag("start_time").over(order)).cast("double")
+    # At most window / apart rows; the gap that leads into the window is none of its gaps.
+    held = order.rangeBetween(-window, 0)
+    spread = single.withColumn("g2", F.coalesce(gap * gap, F.lit(0.0))).withColumns({"n": F.count(F.lit(1)).over(held).cast("int"), "_first": F.first("start_time").over(held), "_g2": F.sum("g2").over(held) - F.first("g2").over(held)})
+    mean = (F.col("start_time") - F.col("_first")) / (F.col("n") - 1)
+    regular = spread.where(F.col("n") >= F.lit(max(2, min_count))).withColumn("mean", mean)
+    regular = regular.withColumn("cv", F.sqrt(F.greatest(F.col("_g2") / (F.col("n") - 1) - F.col("mean") * F.col("mean"), F.lit(0.0))) / F.col("mean"))
+    steady = regular.where((F.col("mean") >= min_gap) & (F.col("cv") <= max_cv)).select(*keys, "start_time", "flow_id", "n", "mean", "cv")
+    hits = opened(steady, keys, "start_time", "flow_id", window, at_end=True).where("_opens")
+    return hits.select(*finding("beaconing", key=F.concat_ws("|", *keys), at=F.col("start_time"), severity=MEDIUM, client=F.col("src_client_id"), subject=F.col("dst_ip"), evidence={"count": F.col("n"), "mean_gap_us": F.col("mean"), "cv": F.col("cv")}, flows=F.array("flow_id")))
+
+
+def network_of(ip: Column, vlan: Column, prefixes: list[str] | None) -> Column:
+    """The network an address belongs to: its VLAN, else the first of the internal prefixes that holds it; null without either."""
+    out = F.when(vlan.isNotNull(), F.concat(F.lit("vlan"), vlan.cast("string")))
+    for p in prefixes or []:
+        out = out.when(in_prefix(ip, p), F.lit(p))
+    return out
+
+
+def vlan_crossing(flows: DataFrame, *, min_octets: int = 1000, expectations: DataFrame | None = None, prefixes: list[str] | None = None) -> DataFrame:
+    """Traffic between two internal networks that are not expected to talk; once per source, destination and port.
+
+    The pair of networks has no direction: it is expected as anybody's vlan-pair, or as either network's peer-vlan.
+    """
+    lan = flows.where((F.col("direction") == 3) & (F.col("octets") >= min_octets))
+    lan = lan.withColumns({"_s": network_of(F.col("src_ip"), F.col("src_vlan"), prefixes), "_d": network_of(F.col("dst_ip"), F.col("dst_vlan"), prefixes)})
+    rows = lan.where(F.col("_s") != F.col("_d")).withColumn("pair", F.array_join(F.array_sort(F.array("_s", "_d")), "<->"))
+    rows = unexpected(rows, expectations, "vlan-pair", F.col("pair"), scope=None)
+    for own, peer in (("_s", "_d"), ("_d", "_s")):
+        rows = unexpected(rows, expectations, "peer-vlan", F.col(peer), own, everybody=False)
     first = rows.groupBy("src_ip", "dst_ip", "dst_port").agg(F.min(F.struct("end_time", "flow_id", "octets", "src_client_id", "pair")).alias("f"))
-    return first.select(*finding("unexpected-vlan-communication", key=F.concat_ws("|", "src_ip", "dst_ip", F.col("dst_port").cast("string")), at=F.col("f.end_time"), severity=MEDIUM, client=F.col("f.src_client_id"), subject=F.col("f.pair"), evidence={"octets": F.col("f.octets")}, flows=F.array("f.flow_id")))
+    key = F.concat_ws("|", F.col("f.pair"), "src_ip", "dst_ip", F.col("dst_port").cast("string"))
+    return first.select(*finding("unexpected-vlan-communication", key=key, at=F.col("f.end_time"), severity=MEDIUM, client=F.col("f.src_client_id"), subject=F.col("f.pair"), evidence={"octets": F.col("f.octets")}, flows=F.array("f.flow_id")))
 
 
 def interval_join(events: DataFrame, flows: DataFrame, slack: int = 120 * SECOND) -> DataFrame:
@@ -304,7 +359,7 @@ def collection_failure(health: DataFrame, *, min_drops: int = 100) -> DataFrame:
 RULES = (*NOVELTIES, "dns-unauthorized-resolver", "port-scan-horizontal", "port-scan-vertical", "repeated-denials", "large-outbound-transfer", "unusual-outbound-volume", "unusual-activity-time", "beaconing", "unexpected-vlan-communication", "ids-event", "collection-failure")
 
 
-def evaluate(flows: DataFrame, events: DataFrame, *, history: DataFrame, health: DataFrame | None = None, config: RuleConfig | None = None, known: DataFrame | None = None, expectations: DataFrame | None = None, trusted: list[str] | None = None, zone: str = "UTC") -> tuple[dict[str, DataFrame], dict[str, str]]:
+def evaluate(flows: DataFrame, events: DataFrame, *, history: DataFrame, health: DataFrame | None = None, config: RuleConfig | None = None, known: DataFrame | None = None, expectations: DataFrame | None = None, trusted: list[str] | None = None, zone: str = "UTC", prefixes: list[str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """All enabled rules; a rule that cannot be planned is reported and does not stop the others."""
     config = config or RuleConfig()
     g = config.get
@@ -318,7 +373,7 @@ def evaluate(flows: DataFrame, events: DataFrame, *, history: DataFrame, health:
         "unusual-outbound-volume": lambda: unusual_volume(flows, history, min_bytes=g("unusual-outbound-volume", "min_bytes", 200_000_000)),
         "unusual-activity-time": lambda: unusual_time(flows, history, zone=zone, min_flows=g("unusual-activity-time", "min_flows", 20)),
         "beaconing": lambda: beaconing(flows, expectations=expectations, min_count=g("beaconing", "min_count", 12)),
-        "unexpected-vlan-communication": lambda: vlan_crossing(flows, expectations=expectations),
+        "unexpected-vlan-communication": lambda: vlan_crossing(flows, expectations=expectations, prefixes=prefixes),
         "ids-event": lambda: ids_events(events, flows),
     }
     if health is not None:
@@ -332,3 +387,19 @@ def evaluate(flows: DataFrame, events: DataFrame, *, history: DataFrame, health:
         except Exception as e:  # noqa: BLE001 - isolation of one rule from the others is the point
             failed[rule] = str(e)
     return out, failed
+
+
+def run_rules(plans: dict[str, DataFrame], write) -> dict[str, dict]:
+    """Run planned rules one by one through ``write(rule, findings)``, which returns the number of findings.
+
+    A rule that fails while it runs is reported and does not stop the others: rule -> {findings, seconds, error}.
+    """
+    stats = {}
+    for rule, findings in plans.items():
+        began = time.perf_counter()
+        try:
+            n, error = write(rule, findings), None
+        except Exception as e:  # noqa: BLE001 - isolation of one rule from the others is the point
+            n, error = 0, str(e)
+        stats[rule] = {"findings": n, "seconds": time.perf_counter() - began, "error": error}
+    return stats
