@@ -1,8 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
-import pytest
-from pyspark.sql import SparkSession
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks share the cores; before numpy is loaded
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 

@@ -55,12 +55,13 @@ def placeholder(value: Column, hide: bool, text: str) -> Column:
 
 
 def redact_text(value: Column, policy: Redaction) -> Column:
-    """Addresses within free text become tokens: runs of hex digits, dots and colons are cut out, and those that are
-    IPv4 addresses, or hold two colons and look like IPv6, are replaced. JVM expressions only."""
+    """Addresses within free text become tokens: runs of hex digits, dots and colons are cut out, without the signs that
+    end a sentence, and those that are IPv4 addresses, or hold two colons and look like IPv6, are replaced. JVM
+    expressions only."""
     if not policy.free_text:
         return value
-    marked = F.regexp_replace(value, r"([0-9A-Fa-f.:]+)", "\u0001$1\u0001")
-    v6 = r"^(?=(?:.*:){2})(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}$"
+    marked = F.regexp_replace(value, r"((?:::)?[0-9A-Fa-f](?:[0-9A-Fa-f.:]*[0-9A-Fa-f])?(?:::)?)", "\u0001$1\u0001")
+    v6 = r"^(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}$"
     parts = F.transform(F.split(marked, "\u0001"), lambda p: F.when(p.rlike(V4_PATTERN) | p.rlike(v6), token(p, policy.salt)).otherwise(p))
     return F.array_join(parts, "")
 

@@ -122,7 +122,8 @@ def totals(minutes: DataFrame, f: RecordFilter) -> DataFrame:
     if f.end is not None:
         rows = rows.where(F.col("bucket") <= f.end)
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return rows.agg(zero("flows"), zero("bytes"), zero("packets"))
+    one = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("bytes"))), F.lit(0))
+    return rows.agg(zero("flows"), zero("bytes"), zero("packets"), one(2).alias("inbound"), one(1).alias("outbound"))
 
 
 def gaps(table: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -168,8 +169,9 @@ def overview(flows: DataFrame, events: DataFrame, minutes: DataFrame, gap_table:
 
 def clients_with_traffic(clients: DataFrame, flows: DataFrame, f: RecordFilter) -> DataFrame:
     """Clients (client_id, label, address) with their traffic by source address, quiet ones included."""
-    top = top_n(flows, f, "src_ip", TOP_LIMIT).withColumnRenamed("k", "address")
-    return clients.join(top, "address", "left").na.fill(0, ["flows", "bytes", "packets"])
+    sums = flows.where(compile_filter(f)).where(F.col("src_ip").isNotNull()).groupBy(F.col("src_ip").alias("address"))
+    traffic = sums.agg(F.sum("flow_count").alias("flows"), F.sum("octets").alias("bytes"), F.sum("packets").alias("packets"))
+    return clients.join(traffic, "address", "left").na.fill(0, ["flows", "bytes", "packets"])
 
 
 def truncated_page(df: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -34,7 +34,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729, F.lit(86400))
     base = li.select(
         hash_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("flow_id"),
-        F.lit(0).cast("smallint").alias("origin"),
+        F.when(F.col("l_orderkey") % 16 == 7, 1).otherwise(0).cast("smallint").alias("origin"),
         F.concat(F.lit("10.255.0."), F.pmod("l_orderkey", F.lit(4)).cast("string")).alias("exporter_addr"),
         (day + second * MICROS).alias("start_time"),
         (day + second * MICROS + F.col("l_quantity").cast("bigint") * MICROS).alias("end_time"),
@@ -50,7 +50,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("l_extendedprice").cast("bigint").alias("octets"),
         F.col("l_suppkey").cast("bigint").alias("src_client_id"),
         F.when(F.col("l_returnflag") != "A", F.pmod("l_partkey", F.lit(500))).cast("bigint").alias("dst_client_id"),
-        (F.lit(64512) + F.pmod("l_suppkey", F.lit(32))).cast("bigint").alias("dst_asn"),
+        (F.lit(64512) + F.pmod("l_partkey", F.lit(31))).cast("bigint").alias("dst_asn"),
         (F.lit(10) + F.pmod("l_suppkey", F.lit(5))).cast("int").alias("src_vlan"),
         (F.lit(10) + F.pmod("l_partkey", F.lit(5))).cast("int").alias("dst_vlan"),
         F.when(F.col("l_linestatus") == "O", F.expr("shiftleft(1, cast(l_linenumber % 6 as int))")).otherwise(0).cast("int").alias("tcp_flags"),
@@ -66,7 +66,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLOWS_SQL = """
 flows AS (
   SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)), 1, 15))::BIGINT AS flow_id,
-         0::SMALLINT AS origin, '10.255.0.' || (l_orderkey % 4) AS exporter_addr,
+         CASE WHEN l_orderkey % 16 = 7 THEN 1 ELSE 0 END::SMALLINT AS origin, '10.255.0.' || (l_orderkey % 4) AS exporter_addr,
          epoch_us(l_shipdate) + ((l_orderkey * 7919 + l_linenumber * 104729) % 86400) * 1000000 AS start_time,
          epoch_us(l_shipdate) + ((l_orderkey * 7919 + l_linenumber * 104729) % 86400) * 1000000 + CAST(l_quantity AS BIGINT) * 1000000 AS end_time,
          (10 * 16777216 + l_suppkey)::BIGINT AS src_v4, (203::BIGINT * 16777216 + l_partkey % 16777216)::BIGINT AS dst_v4,
@@ -77,7 +77,7 @@ flows AS (
          CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS direction,
          CAST(l_quantity AS BIGINT) AS packets, CAST(round(l_extendedprice) AS BIGINT) AS octets,
          l_suppkey::BIGINT AS src_client_id, CASE WHEN l_returnflag <> 'A' THEN l_partkey % 500 END::BIGINT AS dst_client_id,
-         (64512 + l_suppkey % 32)::BIGINT AS dst_asn, (10 + l_suppkey % 5)::INTEGER AS src_vlan, (10 + l_partkey % 5)::INTEGER AS dst_vlan,
+         (64512 + l_partkey % 31)::BIGINT AS dst_asn, (10 + l_suppkey % 5)::INTEGER AS src_vlan, (10 + l_partkey % 5)::INTEGER AS dst_vlan,
          CASE WHEN l_linestatus = 'O' THEN 1 << (l_linenumber % 6) ELSE 0 END::INTEGER AS tcp_flags,
          (1 + (l_orderkey % 2) * 9)::BIGINT AS sampling_interval, 1::BIGINT AS flow_count,
          CASE WHEN n_regionkey <> 4 THEN n_name END AS dst_country

@@ -7,6 +7,7 @@ so a reader sees the members or the merged segment, never both.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +46,62 @@ def segment_manifest(df: DataFrame, segment: str, start: str, end: str, stats: l
     return df.groupBy(segment).agg(*aggs)
 
 
-def manifest_of(spark: SparkSession, paths: list[str], kind: str = FLOWS) -> DataFrame:
-    rows = scan(spark, paths, kind).withColumn("path", F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]*$", 1))
-    return segment_manifest(rows, "path", *TIME[kind], STATS[kind])
+def _segment_stats(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    start, end = TIME[kind]
+    # The files' own schema: a footer's columns are taken by their place in it.
+    segment = spark.read.parquet(path)
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.min(start).alias("start_ts"), F.max(end).alias("end_ts")]
+    for c in STATS[kind]:
+        aggs += [(f(c) if c in segment.columns else F.lit(None)).cast("bigint").alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max))]
+    return segment.agg(*aggs).withColumn("path", F.lit(path))
+
+
+def footer_manifest(spark: SparkSession, paths: list[str], kind: str = FLOWS) -> DataFrame:
+    """The manifest of segments, out of their footers: counts, minima and maxima are pushed into the Parquet scan. Of a
+    segment with a column that has no statistics (one of nulls alone), the columns of the manifest are read."""
+    names = {"spark.sql.parquet.aggregatePushdown": "true", "spark.sql.sources.useV1SourceList": ""}
+    before = {k: spark.conf.get(k, None) for k in names}
+
+    def collect(some: list[str]) -> list:
+        rows = _segment_stats(spark, some[0], kind)
+        for path in some[1:]:
+            rows = rows.unionByName(_segment_stats(spark, path, kind))
+        return rows.collect()  # a row for each segment
+
+    found, plain = [], []
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        for a in range(0, len(paths), 50):
+            try:
+                found += collect(paths[a : a + 50])
+            except Py4JJavaError as e:
+                if "No min/max found" not in str(e):
+                    raise
+                plain += paths[a : a + 50]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for a in range(0, len(plain), 50):
+        found += collect(plain[a : a + 50])
+    ddl = ", ".join(["n_rows bigint, start_ts bigint, end_ts bigint", *[f"min_{c} bigint, max_{c} bigint" for c in STATS[kind]], "path string"])
+    return spark.createDataFrame([tuple(r) for r in found], ddl)
+
+
+def merge_stats(manifest: DataFrame, by: list[str]) -> DataFrame:
+    """The statistics of merged segments out of those of their members: counts and bytes add up, minima and maxima carry over.
+
+    A member without a minimum has none of that column to prune by, so the merged segment has none either."""
+    aggs = []
+    for c in manifest.columns:
+        if c in ("n_rows", "bytes"):
+            aggs.append(F.sum(c).alias(c))
+        elif c in ("start_ts", "end_ts"):
+            aggs.append((F.min if c == "start_ts" else F.max)(c).alias(c))
+        elif c.startswith(("min_", "max_")):
+            whole = F.count(c) == F.count(F.lit(1))
+            aggs.append(F.when(whole, (F.min if c.startswith("min_") else F.max)(c)).alias(c))
+    return manifest.groupBy(*by).agg(*aggs)
 
 
 def candidate_segments(manifest: DataFrame, f: RecordFilter, kind: str = FLOWS) -> DataFrame:
@@ -89,17 +143,72 @@ def compaction_plan(manifest: DataFrame, now: int, *, tier: str = "minute", grac
     return rows.groupBy("kind", unit.alias("unit")).agg(F.array_sort(F.collect_list("path")).alias("members"), F.sum("n_rows").alias("n_rows")).where(F.size("members") >= 2)
 
 
+#: Rows of a file of a merged segment.
+FILE_ROWS = 5_000_000
+
+
 def compact(spark: SparkSession, members: list[str], target: str, kind: str = FLOWS) -> int:
-    """Merge members into one sorted segment; fails when a row is lost. Returns the rows."""
+    """Merge members into one sorted segment of as many files as its rows need; fails when a row is lost. Returns the rows.
+
+    Rows are counted from footers, without reading a column."""
     rows = scan(spark, members, kind)
     before = rows.count()
-    write_segment(rows, target, kind, files=1)
+    write_segment(rows, target, kind, files=max(1, -(-before // FILE_ROWS)))
     after = scan(spark, [target], kind).count()
     if before != after:
         raise RuntimeError(f"{target} has {after} rows of {before}")
     return after
 
 
+def segment_rows(store, paths: list[str], kind: str, tier: str) -> DataFrame:
+    """Rows of the store's segment table for complete segments, out of their footers."""
+    sizes = [(p, store.folder.size(p)) for p in paths]
+    sized = store.spark.createDataFrame(sizes, "path string, bytes bigint")
+    found = footer_manifest(store.spark, paths, kind).join(sized, "path")
+    return found.select("path", F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), "start_ts", "end_ts", "n_rows", "bytes")
+
+
+def compact_and_swap(store, members: list[str], target: str, kind: str = FLOWS, tier: str = "hour") -> int:
+    """Compact, put the merged segment into the manifest in place of its members in one change, and only then delete them.
+
+    Stopped before the change, readers still see the members and ``recover`` finds the target as an orphan."""
+    n = compact(store.spark, members, target, kind)
+    store.swap_segments(members, segment_rows(store, [target], kind, tier))
+    for m in members:
+        store.folder.delete(m)
+    return n
+
+
+def enforce_retention(store, budget: dict[str, int], *, target: float = 0.97) -> list[str]:
+    """Give up the segments that the plan names: first in the manifest, then on disk. Returns their paths."""
+    manifest = store.read("segments").withColumn("segment", F.col("path"))
+    gone = [r["segment"] for r in retention_plan(manifest, budget, target=target).collect()]  # a row per segment
+    if gone:
+        store.swap_segments(gone, store.read("segments").limit(0))
+        for path in gone:
+            store.folder.delete(path)
+    return gone
+
+
+def recover(store, root: str, kind: str = FLOWS, tier: str = "minute") -> dict[str, list[str]]:
+    """Bring manifest and folder into agreement: segments that were never finished, or whose rows differ from the
+    manifest's, go to quarantine; finished ones that the manifest lacks are added; rows without a segment are removed."""
+    on_disk = [f"{root}/{n}" for n in store.folder.children(root) if not n.startswith(("_", "."))]
+    whole = [p for p in on_disk if store.folder.exists(f"{p}/_SUCCESS")]
+    known = {r["path"]: r["n_rows"] for r in store.read("segments").where(F.col("kind") == kind).collect()}
+    rows = {r["path"]: r["n_rows"] for r in footer_manifest(store.spark, whole, kind).collect()} if whole else {}
+    corrupt = [p for p in whole if p in known and known[p] != rows[p]]
+    partial = [p for p in on_disk if p not in whole]
+    for p in (*partial, *corrupt):
+        store.folder.rename(p, f"{root}/_quarantine/{p.rsplit('/', 1)[1]}")
+    missing = [p for p in known if p.startswith(f"{root}/") and p not in on_disk]
+    healed = [p for p in whole if p not in known]
+    if missing or corrupt or partial or healed:
+        added = segment_rows(store, healed, kind, tier) if healed else store.read("segments").limit(0)
+        store.swap_segments([*missing, *corrupt, *partial], added)
+    return {"quarantined": sorted([*partial, *corrupt]), "missing": sorted(missing), "healed": sorted(healed)}
+
+
 def strip_raw(events: DataFrame, *, keep_unparsed: bool = False) -> DataFrame:
     """Events without their raw text; all else stays. Optionally unparsed events keep theirs."""
     drop = F.col("parse_status") > 0 if keep_unparsed else F.lit(True)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.operators import rollups, syslog
 from tidewire.operators.ipfix import SCHEMA, Decoder, State, domain_of, to_frame
+from tidewire.sources.metadata import Folder
 
 
 class DatagramSource(DataSource):
@@ -104,11 +105,15 @@ def syslog_events(lines: DataFrame, zone: str = "UTC") -> DataFrame:
     return syslog.parse(lines, zone)
 
 
-def ipfix_flows(datagrams: DataFrame) -> DataFrame:
-    """Flow and event rows of a datagram stream. The decoder's state is kept per exporter and domain."""
-    keyed = datagrams.select("source", domain_of(F.col("payload")).alias("domain"), "received_at", "payload")
+def ipfix_flows(datagrams: DataFrame, forget_after_s: int = 1800, delay: str = "10 minutes") -> DataFrame:
+    """Flow and event rows of a datagram stream. The decoder's state is kept per exporter and domain; templates and what
+    waits for one go once nothing was heard from the exporter for ``forget_after_s``, by the watermark of the time of arrival."""
+    keyed = datagrams.select("source", domain_of(F.col("payload")).alias("domain"), "received_at", "payload", F.timestamp_micros("received_at").alias("at_time")).withWatermark("at_time", delay)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         decoder = Decoder(State.load(state.get[0]) if state.exists else None)
         rows: list[dict] = []
         datagrams = sorted(((int(at), bytes(p)) for b in batches for at, p in zip(b["received_at"], b["payload"], strict=True)))
@@ -117,30 +122,40 @@ def ipfix_flows(datagrams: DataFrame) -> DataFrame:
                 r["exporter"] = key[0]
                 rows.append(r)
         state.update((decoder.state.dump(),))
+        newest = max((at for at, _ in datagrams), default=0)
+        state.setTimeoutTimestamp(max(newest // 1000 + forget_after_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield to_frame(rows)
 
-    return keyed.groupBy("source", "domain").applyInPandasWithState(step, SCHEMA, "state string", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("source", "domain").applyInPandasWithState(step, SCHEMA, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def sliding_rule(rows: DataFrame, keys: list[str], time_col: str, value: str, id_col: str, *, window: int, threshold: int) -> DataFrame:
-    """The sliding distinct count with its cool-down over a stream; the window and the last alert are the state."""
+def sliding_rule(rows: DataFrame, keys: list[str], time_col: str, value: str, id_col: str, *, window: int, threshold: int, delay: str = "10 minutes") -> DataFrame:
+    """The sliding distinct count with its cool-down over a stream; the window and the last alert are the state.
+
+    Rows later than ``delay`` are not looked at. A key's state goes once the watermark is a window past its last row: then
+    neither its window nor its cool-down can reach another row."""
     shape = ", ".join(f"{k} string" for k in keys) + ", at bigint, id bigint, distinct int"
-    narrow = rows.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(time_col).alias("t"), F.col(id_col).alias("i"), F.col(value).cast("string").alias("v"))
+    narrow = rows.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(time_col).alias("t"), F.col(id_col).alias("i"), F.col(value).cast("string").alias("v"), F.timestamp_micros(time_col).alias("at_time")).withWatermark("at_time", delay)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, last = json.loads(state.get[0]) if state.exists else ({}, None)
-        out = []
+        out, newest = [], max([0, *seen.values()])
         for batch in batches:
             for t, i, v in sorted(zip(batch["t"].tolist(), batch["i"].tolist(), batch["v"].tolist(), strict=True)):
                 seen = {k: s for k, s in seen.items() if s >= t - window}
                 seen[v] = t
+                newest = max(newest, t)
                 if len(seen) >= threshold and (last is None or t - last > window):
                     last = t
                     out.append((*key, t, i, len(seen)))
         state.update((json.dumps([seen, last]),))
+        state.setTimeoutTimestamp(max((newest + window) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=[*keys, "at", "id", "distinct"])
 
-    return narrow.groupBy(*keys).applyInPandasWithState(step, shape, "state string", "append", GroupStateTimeout.NoTimeout)
+    return narrow.groupBy(*keys).applyInPandasWithState(step, shape, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
@@ -160,16 +175,40 @@ def ids_with_flows(events: DataFrame, flows: DataFrame, slack_s: int = 120) -> D
 
 class RollupSink:
     """foreachBatch: each batch's minute rollup is a part named by its batch id. Writing a batch again replaces its part,
-    so that a retry counts once; late rows are just another part. Readers merge parts; ``compact`` folds old ones."""
+    so that a retry counts once; late rows are just another part. Readers merge parts; ``compact`` folds old ones.
+
+    Folded parts are in ``folded=N``, which holds all batches up to N. Batches up to the newest one are not read any more,
+    whether they are deleted yet or not, so a fold that stops half-way changes no sum."""
 
     def __init__(self, path: str):
         self.path = path
 
+    def _parts(self, spark: SparkSession) -> tuple[int, list[int], Folder]:
+        """The newest fold, and the batches after it."""
+        folder = Folder(spark, self.path)
+        names = [n.split("=") for n in folder.children(self.path) if "=" in n and folder.exists(f"{self.path}/{n}/_SUCCESS")]
+        fold = max((int(n) for k, n in names if k == "folded"), default=-1)
+        return fold, sorted(int(n) for k, n in names if k == "batch" and int(n) > fold), folder
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         rollups.minute_rollup(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return rollups.merge_minutes(spark.read.option("basePath", self.path).parquet(self.path).drop("batch"))
+        fold, batches, _ = self._parts(spark)
+        paths = [*([f"{self.path}/folded={fold}"] if fold >= 0 else []), *[f"{self.path}/batch={n}" for n in batches]]
+        return rollups.merge_minutes(*[spark.read.parquet(p) for p in paths])
+
+    def compact(self, spark: SparkSession, keep: int = 10) -> int:
+        """Fold all parts but the last ``keep`` batches, which a restarted stream may write again. Returns the parts folded."""
+        fold, batches, folder = self._parts(spark)
+        old = batches[: max(0, len(batches) - keep)]
+        if not old:
+            return 0
+        paths = [*([f"{self.path}/folded={fold}"] if fold >= 0 else []), *[f"{self.path}/batch={n}" for n in old]]
+        rollups.merge_minutes(*[spark.read.parquet(p) for p in paths]).write.mode("overwrite").parquet(f"{self.path}/folded={old[-1]}")
+        for p in paths:
+            folder.delete(p)
+        return len(old)
 
 
 class LiveFeed:
