@@ -21,6 +21,7 @@ from tidewire.operators import rollups as R
 from tidewire.operators import search as S
 from tidewire.operators.filters import EVENTS, RecordFilter
 from tidewire.sources.adapters import EVENTS_SQL, FLOWS_SQL, events, flows
+from tidewire.sources.metadata import stored
 from tidewire.sources.storage import retention_plan, segment_manifest, verify_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,13 +34,19 @@ EV_LO, EV_HI = 1_704_067_200_000_000, 1_705_276_800_000_000
 HOUR, DAY, MINUTE = 3_600_000_000, 86_400_000_000, 60_000_000
 
 
+def spans_sql(rows: str, length: int, more: str = ">") -> str:
+    """CTE ``spans`` (k, t): times that open a span among ``rows`` (k, t, i), each more (or at least) ``length`` after the last."""
+    return f"""spans AS (SELECT k, min(t) AS t FROM {rows} GROUP BY k UNION ALL SELECT p.k, min(n.t) AS t FROM spans p JOIN {rows} n ON n.k = p.k AND n.t {more} p.t + {length} GROUP BY p.k)"""
+
+
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
             head = [view for view, view_name in ((FLOWS_SQL, "flows"), (EVENTS_SQL, "evs")) if re.search(rf"\b{view_name}\b", sql)]
             body = sql.strip()
-            ORACLE_SQL[name] = ("WITH " + ",".join(head) + (", " + body[5:] if body.startswith("WITH ") else " " + body)) if head else body
+            start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), None)
+            ORACLE_SQL[name] = ((start or "WITH ") + ",".join(head) + (", " + body[len(start) :] if start else " " + body)) if head else body
         return f
 
     return add
@@ -83,11 +90,11 @@ def _(spark, d):
 @query(
     "flows_filter_all",
     f"""SELECT {_PAGE} FROM flows WHERE {RANGE} AND (src_vlan IN (10, 11, 12) OR dst_vlan IN (10, 11, 12)) AND protocol IN (6, 17) AND direction IN (1, 2)
-AND dst_country IN ('GERMANY', 'FRANCE', 'CHINA') AND exporter_addr = '10.255.0.1' AND octets >= 20000 AND packets >= 5 AND dst_port IN ({", ".join(str(p) for p in range(0, 1024, 3))})
+AND dst_country IN ('NATION_6', 'NATION_7', 'NATION_18') AND dst_asn IN ({", ".join(str(64512 + k) for k in range(20))}) AND exporter_addr = '10.255.0.1' AND octets >= 20000 AND packets >= 5 AND dst_port IN ({", ".join(str(p) for p in range(0, 1024, 3))})
 ORDER BY start_time DESC, flow_id DESC LIMIT 10000""",
 )
 def _(spark, d):
-    f = RecordFilter(start=LO, end=HI, vlans=(10, 11, 12), protocols=(6, 17), directions=(1, 2), countries=("GERMANY", "FRANCE", "CHINA"), exporter="10.255.0.1", min_octets=20000, min_packets=5, ports=tuple(range(0, 1024, 3)))
+    f = RecordFilter(start=LO, end=HI, vlans=(10, 11, 12), protocols=(6, 17), directions=(1, 2), countries=("NATION_6", "NATION_7", "NATION_18"), asns=tuple(range(64512, 64532)), exporter="10.255.0.1", min_octets=20000, min_packets=5, ports=tuple(range(0, 1024, 3)))
     return S.page(flows(spark, d), f, limit=10_000).select(*FLOW_PAGE)
 
 
@@ -111,12 +118,35 @@ def _(spark, d):
     return flows(spark, d).where(compile_filter(RecordFilter(start=LO, end=HI, prefix="203.0.1.0/24"))).agg(F.count(F.lit(1)).alias("flows"), F.sum("octets").alias("bytes"))
 
 
-@query("prefix_filter_v6", "SELECT count(*) AS n FROM evs WHERE false")
+@query("prefix_filter_v6", "SELECT event_id FROM evs WHERE event_id % 3 = 0 AND event_id % 16 IN (4, 5, 6, 7)")
 def _(spark, d):
-    """IPv6 prefixes are honoured: no event has an address in this one."""
+    """IPv6 prefixes are honoured: every third event has an address in one of sixteen networks of 64 bits, four of which are in the prefix."""
     from tidewire.operators.filters import compile_filter
 
-    return events(spark, d).where(compile_filter(RecordFilter(prefix="2001:db8::/32"), EVENTS, numeric=False)).agg(F.count(F.lit(1)).alias("n"))
+    network = F.lower(F.hex(F.pmod("event_id", F.lit(16))))
+    e = events(spark, d).withColumn("src_ip", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("2001:db8:0:"), network, F.lit("::7"))).otherwise(F.col("src_ip")))
+    return e.where(compile_filter(RecordFilter(prefix="2001:db8:0:4::/62"), EVENTS, numeric=False)).select("event_id")
+
+
+def _single_filter(name: str, where: str, **clauses) -> None:
+    """One query for each clause of a filter, on whole flows."""
+
+    @query(f"flows_by_{name}", f"SELECT flow_id FROM flows WHERE {RANGE} AND {where}")
+    def _(spark, d):
+        from tidewire.operators.filters import compile_filter
+
+        return flows(spark, d).where(compile_filter(RecordFilter(start=LO, end=HI, **clauses))).select("flow_id")
+
+
+_single_filter("src_ip", "src_ip = '10.0.0.9'", src_ip="10.0.0.9")
+_single_filter("dst_ip", "dst_ip = '203.0.1.44'", dst_ip="203.0.1.44")
+_single_filter("ports", "dst_port IN (443, 33)", ports=(443, 33))
+_single_filter("protocols", "protocol IN (17)", protocols=(17,))
+_single_filter("countries", "dst_country IN ('NATION_7', 'NATION_12')", countries=("NATION_7", "NATION_12"))
+_single_filter("asns", "dst_asn IN (64512, 64515)", asns=(64512, 64515))
+_single_filter("exporter", "exporter_addr = '10.255.0.2'", exporter="10.255.0.2")
+_single_filter("vlans", "(src_vlan IN (12) OR dst_vlan IN (12))", vlans=(12,))
+_single_filter("least_sizes", "octets >= 30000 AND packets >= 40", min_octets=30000, min_packets=40)
 
 
 EVENT_PAGE = ["event_id", "received_at", "event_time", "src_ip", "dst_port", "event_type", "action", "severity", "message", "rule_name"]
@@ -196,7 +226,7 @@ def _(spark, d):
     return S.top_n(flows(spark, d), RecordFilter(), "service")
 
 
-@query("topn_dst_client_id", "SELECT CAST(dst_client_id AS VARCHAR) AS k, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets FROM flows WHERE dst_client_id IS NOT NULL GROUP BY 1 ORDER BY bytes DESC, k LIMIT 20")
+@query("topn_dst_client_id", "SELECT CAST(dst_client_id AS VARCHAR) AS k, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets FROM flows WHERE origin = 0 AND dst_client_id IS NOT NULL GROUP BY 1 ORDER BY bytes DESC, k LIMIT 20")
 def _(spark, d):
     return S.top_n(flows(spark, d), RecordFilter(), "dst_client_id")
 
@@ -214,24 +244,32 @@ def _(spark, d):
     return S.time_series(flows(spark, d), RecordFilter(start=LO, end=HI), HOUR)
 
 
-@query("timeseries_filtered", f"SELECT start_time // {DAY} * {DAY} AS bucket, {_SERIES} FROM flows WHERE {RANGE} AND dst_country IN ('CHINA') AND octets >= 1000 GROUP BY 1")
+@query("timeseries_filtered", f"SELECT start_time // {DAY} * {DAY} AS bucket, {_SERIES} FROM flows WHERE {RANGE} AND dst_country IN ('NATION_7') AND octets >= 1000 GROUP BY 1")
 def _(spark, d):
-    return S.series(flows(spark, d), None, RecordFilter(start=LO, end=HI, countries=("CHINA",), min_octets=1000), DAY)
+    return S.series(flows(spark, d), None, RecordFilter(start=LO, end=HI, countries=("NATION_7",), min_octets=1000), DAY)
+
+
+def minutes(spark: SparkSession, d: str) -> DataFrame:
+    """The stored minute rollup."""
+    return stored(spark, d, "minutes", lambda: R.minute_rollup(flows(spark, d)))
 
 
 @query("timeseries_rollup", f"SELECT start_time // {DAY} * {DAY} AS bucket, {_SERIES} FROM flows WHERE {RANGE} GROUP BY 1")
 def _(spark, d):
-    return S.series(flows(spark, d), R.minute_rollup(flows(spark, d)), RecordFilter(start=LO, end=HI), DAY)
+    return S.series(flows(spark, d), minutes(spark, d), RecordFilter(start=LO, end=HI), DAY)
 
 
-@query("totals", f"SELECT CAST(coalesce(sum(flow_count),0) AS BIGINT) AS flows, CAST(coalesce(sum(octets),0) AS BIGINT) AS bytes, CAST(coalesce(sum(packets),0) AS BIGINT) AS packets FROM flows WHERE {RANGE}")
+_TOTALS = "CAST(coalesce(sum(flow_count),0) AS BIGINT) AS flows, CAST(coalesce(sum(octets),0) AS BIGINT) AS bytes, CAST(coalesce(sum(packets),0) AS BIGINT) AS packets, CAST(coalesce(sum(octets) FILTER (direction = 2),0) AS BIGINT) AS inbound, CAST(coalesce(sum(octets) FILTER (direction = 1),0) AS BIGINT) AS outbound"
+
+
+@query("totals", f"SELECT {_TOTALS} FROM flows WHERE {RANGE}")
 def _(spark, d):
-    return S.totals(R.minute_rollup(flows(spark, d)), RecordFilter(start=LO, end=HI))
+    return S.totals(minutes(spark, d), RecordFilter(start=LO, end=HI))
 
 
-@query("totals_empty", "SELECT 0::BIGINT AS flows, 0::BIGINT AS bytes, 0::BIGINT AS packets")
+@query("totals_empty", f"SELECT {_TOTALS} FROM flows WHERE origin = 0 AND start_time BETWEEN 1000000 AND 2000000")
 def _(spark, d):
-    return S.totals(R.minute_rollup(flows(spark, d)), RecordFilter(start=1_000_000, end=2_000_000))
+    return S.totals(minutes(spark, d), RecordFilter(start=1_000_000, end=2_000_000))
 
 
 def _count(by: str) -> None:
@@ -256,7 +294,7 @@ def _(spark, d):
     return S.gaps(gap_table(spark, d), LO, LO + 30 * DAY)
 
 
-@query("clients_traffic", f"""WITH top AS (SELECT src_ip AS k, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets FROM flows WHERE {RANGE} GROUP BY 1 ORDER BY bytes DESC, k LIMIT 1000),
+@query("clients_traffic", f"""WITH top AS (SELECT src_ip AS k, CAST(sum(flow_count) AS BIGINT) AS flows, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets FROM flows WHERE {RANGE} GROUP BY 1),
 c AS (SELECT s_suppkey AS client_id, s_name AS label, '10.0.' || (s_suppkey // 256) || '.' || (s_suppkey % 256) AS address FROM supplier)
 SELECT address, client_id, label, coalesce(flows, 0) AS flows, coalesce(bytes, 0) AS bytes, coalesce(packets, 0) AS packets FROM c LEFT JOIN top ON k = address""")
 def _(spark, d):
@@ -315,7 +353,20 @@ def _(spark, d):
     return R.top_of_day(R.day_rollup(merged_hours(spark, d)), "dst_country", "bytes", 3)
 
 
-@query("daily_summary")
+def _top_sql(name: str, k: str, value: str, where: str) -> str:
+    """CTE: the JSON list of a day's twenty largest values."""
+    return f"""{name} AS (SELECT day, origin, string_agg('{{"key":"' || k || '","value":' || v || '}}', ',' ORDER BY v DESC, k) AS j FROM (
+  SELECT *, row_number() OVER (PARTITION BY day, origin ORDER BY v DESC, k) AS r FROM (SELECT start_time // {DAY} * {DAY} AS day, origin, CAST({k} AS VARCHAR) AS k, CAST(sum({value}) AS BIGINT) AS v FROM flows WHERE {where} GROUP BY 1, 2, 3) ) WHERE r <= 20 GROUP BY day, origin)"""
+
+
+@query(
+    "daily_summary",
+    f"""WITH {_top_sql("c", "src_client_id", "octets", "direction = 1 AND src_client_id <> 0")}, {_top_sql("d", "dst_ip", "octets", "direction IN (1, 2)")}, {_top_sql("p", "dst_port", "flow_count", "direction IN (1, 2)")}, {_top_sql("n", "dst_country", "octets", "direction IN (1, 2) AND dst_country IS NOT NULL")},
+s AS (SELECT start_time // {DAY} * {DAY} AS day, origin, direction, CASE direction WHEN 1 THEN 'outbound' WHEN 2 THEN 'inbound' ELSE 'lan' END AS name, CAST(sum(octets) AS BIGINT) AS b, CAST(sum(flow_count) AS BIGINT) AS f, CAST(sum(packets) AS BIGINT) AS q FROM flows GROUP BY ALL),
+t AS (SELECT day, origin, string_agg('{{"direction":"' || name || '","bytes":' || b || ',"flows":' || f || ',"packets":' || q || '}}', ',' ORDER BY name) AS j FROM s GROUP BY ALL)
+SELECT t.day, t.origin, '{{"denied":0' || coalesce(',"top_clients":[' || c.j || ']', '') || coalesce(',"top_countries":[' || n.j || ']', '') || coalesce(',"top_destinations":[' || d.j || ']', '') || coalesce(',"top_ports":[' || p.j || ']', '') || ',"totals":[' || t.j || ']}}' AS summary
+FROM t LEFT JOIN c ON c.day = t.day AND c.origin = t.origin LEFT JOIN d ON d.day = t.day AND d.origin = t.origin LEFT JOIN p ON p.day = t.day AND p.origin = t.origin LEFT JOIN n ON n.day = t.day AND n.origin = t.origin""",
+)
 def _(spark, d):
     f = flows(spark, d)
     return R.daily_summary(R.minute_rollup(f), R.day_rollup(merged_hours(spark, d)))
@@ -367,30 +418,38 @@ def _(spark, d):
     return E.longest_prefix(flows(spark, d).select("dst_v4").distinct(), "dst_v4", E.prefix_table(spark, PREFIXES))
 
 
-_HISTORY = f"SELECT s_suppkey AS src_client_id, {LO} + v * {90 * DAY} + (s_suppkey % 7) * {DAY} AS valid_from, CASE WHEN v < 5 THEN {LO} + (v + 1) * {90 * DAY} + (s_suppkey % 5) * {DAY} END AS valid_to, s_suppkey * 10 + v AS owner FROM supplier, (SELECT unnest(range(6)) AS v)"
+_HISTORY = f"SELECT s_suppkey AS src_client_id, {LO} + v * {90 * DAY} + (s_suppkey % 7) * {DAY} AS valid_from, CASE WHEN v < 5 THEN {LO} + (v + 1) * {90 * DAY} + (s_suppkey % 5) * {DAY} END AS valid_to, s_suppkey * 10 + v AS owner FROM supplier, (SELECT unnest(range(6)) AS v) UNION ALL SELECT s_suppkey, {LO} + {100 * DAY}, {LO} + {120 * DAY}, s_suppkey * 10 + 9 FROM supplier WHERE s_suppkey % 2 = 0"
 
 
 def history_table(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("v"))
-    return s.select(
+    """Six validities in a row for each client, some days apart or overlapping, and for every other client a short one within."""
+    supplier = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey")
+    s = supplier.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("v"))
+    short = supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("src_client_id"), F.lit(LO + 100 * DAY).alias("valid_from"), F.lit(LO + 120 * DAY).alias("valid_to"), (F.col("s_suppkey") * 10 + 9).cast("bigint").alias("owner"))
+    rows = s.select(
         F.col("s_suppkey").alias("src_client_id"), (F.lit(LO) + F.col("v") * (90 * DAY) + F.pmod("s_suppkey", F.lit(7)) * DAY).cast("bigint").alias("valid_from"),
         F.when(F.col("v") < 5, F.lit(LO) + (F.col("v") + 1) * (90 * DAY) + F.pmod("s_suppkey", F.lit(5)) * DAY).cast("bigint").alias("valid_to"), (F.col("s_suppkey") * 10 + F.col("v")).cast("bigint").alias("owner"),
     )
+    return rows.unionByName(short)
+
+
+_ASOF = f"""WITH h AS ({_HISTORY}), b AS (SELECT flow_id, owner, row_number() OVER (PARTITION BY flow_id ORDER BY valid_from DESC) AS r FROM flows LEFT JOIN h ON h.src_client_id = flows.src_client_id AND valid_from <= start_time AND (valid_to IS NULL OR valid_to > start_time))
+SELECT flow_id, owner FROM b WHERE r = 1"""
 
 
-_ASOF = f"""WITH h AS ({_HISTORY}), b AS (SELECT flow_id, start_time, valid_to, owner, row_number() OVER (PARTITION BY flow_id ORDER BY valid_from DESC) AS r FROM flows LEFT JOIN h ON h.src_client_id = flows.src_client_id AND valid_from <= start_time)
-SELECT flow_id, CASE WHEN valid_to IS NULL OR valid_to > start_time THEN owner END AS owner FROM b WHERE r = 1"""
+def _as_of(spark: SparkSession, d: str, width: int) -> DataFrame:
+    return E.as_of(flows(spark, d).select("flow_id", "src_client_id", "start_time"), history_table(spark, d), "src_client_id", "start_time", value="owner", width=width).select("flow_id", "owner")
 
 
 @query("asof_identity", _ASOF)
 def _(spark, d):
-    return E.as_of(flows(spark, d).select("flow_id", "src_client_id", "start_time"), history_table(spark, d), "src_client_id", "start_time", value="owner").select("flow_id", "owner")
+    return _as_of(spark, d, 30 * DAY)
 
 
-@query("asof_identity_bucketed", f"""WITH h AS ({_HISTORY}), b AS (SELECT flow_id, owner, row_number() OVER (PARTITION BY flow_id ORDER BY valid_from DESC) AS r FROM flows LEFT JOIN h ON h.src_client_id = flows.src_client_id AND valid_from <= start_time AND (valid_to IS NULL OR valid_to > start_time))
-SELECT flow_id, owner FROM b WHERE r = 1""")
+@query("asof_identity_bucketed", _ASOF)
 def _(spark, d):
-    return E.as_of_bucketed(flows(spark, d).select("flow_id", "src_client_id", "start_time"), history_table(spark, d), "src_client_id", "start_time", 30 * DAY, value="owner").select("flow_id", "owner")
+    """In buckets narrower than any validity."""
+    return _as_of(spark, d, 7 * DAY)
 
 
 @query("exporter_dimension", "SELECT exporter_addr AS address, protocol AS domain, 'flow' AS kind, count(*) AS messages, min(start_time) AS first_seen, max(start_time) AS last_seen, ('0x' || substr(md5(concat_ws('|', exporter_addr, protocol, 'flow')), 1, 15))::BIGINT AS exporter_id FROM flows GROUP BY exporter_addr, protocol")
@@ -408,7 +467,18 @@ def _(spark, d):
     return E.clients_view(clients, addresses, sup.select(F.col("s_suppkey").alias("client_id"), F.col("s_nationkey").alias("tag_id")), tags)
 
 
-@query("identity_hysteresis")
+@query(
+    "identity_hysteresis",
+    """WITH RECURSIVE o AS (SELECT src_ip AS ip, '02:00:00:00:00:0' || (dst_port % 3) AS mac, event_type = 3 AS dhcp, received_at AS tm, row_number() OVER (PARTITION BY src_ip ORDER BY received_at, dst_port % 3, event_type = 3) AS rn FROM evs),
+f AS (SELECT ip, rn, tm, mac AS cur, '' AS cand, 0 AS n, true AS moved FROM o WHERE rn = 1
+  UNION ALL SELECT o.ip, o.rn, o.tm, CASE WHEN o.mac <> cur AND (dhcp OR (CASE WHEN o.mac = cand THEN n + 1 ELSE 1 END) >= 3) THEN o.mac ELSE cur END,
+    CASE WHEN o.mac = cur OR dhcp OR (CASE WHEN o.mac = cand THEN n + 1 ELSE 1 END) >= 3 THEN '' ELSE o.mac END,
+    CASE WHEN o.mac = cur OR dhcp OR (CASE WHEN o.mac = cand THEN n + 1 ELSE 1 END) >= 3 THEN 0 WHEN o.mac = cand THEN n + 1 ELSE 1 END,
+    o.mac <> cur AND (dhcp OR (CASE WHEN o.mac = cand THEN n + 1 ELSE 1 END) >= 3)
+  FROM f JOIN o ON o.ip = f.ip AND o.rn = f.rn + 1),
+h AS (SELECT src_ip AS ip, max(hostname) AS hostname FROM evs GROUP BY 1)
+SELECT f.ip, cur AS mac, cur AS client_key, tm AS valid_from, lead(tm) OVER (PARTITION BY f.ip ORDER BY rn) AS valid_to, hostname FROM f JOIN h ON h.ip = f.ip WHERE moved""",
+)
 def _(spark, d):
     e = events(spark, d)
     seen = e.select(F.col("src_ip").alias("ip"), F.concat(F.lit("02:00:00:00:00:0"), F.pmod("dst_port", F.lit(3)).cast("string")).alias("mac"), F.col("hostname"), F.col("received_at").alias("at"), F.when(F.col("event_type") == 3, "dhcp").otherwise("arp").alias("source"))
@@ -451,36 +521,46 @@ def _(spark, d):
 _WIDE = 200 * DAY
 
 
-@query(
-    "distinct_sliding",
-    f"""WITH k AS (SELECT src_ip, protocol || '/' || dst_port AS service_key, end_time, flow_id, dst_ip FROM flows WHERE packets <= 4),
-c AS (SELECT a.src_ip, a.service_key, a.end_time, count(DISTINCT b.dst_ip) AS n FROM k a JOIN k b ON a.src_ip = b.src_ip AND a.service_key = b.service_key AND b.end_time BETWEEN a.end_time - {_WIDE} AND a.end_time GROUP BY a.src_ip, a.service_key, a.end_time)
-SELECT 'port-scan-horizontal|' || src_ip || '|' || service_key AS dedupe_key, min(end_time) AS at FROM c WHERE n >= 2 GROUP BY 1""",
-)
+def _scan_sql(name: str, key: str, value: str, source: str, threshold: int, severity: int = 3) -> str:
+    """Alerts of a sliding distinct count with as long a cool-down, by a self-join and a recursion over the alerts."""
+    return f"""WITH RECURSIVE r AS ({source}), k AS (SELECT {key} AS k, end_time AS t, flow_id AS i, src_ip, CAST({value} AS VARCHAR) AS v FROM r),
+c AS (SELECT a.k, a.t, a.i, a.src_ip, count(DISTINCT b.v) AS n FROM k a JOIN k b ON a.k = b.k AND b.t >= a.t - {_WIDE} AND (b.t < a.t OR (b.t = a.t AND b.i <= a.i)) GROUP BY ALL HAVING count(DISTINCT b.v) >= {threshold}), {spans_sql("c", _WIDE)}
+SELECT '{name}|' || c.k AS dedupe_key, c.t AS at, {severity} AS severity, NULL::BIGINT AS client_id, any_value(c.src_ip) AS subject FROM spans s JOIN c ON c.k = s.k AND c.t = s.t GROUP BY c.k, c.t"""
+
+
+@query("distinct_sliding", _scan_sql("port-scan-horizontal", "src_ip || '|' || protocol || '/' || dst_port", "dst_ip", "SELECT * REPLACE ((dst_port % 4)::INTEGER AS dst_port) FROM flows WHERE packets <= 4", 5))
 def _(spark, d):
-    """First alert of each key: alerts after it depend on the cool-down, which SQL cannot fold."""
-    hits = D.port_scan(flows(spark, d), window=_WIDE, threshold=2)
-    return hits.groupBy("dedupe_key").agg(F.min("at").alias("at"))
+    f = flows(spark, d).withColumn("dst_port", F.pmod("dst_port", F.lit(4)).cast("int"))
+    return D.port_scan(f, window=_WIDE, threshold=5).select(*_FINDING)
 
 
-@query("port_scan_vertical")
+@query("port_scan_vertical", _scan_sql("port-scan-vertical", "src_ip || '|' || dst_ip", "dst_port", "SELECT * REPLACE ('203.0.0.' || (dst_v4 % 8) AS dst_ip, (src_port % 97)::INTEGER AS dst_port) FROM flows WHERE packets <= 4", 5))
 def _(spark, d):
-    return D.port_scan(flows(spark, d), horizontal=False, window=_WIDE, threshold=2).select(*_FINDING)
+    f = flows(spark, d).withColumns({"dst_ip": F.concat(F.lit("203.0.0."), F.pmod("dst_v4", F.lit(8)).cast("string")), "dst_port": F.pmod("src_port", F.lit(97)).cast("int")})
+    return D.port_scan(f, horizontal=False, window=_WIDE, threshold=5).select(*_FINDING)
 
 
 @query(
-    "denials_sliding",
-    f"""WITH k AS (SELECT src_ip, dst_ip, dst_port, effective_time AS t, event_id FROM evs WHERE event_type = 1 AND action IN (1)),
-c AS (SELECT src_ip, t, count(*) OVER (PARTITION BY src_ip ORDER BY t RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW) AS n FROM k) SELECT src_ip, min(t) AS at FROM c WHERE n >= 4 GROUP BY 1""",
+    "repeated_denials",
+    f"""WITH RECURSIVE k AS (SELECT src_ip || '|192.168.1.7|' || (dst_port % 2) AS k, src_ip, effective_time AS t, event_id AS i FROM evs WHERE event_type = 1 AND (event_id % 3) IN (1, 2)),
+c AS (SELECT a.k, a.src_ip, a.t, a.i, count(*) AS n FROM k a JOIN k b ON a.k = b.k AND b.t >= a.t - {2 * DAY} AND (b.t < a.t OR (b.t = a.t AND b.i <= a.i)) GROUP BY ALL HAVING count(*) >= 3), {spans_sql("c", 2 * DAY)}
+SELECT 'repeated-denials|' || c.k AS dedupe_key, c.t AS at, 2 AS severity, NULL::BIGINT AS client_id, any_value(src_ip) AS subject, min(n) AS n FROM spans s JOIN c ON c.k = s.k AND c.t = s.t GROUP BY c.k, c.t""",
 )
 def _(spark, d):
-    rows = events(spark, d).where("event_type = 1 and action = 1").withColumn("t", F.col("effective_time"))
-    return D.sliding_distinct(rows, ["src_ip"], "t", "event_id", "event_id", window=2 * DAY, threshold=4).groupBy("src_ip").agg(F.min("at").alias("at"))
+    e = events(spark, d).withColumns({"action": F.pmod("event_id", F.lit(3)) + 1, "dst_ip": F.lit("192.168.1.7"), "dst_port": F.pmod("dst_port", F.lit(2))})
+    return D.repeated_denials(e, window=2 * DAY, threshold=3).select(*_FINDING, F.col("evidence.count").cast("bigint").alias("n"))
 
 
-@query("large_transfer")
+@query(
+    "large_transfer",
+    f"""WITH RECURSIVE c AS (SELECT src_client_id || '|203.0.0.' || (dst_v4 % 4) AS k, src_client_id AS client, '203.0.0.' || (dst_v4 % 4) AS dst, end_time AS t, flow_id AS i, octets * sampling_interval AS v FROM flows WHERE direction = 1), {spans_sql("c", 30 * DAY)},
+r AS (SELECT c.k, client, dst, s.t AS since, c.t, c.i, sum(v) OVER (PARTITION BY c.k, s.t ORDER BY c.t, c.i) AS total FROM c JOIN spans s ON s.k = c.k AND c.t BETWEEN s.t AND s.t + {30 * DAY}),
+f AS (SELECT *, row_number() OVER (PARTITION BY k, since ORDER BY t, i) AS n FROM r WHERE total >= 1000000)
+SELECT 'large-outbound-transfer|' || k || '|' || since // {HOUR} AS dedupe_key, t AS at, 2 AS severity, client AS client_id, dst AS subject, CAST(total AS BIGINT) AS bytes FROM f WHERE n = 1""",
+)
 def _(spark, d):
-    return D.large_transfer(flows(spark, d), window=30 * DAY, threshold=500_000).select(*_FINDING)
+    f = flows(spark, d).withColumn("dst_ip", F.concat(F.lit("203.0.0."), F.pmod("dst_v4", F.lit(4)).cast("string")))
+    return D.large_transfer(f, window=30 * DAY, threshold=1_000_000).select(*_FINDING, F.col("evidence.bytes").cast("bigint").alias("bytes"))
 
 
 @query(
@@ -495,7 +575,16 @@ def _(spark, d):
     return hist.groupBy("client_id").agg(F.collect_list("bytes").alias("v")).select("client_id", F.size("v").cast("bigint").alias("n"), median.alias("median"), p95.alias("p95"))
 
 
-@query("unusual_volume")
+_HOURS = f"h AS (SELECT src_client_id AS client, start_time // {HOUR} * {HOUR} AS hour, CAST(sum(octets) AS BIGINT) AS bytes, CAST(sum(flow_count) AS BIGINT) AS flows FROM flows WHERE direction = 1 AND src_client_id <> 0 GROUP BY 1, 2)"
+
+
+@query(
+    "unusual_volume",
+    f"""WITH {_HOURS}, r AS (SELECT src_client_id AS client, end_time // {HOUR} * {HOUR} AS hour, end_time AS t, flow_id AS i, sum(octets * sampling_interval) OVER (PARTITION BY src_client_id, end_time // {HOUR} ORDER BY end_time, flow_id) AS running FROM flows WHERE direction = 1),
+b AS (SELECT r.client, r.hour, list_sort(list(h.bytes)) AS v FROM (SELECT DISTINCT client, hour FROM r WHERE running >= 100000) r JOIN h ON h.client = r.client AND h.hour < r.hour AND h.hour >= r.hour - {400 * DAY} GROUP BY 1, 2 HAVING count(*) >= 3),
+x AS (SELECT r.*, row_number() OVER (PARTITION BY r.client, r.hour ORDER BY t, i) AS n FROM r JOIN b ON b.client = r.client AND b.hour = r.hour WHERE running >= 100000 AND running >= 2 * greatest(v[len(v) // 2 + 1], 1) AND running > v[least(len(v) - 1, CAST(floor(len(v) * 0.95) AS BIGINT)) + 1])
+SELECT 'unusual-outbound-volume|' || client || '|' || hour AS dedupe_key, t AS at, 2 AS severity, client AS client_id, NULL::VARCHAR AS subject FROM x WHERE n = 1""",
+)
 def _(spark, d):
     f = flows(spark, d)
     return D.unusual_volume(f, D.hourly_history(R.minute_rollup(f)), days=400, min_bytes=100_000, factor=2, min_hours=3).select(*_FINDING)
@@ -506,37 +595,52 @@ def _(spark, d):
     return D.hour_histogram(D.hourly_history(R.minute_rollup(flows(spark, d))))
 
 
-@query("unusual_time")
+@query(
+    "unusual_time",
+    f"""WITH {_HOURS}, r AS (SELECT src_client_id AS client, end_time // {HOUR} * {HOUR} AS hour, end_time AS t, row_number() OVER (PARTITION BY src_client_id, end_time // {HOUR} ORDER BY end_time, flow_id) AS n FROM flows WHERE direction = 1),
+b AS (SELECT r.client, r.hour, t, sum(flows) AS total, coalesce(sum(flows) FILTER ((h.hour // {HOUR}) % 24 = (r.hour // {HOUR}) % 24), 0) AS then_ FROM r JOIN h ON h.client = r.client AND h.hour < r.hour AND h.hour >= r.hour - {1000 * DAY} WHERE n = 2 GROUP BY ALL)
+SELECT 'unusual-activity-time|' || client || '|' || hour AS dedupe_key, t AS at, 1 AS severity, client AS client_id, NULL::VARCHAR AS subject FROM b WHERE total >= 10 AND then_ / total < 0.05""",
+)
 def _(spark, d):
     f = flows(spark, d)
     return D.unusual_time(f, D.hourly_history(R.minute_rollup(f)), days=1000, min_flows=2, min_history=10, share=0.05).select(*_FINDING)
 
 
 @query(
-    "beacon_gaps",
-    """WITH g AS (SELECT src_client_id, dst_port, start_time - lag(start_time) OVER (PARTITION BY src_client_id, dst_port ORDER BY start_time, flow_id) AS gap FROM flows WHERE direction = 1)
-SELECT src_client_id, dst_port, count(gap) AS n, CAST(sum(gap) AS BIGINT) AS total, CAST(max(gap) AS BIGINT) AS longest FROM g GROUP BY 1, 2 HAVING count(gap) >= 3""",
+    "beaconing",
+    f"""WITH RECURSIVE o AS (SELECT src_client_id || '|203.0.0.' || (dst_v4 % 6) || '|443' AS k, src_client_id AS client, '203.0.0.' || (dst_v4 % 6) AS dst, start_time AS t, flow_id AS i FROM flows WHERE direction = 1 AND octets <= 20000),
+z AS (SELECT k, min(t) AS t FROM o GROUP BY k UNION ALL SELECT p.k, min(n.t) AS t FROM z p JOIN o n ON n.k = p.k AND n.t >= p.t + {HOUR} GROUP BY p.k),
+g AS (SELECT z.k, z.t, any_value(client) AS client, any_value(dst) AS dst, z.t - lag(z.t) OVER (PARTITION BY z.k ORDER BY z.t) AS gap FROM z JOIN o ON o.k = z.k AND o.t = z.t GROUP BY z.k, z.t),
+c AS (SELECT a.k, a.t, a.client, a.dst, 0 AS i FROM g a JOIN g b ON b.k = a.k AND b.t BETWEEN a.t - {400 * DAY} AND a.t GROUP BY a.k, a.t, a.client, a.dst
+  HAVING count(*) >= 4 AND stddev_pop(b.gap::DOUBLE) FILTER (b.t - b.gap >= a.t - {400 * DAY}) / avg(b.gap::DOUBLE) FILTER (b.t - b.gap >= a.t - {400 * DAY}) <= 0.35), {spans_sql("c", 400 * DAY, ">=")}
+SELECT 'beaconing|' || s.k AS dedupe_key, s.t AS at, 2 AS severity, client AS client_id, dst AS subject FROM spans s JOIN c ON c.k = s.k AND c.t = s.t""",
 )
 def _(spark, d):
-    gap = F.col("start_time") - F.lag("start_time").over(Window.partitionBy("src_client_id", "dst_port").orderBy("start_time", "flow_id"))
-    rows = flows(spark, d).where("direction = 1").select("src_client_id", "dst_port", gap.alias("gap"))
-    return rows.groupBy("src_client_id", "dst_port").agg(F.count("gap").alias("n"), F.sum("gap").alias("total"), F.max("gap").alias("longest")).where("n >= 3")
+    f = flows(spark, d).withColumns({"dst_ip": F.concat(F.lit("203.0.0."), F.pmod("dst_v4", F.lit(6)).cast("string")), "dst_port": F.lit(443)})
+    return D.beaconing(f, window=400 * DAY, min_count=4, max_cv=0.35, max_octets=20_000, apart=HOUR).select(*_FINDING)
 
 
-@query("beaconing")
+@query(
+    "vlan_pairs",
+    """WITH r AS (SELECT *, 'vlan' || least(src_vlan, dst_vlan) || '<->vlan' || greatest(src_vlan, dst_vlan) AS pair FROM flows WHERE direction = 3 AND octets >= 1000 AND src_vlan <> dst_vlan),
+e AS (SELECT * FROM r WHERE pair NOT IN ('vlan10<->vlan11', 'vlan12<->vlan14')), f AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY end_time, flow_id) AS n FROM e)
+SELECT 'unexpected-vlan-communication|' || pair || '|' || src_ip || '|' || dst_ip || '|' || dst_port AS dedupe_key, end_time AS at, 2 AS severity, src_client_id AS client_id, pair AS subject FROM f WHERE n = 1""",
+)
 def _(spark, d):
-    return D.beaconing(flows(spark, d), window=3650 * DAY, min_count=3, max_cv=0.5, max_octets=10**9).select(*_FINDING)
+    expected = spark.createDataFrame([("*", "vlan-pair", "vlan10<->vlan11"), ("vlan14", "peer-vlan", "vlan12")], "scope_value string, kind string, value string")
+    return D.vlan_crossing(flows(spark, d), expectations=expected).select(*_FINDING)
 
 
 @query(
-    "vlan_pairs",
-    """WITH r AS (SELECT *, 'vlan' || src_vlan || '>vlan' || dst_vlan AS pair FROM flows WHERE direction = 3 AND octets >= 1000 AND src_vlan <> dst_vlan),
-e AS (SELECT * FROM r WHERE pair <> 'vlan10>vlan11'), f AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY end_time, flow_id) AS n FROM e)
-SELECT 'unexpected-vlan-communication|' || src_ip || '|' || dst_ip || '|' || dst_port AS dedupe_key, end_time AS at, 2 AS severity, src_client_id AS client_id, pair AS subject FROM f WHERE n = 1""",
+    "prefix_pairs",
+    """WITH r AS (SELECT *, '10.0.0.0/25' AS s, CASE WHEN dst_v4 BETWEEN 3405774848 AND 3405775103 THEN '203.0.0.0/24' WHEN dst_v4 BETWEEN 3405774848 AND 3405840383 THEN '203.0.0.0/16' END AS d FROM flows WHERE direction = 3 AND octets >= 40000 AND src_v4 % 256 < 128),
+f AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY end_time, flow_id) AS n FROM r WHERE d IS NOT NULL)
+SELECT 'unexpected-vlan-communication|' || s || '<->' || d || '|' || src_ip || '|' || dst_ip || '|' || dst_port AS dedupe_key, end_time AS at, 2 AS severity, src_client_id AS client_id, s || '<->' || d AS subject FROM f WHERE n = 1""",
 )
 def _(spark, d):
-    expected = spark.createDataFrame([("*", "network-pair", "vlan10>vlan11")], "scope_value string, kind string, value string")
-    return D.vlan_crossing(flows(spark, d), expectations=expected).select(*_FINDING)
+    """Addresses without a VLAN belong to the first internal prefix that holds them."""
+    f = flows(spark, d).withColumns({"src_vlan": F.lit(None).cast("int"), "dst_vlan": F.lit(None).cast("int")})
+    return D.vlan_crossing(f, min_octets=40_000, prefixes=["10.0.0.0/25", "203.0.0.0/24", "203.0.0.0/16"]).select(*_FINDING)
 
 
 _IDS_FLOWS = f"SELECT event_id AS flow_id, dst_ip AS src_ip, src_ip AS dst_ip, received_at AS end_time FROM evs WHERE event_type = 6"
@@ -600,7 +704,7 @@ def _(spark, d):
 # Correlation, export, storage ----------------------------------------------------------------------------
 
 
-@query("timeline_union", f"""WITH f AS (SELECT start_time AS time, 'flow' AS kind, CAST(flow_id AS VARCHAR) AS id FROM flows WHERE start_time BETWEEN {LO} AND {HI} AND (src_client_id = 7 OR dst_client_id = 7) ORDER BY start_time, flow_id LIMIT 2000),
+@query("timeline_union", f"""WITH f AS (SELECT start_time AS time, 'flow' AS kind, CAST(flow_id AS VARCHAR) AS id FROM flows WHERE origin = 0 AND start_time BETWEEN {LO} AND {HI} AND (src_client_id = 7 OR dst_client_id = 7) ORDER BY start_time, flow_id LIMIT 2000),
 e AS (SELECT effective_time AS time, CASE event_type WHEN 1 THEN 'firewall' WHEN 2 THEN 'ids' WHEN 3 THEN 'auth' ELSE 'system' END AS kind, CAST(event_id AS VARCHAR) AS id FROM evs WHERE received_at BETWEEN {LO} AND {HI} AND src_client_id = 7 ORDER BY received_at, event_id LIMIT 2000)
 SELECT * FROM f UNION ALL SELECT * FROM e""")
 def _(spark, d):
@@ -623,11 +727,15 @@ def _(spark, d):
     return flatten_flows(flows(spark, d), sharing("s3")).select("id", "source", "destination")
 
 
-@query("redact_text", r"""SELECT doc_id, len(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\b'))::INTEGER AS hidden FROM documents WHERE regexp_matches(text, '(^|[^0-9A-Fa-f.:])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})($|[^0-9A-Fa-f.:])') AND NOT regexp_matches(text, '[0-9]\.[^ 0-9]|[0-9]\.$|[0-9]\. ')""")
+@query(
+    "redact_text",
+    r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?:::)?[0-9A-Fa-f](?:[0-9A-Fa-f.:]*[0-9A-Fa-f])?(?:::)?') AS runs FROM documents),
+h AS (SELECT doc_id, len(list_filter(runs, lambda r: regexp_full_match(r, '(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})') OR regexp_full_match(r, '(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}')))::INTEGER AS hidden FROM p) SELECT * FROM h WHERE hidden > 0""",
+)
 def _(spark, d):
+    """All texts."""
     from tidewire.operators.export import redact_text, sharing
 
-    # All texts; the SQL leaves out those in which a digit is followed by a period that is not inside a number.
     docs = spark.read.parquet(f"{d}/documents.parquet")
     hidden = F.regexp_count(redact_text(F.col("text"), sharing("s3")), F.lit(r"ip-[0-9a-f]{12}"))
     return docs.select("doc_id", hidden.alias("hidden")).where("hidden > 0")
