@@ -720,6 +720,33 @@ def _(spark, d):
     return timeline(Anchor(EV_LO, EV_HI, client_id=7), flows(spark, d), events(spark, d))[0].where("kind <> 'flow'").select("time", "kind", "id", "title")
 
 
+_KINDS = "CASE event_type WHEN 1 THEN 'firewall' WHEN 2 THEN 'ids' WHEN 3 THEN 'auth' ELSE 'system' END"
+
+
+@query("timeline_all_sources", f"""WITH e AS (SELECT effective_time AS time, {_KINDS} AS kind, CAST(event_id AS VARCHAR) AS id FROM evs WHERE received_at BETWEEN {EV_LO} AND {EV_HI} AND src_client_id = 7 ORDER BY received_at, event_id LIMIT 2000),
+a AS (SELECT min(effective_time) AS time, 'alert' AS kind, 'ids-event|' || ids_signature || '|' || src_ip || '|' || dst_ip || '|' || CAST(floor(effective_time / 600000000) AS BIGINT) AS id, max(effective_time) AS last FROM evs WHERE event_type = 2 AND ids_severity <= 3 AND src_client_id = 7 GROUP BY ALL),
+n AS (SELECT received_at AS time, 'annotation' AS kind, CAST(event_id AS VARCHAR) AS id FROM evs WHERE event_id % 500 = 3 AND received_at BETWEEN {EV_LO} AND {EV_HI}),
+g AS (SELECT received_at AS time, 'gap' AS kind, CAST(event_id AS VARCHAR) AS id FROM evs WHERE event_id % 700 = 5 AND received_at <= {EV_HI} AND received_at + {HOUR} >= {EV_LO})
+SELECT * FROM e UNION ALL SELECT time, kind, id FROM a WHERE last >= {EV_LO} AND time <= {EV_HI} UNION ALL SELECT * FROM n UNION ALL SELECT * FROM g""")
+def _(spark, d):
+    from tidewire.operators.correlate import Anchor, timeline
+
+    e, f = events(spark, d), flows(spark, d)
+    notes = e.where("event_id % 500 = 3").select(F.col("event_id").alias("note_id"), F.col("received_at").alias("at"), F.lit("seen").alias("text"))
+    gap = e.where("event_id % 700 = 5").select(F.col("event_id").alias("gap_id"), F.col("received_at").alias("start_ts"), (F.col("received_at") + HOUR).alias("end_ts"), F.lit("sleep").alias("reason"))
+    return timeline(Anchor(EV_LO, EV_HI, client_id=7), f, e, A.deduplicate(D.ids_events(e, f)), notes, gap)[0].select("time", "kind", "id")
+
+
+@query("timeline_two_addresses", f"""WITH m AS (SELECT flow_id, start_time FROM flows WHERE origin = 0 AND start_time BETWEEN {LO} AND {LO + 400 * DAY} ORDER BY start_time, flow_id LIMIT 2000),
+x AS (SELECT flow_id, start_time FROM flows WHERE origin = 0 AND start_time BETWEEN {LO} AND {LO + 400 * DAY} AND (src_ip = '10.0.0.9' OR dst_ip = '10.0.0.9') ORDER BY start_time, flow_id LIMIT 1000)
+SELECT start_time AS time, 'flow' AS kind, CAST(flow_id AS VARCHAR) AS id FROM (SELECT * FROM m UNION SELECT * FROM x)""")
+def _(spark, d):
+    """Flows of the range, and of every further address; one that is in both counts once."""
+    from tidewire.operators.correlate import Anchor, timeline
+
+    return timeline(Anchor(LO, LO + 400 * DAY, addresses=("10.0.0.7", "10.0.0.9")), flows(spark, d), events(spark, d))[0].select("time", "kind", "id")
+
+
 @query("redact_tokens", "SELECT flow_id AS id, 'ip-' || substr(sha256('s3|' || src_ip), 1, 12) AS source, dst_ip AS destination FROM flows")
 def _(spark, d):
     from tidewire.operators.export import flatten_flows, sharing
@@ -822,6 +849,37 @@ def _(spark, d):
     return parse(e.select("event_id", "received_at", F.col("src_ip").alias("source_ip"), line.alias("raw"))).select("event_id", "facility", "severity", "hostname", "app_name", "proc_id", "event_time", "message", "parse_status")
 
 
+def _family(name: str, app: str, parts: list, values: dict[str, str]) -> None:
+    """Events rendered as BSD syslog lines of one family and parsed back. ``parts`` are texts, and columns after a colon."""
+    columns = ["parser_name", "event_time", *values]
+    wanted = ", ".join(f"{v} AS {k}" for k, v in values.items())
+
+    @query(f"syslog_{name}", f"SELECT event_id, '{name.replace('_', '-')}' AS parser_name, {wanted}, received_at // 1000000 * 1000000 AS event_time FROM evs")
+    def _(spark, d):
+        from tidewire.operators.syslog import parse
+
+        e = events(spark, d)
+        stamp = F.date_format(F.timestamp_micros("received_at"), "MMM d HH:mm:ss")
+        text = [F.expr(x[1:]).cast("string") if x.startswith(":") else F.lit(x) for x in parts]
+        line = F.concat(F.lit("<13>"), stamp, F.lit(f" gw {app}"), *text)
+        parsed = parse(e.select("event_id", "received_at", F.col("src_ip").alias("source_ip"), line.alias("raw")))
+        return parsed.select("event_id", *columns)
+
+
+_family("netfilter", "kernel: ", ["[WAN_LOCAL-D-", ":event_id % 100", "]IN=eth0 OUT= MAC=aa:bb:cc:dd:ee:ff:11:22:33:44:55:66:08:00 SRC=", ":src_ip", " DST=", ":dst_ip", " LEN=40 PROTO=UDP SPT=4444 DPT=", ":dst_port"],
+        {"event_type": "1::SMALLINT", "src_ip": "src_ip", "dst_ip": "dst_ip", "src_port": "4444", "dst_port": "dst_port", "protocol": "17::SMALLINT", "action": "2::SMALLINT", "in_iface": "'eth0'", "rule_name": "'WAN_LOCAL-D-' || (event_id % 100)", "rule_id": "CAST(event_id % 100 AS VARCHAR)", "mac": "'11:22:33:44:55:66'"})
+_family("suricata", "suricata[9]: ", ["[1:", ":2000000 + dst_port", ":concat(':20] ET SCAN probe ', dst_port)", " [**] [Classification: Attempted Leak] [Priority: ", ":ids_severity", "] {TCP} ", ":concat(src_ip, ':5555 -> ', dst_ip, ':', dst_port)"],
+        {"event_type": "2::SMALLINT", "src_ip": "src_ip", "dst_ip": "dst_ip", "src_port": "5555", "dst_port": "dst_port", "protocol": "6::SMALLINT", "action": "5::SMALLINT", "ids_signature": "'ET SCAN probe ' || dst_port", "ids_signature_id": "CAST(2000000 + dst_port AS VARCHAR)", "ids_category": "'Attempted Leak'", "ids_severity": "ids_severity"})
+_family("openssh", "sshd[1]: ", [":case when event_id % 2 = 0 then 'Accepted publickey for ' else 'Failed password for invalid user ' end", "u", ":event_id % 9", " from ", ":src_ip", " port ", ":5000 + dst_port", " ssh2"],
+        {"event_type": "3::SMALLINT", "src_ip": "src_ip", "src_port": "(5000 + dst_port)::INTEGER", "dst_port": "22", "username": "'u' || (event_id % 9)", "action": "(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END)::SMALLINT", "method": "CASE WHEN event_id % 2 = 0 THEN 'publickey' ELSE 'password' END"})
+_family("dnsmasq_dns", "dnsmasq[1]: ", ["query[AAAA] h", ":event_id % 50", ".example.org from ", ":src_ip"],
+        {"event_type": "5::SMALLINT", "src_ip": "src_ip", "query": "'h' || (event_id % 50) || '.example.org'", "query_type": "'AAAA'"})
+_family("dnsmasq_dhcp", "dnsmasq-dhcp[1]: ", ["DHCPACK(br0) ", ":src_ip", " 02:00:00:AA:bb:0", ":event_id % 10", " phone", ":event_id % 7"],
+        {"event_type": "4::SMALLINT", "src_ip": "src_ip", "mac": "'02:00:00:aa:bb:0' || (event_id % 10)", "client_name": "'phone' || (event_id % 7)", "in_iface": "'br0'"})
+_family("cef", "", ["CEF:0|Acme|GW|1.0|", ":event_id % 300", "|Threat blocked|7|src=", ":src_ip", " dst=", ":dst_ip", " spt=12 dpt=", ":dst_port", " act=blocked msg=two words cat=IPS"],
+        {"event_type": "2::SMALLINT", "src_ip": "src_ip", "dst_ip": "dst_ip", "src_port": "12", "dst_port": "dst_port", "action": "2::SMALLINT", "rule_name": "'Threat blocked'", "rule_id": "CAST(event_id % 300 AS VARCHAR)", "ids_signature": "'Threat blocked'", "ids_severity": "2::SMALLINT"})
+
+
 @query("ipfix_decode")
 def _(spark, d):
     """Flows encoded as IPFIX datagrams and decoded again: totals by exporter."""
