@@ -5,7 +5,7 @@ kept, is written as Parquet and read again; all but the last return the columns
 
 Defined results, for every stage: null or empty texts and null columns do not fail; a row without an id cannot be
 named by a decision and stays, unless quality rejects it; rows that repeat id and text become one in exact
-dedup; an empty table gives an empty table; further columns are carried along.
+dedup, and rows that repeat an id with other texts stay in near dedup as long as one of them is to stay; an empty table gives an empty table; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -52,7 +52,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, on five-word shingles."""
     decided = near_dedup.near_dedup(docs)
-    gone = table(decided.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "near-gone", rows=docs.count())
+    # Rows of one id are decided apart, but named by it: they go where none of them is to stay.
+    named = decided.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept"))
+    gone = table(named.where(~F.col("kept")).select("id"), "near-gone", rows=docs.count())
     return _rows(docs, id=F.col("doc_id")).join(gone, "id", "left_anti").select("row.*")
 
 
