@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidewire.operators import alerts as A
 from tidewire.operators import detect as D
 
@@ -173,3 +175,25 @@ def test_order_statistics(spark):
     m, p = D.order_statistics(F.col("v"))
     r = spark.createDataFrame([([4, 1, 3, 2],)], "v array<bigint>").select(m.alias("m"), p.alias("p")).first()
     assert (r.m, r.p) == (3, 4)
+
+
+def test_prefixes_are_found_by_the_addresses_given(spark, tmp_path):
+    """The registered pairs place sources by their last octet, as their SQL does, also where there are more than 256 of them."""
+    import duckdb
+
+    from tidewire.plans import registry
+
+    lines = ", ".join(f"({n}, 1, 300, {supplier}, 5.0, 90000.0, 'O', 'N', TIMESTAMP '1995-03-0{1 + n}')" for n, supplier in enumerate([5, 200, 261, 456]))
+    with duckdb.connect() as db:
+        db.sql("SET TimeZone = 'UTC'")
+        db.sql(f"CREATE VIEW lineitem AS SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, l_linestatus, l_returnflag, l_shipdate FROM (VALUES {lines}) t(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linestatus, l_returnflag, l_shipdate)")
+        db.sql("CREATE VIEW nation AS SELECT 0::BIGINT AS n_nationkey, 'N' AS n_name, 0::BIGINT AS n_regionkey")
+        for name in ("lineitem", "nation"):
+            db.sql(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+        want = db.sql(registry.ORACLE_SQL["prefix_pairs"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["prefix_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 2
+    bare = frame(spark, [flow(0, direction=3, src_ip="10.0.1.5", dst_ip="203.0.0.9")])
+    prefixes = ["10.0.0.0/25", "203.0.0.0/16"]
+    assert D.vlan_crossing(bare, prefixes=prefixes).count() == 0
+    assert D.vlan_crossing(bare, prefixes=prefixes, located=(F.lit("10.0.0.5"), F.col("dst_ip"))).count() == 1

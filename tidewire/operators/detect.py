@@ -308,13 +308,16 @@ def network_of(ip: Column, vlan: Column, prefixes: list[str] | None) -> Column:
     return out
 
 
-def vlan_crossing(flows: DataFrame, *, min_octets: int = 1000, expectations: DataFrame | None = None, prefixes: list[str] | None = None) -> DataFrame:
+def vlan_crossing(flows: DataFrame, *, min_octets: int = 1000, expectations: DataFrame | None = None, prefixes: list[str] | None = None, located: tuple[Column, Column] | None = None) -> DataFrame:
     """Traffic between two internal networks that are not expected to talk; once per source, destination and port.
 
     The pair of networks has no direction: it is expected as anybody's vlan-pair, or as either network's peer-vlan.
+    ``located``: the addresses by which the prefixes of source and destination are found, where they are not src_ip and dst_ip
+    (sites that share one address plan).
     """
+    src, dst = located or (F.col("src_ip"), F.col("dst_ip"))
     lan = flows.where((F.col("direction") == 3) & (F.col("octets") >= min_octets))
-    lan = lan.withColumns({"_s": network_of(F.col("src_ip"), F.col("src_vlan"), prefixes), "_d": network_of(F.col("dst_ip"), F.col("dst_vlan"), prefixes)})
+    lan = lan.withColumns({"_s": network_of(src, F.col("src_vlan"), prefixes), "_d": network_of(dst, F.col("dst_vlan"), prefixes)})
     rows = lan.where(F.col("_s") != F.col("_d")).withColumn("pair", F.array_join(F.array_sort(F.array("_s", "_d")), "<->"))
     rows = unexpected(rows, expectations, "vlan-pair", F.col("pair"), scope=None)
     for own, peer in (("_s", "_d"), ("_d", "_s")):
