@@ -171,6 +171,15 @@ def test_as_of_takes_the_latest_validity_that_still_holds(spark):
     assert E.as_of(f.where("false"), h, "k", "t", value="v").columns == ["i", "k", "t", "v"]
 
 
+def test_as_of_broadcasts_no_history(spark, tmp_path):
+    """A small history file becomes many rows in buckets, which must not be gathered in the driver."""
+    spark.range(50).selectExpr("id as k", "0L as valid_from", "cast(null as bigint) as valid_to", "id as v").write.parquet(f"{tmp_path}/h")
+    spark.range(400).selectExpr("id as i", "id % 50 as k", "id * 100 as t").write.parquet(f"{tmp_path}/f")
+    got = E.as_of(spark.read.parquet(f"{tmp_path}/f"), spark.read.parquet(f"{tmp_path}/h"), "k", "t", value="v", width=10)
+    assert {(r.k, r.v) for r in got.collect()} == {(k, k) for k in range(50)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_metadata_store(spark, tmp_path):
     from tidewire.operators.filters import RecordFilter
     from tidewire.sources.metadata import MetadataStore, clients_like

@@ -34,7 +34,8 @@ def as_of(facts: DataFrame, history: DataFrame, key: str, at: str, *, value: str
 
     The history is cut into time buckets of ``width`` and, within each, into stretches that have one value; facts
     then meet the one stretch of their key and bucket by an equi-join. A hot key is spread over its buckets, and no fact
-    is matched with more than one row. Open validity ends at the last fact.
+    is matched with more than one row. Open validity ends at the last fact. Buckets multiply the rows of a small history, which
+    the planner's estimate of its size does not see; both joins are therefore hinted, and nothing is broadcast.
     """
     last = facts.agg(F.max(at).alias("t")).first()["t"]
     if last is None:
@@ -46,10 +47,10 @@ def as_of(facts: DataFrame, history: DataFrame, key: str, at: str, *, value: str
     clipped = laid.withColumns({"_from": F.greatest("_lo", F.col("_b") * width), "_to": F.least("_hi", (F.col("_b") + 1) * width)})
     edges = clipped.select("_k", "_b", F.explode(F.array("_from", "_to")).alias("_at")).distinct()
     cuts = edges.withColumn("_end", F.lead("_at").over(Window.partitionBy("_k", "_b").orderBy("_at"))).where(F.col("_end").isNotNull())
-    held = cuts.join(clipped, ["_k", "_b"]).where((F.col("_from") <= F.col("_at")) & (F.col("_to") >= F.col("_end")))
+    held = cuts.join(clipped.hint("merge"), ["_k", "_b"]).where((F.col("_from") <= F.col("_at")) & (F.col("_to") >= F.col("_end")))
     stretches = held.groupBy("_k", "_b", "_at", "_end").agg(F.max(F.struct("_lo", "_value")).alias("_v")).select("_k", F.col("_b").alias("_bucket"), "_at", "_end", F.col("_v._value").alias("_value"))
     on = (F.col(key) == F.col("_k")) & (slot(at) == F.col("_bucket")) & (F.col("_at") <= F.col(at)) & (F.col(at) < F.col("_end"))
-    return facts.join(stretches, on, "left").withColumn(value, F.col("_value")).drop("_k", "_bucket", "_at", "_end", "_value")
+    return facts.join(stretches.hint("merge"), on, "left").withColumn(value, F.col("_value")).drop("_k", "_bucket", "_at", "_end", "_value")
 
 
 def prefix_table(spark, prefixes: list[tuple]) -> DataFrame:
