@@ -330,3 +330,15 @@ def test_patterns_fill_the_window_and_respect_the_histogram():
     plan = packing.plan(lengths)
     assert sum(p[2] for p in plan) == lengths.sum()
     assert len({p[0] for p in plan}) == len(lengths) and len(plan) <= len(lengths) + 8
+
+
+def test_runs_of_prose_are_not_written(spark, monkeypatch):
+    """Prose beside licence words, and a header within it: only what may reach the threshold is written and compared."""
+    rng = random.Random(5)
+    prose = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(12))
+    rows = [(i, f"a{i}/x.py", "\n".join([prose(), prose() + " licence " + prose(), prose(), prose(), prose(), prose(), prose(), "Released under the MIT License" if i % 4 == 0 else prose()])) for i in range(40)]
+    written, real = {}, licenses.table
+    monkeypatch.setattr(licenses, "table", lambda df, name, **k: written.setdefault(name, real(df, name, **k)))
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert got == {i: "MIT" if i % 4 == 0 else None for i in range(40)}
+    assert 10 <= written["licence-sentences"].count() <= 40  # with every run, more than 200

@@ -7,7 +7,8 @@ licence sentences, or one of whose runs, make up most of its words, or whose fil
 licence file and speaks for its directory. A document without a licence of its own inherits that of the nearest
 ancestor directory that has one.
 
-Shape of the plan: equal sentences are collapsed before anything is weighed, so a header that a third of
+Shape of the plan: words are counted first; then sentences and runs whose cosine cannot reach the threshold, by a bound from
+the words they share with templates, are dropped where they are read; equal ones are collapsed before they are compared, so a header that a third of
 all rows carry is one vector; templates are a fixed list and the only thing that is broadcast; directories
 are resolved once for each distinct directory; all joins back to rows read both sides from files.
 
@@ -78,28 +79,64 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])"), lambda t: t != "")
 
 
-def score_sentences(spark, sentences: DataFrame) -> DataFrame:
-    """Best template of each distinct sentence: (sentence, license, score). Input: sentence, n (its number of occurrences as one)."""
+def weigh(spark, lone: DataFrame) -> tuple[DataFrame, int]:
+    """(term, idf) over all lone sentences (column piece, one row per occurrence) and the templates, and the number of both."""
+    nothing = F.array(F.lit(None).cast("string"))  # a sentence as such: rows of the null term count them
+    terms = lone.select(F.explode(F.concat(F.array_distinct(_terms(F.col("piece"))), nothing)).alias("term"))
+    templates = spark.createDataFrame([(text,) for _, text in TEMPLATES], "body string").select(F.explode(F.concat(F.array_distinct(_terms(F.col("body"))), nothing)).alias("term"))
+    seen = table(terms.unionByName(templates).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "licence-terms")
+    total = seen.where("term is null").first()["n"]
+    return seen.where("term is not null").select("term", _idf(F.col("n"), total).alias("idf")), total
+
+
+def _idf(n: Column, total: int) -> Column:
+    return F.log(F.lit(float(total) + 1) / (n + 1)) + 1
+
+
+def known_terms(spark, idf: DataFrame) -> DataFrame:
+    """(term, license, template, idf, tw): the templates as vectors of length 1. Its size is that of the fixed template list."""
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, body string")
     tmpl = templates.select("template", "license", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
-    words = table(sentences.select("sentence", "n", F.explode(_terms(F.col("sentence"))).alias("term")).groupBy("sentence", "n", "term").agg(F.count(F.lit(1)).alias("tf")), "licence-terms")
-    # Statistics over all occurrences in the corpus and over the templates.
-    seen = words.select("term", "n").unionByName(tmpl.select("term", F.lit(1).cast("bigint").alias("n")))
-    total = sentences.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] + len(TEMPLATES)
-    weight = F.log((F.lit(float(total)) + 1) / (F.sum("n") + 1)) + 1
-    idf = table(seen.groupBy("term").agg(weight.alias("idf")), "licence-idf")
-    weighed = words.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    known = tmpl.join(idf, "term").withColumn("tw", F.col("tf") * F.col("idf")).select("template", "license", "term", "tw")
-    norms = known.groupBy("template", "license").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"))
-    known = table(known.join(norms, ["template", "license"]).select("term", "license", "template", (F.col("tw") / F.col("norm")).alias("tw")).coalesce(1), "licence-templates")
+    known = idf.join(F.broadcast(tmpl), "term").withColumn("tw", F.col("tf") * F.col("idf"))
+    norms = known.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"))
+    known = known.join(F.broadcast(norms), "template")
+    return table(known.select("term", "license", "template", "idf", (F.col("tw") / F.col("norm")).alias("tw")).coalesce(1), "licence-templates")
+
+
+def may_reach(pieces: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """The pieces whose cosine with some template may reach the threshold; none that reaches it is left out.
+
+    The dot product with a template is a sum over those words of a piece that templates have. The norm is at least the root of the sum of
+    their squared weights and of 1 for each other word: no weight is below 1, and a word that repeats adds more.
+    """
+    vectors: dict[str, list[float]] = {}
+    for r in known.collect():  # one row per word of a template
+        vectors.setdefault(r["term"], [r["idf"] ** 2] + [0.0] * len(TEMPLATES))[1 + r["template"]] = r["idf"] * r["tw"]
+    weights = F.create_map(*[c for term, v in vectors.items() for c in (F.lit(term), F.array(*[F.lit(x) for x in v]))])
+    part = lambda name, c: F.inline(F.array(F.struct(c.alias(name))))
+    keep = pieces.columns
+    split = pieces.select("*", part("_terms", _terms(F.col("piece"))))
+    split = split.select("*", part("_hits", F.filter("_terms", lambda t: t.isin(list(vectors)))))
+    nothing = F.array(*[F.lit(0.0)] * (len(TEMPLATES) + 1))
+    sums = split.where(F.size("_hits") > 0).select("*", part("_sums", F.aggregate("_hits", nothing, lambda acc, t: F.zip_with(acc, F.element_at(weights, t), lambda x, y: x + y))))
+    best = F.array_max(F.slice("_sums", 2, len(TEMPLATES)))
+    least = F.sqrt(F.get("_sums", F.lit(0)) + F.size("_terms") - F.size("_hits"))
+    return sums.where(best >= F.lit(threshold - 1e-5) * least).select(*keep)
+
+
+def score_sentences(sentences: DataFrame, idf: DataFrame, total: int, known: DataFrame) -> DataFrame:
+    """Best template of each distinct sentence: (key, license, score). Input: key, sentence."""
+    words = table(sentences.select("key", F.explode(_terms(F.col("sentence"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf")), "licence-words")
+    # Words of runs alone are in no lone sentence.
+    weighed = words.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", _idf(F.lit(0), total))).select("key", "term", "w")
     # The size of `known` is that of the fixed template list.
     vectors = weighed.join(F.broadcast(known.groupBy("term").agg(F.collect_list(F.struct("template", "license", "tw")).alias("hits"))), "term", "left")
     # Per sentence: its norm from all terms, and one dot product for each template that shares a term.
-    norm = weighed.groupBy("sentence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vectors.where(F.col("hits").isNotNull()).select("sentence", "w", F.inline("hits")).groupBy("sentence", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norm, "sentence").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    best = scored.groupBy("sentence").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return best.select("sentence", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    norm = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = vectors.where(F.col("hits").isNotNull()).select("key", "w", F.inline("hits")).groupBy("key", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norm, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, *, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
@@ -125,9 +162,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     runs = F.filter(F.flatten(F.transform("starts", run)), lambda p: p["whole"])
     alone = F.transform("sentences", lambda p: F.struct(p.alias("piece"), F.lit(1).alias("alone"), F.lit(True).alias("whole")))
     pieces = starts.select("id", "path", "row", "n_words", F.inline_outer(F.concat(alone, runs))).where(F.col("piece").isNotNull())
+    idf, total = weigh(spark, marked.select(F.explode("sentences").alias("piece")))
+    known = known_terms(spark, idf)
+    # Most runs are prose beside a licence word: they are dropped before anything of them is written.
+    pieces = may_reach(pieces, known, threshold)
     found = table(pieces.select("id", "path", "row", "n_words", "alone", sentence.alias("sentence"), F.size(F.split(F.trim("piece"), r"\s+")).alias("words")), "licence-sentences")
-    distinct = table(found.groupBy("sentence").agg(F.sum("alone").alias("n")), "licence-distinct")
-    scores = table(score_sentences(spark, distinct).where(F.col("score") >= threshold), "licence-scores")
+    distinct = table(found.select("sentence").distinct().withColumn("key", F.monotonically_increasing_id()), "licence-distinct")
+    best = score_sentences(distinct, idf, total, known).where(F.col("score") >= threshold)
+    scores = table(best.join(distinct, "key").select("sentence", "license", "score"), "licence-scores")
     each = found.join(scores, "sentence").groupBy("id", "path", "row").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"),
         (F.greatest(F.sum(F.col("words") * F.col("alone")), F.max(F.col("words") * (1 - F.col("alone")))) / F.max("n_words")).alias("share"),
