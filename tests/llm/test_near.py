@@ -313,3 +313,25 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
             assert name == "packing" or out.columns == df.columns
     kept = corpus_pipeline.exact(spark, docs(spark, AWKWARD), str(tmp_path)).collect()
     assert sorted(r.doc_id for r in kept if r.text and r.text.lower() == "hello world" and r.doc_id) == [5]
+
+
+def test_rows_from_other_regions_are_searched_for_and_not_built_in():
+    """Links of heads with each other and with visitors, none among visitors; a block that is met in a later part without its own links."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 32))
+    v = np.concatenate([base + rng.normal(size=base.shape) * 0.03 * k for k in range(4)])
+    v = (v / np.linalg.norm(v, axis=1)[:, None])[rng.permutation(len(v))]
+    heads, n = 400, len(v)
+    s = (v @ v.T >= 0.95) & ~np.eye(n, dtype=bool)
+    visits = np.arange(n) >= heads
+    for within in (True, False):
+        want = s & ~(visits[:, None] & visits[None])
+        if not within:
+            want &= visits[:, None] != visits[None]
+        i, j = embeddings.region_links(v, 0.95, heads=heads, within=within)
+        assert want[i, j].all() and len(i) >= embeddings.RECALL * want.sum() > 200 and len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(j.tolist(), i.tolist(), strict=True))
+        copies = rng.integers(1, 4, n)
+        links, _ = embeddings.exact_links(v, 0.95, lambda i, j, within=within: (visits[i] != visits[j]) | within, copies, heads=heads)
+        assert (links == want @ copies).all()
+    assert len(embeddings.region_links(v, 0.95, heads=0)[0]) == 0 and len(embeddings.region_links(v, 0.95, heads=n, within=False)[0]) == 0

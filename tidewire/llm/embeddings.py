@@ -3,11 +3,13 @@
 Equal vectors are collapsed first. Centroids are fitted on a bounded sample (``sample_rows``), and vectors are dealt to
 regions: a row goes to its own and to every region before it whose border is nearer than a margin, so that the two
 ends of a link meet in the first of their own regions. Centroids nearer than a spacing are thinned to one, so that a
-group of near copies is not cut up, and of some spacings the one is taken at which the sample has the fewest rows to
-exchange. Regions with more than ``block`` rows are dealt as pairs of blocks, so that a group that holds a third of
-all rows never meets in one task.
+group of near copies is not cut up, and of some spacings the one is taken at which the sample has the fewest searches.
+A region's graph holds its own rows; those that come from other regions are searched for in it, and not compared with each other, as each
+pair has an end that is at home where it meets. Regions with more than ``block`` rows of their own have a graph for each block, which the rows
+of later blocks come to, and rows come to a graph in parts of ``PARTS`` blocks, so that a group that holds a third of all rows never
+meets in one task.
 
-Within a region rows are shared out to shards, each to its ``OVERLAP`` nearest of them. A shard's graph starts at random
+Within a block rows are shared out to shards, each to its ``OVERLAP`` nearest of them. A shard's graph starts at random
 and grows by search and prune: every node is searched for from medoids over the graph so far, what the search met
 is thinned by robust pruning to the node's new edges, and edges are made mutual. The adjacency lists of all shards are
 united to one flat graph, over which each vector is searched for from the medoids nearest to it and its own node: a
@@ -44,6 +46,8 @@ THRESHOLD = 0.95
 SAMPLE_ROWS = 20_000
 CELL_ROWS = 4000
 BLOCK = 8000
+#: Rows that come to a graph at once, in blocks, and what a row costs to build in, in searches.
+PARTS, BUILD = 4, 4.0
 SHARD_ROWS, OVERLAP = 1000, 2
 #: Centroids are thinned to spacings of these multiples of the reach of a link.
 SPACINGS = (1.0, 1.5, 2.0, 3.0)
@@ -134,16 +138,18 @@ def _thin(c: np.ndarray, weight: np.ndarray, spacing: float) -> np.ndarray:
 
 
 def choose_cells(x: np.ndarray, c: np.ndarray, n: int, reach: float, block: int) -> np.ndarray:
-    """Of the centroids thinned to some spacings, and of one alone, those by which the n rows that ``x`` is a sample of are exchanged least."""
+    """Of the centroids thinned to some spacings, and of one alone, those by which the n rows that ``x`` is a sample of are searched for least."""
     weight = np.bincount(_cells_of(x, c, 0.0)[0], minlength=len(c))
     options = [_thin(c, weight, k * reach) for k in SPACINGS] + [x.mean(axis=0)[None]]
     probe = x[:4000]
 
-    def exchanged(cells: np.ndarray) -> float:
-        placed = _cells_of(probe, cells, reach)[1].sum(axis=0) * (n / len(probe))
-        return float((placed * np.ceil(placed / block)).sum())
+    def searches(cells: np.ndarray) -> float:
+        home, near = _cells_of(probe, cells, reach)
+        placed, own = near.sum(axis=0) * (n / len(probe)), np.bincount(home, minlength=len(cells)) * (n / len(probe))
+        blocks, parts = np.maximum(1, np.ceil(own / block)), np.maximum(1, np.ceil(placed / (PARTS * block)))
+        return float((own * (1 + BUILD * parts + (blocks - 1) / 2) + (placed - own) * blocks).sum())
 
-    return min(options, key=exchanged)
+    return min(options, key=searches)
 
 
 def _route(centroids: dict[int, np.ndarray], reach: dict[int, float]):
@@ -190,11 +196,11 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, pool: np.ndarray, keep: int,
     return out
 
 
-def _beam(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, hops: int, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Greedy search for nodes ``q`` from their entries (a row each): after every hop, the best nodes so far and their similarities."""
-    rows = np.arange(len(q))
+def _beam(x: np.ndarray, graph: np.ndarray, y: np.ndarray, entry: np.ndarray, beam: int, hops: int, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Greedy search for the vectors ``y`` from their entries (a row each): after every hop, the best nodes so far and their similarities."""
+    rows = np.arange(len(y))
     ids = entry
-    sims = np.matmul(x[entry], x[q][:, :, None])[:, :, 0]
+    sims = np.matmul(x[entry], y[:, :, None])[:, :, 0]
     seen[rows[:, None], entry] = True
     opened = np.zeros(ids.shape, dtype=bool)
     yield ids, sims
@@ -202,7 +208,7 @@ def _beam(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, be
         pick = np.argmax(np.where(opened, -3, sims), axis=1)
         opened[rows, pick] = True
         cand = graph[ids[rows, pick]]
-        cand_sims = np.matmul(x[cand], x[q][:, :, None])[:, :, 0]
+        cand_sims = np.matmul(x[cand], y[:, :, None])[:, :, 0]
         cand_sims[seen[rows[:, None], cand]] = -2
         seen[rows[:, None], cand] = True
         yield cand, cand_sims
@@ -219,10 +225,10 @@ def _medoids(x: np.ndarray, rows_of_each: int = MEDOID_ROWS) -> np.ndarray:
     return np.unique(np.argmax(x @ c.T - (c * c).sum(axis=1) / 2, axis=0))
 
 
-def _entries(x: np.ndarray, q: np.ndarray, medoids: np.ndarray) -> np.ndarray:
-    """For each node of ``q`` the medoids nearest to it."""
-    s = x[q] @ x[medoids].T
-    return medoids[np.argpartition(-s, ENTRIES - 1, axis=1)[:, :ENTRIES]] if len(medoids) > ENTRIES else np.repeat(medoids[None], len(q), axis=0)
+def _entries(x: np.ndarray, y: np.ndarray, medoids: np.ndarray) -> np.ndarray:
+    """For each of the vectors ``y`` the medoids nearest to it."""
+    s = y @ x[medoids].T
+    return medoids[np.argpartition(-s, ENTRIES - 1, axis=1)[:, :ENTRIES]] if len(medoids) > ENTRIES else np.repeat(medoids[None], len(y), axis=0)
 
 
 def grow_graph(x: np.ndarray, hops: int = HOPS, pool: int = POOL, degree: int = DEGREE, passes: int = PASSES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +247,7 @@ def grow_graph(x: np.ndarray, hops: int = HOPS, pool: int = POOL, degree: int =
             nodes = np.arange(a, min(n, a + 256))
             seen = np.zeros((len(nodes), n), dtype=bool)
             seen[np.arange(len(nodes)), nodes] = True
-            for found, sims in _beam(x, out, nodes, _entries(x, nodes, medoids), pool, hops, seen):  # noqa: B007
+            for found, sims in _beam(x, out, x[nodes], _entries(x, x[nodes], medoids), pool, hops, seen):  # noqa: B007
                 pass
             met = np.where(sims > -2, found, nodes[:, None])
             picked[nodes] = robust_prune(x, nodes, np.concatenate([met, out[nodes, :degree]], axis=1), degree)
@@ -276,69 +282,90 @@ def build_graph(x: np.ndarray, hops: int = HOPS, shard_rows: int = SHARD_ROWS, o
     return graph, np.unique(np.concatenate(medoids))
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, medoids: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, hops: int = HOPS) -> tuple[np.ndarray, np.ndarray]:
-    """(query position, node) within ``least``: greedy beam from the medoids and the query's own node, then expansion of the range."""
+def range_search(x: np.ndarray, graph: np.ndarray, medoids: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, hops: int = HOPS, vectors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query position, node) within ``least``: greedy beam from the medoids and the query's own node, then expansion of the range.
+
+    With ``vectors``, queries are rows of these, which are no nodes of the graph.
+    """
     n = len(x)
     found_q, found_v = [], []
     for a in range(0, len(queries), 256):
         q = queries[a : a + 256]
-        m = len(q)
-        rows = np.arange(m)
-        seen = np.zeros((m, n), dtype=bool)
-        inside = np.zeros((m, n), dtype=bool)
-        for ids, sims in _beam(x, graph, q, np.concatenate([_entries(x, q, medoids), q[:, None]], axis=1), beam, hops, seen):
+        y = (x if vectors is None else vectors)[q]
+        rows = np.arange(len(q))
+        seen = np.zeros((len(q), n), dtype=bool)
+        entry, own = _entries(x, y, medoids), np.zeros(0, dtype=np.int64)
+        if vectors is None:
+            entry, own = np.concatenate([entry, q[:, None]], axis=1), rows * n + q
+        met = [own]
+        for ids, sims in _beam(x, graph, y, entry, beam, hops, seen):
             r, k = np.nonzero(sims >= least)
-            inside[r, ids[r, k]] = True
-        inside[rows, q] = True
-        done = np.zeros((m, n), dtype=bool)
-        while True:
-            r, v = np.nonzero(inside & ~done)
-            if not len(r):
-                break
-            done[r, v] = True
-            for b in range(0, len(r), 8192):
-                key = np.unique((r[b : b + 8192, None] * n + graph[v[b : b + 8192]]).ravel())
-                key = key[~seen.ravel()[key]]
+            met.append(r * n + ids[r, k])
+        fresh = np.unique(np.concatenate(met))
+        inside = [fresh]
+        while len(fresh):
+            new = []
+            for b in range(0, len(fresh), 8192):
+                r, v = fresh[b : b + 8192] // n, fresh[b : b + 8192] % n
+                key = (r[:, None] * n + graph[v]).ravel()
+                key = np.unique(key[~seen.ravel()[key]])
                 seen.ravel()[key] = True
                 rr, cc = key // n, key % n
-                hit = np.einsum("ed,ed->e", x[q[rr]], x[cc]) >= least
-                inside[rr[hit], cc[hit]] = True
-        inside[rows, q] = False
-        r, v = np.nonzero(inside)
-        found_q.append(r + a)
-        found_v.append(v)
+                new.append(key[np.einsum("ed,ed->e", y[rr], x[cc]) >= least])
+            fresh = np.concatenate(new)
+            inside.append(fresh)
+        key = np.concatenate(inside)
+        if vectors is None:
+            key = key[key % n != q[key // n]]
+        found_q.append(key // n + a)
+        found_v.append(key % n)
     return (np.concatenate(found_q), np.concatenate(found_v)) if found_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def region_links(v: np.ndarray, threshold: float, recall: float = RECALL, audit: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """All found pairs (i, j), both ways, with cosine in double precision at or above the threshold."""
+def region_links(v: np.ndarray, threshold: float, recall: float = RECALL, audit: int = 64, heads: int | None = None, within: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All found pairs (i, j), both ways, with cosine in double precision at or above the threshold.
+
+    With ``heads``, the graph is made of that many first rows, and the others are searched for in it, but not among each
+    other; ``within``: whether the heads are searched for as well.
+    """
     n = len(v)
-    if n < 2:
+    heads = n if heads is None else heads
+    first = 0 if within else heads
+    if n < 2 or not heads or first == n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x = v.astype(np.float32)
-    test = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(np.int64))
-    exact = v[test] @ v.T >= threshold
-    exact[np.arange(len(test)), test] = False
+    test = np.unique(np.linspace(first, n - 1, min(n - first, audit)).astype(np.int64))
+    exact = v[test] @ v[:heads].T >= threshold
+    inner = np.flatnonzero(test < heads)
+    exact[inner, test[inner]] = False
     hops = HOPS
     while True:
-        graph, medoids = build_graph(x, hops)
-        i, j = range_search(x, graph, medoids, np.arange(n), threshold - _SLACK, hops=hops)
-        one = np.unique(np.concatenate([i * n + j, j * n + i]))
+        graph, medoids = build_graph(x[:heads], hops)
+        keys = []
+        if within:
+            i, j = range_search(x[:heads], graph, medoids, np.arange(heads), threshold - _SLACK, hops=hops)
+            keys.append(i * n + j)
+        if heads < n:
+            i, j = range_search(x[:heads], graph, medoids, np.arange(n - heads), threshold - _SLACK, hops=hops, vectors=x[heads:])
+            keys.append((i + heads) * n + j)
+        one = np.concatenate(keys)
+        one = np.unique(np.concatenate([one, one % n * n + one // n]))
         keep = np.concatenate([np.einsum("ed,ed->e", v[part // n], v[part % n]) >= threshold for part in np.array_split(one, len(one) // 200_000 + 1)])
         one = one[keep]
         i, j = one // n, one % n
         got = np.zeros_like(exact)
         place = np.full(n, -1)
         place[test] = np.arange(len(test))
-        hit = place[i] >= 0
+        hit = (place[i] >= 0) & (j < heads)
         got[place[i[hit]], j[hit]] = True
         if not exact.any() or (got & exact).sum() >= recall * exact.sum():
             return i, j
         hops *= 2
         if hops * DEGREE >= SHARD_ROWS:  # a search as wide as its shard: compare all
-            pairs = [np.nonzero(v[a : a + 256] @ v.T >= threshold) for a in range(0, n, 256)]
-            i, j = np.concatenate([p[0] + 256 * k for k, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs])
-            return i[i != j], j[i != j]
+            pairs = [np.nonzero(v[a : a + 256] @ v[:heads].T >= threshold) for a in range(first, n, 256)]
+            i, j = np.concatenate([p[0] + 256 * k + first for k, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs])
+            one = np.unique(np.concatenate([i * n + j, j * n + i])[np.tile(i != j, 2)])
+            return one // n, one % n
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -353,23 +380,29 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _dense(v: np.ndarray, threshold: float, audit: int = 64) -> bool:
-    """Whether the rows have so many links that comparing all is cheaper than expanding ranges."""
+def _dense(v: np.ndarray, threshold: float, audit: int = 64, heads: int | None = None) -> bool:
+    """Whether the rows have so many links with the first ``heads`` that comparing all is cheaper than expanding ranges."""
     n = len(v)
     test = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(np.int64))
-    return n * ((v[test] @ v.T >= threshold).sum() / len(test) - 1) > DENSE_PAIRS
+    return n * ((v[test] @ v[:heads].T >= threshold).sum() / len(test) - 1) > DENSE_PAIRS
+
 
+def exact_links(v: np.ndarray, threshold: float, counted, copies: np.ndarray, rows: int = 256, heads: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The copies that each row links with in counted pairs, and the smallest position reachable from it, by comparing all.
 
-def exact_links(v: np.ndarray, threshold: float, counted, copies: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """The copies that each row links with in counted pairs, and the smallest position reachable from it, by comparing all."""
+    With ``heads``, that many first rows are compared with all, and the others not among each other.
+    """
     n = len(v)
+    heads = n if heads is None else heads
     links, root = np.zeros(n), np.arange(n)
     weight = copies.astype(np.float64)
-    for a in range(0, n, rows):
-        i = np.arange(a, min(n, a + rows))
+    for a in range(0, heads, rows):
+        i = np.arange(a, min(heads, a + rows))
         s = v[i] @ v.T >= threshold
         s[np.arange(len(i)), i] = False
-        links[i] = (s & counted(i[:, None], np.arange(n)[None])) @ weight
+        valid = s & counted(i[:, None], np.arange(n)[None])
+        links[i] = valid @ weight
+        links[heads:] += weight[i] @ valid[:, heads:]
         while True:
             apart = s & (root[i][:, None] != root[None])
             some = np.flatnonzero(apart.any(axis=1))
@@ -381,24 +414,21 @@ def exact_links(v: np.ndarray, threshold: float, counted, copies: np.ndarray, ro
 
 
 def _search_group(threshold: float):
+    """Links of a block of a region's own rows (side 0) with each other, in its first part, and with the rows that come to it (side 1)."""
+
     def run(group: pa.Table) -> pa.Table:
-        ids, copies, side, home = (group.column(c).to_numpy() for c in ("id", "copies", "side", "home"))
-        cell, a, b, dim = (group.column(c)[0].as_py() for c in ("cell", "a", "b", "dim"))
+        ids, copies, side = (group.column(c).to_numpy() for c in ("id", "copies", "side"))
+        part, dim = (group.column(c)[0].as_py() for c in ("part", "dim"))
         v = np.frombuffer(b"".join(group.column("v").to_pylist()), dtype=np.float64).reshape(-1, dim)
-        order = np.argsort(ids, kind="stable")
-        ids, copies, home, side, v = ids[order], copies[order], home[order], side[order], v[order]
-
-        def counted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            here = np.minimum(home[i], home[j]) == cell
-            return here & (side[i] != side[j]) if a != b else here
-
-        if _dense(v, threshold):
-            links, root = exact_links(v, threshold, counted, copies)
+        order = np.lexsort((ids, side))
+        ids, copies, side, v = ids[order], copies[order], side[order], v[order]
+        heads, within = int((side == 0).sum()), part == 0
+        if _dense(v, threshold, heads=heads):
+            links, root = exact_links(v, threshold, lambda i, j: (side[i] != side[j]) | within, copies, heads=heads)
         else:
-            i, j = region_links(v, threshold)
+            i, j = region_links(v, threshold, heads=heads, within=within)
             root = _forest(len(ids), i, j)
-            here = counted(i, j)
-            links = np.bincount(i[here], weights=copies[j[here]], minlength=len(ids))
+            links = np.bincount(i, weights=copies[j], minlength=len(ids))
         links = links.astype(np.int64)
         some = (links > 0) | (root != np.arange(len(ids)))
         return pa.table({"id": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(ids[root[some]])})
@@ -416,13 +446,16 @@ def _find(reps: DataFrame, sizes: dict[int, int], sample_rows: int, cell_rows: i
         centroids[dim] = choose_cells(x, fit_centroids(x, min(n // cell_rows, len(x) // 8)), n, margins[dim], block)
     routed = table(reps.select("id", "copies", "v").mapInArrow(_route(centroids, margins), "id bigint, copies bigint, dim bigint, cell bigint, home bigint, v binary"), "routed")
     # As many rows as there are cells, which the sample bounds.
-    blocks = routed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    blocks = table(blocks, "cell-blocks")
-    dealt = routed.join(F.broadcast(blocks), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A row of block k meets every block: pairs (a, b), a <= b, with k at either end.
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b")))
-    paired = dealt.withColumn("p", F.explode(every)).select("id", "copies", "dim", "cell", "home", "v", F.col("p.a").alias("a"), F.col("p.b").alias("b"), (F.col("block") == F.col("p.b")).cast("int").alias("side"))
-    return table(paired.groupBy("dim", "cell", "a", "b").applyInArrow(_search_group(threshold), "id bigint, links bigint, root bigint"), "vector-links")
+    own = F.col("home") == F.col("cell")
+    counts = routed.groupBy("dim", "cell").agg(F.ceil(F.greatest(F.lit(1), F.count(F.when(own, 1))) / block).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / (PARTS * block)).cast("int").alias("parts"))
+    counts = table(counts, "cell-blocks")
+    dealt = routed.join(F.broadcast(counts), ["dim", "cell"]).withColumns({"block": F.when(own, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(F.col("blocks")), "mine": F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int")})
+    # A row belongs to the graph of its block, in all parts, and comes to each block before it (a visitor to all) in one part.
+    place = lambda a, part, side: F.struct(a.alias("a"), part.alias("part"), F.lit(side).alias("side"))
+    member = F.when(own, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: place(F.col("block"), k, 0))).otherwise(F.array().cast("array<struct<a:int,part:int,side:int>>"))
+    comes = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k < F.col("block")), lambda k: place(k, F.col("mine"), 1))
+    paired = dealt.select("id", "copies", "dim", "cell", "v", F.inline(F.concat(member, comes)))
+    return table(paired.groupBy("dim", "cell", "a", "part").applyInArrow(_search_group(threshold), "id bigint, links bigint, root bigint"), "vector-links")
 
 
 def _recall(reps: DataFrame, found: DataFrame, threshold: float, rows: int, blocks: int = 16) -> float:
