@@ -309,6 +309,44 @@ def test_pieces_cover_every_id_once(spark):
     assert packing.pack(docs(spark, AWKWARD).where("false")).count() == 0
 
 
+def test_many_texts_are_encoded_together_as_the_tokenizer_does():
+    """Whatever the texts and wherever lookups and generations of the memo end; a word reaches the model once, with and without signs."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    odd = ["", " \n", "don't it'll ''s '!s _x_ 12 a1b", "a\x00b \x07 c\x1cd", "ª º ² × ÷ é É ß į İ ſ", "日本 語", "<|endoftext|> x", "A" * 300, "e\u0301 \u00a0 \u2003x", "$$$ !!, (a)"] * 2
+    texts = odd + [" ".join(rng.choice(("thing", "Größe", "l'été", "x9")) + rng.choice(("", ",", ".)", "'s")) for _ in range(rng.randrange(40))) for _ in range(60)]
+    rng.shuffle(texts)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for cache, together in ((8, 1), (5, 7), (40, 64), (1000, 10_000)):
+        encode = packing.WordEncoder(path, cache, look_up=together)
+        for _ in range(2):
+            assert [np.frombuffer(b, dtype="<u4").tolist() for b in encode.many(texts)] == want
+        assert [encode(t) for t in texts[:5]] == [np.array(ids, dtype="<u4").tobytes() for ids in want[:5]]
+    encode, asked = packing.WordEncoder(path), []
+    real = encode._tokenize
+    encode._tokenize = lambda word: asked.append(word) or real(word)
+    list(encode.many(["thing thing, Thing.", "thing) other", "other, thing"]))
+    assert sorted(asked) == [")", ",", ".", "other", "thing"]
+
+
+def test_texts_that_the_tokenizer_takes_whole_do_not_pile_up():
+    """No text waits for more than the next few, though none of them has stretches to look up."""
+    encode, read = packing.WordEncoder(look_up=10), 0
+
+    def texts():
+        nonlocal read
+        for _ in range(1000):
+            read += 1
+            yield "日本" if read % 2 else ""
+
+    next(encode.many(texts()))
+    assert read <= 20
+
+
 def test_all_pairs_and_triples_of_frequent_lengths_are_patterns():
     h = np.random.default_rng(2).integers(0, 4, 64)
     frequent = {int(v) for v in np.argsort(-h[1:], kind="stable")[:5] + 1}

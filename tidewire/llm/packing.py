@@ -8,7 +8,7 @@ count moves any more, rounded, and laid out as far as the histogram has the leng
 the last, open window of a group is cut at powers of two. So no window is padded.
 
 A group is a run of documents of one input partition, closed at ``group_tokens`` tokens: its ids are all that
-a task holds, beside a memo of words that it gives up when it ends. Nothing is shuffled, and a partition's result depends on its rows alone, so a lost task can be
+a task holds, beside the stretches that are looked up together and a memo of words that it gives up when it ends. Nothing is shuffled, and a partition's result depends on its rows alone, so a lost task can be
 run again. Sequence ids are the partition's number times 2^32 plus a running number.
 
 Defined results: null and empty texts are the end id alone; a null doc_id stays null; repeated rows are packed
@@ -20,7 +20,8 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,34 +36,14 @@ GROUP_TOKENS = 4_000_000
 FREQUENT = 12
 #: A sweep of the solver that moves no count by more ends it.
 STILL = 0.01
-#: Stretches that the memo holds in each of its two generations, some 250 bytes each; a quarter as many words.
-CACHE_WORDS = 120_000
+#: Stretches and words that a generation of the memo holds before the next one begins, some 250 bytes each.
+CACHE_WORDS = 150_000
+#: Stretches of texts that are looked up together; a longer text is taken by parts of so many.
+LOOK_UP = 20_000
 
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class _Memo(dict):
-    """A bounded memo in two generations: what is asked for again survives when the older one is dropped."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self._make, self._limit, self._old = make, limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self._old.get(key)
-        if found is None:
-            found = self._make(key)
-        if len(self) >= self._limit:
-            self._old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-    def forget(self) -> None:
-        self.clear()
-        self._old = {}
-
-
 def _byte_letters() -> dict[int, str]:
     """The printable characters that byte-level vocabularies use for bytes: themselves, or the next from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -71,12 +52,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian 32-bit bytes, with memos of what a stretch without blanks and a word become.
+    """Token ids of texts, as little-endian 32-bit bytes, with a memo of what stretches without blanks and words become.
 
     The tokenizer lower-cases, collapses white space and never joins what white space parts, so the ids of a text
     are those of its stretches; and a stretch is parted into words and signs, each of which its vocabulary model
-    turns into ids. Texts with characters on which the definitions of white space, case or normal form could
+    turns into ids. Many texts are looked up together, so that what the memo lacks is spelt, and its ids are
+    cut, at once. Texts with characters on which the definitions of white space, case or normal form could
     differ, and texts that could hold a special token's string, go to the tokenizer whole.
+
+    The memo has two generations: what is asked for again survives when the older one is dropped.
     """
 
     _other = re.compile(r"[^\t\n\v\f\r -~¡-į]")
@@ -84,7 +68,7 @@ class WordEncoder:
     # The tokenizer's own alternatives, for the characters of _simple.
     _parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
-    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str | None = None, cache_words: int = CACHE_WORDS, look_up: int = LOOK_UP):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -92,25 +76,101 @@ class WordEncoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         tokenizer = Tokenizer.from_file(path)
-        model, letters = tokenizer.model, _byte_letters()
-        self._ids = ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-        def of_part(part: str) -> bytes:
-            spelt = part if part.isascii() else "".join(letters[b] for b in part.encode())
-            return b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(spelt))
-
-        self._words = parts = _Memo(of_part, cache_words // 4)
-        simple, split = self._simple.fullmatch, self._parts.findall
-        self._cache = _Memo(lambda word: b"".join(map(parts.__getitem__, split(word))) if simple(word) else ids(word), cache_words)
+        self._ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        # A blank is never part of a word.
+        self._letters = {b: c for b, c in _byte_letters().items() if b != 32}
+        self._tokenize = tokenizer.model.tokenize
+        self._limit, self._look_up = cache_words, look_up
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        self._words.forget()
-        self._cache.forget()
+        self._new, self._old = {}, {}
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as its vocabulary model gives them."""
+        spelt = " ".join(words).encode().decode("latin-1").translate(self._letters)
+        ids: list[int] = []
+        edges = [0]
+        for word in spelt.split(" "):
+            ids += [token.id for token in self._tokenize(word)]
+            edges.append(len(ids))
+        blob = np.array(ids, dtype="<u4").tobytes()
+        return [blob[4 * a : 4 * b] for a, b in pairwise(edges)]
+
+    def _learn(self, stretches: set[str]) -> None:
+        """Put the ids of these stretches, none of which the newer generation has, into it."""
+        new, old, simple, split = self._new, self._old, self._simple.fullmatch, self._parts.findall
+        words: dict[str, None] = {}
+        parted: list[tuple[str, list[str]]] = []
+        for stretch in stretches:
+            if (found := old.get(stretch)) is not None:
+                new[stretch] = found
+            elif not (stretch.isprintable() if stretch.isascii() else simple(stretch)):
+                new[stretch] = self._ids(stretch)
+            elif stretch.isalpha():
+                words[stretch] = None
+            else:
+                parted.append((stretch, split(stretch)))
+        for _, parts in parted:
+            for part in parts:
+                if part not in new:
+                    if (found := old.get(part)) is not None:
+                        new[part] = found
+                    else:
+                        words[part] = None
+        if words:
+            new.update(zip(words, self._of_words(list(words)), strict=True))
+        for stretch, parts in parted:
+            new[stretch] = b"".join(map(new.__getitem__, parts))
+
+    def _of_stretches(self, stretches: list[str]) -> list[bytes]:
+        if len(self._new) >= self._limit:
+            self._new, self._old = {}, self._new
+        found = list(map(self._new.get, stretches))
+        gaps = [i for i, blob in enumerate(found) if blob is None]
+        if gaps:
+            self._learn({stretches[i] for i in gaps})
+            for i in gaps:
+                found[i] = self._new[stretches[i]]
+        return found
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        held: list[str] = []
+        # Of the texts that wait: the end of each one's stretches, or the ids of a text that went to the tokenizer whole.
+        edges: list[int | bytes] = []
+        room = self._look_up
+        for text in texts:
+            if "<|" in text or not (text.isascii() or not self._other.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                edges.append(self._ids(text))
+                room -= 1 + len(edges[-1]) // 4
+            else:
+                stretches = text.lower().split()
+                if len(stretches) > self._look_up:
+                    yield from self._flush(held, edges)
+                    held, edges, room = [], [], self._look_up
+                    yield b"".join(b"".join(self._of_stretches(stretches[a : a + self._look_up])) for a in range(0, len(stretches), self._look_up))
+                    continue
+                held += stretches
+                edges.append(len(held))
+                room -= 1 + len(stretches)
+            if room <= 0:
+                yield from self._flush(held, edges)
+                held, edges, room = [], [], self._look_up
+        yield from self._flush(held, edges)
+
+    def _flush(self, held: list[str], edges: list[int | bytes]) -> Iterator[bytes]:
+        found, at = self._of_stretches(held), 0
+        for edge in edges:
+            if isinstance(edge, bytes):
+                yield edge
+            else:
+                yield b"".join(found[at:edge])
+                at = edge
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or not (text.isascii() or not self._other.search(text)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._ids(text)
-        return b"".join(map(self._cache.__getitem__, text.lower().split()))
+        return next(self.many([text]))
 
 
 _encoders: dict[str | None, WordEncoder] = {}
@@ -264,10 +324,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
         held = 0
         try:
             for batch in batches:
-                names, texts = batch.column("id"), batch.column("body")
-                for i in range(len(names)):
-                    blob = encode(texts[i].as_py() or "") + end
-                    ids.append(names[i].as_py())
+                texts = (text.as_py() or "" for text in batch.column("body"))
+                for name, blob in zip(batch.column("id"), encode.many(texts), strict=True):
+                    blob += end
+                    ids.append(name.as_py())
                     blobs.append(blob)
                     held += len(blob) // 4
                     if held >= group_tokens:
