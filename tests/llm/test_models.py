@@ -236,6 +236,50 @@ def test_gru_gradients_equal_differences():
             assert abs((losses[0] - losses[1]) / 2e-3 - g[at]) < 2e-3
 
 
+def test_head_words_are_found_by_their_leading_bits(monkeypatch):
+    """What a binary search of all hashes gives, also where they crowd; and no word is searched for so."""
+    rng = np.random.default_rng(8)
+    top = np.uint64(2**64 - 1)
+    spread = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    crowd = np.uint64(7) << np.uint64(60) | np.arange(0, 600, 3, dtype=np.uint64)
+    for hashes in (spread, crowd, np.concatenate([spread, crowd, [np.uint64(0), top]]), spread[:1], np.array([top]), spread[:0]):
+        hashes = np.unique(hashes)
+        words_ = np.concatenate([hashes, rng.integers(0, 2**64, 3000, dtype=np.uint64), crowd + np.uint64(1), [np.uint64(0), top]])
+        zeros = np.zeros(len(hashes), dtype=np.int64)
+        head = lm.Head(hashes, zeros, zeros, zeros, 3)
+        at, there = head.look_up(words_)
+        assert there.tolist() == np.isin(words_, hashes).tolist()
+        if len(hashes):
+            assert at.tolist() == np.searchsorted(hashes, words_).clip(max=len(hashes) - 1).tolist()
+        with monkeypatch.context() as m:
+            m.setattr(np, "searchsorted", None)
+            assert head.look_up(words_)[1].tolist() == there.tolist()
+
+
+def test_a_window_of_steps_is_the_plain_recurrence():
+    """With and without what back-propagation needs, with resets and with one lane."""
+    rng = np.random.default_rng(12)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for lanes in (1, 4):
+        m = lm.Gru(*[p.astype(np.float64) + rng.normal(0, 0.3, p.shape) for p in lm.Gru.fresh(5, np.zeros(5), hidden=3).params()])
+        inputs, fresh, h = rng.integers(0, 5, (7, lanes)), rng.random((7, lanes)) < 0.3, rng.normal(size=(lanes, 3))
+        start, want, before, gates = h.copy(), [], [], []
+        for t in range(7):
+            h = np.where(fresh[t][:, None], 0, h)
+            x, u = m.ex[inputs[t]], h @ m.u
+            z, r = sig(x[:, :3] + u[:, :3]), sig(x[:, 3:6] + u[:, 3:6])
+            new = np.tanh(x[:, 6:] + r * u[:, 6:])
+            before.append(h)
+            gates.append((z, r, new, u[:, 6:]))
+            h = z * h + (1 - z) * new
+            want.append(h)
+        for keep in (False, True):
+            out, end, tape = m.steps(inputs, fresh, start, keep=keep)
+            assert np.allclose(out, want) and np.allclose(end, h) and np.allclose(start, m.steps(inputs[:0], fresh[:0], start)[1])
+        for got, plain in zip(tape, [before, *zip(*gates, strict=True)], strict=True):
+            assert np.allclose(got, plain)
+
+
 def test_lane_scores_equal_one_by_one():
     rng = np.random.default_rng(3)
     m = lm.Gru.fresh(6, np.zeros(6), hidden=5)

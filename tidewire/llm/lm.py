@@ -61,12 +61,23 @@ class Head:
     cls: np.ndarray
     share: np.ndarray
     n_classes: int
+    first: np.ndarray | None = field(default=None, repr=False, compare=False)  # for each value of the leading bits, where hashes from it on begin
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each word and whether it is there."""
-        if not len(self.hashes):
+        last = len(self.hashes) - 1
+        if last < 0:
             return np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
-        at = np.searchsorted(self.hashes, h).clip(max=len(self.hashes) - 1)
+        bits = (4 * last + 4).bit_length()
+        if self.first is None:
+            self.first = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).clip(max=last).astype(np.int32)
+        at = self.first[(h >> np.uint64(64 - bits)).view(np.int64)].astype(np.int64)
+        # Few words share their leading bits; from the first of them it is no step, or a few.
+        rest = np.flatnonzero(self.hashes[at] < h)
+        while len(rest):
+            rest = rest[at[rest] < last]
+            at[rest] += 1
+            rest = rest[self.hashes[at[rest]] < h[rest]]
         return at, self.hashes[at] == h
 
 
@@ -100,68 +111,88 @@ class Gru:
         return Gru(*out)
 
     def steps(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-        """Run a window: inputs and fresh (reset before this step) are steps x lanes. Gives all states; with ``keep`` what back-propagation needs."""
-        n, hid = self.u.shape[0], self.u.shape[0]
-        out = np.empty((len(inputs), inputs.shape[1], n), dtype=np.float32)
-        tape = []
-        for t in range(len(inputs)):
-            if fresh[t].any():
-                h = h * ~fresh[t][:, None]
-            gx = self.ex[inputs[t]]
-            gh = h @ self.u
-            zr = 1 / (1 + np.exp(-(gx[:, : 2 * hid] + gh[:, : 2 * hid])))
-            z, r = zr[:, :hid], zr[:, hid:]
-            ghn = gh[:, 2 * hid :]
-            new = np.tanh(gx[:, 2 * hid :] + r * ghn)
-            if keep:
-                tape.append((h, z, r, new, ghn))
-            h = new + z * (h - new)
-            out[t] = h
-        return out, h, tape
+        """Run a window: inputs and fresh (reset before this step) are steps x lanes. Gives all states; with ``keep`` what back-propagation needs.
+
+        Gates lie one behind the other (gate x lanes x units), so that each is worked on in one run."""
+        n, (steps, lanes), kind = self.u.shape[0], inputs.shape, self.u.dtype
+        ex = np.ascontiguousarray(self.ex.reshape(-1, 3, n).transpose(1, 0, 2))
+        u = np.ascontiguousarray(self.u.reshape(n, 3, n).transpose(1, 0, 2))
+        out = np.empty((steps, lanes, n), dtype=kind)
+        gates, recurrent = (np.empty((steps if keep else 1, 3, lanes, n), dtype=kind) for _ in range(2))
+        before, rows, resets, on = h, inputs.astype(np.intp), fresh.any(axis=1), ~fresh[:, :, None]
+        for t in range(steps):
+            if resets[t]:
+                h = h * on[t]
+            g, gh, o = gates[t if keep else 0], recurrent[t if keep else 0], out[t]
+            np.matmul(h, u, out=gh)
+            np.take(ex, rows[t], axis=1, out=g, mode="clip")
+            zr, new = g[:2], g[2]
+            zr += gh[:2]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            new += np.multiply(zr[1], gh[2], out=gh[1])
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=o)
+            o *= zr[0]
+            o += new
+            h = o
+        return out, h, (np.concatenate([before[None], out[:-1]]) * on, gates[:, 0], gates[:, 1], gates[:, 2], recurrent[:, 2]) if keep else ()
 
 
 def log_softmax_at(states: np.ndarray, v: np.ndarray, b: np.ndarray, target: np.ndarray) -> np.ndarray:
-    logits = states @ v + b
-    top = logits.max(axis=1)
-    logits -= top[:, None]
-    chosen = logits[np.arange(len(target)), target]
+    # Classes x tokens: sums and maxima over classes go along whole rows.
+    logits = v.T @ states.T
+    logits += b[:, None]
+    logits -= logits.max(axis=0)
+    chosen = logits[target, np.arange(len(target))]
     np.exp(logits, out=logits)
-    return chosen - np.log(logits.sum(axis=1))
+    return chosen - np.log(logits.sum(axis=0))
 
 
 def gradients(model: Gru, inputs: np.ndarray, fresh: np.ndarray, target: np.ndarray, h0: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Gradients of the mean negative log-likelihood over a window, the state after it, and the loss."""
     steps, lanes = inputs.shape
     hid, n_classes = model.u.shape[0], len(model.b)
-    states, h_end, tape = model.steps(inputs, fresh, h0, keep=True)
+    states, h_end, (prev, z, r, new, ghn) = model.steps(inputs, fresh, h0, keep=True)
     flat = states.reshape(-1, hid)
-    logits = flat @ model.v + model.b
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
-    at = (np.arange(len(flat)), target.ravel())
+    p = model.v.T @ flat.T  # classes x tokens
+    p += model.b[:, None]
+    p -= p.max(axis=0)
+    np.exp(p, out=p)
+    p /= p.sum(axis=0)
+    at = (target.ravel(), np.arange(len(flat)))
     loss = float(-np.log(np.maximum(p[at], 1e-30)).mean())
     p[at] -= 1
     p /= len(flat)
-    dv, db = flat.T @ p, p.sum(axis=0)
-    dout = (p @ model.v.T).reshape(steps, lanes, hid)
-    du = np.zeros_like(model.u)
-    dgx_all = np.empty((steps, lanes, 3 * hid), dtype=np.float32)
-    dh = np.zeros((lanes, hid), dtype=np.float32)
+    dv, db = flat.T @ p.T, p.sum(axis=1)
+    dout = (p.T @ model.v.T).reshape(steps, lanes, hid)
+    # What the gradient of a state is multiplied by, for all steps at once.
+    to_new = (1 - z) * (1 - new * new)
+    to_z = (prev - new) * z * (1 - z)
+    to_r = to_new * ghn * r * (1 - r)
+    to_ghn = to_new * r
+    dgx, dgh = np.empty((2, steps, lanes, 3 * hid), dtype=model.u.dtype)
+    back, on = np.ascontiguousarray(model.u.T), ~fresh[:, :, None]
+    resets = fresh.any(axis=1)
+    dh = np.zeros((lanes, hid), dtype=model.u.dtype)
     for t in range(steps - 1, -1, -1):
-        prev, z, r, new, ghn = tape[t]
-        dh = dh + dout[t]
-        dan = dh * (1 - z) * (1 - new * new)
-        daz = dh * (prev - new) * z * (1 - z)
-        dar = dan * ghn * r * (1 - r)
-        dgh = np.concatenate([daz, dar, dan * r], axis=1)
-        dgx_all[t] = np.concatenate([daz, dar, dan], axis=1)
-        du += prev.T @ dgh
-        dh = dh * z + dgh @ model.u.T
-        dh *= ~fresh[t][:, None]
+        dh += dout[t]
+        g = dgh[t]
+        np.multiply(dh, to_z[t], out=g[:, :hid])
+        np.multiply(dh, to_r[t], out=g[:, hid : 2 * hid])
+        np.multiply(dh, to_ghn[t], out=g[:, 2 * hid :])
+        np.multiply(dh, to_new[t], out=dgx[t, :, 2 * hid :])
+        dh *= z[t]
+        dh += g @ back
+        if resets[t]:
+            dh *= on[t]
+    dgx[:, :, : 2 * hid] = dgh[:, :, : 2 * hid]
+    du = prev.reshape(-1, hid).T @ dgh.reshape(-1, 3 * hid)
     one = np.zeros((steps * lanes, n_classes), dtype=np.float32)
     one[np.arange(steps * lanes), inputs.ravel()] = 1
-    return [one.T @ dgx_all.reshape(-1, 3 * hid), du, dv, db], h_end, loss
+    return [one.T @ dgx.reshape(-1, 3 * hid), du, dv, db], h_end, loss
 
 
 def train_on(model: Gru, stream: np.ndarray, opens: np.ndarray, *, lanes: int = TRAIN_LANES, window: int = WINDOW, updates: int = MIN_UPDATES, rate: float = 0.01) -> Gru:
@@ -277,14 +308,16 @@ def _contexts(head: Head):
             for _, _, data, offsets in text_chunks(batch, "body"):
                 h, first = tokens(data, offsets)
                 at, there = head.look_up(h)
-                # Gaps between documents, so that no pair crosses from one to the next.
-                spread = np.full(len(h) + REACH * len(first), n, dtype=np.int64)
-                spread[np.arange(len(h)) + REACH * np.repeat(np.arange(len(first) - 1), np.diff(first))] = np.where(there, at, n)
-                which = slot[spread]
-                for gap in range(1, REACH + 1):
-                    for a, b in ((spread[:-gap], which[gap:]), (spread[gap:], which[:-gap])):
-                        ok = (a < n) & (b >= 0)
-                        np.add.at(total, a[ok] * COMMON + b[ok], np.int32(1))
+                # Gaps between documents and at both ends, so that no pair crosses from one to the next.
+                spread = np.full(len(h) + REACH * (len(first) + 1), n, dtype=np.int64)
+                spread[REACH + np.arange(len(h)) + REACH * np.repeat(np.arange(len(first) - 1), np.diff(first))] = np.where(there, at, n)
+                common = slot[spread]
+                where = np.flatnonzero(common >= 0)
+                common = common[where]
+                for gap in (*range(-REACH, 0), *range(1, REACH + 1)):
+                    a = spread[where + gap]
+                    ok = a < n
+                    np.add.at(total, a[ok] * COMMON + common[ok], np.int32(1))
         code = np.flatnonzero(total)
         edges = np.searchsorted(code, np.arange(0, n + BUCKET, BUCKET) * COMMON)
         for k in range(len(edges) - 1):
