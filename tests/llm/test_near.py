@@ -4,13 +4,15 @@ import math
 import os
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from tests.llm.test_rows import AWKWARD, docs
-from tidewire.llm import embeddings, graph, near_dedup
+from tidewire.llm import _base, embeddings, exact_dedup, graph, near_dedup
 
 
 def brute_components(n, linked):
@@ -335,3 +337,20 @@ def test_rows_from_other_regions_are_searched_for_and_not_built_in():
         links, _ = embeddings.exact_links(v, 0.95, lambda i, j, within=within: (visits[i] != visits[j]) | within, copies, heads=heads)
         assert (links == want @ copies).all()
     assert len(embeddings.region_links(v, 0.95, heads=0)[0]) == 0 and len(embeddings.region_links(v, 0.95, heads=n, within=False)[0]) == 0
+
+
+def test_tables_have_no_checksum_files_and_are_checked_when_read(spark):
+    """Each further file that Hadoop lays down is a further process that is seen to hold the whole memory of its JVM."""
+    rows = spark.range(1000).selectExpr("id", "sha2(cast(id AS string), 256) AS text")
+    index = exact_dedup.DigestIndex(spark)
+    index.flush(rows.selectExpr("unhex(text) AS key", "id AS keep_id"), 1000)
+    for frame in (_base.table(rows, "plain", rows=1000), index.entries()):
+        files = [Path(f.removeprefix("file://")) for f in frame.inputFiles()]
+        assert frame.count() == 1000
+        for f in files:
+            assert sorted(p.name for p in f.parent.iterdir()) == sorted(["_SUCCESS", *[p.name for p in files]])
+            data = bytearray(f.read_bytes())
+            data[1000] ^= 1  # in the first page
+            f.write_bytes(data)
+        with pytest.raises(Exception, match="(?i)checksum"):
+            frame.collect()

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm._base import FILE_ROWS, ascii_lower, fresh_dir, settings, table
+from tidewire.llm._base import FILE_ROWS, READ, WRITTEN, ascii_lower, fresh_dir, settings, table
 
 #: A key with at least one in HOT_SHARE of all rows is hot.
 HOT_SHARE = 1000
@@ -49,7 +49,7 @@ class DigestIndex:
         merged = run.groupBy("key").agg(self._best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         if rows is not None:
             merged = merged.coalesce(max(1, -(-rows // FILE_ROWS)))
-        merged.sortWithinPartitions("key").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000").parquet(path)
+        merged.sortWithinPartitions("key").write.options(**WRITTEN).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000").parquet(path)
         self.levels.setdefault(level, []).append(path)
         self.rows[path] = rows
 
@@ -69,7 +69,7 @@ class DigestIndex:
 
     def compact(self, level: int) -> None:
         runs = self.levels.pop(level)
-        self._write(self.spark.read.schema(RUN_SCHEMA).parquet(*runs), level + 1, self._bound(runs))
+        self._write(self.spark.read.schema(RUN_SCHEMA).options(**READ).parquet(*runs), level + 1, self._bound(runs))
 
     def compact_all(self) -> None:
         """Merge every run into one."""
@@ -77,18 +77,18 @@ class DigestIndex:
         if len(runs) > 1:
             top = max(self.levels) + 1
             self.levels = {}
-            self._write(self.spark.read.schema(RUN_SCHEMA).parquet(*runs), top, self._bound(runs))
+            self._write(self.spark.read.schema(RUN_SCHEMA).options(**READ).parquet(*runs), top, self._bound(runs))
 
     def entries(self) -> DataFrame:
         """One row per key (after a full merge, a plain scan)."""
         self.compact_all()
         paths = [p for runs in self.levels.values() for p in runs]
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
+        return self.spark.read.schema(RUN_SCHEMA).options(**READ).parquet(*paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
 
     def get(self, *keys: bytes) -> DataFrame:
         """Point look-up: footers and Bloom filters skip the files and row groups without the keys."""
         paths = [p for runs in self.levels.values() for p in runs]
-        found = self.spark.read.schema(RUN_SCHEMA).parquet(*paths).where(F.col("key").isin([bytearray(k) for k in keys]))
+        found = self.spark.read.schema(RUN_SCHEMA).options(**READ).parquet(*paths).where(F.col("key").isin([bytearray(k) for k in keys]))
         return found.groupBy("key").agg(self._best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
